@@ -229,13 +229,17 @@ def near_duplicates(
     lists = spool(listed.join(lengths, "value"), "lists")
     drop_spooled(listed)
 
-    short = lists.where(F.col("m") <= SHORT_LIST)
-    one = short.select("value", F.col("cid").alias("a"), F.col("n").alias("na"))
-    two = short.select("value", F.col("cid").alias("b"), F.col("n").alias("nb"))
+    # Values in common that long lists may hold count towards the overlap.
+    elsewhere = lists.where(F.col("m") > SHORT_LIST).groupBy("cid").agg(F.count("*").alias("long"))
+    short = lists.where(F.col("m") <= SHORT_LIST).join(elsewhere, "cid", "left").withColumn(
+        "need", F.greatest(F.lit(1), _overlap_needed(F.col("n")) - F.coalesce("long", F.lit(0)))
+    )
+    one = short.select("value", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("need").alias("need_a"))
+    two = short.select("value", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("need").alias("need_b"))
     pairs = (
         one.join(two, "value").where((F.col("a") < F.col("b")) & _sizes_allow(F.col("na"), F.col("nb"), threshold))
-        .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"))
-        .where(F.col("overlap") >= F.least(_overlap_needed(F.col("na")), _overlap_needed(F.col("nb"))))
+        .groupBy("a", "b").agg(F.count("*").alias("overlap"), F.min(F.least("need_a", "need_b")).alias("need"))
+        .where("overlap >= need")
     )
     long_lists = lists.where((F.col("m") > SHORT_LIST) & F.col("near")).select("value", "cid", "n")
     pivots = long_lists.groupBy("value").agg(F.min(F.struct("cid", "n")).alias("pivot"))
