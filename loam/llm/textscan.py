@@ -8,6 +8,7 @@ sums of the whole buffer and then mixed, so that no Python code runs per word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -78,14 +79,24 @@ def white_table() -> np.ndarray:
     return white
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, powers: PowerTable) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the rows, and n+1 offsets into them. ``offsets`` may start anywhere in ``raw``."""
+class Tokens(NamedTuple):
+    """All tokens of some rows: hashes, byte ranges from the first row's start, and n+1 offsets into them by row."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    bounds: np.ndarray
+
+
+def tokens(raw: np.ndarray, offsets: np.ndarray, powers: PowerTable, fold: np.ndarray, gap: np.ndarray) -> Tokens:
+    """Maximal runs of bytes that are no ``gap``, after ``fold``. ``offsets`` may start anywhere in ``raw``."""
     lo, hi = int(offsets[0]), int(offsets[-1])
-    data = lower_table()[raw[lo:hi]]
+    data = fold[raw[lo:hi]]
     rows = offsets - lo
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~white_table()[data]
+        none = np.zeros(0, np.int64)
+        return Tokens(np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64))
+    inside = ~gap[data]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
@@ -100,7 +111,22 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, powers: PowerTable) -> tup
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, rows).astype(np.int64)
+    return Tokens(hashes, starts, ends, np.searchsorted(starts, rows).astype(np.int64))
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, powers: PowerTable) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the rows, and n+1 offsets into them."""
+    found = tokens(raw, offsets, powers, lower_table(), white_table())
+    return found.hashes, found.bounds
+
+
+def chained(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` successive hashes."""
+    n = max(len(hashes) - size + 1, 0)
+    out = hashes[:n].copy()
+    for i in range(1, size):
+        out = mix(out * np.uint64(0x9FB21C651E98DF25) + hashes[i : n + i])
+    return out
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -109,20 +135,12 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> Iterator
     A row with fewer words has its whole sequence as its one shingle; a row
     without words has none.
     """
-    n = max(len(words) - size + 1, 0)
-    chained = words[:n].copy()
-    with np.errstate(over="ignore"):
-        for i in range(1, size):
-            chained = mix(chained * np.uint64(0x9FB21C651E98DF25) + words[i : n + i])
+    runs = chained(words, size)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= size:
-            yield np.unique(chained[a : b - size + 1])
+            yield np.unique(runs[a : b - size + 1])
         elif b > a:
-            with np.errstate(over="ignore"):
-                h = words[a : a + 1].copy()
-                for i in range(a + 1, b):
-                    h = mix(h * np.uint64(0x9FB21C651E98DF25) + words[i : i + 1])
-                yield mix(h + np.uint64(b - a))
+            yield mix(chained(words[a:b], int(b - a)) + np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
 
