@@ -42,8 +42,10 @@ OVERLAP = 6
 FREQUENT = 65_536
 #: Longer lists don't emit pairs.
 SHORT_LIST = 32
-#: Members of a block in the block-wise comparison.
+#: Members of a block in the block-wise comparison, on average.
 BLOCK = 256
+#: A component of so many members is compared as a whole, not list by list.
+LARGE = 64
 #: A union-sketch estimate this far below the threshold rules a pair out (five standard deviations).
 MARGIN = 0.25
 
@@ -152,40 +154,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
 
 
 def _across_components(long_lists: DataFrame, components: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links between members of a long list that are in different components so far."""
-    members = long_lists.select("value", "cid").distinct().join(
-        components.select(F.col("node").alias("cid"), "component"), "cid", "left"
-    ).select("value", "cid", F.coalesce("component", "cid").alias("component"))
-    mixed = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    sized = members.groupBy("value", "component").agg(F.count("*").alias("held"))
-    # A component with few members of the list shares blocks with others; a larger one has its own, as many as it needs.
-    placed = (
-        members.join(mixed.select("value", "m"), "value").join(sized, ["value", "component"])
-        .withColumn("own", F.when(F.col("held") >= BLOCK // 4, F.col("component")))
-        .withColumn(
-            "block",
-            F.when(F.col("own").isNull(), F.xxhash64(F.lit("mixed"), F.expr(f"pmod(xxhash64(component), ceil(m / {BLOCK}))")))
-            .otherwise(F.xxhash64("own", F.expr(f"pmod(xxhash64(cid), ceil(held / {BLOCK}))"))),
-        )
-        .select("value", "cid", "component", "own", "block")
+    """Links between members of a long list that are in different components so far.
+
+    A component with many members is compared once with each outsider that shares a
+    list with it, however many lists they share; the members of small components are
+    compared list by list. Both go in blocks of about ``BLOCK`` members a side.
+    """
+    members = spool(
+        long_lists.select("value", "cid").join(components.select(F.col("node").alias("cid"), "component"), "cid", "left")
+        .select("value", "cid", F.coalesce("component", "cid").alias("component")),
+        "members",
+    )
+    homes = members.select("cid", "component").distinct()
+    sizes = homes.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE)
+    mixed = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
+    active = spool(members.join(mixed, "value").join(sizes, "component", "left"), "active")
+
+    large = active.where("size is not null").select("value", F.col("component").alias("home"), F.col("size").alias("home_size")).distinct()
+    outsiders = spool(
+        large.join(active, "value").where("component <> home and (size is null or component > home)")
+        .select("home", "home_size", "cid", "component").distinct(),
+        "outsiders",
     )
-    placed = spool(placed, "placed")
-    blocks = placed.select("value", "own", "block").distinct()
-    first = blocks.select("value", F.col("own").alias("own_a"), F.col("block").alias("block_a"))
-    second = blocks.select("value", F.col("own").alias("own_b"), F.col("block").alias("block_b"))
-    work = first.join(second, "value").where(
-        "block_a <= block_b and not (own_a is not null and own_b is not null and own_a = own_b)"
-    ).select("value", "block_a", "block_b")
-    rows = placed.select("value", "cid", "component", "block")
-    dealt = (
-        rows.join(work.withColumn("block", F.col("block_a")), ["value", "block"]).withColumn("side", F.lit(0))
+    met = outsiders.groupBy("home", "home_size").agg(F.count("*").alias("met"))
+    by_home = met.select(F.col("home").alias("component"), "home_size", "met")
+    insiders = homes.join(by_home, "component").select(F.col("component").alias("home"), "home_size", "met", "cid", "component")
+    blocks = {"a": F.ceil(F.col("home_size") / BLOCK), "b": F.ceil(F.col("met") / BLOCK)}
+    own = lambda side: F.pmod(F.xxhash64("cid"), blocks[side])
+    every = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), blocks[side] - 1))
+    with_large = (
+        insiders.select("home", "cid", "component", own("a").alias("block_a"), every("b").alias("block_b"), F.lit(0).alias("side"))
         .unionByName(
-            rows.join(work.where("block_a <> block_b").withColumn("block", F.col("block_b")), ["value", "block"]).withColumn("side", F.lit(1))
+            outsiders.join(met.select("home", "met"), "home")
+            .select("home", "cid", "component", every("a").alias("block_a"), own("b").alias("block_b"), F.lit(1).alias("side"))
         )
-        .select("cid", "component", "value", "block_a", "block_b", "side")
-        .join(sets, "cid")
+        .withColumnRenamed("home", "key")
     )
-    return dealt.groupBy("value", "block_a", "block_b").applyInArrow(lambda t: _block_links(t, threshold), "a long, b long")
+
+    loose = active.where("size is null").select("value", "cid", "component")
+    counts = loose.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    pieces = F.ceil(F.col("m") / BLOCK)
+    by_list = (
+        loose.join(counts.select("value", "m"), "value")
+        .select("value", "cid", "component", F.pmod(F.xxhash64("cid"), pieces).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("y"))
+        .select(
+            F.col("value").alias("key"), "cid", "component", F.least("x", "y").alias("block_a"), F.greatest("x", "y").alias("block_b"),
+            F.when(F.col("x") > F.col("y"), 1).otherwise(0).alias("side"),
+        )
+    )
+    dealt = with_large.withColumn("part", F.lit(0)).unionByName(by_list.withColumn("part", F.lit(1))).join(sets, "cid")
+    return dealt.groupBy("part", "key", "block_a", "block_b").applyInArrow(lambda t: _block_links(t, threshold), "a long, b long")
+
+
+def _frequent(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent sketch values, at most ``FREQUENT``, and their counts; sorted by value."""
+    counts = spool(classes.select(F.explode("sketch").alias("value")).groupBy("value").count().where("count > 1"), "counts")
+    least, total = 2, 0
+    # How many values there are of each count; few rows, as the counts are.
+    for count, values in counts.groupBy("count").agg(F.count("*")).orderBy(F.desc("count")).toLocalIterator():
+        total += values
+        if total > FREQUENT:
+            least = count + 1
+            break
+    found = counts.where(F.col("count") >= least).toPandas().sort_values("value")
+    drop_spooled(counts)
+    return found["value"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
 
 def near_duplicates(
@@ -214,11 +247,7 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    counts = (
-        classes.select(F.explode("sketch").alias("value")).groupBy("value").count().where("count > 1")
-        .orderBy(F.desc("count"), "value").limit(FREQUENT).toPandas().sort_values("value")
-    )
-    values, often = counts["value"].to_numpy(np.int64), counts["count"].to_numpy(np.int64)
+    values, often = _frequent(classes)
     listed = spool(
         classes.select("cid", "n", "sketch").mapInArrow(
             lambda it: _listed(it, values, often), "value long, cid long, n long, near boolean"
