@@ -169,7 +169,7 @@ def contaminated(
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without documents in which an item occurs."""
-    hits = spool(contaminated(docs, items, **options).select("doc_id").distinct(), "hits")
-    return docs.join(small(hits), "doc_id", "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` without documents in which an item occurs; rows without an id stay."""
+    hits = spool(contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct(), "hits")
+    return docs.join(small(hits), id_col, "left_anti").select(docs.columns)

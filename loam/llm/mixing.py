@@ -126,15 +126,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The training order: a row for each pass in which the mix takes words of a document.
 
     Columns of ``docs`` stay; ``mix_pass``, ``mix_taken`` (words, from the text's start)
-    and ``mix_position`` come on top, and rows are range-sorted by position.
+    and ``mix_position`` come on top, in place of any so named, and rows are range-sorted
+    by position.
     """
-    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    own = ("mix_pass", "mix_taken", "mix_position")
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c.lower() not in own)).alias("row")
     rows = _demands(docs, id_col, text_col, source_col, whole)
     passes = rows.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
     before = F.col("before") + F.col("mix_pass") * F.col("source_size")
     return (
         passes.select("row", "mix_pass", _taken(before).alias("mix_taken"), _position(before).alias("mix_position"))
-        .where("mix_taken > 0").select("row.*", "mix_pass", "mix_taken", "mix_position").orderBy("mix_position", "mix_pass")
+        .where("mix_taken > 0").select("row.*", *own).orderBy("mix_position", "mix_pass")
     )
 
 

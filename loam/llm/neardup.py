@@ -317,15 +317,15 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int])
     )
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component; of repeated rows of an id one stays."""
-    found = spool(near_duplicates(docs, **options), "near")
-    gone = found.where("not kept").select("doc_id").distinct()
-    rest = docs.join(small(gone), "doc_id", "left_anti")
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one document of each component; of repeated rows of an id one stays, rows without an id all do."""
+    found = spool(near_duplicates(docs, id_col=id_col, **options), "near")
+    gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    rest = docs.join(small(gone), id_col, "left_anti")
+    repeated = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").select(id_col)
     if repeated.limit(1).count():
         again = small(repeated)
-        rest = rest.join(again, "doc_id", "left_anti").unionByName(
-            rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        rest = rest.join(again, id_col, "left_anti").unionByName(
+            rest.join(again, id_col, "left_semi").dropDuplicates([id_col])
         )
-    return rest
+    return rest.select(docs.columns)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.storage import fresh_path, shared_dir, spool
+
+__all__ = ["BROADCAST_ROWS", "WORD", "drop_spooled", "fresh_path", "narrow_input", "shared_dir", "small", "spool", "table", "word_count"]
+
 #: A side of at most this many (id) rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -19,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='loam-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loam/{name}-{uuid.uuid4().hex}"
-
-
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_spooled(*frames: DataFrame) -> None:
     """Delete spooled tables that nothing reads any more."""
     for df in frames:

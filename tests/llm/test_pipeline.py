@@ -84,6 +84,8 @@ def test_mixing_equals_brute_force(spark):
         (r["mix_pass"], r["doc_id"], r["mix_taken"]) for r in order
     ) == sorted(x[1:] for x in want)
     assert np.allclose([r["mix_position"] for r in order], [x[0] for x in want], atol=1e-9)
+    again = mixing.mixed_documents(mixing.mixed_documents(df.limit(5)))
+    assert again.columns == [*df.columns, "mix_pass", "mix_taken", "mix_position"]
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
