@@ -460,7 +460,7 @@ def distance_matrix_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""WITH e AS (SELECT * FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, {_EUCLID} AS d,
-      list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs((x[1] - x[2])::DOUBLE))) AS m,
+      list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) AS m,
       1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS c
       FROM e a JOIN e b ON a.vec_id < b.vec_id) SELECT i, j, round(sqrt(d * d + m * m + c * c), 4) AS combined FROM p"""
 )
