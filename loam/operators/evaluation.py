@@ -28,8 +28,16 @@ def label_distribution(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("cnt"))
 
 
-def _entropy(p: Column) -> Column:
-    return -F.sum(p * F.log2(p))
+#: Pair counts grow with the square of the rows: beyond bigint, still exact.
+_EXACT = "decimal(38,0)"
+
+
+def _square(x: Column) -> Column:
+    return (x.cast("decimal(18,0)") * x.cast("decimal(18,0)")).cast(_EXACT)
+
+
+def _choose_two(x: Column) -> Column:
+    return ((_square(x) - x) / 2).cast(_EXACT)
 
 
 def partition_buckets(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -48,25 +56,25 @@ def parts(counts: DataFrame, by: tuple[str, ...] = (), buckets: str | None = Non
     by = list(by)
     c = F.col("cnt")
     clusters = counts.groupBy(*by, "cluster").agg(
-        F.sum("cnt").alias("size"), F.max("cnt").alias("top"), F.sum(c * (c - 1) / 2).cast("long").alias("tp"),
-        F.sum(c * F.log2(c)).alias("clog"), F.sum(c * c).alias("squares"),
+        F.sum("cnt").alias("size"), F.max("cnt").alias("top"), F.sum(_choose_two(c)).alias("tp"),
+        F.sum(c * F.log2(c)).alias("clog"), F.sum(_square(c)).alias("squares"),
         *([F.max(buckets).alias("buckets")] if buckets else []),
     )
     s = F.col("size")
     over_clusters = clusters.groupBy(*by).agg(
-        F.sum("size").alias("n"), F.sum("top").alias("top"), F.sum("tp").alias("tp"), F.sum(s * (s - 1) / 2).cast("long").alias("tp_fp"),
-        F.sum("clog").alias("clog"), F.sum(s * F.log2(s)).alias("slog"), F.sum("squares").alias("squares"), F.sum(s * s).alias("size_squares"),
+        F.sum("size").alias("n"), F.sum("top").alias("top"), F.sum("tp").alias("tp"), F.sum(_choose_two(s)).alias("tp_fp"),
+        F.sum("clog").alias("clog"), F.sum(s * F.log2(s)).alias("slog"), F.sum("squares").alias("squares"), F.sum(_square(s)).alias("size_squares"),
         F.count("*").alias("filled"), *([F.max("buckets").alias("buckets")] if buckets else []),
     )
     labels = counts.groupBy(*by, "label").agg(F.sum("cnt").alias("held"))
     h = F.col("held")
-    over_labels = labels.groupBy(*by).agg(F.sum(h * F.log2(h)).alias("llog"), F.sum(h * h).alias("label_squares"))
+    over_labels = labels.groupBy(*by).agg(F.sum(h * F.log2(h)).alias("llog"), F.sum(_square(h)).alias("label_squares"))
     both = over_clusters.join(over_labels, by) if by else over_clusters.crossJoin(over_labels)
     n = F.col("n")
     return both.select(
         *by, "n", "top", "tp", "tp_fp",
-        ((n * n - F.col("size_squares")) / 2).cast("long").alias("tn_fn"),
-        ((F.col("label_squares") - F.col("squares")) / 2).cast("long").alias("split"),
+        ((_square(n) - F.col("size_squares")) / 2).cast(_EXACT).alias("tn_fn"),
+        ((F.col("label_squares") - F.col("squares")) / 2).cast(_EXACT).alias("split"),
         (F.log2(n) - F.col("llog") / n).alias("h_label"),
         (F.log2(n) - F.col("slog") / n).alias("h_cluster"),
         ((F.col("slog") - F.col("clog")) / n).alias("h_label_in_cluster"),

@@ -105,7 +105,7 @@ def cluster_entropy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_COUNTS + "SELECT n::BIGINT AS n, tp::BIGINT AS tp, tp_fp::BIGINT AS tp_fp, tn_fn::BIGINT AS tn_fn, split::BIGINT AS split FROM s")
 def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.parts(evaluation.contingency(_assigned(spark, sf_dir))).select("n", "tp", "tp_fp", "tn_fn", "split")
+    return evaluation.parts(evaluation.contingency(_assigned(spark, sf_dir))).select("n", *(F.col(c).cast("long") for c in ("tp", "tp_fp", "tn_fn", "split")))
 
 
 @_query(
