@@ -329,3 +329,28 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) ->
             rest.join(again, id_col, "left_semi").dropDuplicates([id_col])
         )
     return rest.select(docs.columns)
+
+
+#: For shingles of two words and a Jaccard of 0.8, as the registered query has them.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
+), elements AS (
+  SELECT doc_id, unnest(s) AS e FROM sets
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM elements a JOIN elements b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * c >= 80 * (len(x.s) + len(y.s) - c)
+), ends AS (
+  SELECT a AS i, b AS j FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id AS root, doc_id AS node FROM sets
+  UNION SELECT r.root, n.j FROM reached r JOIN ends n ON n.i = r.node WHERE r.root < n.j
+), components AS (
+  SELECT node, min(root) AS component_id FROM reached GROUP BY node
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN components ON node = doc_id
+"""

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, mixing, pii, secrets, topk, warc
-from .neardup import near_duplicates
+from . import decontam, licenses, mixing, neardup, pii, secrets, topk, warc
 from .quality import score_quality
 from .shared import table
 from .toxicity import score_toxicity
@@ -38,7 +37,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": topk.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {"op3_top_k": topk.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op7_minhash_near_dedup": neardup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
