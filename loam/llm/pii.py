@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import narrow_input
+from .shared import narrow_input, small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
@@ -179,5 +179,6 @@ def _masked(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.Reco
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with all spans masked in the text; rows, columns and null texts stay."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     return docs.mapInArrow(lambda it: _masked(it, at), docs.schema)

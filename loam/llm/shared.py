@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from loam.storage import fresh_path, shared_dir, spool
 
-__all__ = ["BROADCAST_ROWS", "WORD", "drop_spooled", "fresh_path", "narrow_input", "shared_dir", "small", "spool", "table", "word_count"]
+__all__ = ["BROADCAST_ROWS", "WORD", "drop_spooled", "fresh_path", "narrow_input", "shared_dir", "small", "small_batches", "spool", "table", "word_count"]
 
 #: A side of at most this many (id) rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of an Arrow batch that a Python worker gets at a time.
+BATCH_ROWS = 1_000
+
 #: One word, as all word-based operators here define it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,8 +37,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch: with whole texts, the default fills a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def narrow_input(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under fixed names, so that other columns can't clash."""
+    small_batches(docs.sparkSession)
     return docs.select(*(docs[f"`{source}`"].alias(name) for name, source in columns.items()))
 
 
