@@ -34,7 +34,7 @@ from .shared import drop_spooled, narrow_input, small, spool
 from .textscan import PowerTable, shingle_sets
 
 SKETCH = 64
-#: Retained values in common that Jaccard 0.8 gives at least (binomial tail at 64 draws: 7e-10).
+#: Retained values in common that Jaccard 0.8 gives at least (binomial tail at 64 draws: 9e-10).
 SHARED = 30
 #: Listed values in common that a candidate from short lists needs.
 OVERLAP = 6
@@ -47,7 +47,7 @@ BLOCK = 256
 #: A component of so many members is compared as a whole, not list by list.
 LARGE = 64
 #: A union-sketch estimate this far below the threshold rules a pair out: under 30 of 64 at Jaccard 0.8, as for ``SHARED``.
-MARGIN = 0.8 - SHARED / SKETCH
+MARGIN = 0.8 - (SHARED - 0.5) / SKETCH
 
 
 def _marks(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
