@@ -42,9 +42,14 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def pairs(nodes: DataFrame, distances: dict[str, Callable[[Column, Column], Column]], id_col: str = "node_id", value_col: str = "value") -> DataFrame:
     """``(i, j, <name>...)`` for i < j. Quadratic by nature: for samples, not for whole corpora."""
-    a = nodes.select(F.col(id_col).alias("i"), F.col(value_col).alias("x"))
+    # A small table is one partition: without this, one task would make all pairs.
+    a = _spread(nodes.select(F.col(id_col).alias("i"), F.col(value_col).alias("x")))
     b = nodes.select(F.col(id_col).alias("j"), F.col(value_col).alias("y"))
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", *(f(F.col("x"), F.col("y")).alias(n) for n, f in sorted(distances.items())))
 
@@ -82,7 +87,7 @@ def fuzzy_pairs(hashed: DataFrame) -> DataFrame:
 
     Combined is null where one of its distances is.
     """
-    a = hashed.select(F.col("node_id").alias("i"), F.col("ssdeep").alias("sx"), F.col("tlsh").alias("tx"), F.col("third").alias("px"))
+    a = _spread(hashed).select(F.col("node_id").alias("i"), F.col("ssdeep").alias("sx"), F.col("tlsh").alias("tx"), F.col("third").alias("px"))
     b = hashed.select(F.col("node_id").alias("j"), F.col("ssdeep").alias("sy"), F.col("tlsh").alias("ty"), F.col("third").alias("py"))
     three = a.join(b, F.col("i") < F.col("j")).select(
         "i", "j",
