@@ -166,3 +166,13 @@ def test_alignment_equals_the_longest_common_subsequence():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert licenses.align(a, b, 0)[0] == table[-1][-1]
+
+
+def test_adjacent_notices_are_all_found():
+    notice = "Released under the MIT License."
+    for text, name, n in ((f"{notice} {notice}", "MIT", 2), ("All rights reserved. " * 9, "All-rights-reserved", 9), (f"{notice}\n" * 7, "MIT", 7)):
+        got = [g for g in scan(text) if g[0] == name]
+        assert len(got) == n and all(g[4] == 1.0 for g in got)
+        assert [text[g[1] : g[2]] for g in got] == [text[got[0][1] : got[0][2]]] * n
+    got = scan(f"Released under the X License. {notice} Released under an MIT License.")
+    assert [g[3] for g in got if g[0] == "MIT"] == [4, 5, 4]
