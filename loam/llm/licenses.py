@@ -17,6 +17,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from math import ceil
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ TEMPLATES = {
         "either express or implied."
     ),
     "MIT": "Released under the MIT License.",
-    "MIT-text": (
+    "MIT-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
@@ -56,12 +57,12 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "BSD-text": (
+    "BSD-conditions": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
         "conditions are met"
     ),
     "All-rights-reserved": "All rights reserved.",
-}
+} | {path.stem: path.read_text(encoding="utf-8") for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 _WORD = re.compile(r"[a-z0-9]+")
 _ANY_CASE = re.compile(r"[A-Za-z0-9]+")

@@ -168,6 +168,19 @@ def test_alignment_equals_the_longest_common_subsequence():
         assert licenses.align(a, b, 0)[0] == table[-1][-1]
 
 
+def test_whole_licenses_and_standard_headers():
+    whole = {name: text for name, text in licenses.TEMPLATES.items() if name.endswith(("-text", "-header"))}
+    assert {"GPL-2.0-text", "GPL-3.0-or-later-header", "AGPL-3.0-text", "LGPL-2.1-text", "MPL-2.0-text", "ISC-text", "Unlicense-text", "BSD-2-Clause-text"} <= set(whole)
+    for name, text in whole.items():
+        assert [g[3:] for g in scan(f"Some words before.\n{text}\nand behind") if g[0] == name] == [(len(licenses._WORD.findall(text.lower())), 1.0)], name
+    mit = whole["MIT-text"]
+    assert "MIT-text" not in [g[0] for g in scan(mit.split("\n\n")[0])]
+    changed = " ".join(w for k, w in enumerate(whole["GPL-2.0-text"].split()) if k % 400)
+    assert [g[0] for g in scan(changed) if g[0].endswith("-text")] == ["GPL-2.0-text"]
+    header = whole["GPL-2.0-or-later-header"].replace("program", "file")
+    assert [g[0] for g in scan(header)] == ["GPL-2.0-or-later-header"]
+
+
 def test_adjacent_notices_are_all_found():
     notice = "Released under the MIT License."
     for text, name, n in ((f"{notice} {notice}", "MIT", 2), ("All rights reserved. " * 9, "All-rights-reserved", 9), (f"{notice}\n" * 7, "MIT", 7)):
