@@ -1,9 +1,9 @@
 """Secrets in text: fixed patterns, and a linear-chain conditional random field.
 
 The field tags tokens as begin (B), inside (I) or outside (O) of a secret from token
-shape, neighbouring words and features of the whole text. B and I are admissible only
-for tokens of at least ``LEAST`` secret characters with a digit, so all other tokens
-are O, chains split exactly at them, and only runs of admissible tokens need decoding.
+shape, neighbouring words and features of the whole text. B and I are admissible for
+every token of at least ``LEAST`` secret characters, so only shorter tokens are always O,
+chains split exactly at them, and only runs of admissible tokens need decoding.
 It is trained here, by maximum likelihood, on lines made from templates under a fixed
 seed; no text of the corpus is needed for that.
 """
@@ -37,9 +37,8 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Least length of a token that can be part of a secret.
 LEAST = 8
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+|[^\sA-Za-z0-9+/_.-]")
-_DIGIT = re.compile(r"[0-9]")
-_RUN = re.compile(r"[A-Za-z0-9+/_.-]*")
-_RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
+_HEX_CHARS = frozenset("0123456789abcdef")
+_LONG = re.compile(rf"[A-Za-z0-9+/_.-]{{{LEAST},}}")
 #: Characters on each side of a chain that its features see.
 CONTEXT = 48
 #: Tokens before a token that its features see.
@@ -66,21 +65,35 @@ def _bucket(n: float, steps: tuple[float, ...]) -> int:
     return sum(n >= s for s in steps)
 
 
-def _shape(token: str) -> list[str]:
-    n = len(token)
+@lru_cache(maxsize=1 << 15)
+def _shape(
+    n: int, digits: int, upper: int, lower: int, turns: int, distinct: int, hexes: bool, rises: int, dots: bool, slash: bool, minus: bool
+) -> tuple[frozenset[int], str]:
+    """Slots of the features that follow from counts of a token's characters, and the part of joint features."""
+    marks = n - digits - upper - lower
+    kinds = f"{'d' * (digits > 0)}{'U' * (upper > 0)}{'l' * (lower > 0)}{'m' * (marks > 0)}"
+    case = -1 if digits else 1 + _bucket(rises / n, (0.1, 0.15, 0.2, 0.25)) if rises else 0
+    share = f"dig{_bucket(digits / n, (0.1, 0.3, 0.5, 0.7, 0.99))}"
+    names = [
+        "bias", f"len{_bucket(n, (12, 16, 20, 24, 32, 40, 64))}", f"kinds{kinds}", share,
+        f"turn{_bucket(turns, (2, 4, 6, 9))}", f"div{_bucket(distinct / n, (0.2, 0.4, 0.6, 0.8))}", f"marks{_bucket(marks, (1, 2, 3, 5))}",
+        f"hex{hexes}", f"{kinds}|len{_bucket(n, (12, 16, 24, 32))}|turn{_bucket(turns, (2, 4, 6))}",
+        f"dots{dots}|slash{slash}|minus{minus}", f"{kinds}|case{case}",
+    ]
+    return frozenset(map(_slot, names)), share
+
+
+def _own_slots(token: str) -> tuple[frozenset[int], str]:
+    n, kinds = len(token), set(token)
+    if token.isalpha() and (token.islower() or token[1:].islower()):
+        upper = int(not token.islower())
+        return _shape(n, 0, upper, n - upper, 0, len(kinds), kinds <= _HEX_CHARS, 0, False, False, False)
     digits = sum(c.isdigit() for c in token)
     upper = sum("A" <= c <= "Z" for c in token)
     lower = sum("a" <= c <= "z" for c in token)
-    marks = n - digits - upper - lower
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
-    distinct = len(set(token)) / n
-    kinds = f"{'d' * (digits > 0)}{'U' * (upper > 0)}{'l' * (lower > 0)}{'m' * (marks > 0)}"
-    return [
-        f"len{_bucket(n, (12, 16, 20, 24, 32, 40, 64))}", f"kinds{kinds}", f"dig{_bucket(digits / n, (0.1, 0.3, 0.5, 0.7, 0.99))}",
-        f"turn{_bucket(turns, (2, 4, 6, 9))}", f"div{_bucket(distinct, (0.2, 0.4, 0.6, 0.8))}", f"marks{_bucket(marks, (1, 2, 3, 5))}",
-        f"start{token[:4]}", f"hex{all(c in '0123456789abcdef' for c in token)}", f"{kinds}|len{_bucket(n, (12, 16, 24, 32))}|turn{_bucket(turns, (2, 4, 6))}",
-        f"dots{'.' in token}|slash{'/' in token}|minus{'-' in token}",
-    ]
+    rises = sum(a.islower() and b.isupper() for a, b in zip(token, token[1:], strict=False))
+    return _shape(n, digits, upper, lower, turns, len(kinds), kinds <= _HEX_CHARS, rises, "." in kinds, "/" in kinds, "-" in kinds)
 
 
 def _file_features(text: str) -> list[str]:
@@ -88,26 +101,46 @@ def _file_features(text: str) -> list[str]:
     return [f"code{_bucket(code, (1, 3, 5))}", f"lines{_bucket(text.count(chr(10)), (1, 10, 100))}"]
 
 
-def _features(token: str, before: list[str], after: list[str], document: list[str], place: int) -> np.ndarray:
-    names = ["bias", *_shape(token), *document, f"place{min(place, 3)}"]
-    words = [w.lower() for w in before if w[0].isalpha()][-3:]
-    names += [f"left{i}:{w}" for i, w in enumerate(reversed(before[-2:]))] + [f"word:{w}" for w in words]
-    names += [f"right:{after[0]}" if after else "right:"]
-    names += [f"word:{w}|{names[3]}" for w in words[-1:]]
-    return np.array(sorted({zlib.crc32(n.encode()) % _BUCKETS for n in names}))
+@lru_cache(maxsize=1 << 16)
+def _slot(name: str) -> int:
+    return zlib.crc32(name.encode()) % _BUCKETS
+
+
+@lru_cache(maxsize=1 << 16)
+def _word_slots(word: str) -> tuple[int, int, int, str]:
+    """Slots of a word as the last, the one before, and any of the last before a token; the word in lower case, or nothing."""
+    lower = word.lower()
+    return _slot(f"left0:{word}"), _slot(f"left1:{word}"), _slot(f"word:{lower}"), lower if word[0].isalpha() else ""
+
+
+def _slots(token: str, before: list[str], after: list[str], document: list[int], place: int) -> tuple[frozenset[int], set[int]]:
+    """Slots of the features of the token's shape, and of its start and surroundings."""
+    own, joint = _own_slots(token)
+    slots = {*document, _slot(f"start{token[:4]}"), _slot(f"place{min(place, 3)}"), _slot(f"right:{after[0]}" if after else "right:")}
+    words = 0
+    for i, w in enumerate(map(_word_slots, reversed(before))):
+        if i < 2:
+            slots.add(w[i])
+        if w[3]:
+            slots.add(w[2])
+            if not words:
+                slots.add(_slot(f"word:{w[3]}|{joint}"))
+            words += 1
+            if words == 3 and i:
+                break
+    return own, slots
+
+
+def _features(*seen) -> np.ndarray:
+    own, slots = _slots(*seen)
+    return np.array(sorted(own | slots))
 
 
 def _chains(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str], list[str]]]:
     """Runs of admissible tokens with nothing but white space between them, and the tokens around."""
     spans: list[tuple[int, int]] = []
-    at = 0
-    while (m := _DIGIT.search(text, at)) is not None:
-        a = m.start()
-        low = spans[-1][1] if spans else 0
-        while a > max(low, at) and text[a - 1] in _RUN_CHARS:
-            a -= 1
-        b = _RUN.match(text, m.start()).end()
-        at = b
+    for m in _LONG.finditer(text):
+        a, b = m.span()
         while b > a and text[b - 1] in ".-/":
             b -= 1
         if b - a >= LEAST:
@@ -118,22 +151,27 @@ def _chains(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str], list[
         while j < len(spans) and not text[spans[j - 1][1] : spans[j][0]].strip():
             j += 1
         a, b = spans[i][0], spans[j - 1][1]
-        yield spans[i:j], _TOKEN.findall(text[max(0, a - CONTEXT) : a]), _TOKEN.findall(text[b : b + CONTEXT])
+        yield spans[i:j], _TOKEN.findall(text, max(0, a - CONTEXT), a), [m[0]] if (m := _TOKEN.search(text, b, b + CONTEXT)) else []
         i = j
 
 
-def _encode(text: str) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray]]]:
+def _seen(text: str) -> Iterator[tuple[list[tuple[int, int]], list[tuple]]]:
+    """Chains, and what the features of each token are made from."""
     document = None
     for spans, before, after in _chains(text):
-        document = document or _file_features(text)
-        tokens = [text[a:b] for a, b in spans]
-        around = before + tokens + after
+        document = document or [*map(_slot, _file_features(text))]
+        around = before + [text[a:b] for a, b in spans] + after
         yield spans, [
-            _features(around[i], around[max(0, i - _BEHIND) : i], around[i + 1 : i + 2], document, i - len(before))
-            for i in range(len(before), len(before) + len(tokens))
+            (around[i], around[max(0, i - _BEHIND) : i], around[i + 1 : i + 2], document, i - len(before))
+            for i in range(len(before), len(before) + len(spans))
         ]
 
 
+def _encode(text: str) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray]]]:
+    for spans, seen in _seen(text):
+        yield spans, [_features(*s) for s in seen]
+
+
 class Field:
     """A linear chain over O, B, I with O outside the chain; I never follows O."""
 
@@ -141,12 +179,40 @@ class Field:
         self.emit = np.zeros((_BUCKETS, 3))
         self.step = np.zeros((3, 3))
         self.step[0, 2] = -1e4
+        self.rows: list[list[float]] | None = None
 
     def scores(self, features: list[np.ndarray]) -> np.ndarray:
         return np.array([self.emit[f].sum(axis=0) for f in features])
 
+    def label(self, text: str) -> Iterator[tuple[list[tuple[int, int]], list[int]]]:
+        """Chains and their best labels."""
+        if self.rows is None:
+            self.rows, self.owned = self.emit.tolist(), {}
+        rows, (into, out) = self.rows, (self.step[0].tolist(), self.step[:, 0].tolist())
+        for spans, seen in _seen(text):
+            emit = []
+            for s in seen:
+                own, slots = _slots(*s)
+                base = self.owned.get(own)
+                if base is None:
+                    base = tuple(map(sum, zip(*(rows[k] for k in own), strict=True)))
+                    if len(self.owned) < 1 << 16:
+                        self.owned[own] = base
+                o, b, i = base
+                for k in slots:
+                    if k not in own:
+                        x, y, z = rows[k]
+                        o, b, i = o + x, b + y, i + z
+                emit.append((o, b, i))
+            if len(emit) == 1:
+                yield spans, [int(emit[0][1] + into[1] + out[1] > emit[0][0] + into[0] + out[0])]
+            else:
+                yield spans, self.decode(np.array(emit))
+
     def viterbi(self, features: list[np.ndarray]) -> list[int]:
-        emit = self.scores(features)
+        return self.decode(self.scores(features))
+
+    def decode(self, emit: np.ndarray) -> list[int]:
         best, back = emit[0] + self.step[0], []
         for e in emit[1:]:
             through = best[:, None] + self.step
@@ -159,6 +225,7 @@ class Field:
 
     def learn(self, features: list[np.ndarray], labels: list[int], rate: float) -> None:
         """One gradient step on the log-likelihood, by forward-backward."""
+        self.rows = None
         emit = self.scores(features)
         n = len(emit)
         forward, backward = np.zeros((n, 3)), np.zeros((n, 3))
@@ -196,6 +263,14 @@ def _training_lines(seed: int = 7, lines: int = 1200) -> Iterator[tuple[str, lis
         lambda: pick("0123456789abcdef", rng.choice((24, 32, 40, 64))), lambda: "AKIA" + pick(upper + "234567", 16),
         lambda: "ghp_" + pick(letters + upper + "0123456789", 36), lambda: "sk-" + pick(letters + upper + "0123456789", 40),
         lambda: pick(letters + upper + "0123456789+/", rng.randint(20, 48)), lambda: pick(letters + upper + "0123456789", rng.randint(16, 40)),
+        lambda: pick(letters + upper, rng.randint(16, 40)),
+    ]
+    cap = lambda w: w[0].upper() + w[1:]
+    plain_words = [
+        lambda: pick(letters, rng.randint(8, 15)), lambda: cap(pick(letters, rng.randint(8, 18))), lambda: pick(letters, rng.randint(10, 24)),
+        lambda: pick(upper, rng.randint(8, 20)), lambda: "-".join(word() for _ in range(rng.randint(2, 4))) + "word", lambda: f"{word()}_{word()}_{word()}word",
+        lambda: word() + "".join(cap(pick(letters, rng.randint(4, 9))) for _ in range(rng.randint(1, 3))), lambda: "".join(cap(pick(letters, rng.randint(4, 9))) for _ in range(rng.randint(2, 4))),
+        lambda: f"{word()}.{word()}.com/{word()}", lambda: f"{word()}/{word()}/{word()}.html", lambda: f"{pick(upper, rng.randint(3, 9))}_{pick(upper, rng.randint(4, 9))}",
     ]
     plain = [
         lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: digits(16), lambda: f"{digits(3)}.{digits(2)}.{digits(3)}.{digits(2)}",
@@ -213,9 +288,14 @@ def _training_lines(seed: int = 7, lines: int = 1200) -> Iterator[tuple[str, lis
             for _ in range(1 + (rng.random() < 0.1)):
                 marked.append(len(parts))
                 parts.append(rng.choice(secrets)())
-        else:
+        elif rng.random() < 0.5:
             for _ in range(rng.randint(1, 2)):
                 parts.append(rng.choice(plain)())
+        else:
+            if rng.random() < 0.3:
+                parts += [rng.choice(leads), *rng.choice(([], [], ["is"], [":"]))]
+            for _ in range(rng.randint(1, 3)):
+                parts.append(rng.choice(plain_words)())
         parts += after
         text, spans = "", []
         for k, p in enumerate(parts):
@@ -247,8 +327,8 @@ def find_spans(text: str | None, emit: Field) -> list[tuple[str, int, int]]:
     text = text or ""
     base = base_spans(text)
     extra = []
-    for spans, features in _encode(text):
-        for (a, b), label in zip(spans, emit.viterbi(features), strict=True):
+    for spans, labels in emit.label(text):
+        for (a, b), label in zip(spans, labels, strict=True):
             if label == 2:
                 extra[-1] = ("crf", extra[-1][1], b)
             elif label == 1:

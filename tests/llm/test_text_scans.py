@@ -91,6 +91,19 @@ def test_field_finds_secrets_it_has_not_seen():
     assert found >= 0.9 * (found + missed) and wrong <= 0.05 * found
 
 
+def test_field_finds_secrets_without_digits():
+    import string
+
+    field, rng = secrets.trained_field(), random.Random(8)
+    assert secrets.find_spans("bearer QwErTyUiOpAsDfGhJkLz", field) == [("crf", 7, 27)]
+    found = [secrets.find_spans(f"with {lead} {''.join(rng.choices(string.ascii_letters, k=20))} set", field) for lead in ("bearer", "credential", "pwd", "uses") * 50]
+    assert sum(map(bool, found)) >= 180
+    prose = "Authorization of internationalization for McDonald and OpenStreetMap, README.md, getElementById, UNITED KINGDOM, Bundesverfassungsgericht"
+    assert secrets.find_spans(prose, field) == []
+    for text, _ in secrets._training_lines(seed=11, lines=100):
+        assert [y for _, y in field.label(text)] == [field.viterbi(x) for _, x in secrets._encode(text)]
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
