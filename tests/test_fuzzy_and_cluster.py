@@ -94,6 +94,20 @@ def test_sweep_and_csv(spark, tmp_path):
     assert back.columns == ["eps", "min_pts", "prurity", "nmi", "ri", "f5"] and back.count() == 6
 
 
+@pytest.mark.parametrize("rows_as_points", (False, True))
+def test_sweep_by_blocks_equals_one_matrix(spark, monkeypatch, rows_as_points):
+    m = matrix_of(5, 30).round(1)
+    pairs = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(30) for j in range(i + 1, 30)], "i long, j long, d double")
+    families = spark.range(30).select(F.col("id").alias("node_id"), (F.col("id") % 3).cast("string").alias("family"))
+    sweep = lambda: cluster.dbscan_grid(spark, pairs, families, ["d"], [0.3, 0.5, 1, 2], [2, 4, 50], rows_as_points).orderBy("min_pts", "eps").toPandas()
+    whole = sweep()
+    monkeypatch.setattr(cluster, "MOST_POINTS", 29)
+    monkeypatch.setattr(cluster, "BLOCK", 7 * 30)
+    blocks = sweep()
+    numbers = [c for c in whole.columns if c != "distance"]
+    assert len(whole) == 12 and np.allclose(whole[numbers].astype(float), blocks[numbers].astype(float), equal_nan=True)
+
+
 def test_distances(spark):
     rows = spark.createDataFrame([(1, [0.0, 3.0]), (2, [4.0, 0.0])], "node_id int, value array<double>")
     got = distance.pairs(rows, {"e": distance.euclidean, "m": distance.manhattan, "c": distance.cosine_distance}).first()
