@@ -9,23 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_spooled, spool
+from .shared import BROADCAST_ROWS, drop_spooled, even_join, spool
 
 
-def _star(directed: DataFrame) -> DataFrame:
-    """Link the ``v`` of every ``u`` to the least node near ``u``."""
+def _star(directed: DataFrame, edges: int) -> DataFrame:
+    """Link the ``v`` of every ``u`` to the least node near ``u``; ``edges`` bounds the rows."""
     least = directed.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return directed.join(least, "u")
+    if edges <= BROADCAST_ROWS:
+        return directed.join(F.broadcast(least), "u")
+    return even_join(directed, least, "u", by="v", wide=True)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return _star(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = _star(down)
+    near = _star(down, n)
     return (
         near.select(F.col("v").alias("u"), F.col("m").alias("v"))
         .unionByName(near.select("u", F.col("m").alias("v")))
@@ -42,12 +44,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = spool(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges"
     )
-    state = None
+    n, state = now.count(), None
     while True:
-        after = spool(_small_star(_large_star(now)), "edges")
+        large = _large_star(now, n)
+        if n > BROADCAST_ROWS:
+            large = spool(large, "edges")
+        after = spool(_small_star(large, n), "edges")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_spooled(now)
-        now = after
+        now, n = after, mark[0]
         if mark == state:
             break
         state = mark

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from loam.storage import fresh_path, shared_dir, spool
 
-__all__ = ["BROADCAST_ROWS", "WORD", "drop_spooled", "fresh_path", "narrow_input", "shared_dir", "small", "small_batches", "spool", "table", "word_count"]
+__all__ = ["BROADCAST_ROWS", "WORD", "drop_spooled", "even_join", "fresh_path", "narrow_input", "shared_dir", "small", "small_batches", "spool", "table", "word_count"]
 
 #: A side of at most this many (id) rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of one key that a task may get in a shuffled join.
+HOT = 1_024
+
 #: Rows of an Arrow batch that a Python worker gets at a time.
 BATCH_ROWS = 1_000
 
@@ -37,6 +40,28 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def even_join(rows: DataFrame, figures: DataFrame, key: str, by: str, how: str = "inner", wide: bool = False) -> DataFrame:
+    """``rows`` with the figures of their ``key``, without a task that gets all rows of a frequent key.
+
+    ``figures`` has a row or a few for each key. It is broadcast if a count shows that it is
+    small, unless its rows are ``wide``. Otherwise the join shuffles, and a key of more than
+    ``HOT`` rows is dealt over pieces by a hash of the column ``by``; its figures go to each.
+    """
+    if not wide and figures.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(figures), key, how)
+    hot = spool(
+        rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).where(F.col(key).isNotNull())
+        .select(key, F.ceil(F.col("_n") / HOT).alias("_pieces")),
+        "hot",
+    )
+    if hot.isEmpty():
+        return rows.join(figures, key, how)
+    hot = small(hot)
+    dealt = rows.join(hot, key, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(by), "_pieces"), F.lit(0))).drop("_pieces")
+    copied = figures.join(hot, key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    return dealt.join(copied, [key, "_piece"], how).drop("_piece")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch: with whole texts, the default fills a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
