@@ -9,7 +9,8 @@ are probed, from the greatest bound down, for those candidates only that are sti
 competitive. Shards give their k best per query, and these are merged.
 
 Shards and query blocks are bounded packages of rows; every block of queries meets
-every shard once.
+every shard once. The first shard is searched before the others, and each query's k-th
+best score there is the threshold that it begins with in all of them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import narrow_input
+from .shared import narrow_input, spool
 
 #: Candidates of a shard and queries of a block, on average.
 SHARD, BLOCK = 4096, 512
@@ -29,7 +30,7 @@ SCALE = 256
 
 
 class Shard:
-    """Postings by dimension; candidates are in the order of their ids."""
+    """Postings by dimension; candidates are in the order of their ids, and an id may have several."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
@@ -37,47 +38,74 @@ class Shard:
         self.columns = np.ascontiguousarray(vectors[order].T)
         self.low = np.minimum(self.columns.min(axis=1), 0)
         self.high = np.maximum(self.columns.max(axis=1), 0)
+        #: Whether a candidate is the first of its id: scores of these bound the k-th best id's from below.
+        self.first = np.append(True, self.ids[1:] != self.ids[:-1])
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best but ``own``; ties go to the smaller id."""
+    def search(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and scores of the k best ids but ``own``, with ties to the smaller id, and the postings that were read.
+
+        Ids whose score is below ``floor`` may be left out.
+        """
         bounds = np.maximum(query * self.low, query * self.high)
         terms = np.argsort(-bounds, kind="stable")
         terms = terms[query[terms] != 0]
         after = np.append(np.cumsum(bounds[terms][::-1])[::-1], 0)
         live = np.flatnonzero(self.ids != own)
-        if len(live) <= k:
-            return self.ids[live], query @ self.columns[:, live]
-        # A first threshold from a fixed handful of candidates, scored in full.
-        first = live[: 8 * k]
-        threshold = np.partition(query @ self.columns[:, first], -k)[-k]
+        firsts = live[self.first[live]]
+        if len(firsts) <= k:
+            return *self._best(live, query @ self.columns[:, live], k), len(terms) * len(live)
+        # A first threshold from a fixed handful of ids, scored in full.
+        some = firsts[: 8 * k]
+        threshold = max(floor, np.partition(query @ self.columns[:, some], -k)[-k])
         essential = int(np.searchsorted(-after, -threshold, side="right")) if threshold > 0 else len(terms)
         essential = min(max(essential, 1), len(terms)) if len(terms) else 0
         partial = query[terms[:essential]] @ self.columns[terms[:essential]]
-        partial = partial[live]
         # The best so far, scored in full, lift the threshold.
-        best = live[np.argpartition(-partial, k - 1)[:k]]
+        best = firsts[np.argpartition(-partial[firsts], k - 1)[:k]]
         threshold = max(threshold, (query @ self.columns[:, best]).min())
-        # Non-essential terms can still add after[essential] at most.
+        visited = len(terms) * (len(some) + k) + essential * len(live)
+        partial = partial[live]
+        # Non-essential terms can still add after[t] at most.
         for t in range(essential, len(terms) + 1):
             keep = partial + after[t] >= threshold
             if not keep.all():
                 live, partial = live[keep], partial[keep]
             if t == len(terms):
                 break
+            visited += len(live)
             partial = partial + query[terms[t]] * self.columns[terms[t], live]
-        if len(live) > k:
-            cut = np.partition(partial, -k)[-k]
-            keep = partial >= cut
-            live, partial = live[keep], partial[keep]
-        best = np.lexsort((self.ids[live], -partial))[:k]
-        return self.ids[live[best]], partial[best]
+        return *self._best(live, partial, k), visited
+
+    def _best(self, live: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best ids among candidates in order, each with its best score."""
+        if not len(live):
+            return self.ids[live], scores
+        ids = self.ids[live]
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        ids, scores = ids[starts], np.maximum.reduceat(scores, starts)
+        if len(ids) > k:
+            keep = scores >= np.partition(scores, -k)[-k]
+            ids, scores = ids[keep], scores[keep]
+        best = np.lexsort((ids, -scores))[:k]
+        return ids[best], scores[best]
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    return np.floor(SCALE * np.asarray(vectors, dtype=np.float64)).astype(np.int64)
 
 
-def _clean(vectors: list, dims: int | None = None) -> np.ndarray:
-    return np.floor(SCALE * np.asarray(vectors, dtype=np.float64)).astype(np.int64)
+def _narrow(vectors: np.ndarray) -> tuple[int, bytes]:
+    """The bytes that a component needs, and the vectors so packed."""
+    least, most = (int(vectors.min()), int(vectors.max())) if vectors.size else (0, 0)
+    width = next(w for w in (2, 4, 8) if -(1 << (8 * w - 1)) <= least and most < 1 << (8 * w - 1))
+    return width, vectors.astype(f"<i{width}").tobytes()
+
+
+def _wide(raw: bytes, width: int, dims: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{width}").reshape(-1, dims).astype(np.float64)
 
 
-def _packed(table: pa.Table, by_dimension: bool) -> pa.Table:
+def _packed(table: pa.Table) -> pa.Table:
     """Rows of one package as a row of bytes for each length of vector."""
     ids = table.column("vec_id").to_numpy()
     lists = table.column("embedding").combine_chunks()
@@ -87,41 +115,59 @@ def _packed(table: pa.Table, by_dimension: bool) -> pa.Table:
     out = []
     for dims in np.unique(lengths[lengths > 0]):
         rows = np.flatnonzero(lengths == dims)
-        vectors = _clean(flat[starts[rows][:, None] + np.arange(dims)])
+        vectors = _scaled(flat[starts[rows][:, None] + np.arange(dims)])
         # Repeated rows count once.
         _, keep = np.unique(np.column_stack([ids[rows], vectors]), axis=0, return_index=True)
         keep.sort()
-        out.append((int(dims), ids[rows][keep].tobytes(), vectors[keep].tobytes()))
+        out.append((int(dims), ids[rows][keep].tobytes(), *_narrow(vectors[keep])))
     package = table.column("package")[0].as_py()
     return pa.table(
         {"package": pa.array([package] * len(out), pa.int64()), "dims": pa.array([o[0] for o in out], pa.int32()),
-         "ids": pa.array([o[1] for o in out], pa.binary()), "vectors": pa.array([o[2] for o in out], pa.binary())}
+         "ids": pa.array([o[1] for o in out], pa.binary()), "width": pa.array([o[2] for o in out], pa.int32()),
+         "vectors": pa.array([o[3] for o in out], pa.binary())}
     )
 
 
 def _packages(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("package", F.expr(f"pmod(xxhash64(vec_id), {n})")).groupBy("package").applyInArrow(
-        lambda t: _packed(t, True), "package long, dims int, ids binary, vectors binary"
+        _packed, "package long, dims int, ids binary, width int, vectors binary"
     )
 
 
-def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    held: tuple[bytes, Shard] | None = None
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Shard, np.ndarray, np.ndarray, np.ndarray]]:
+    """Shards with the ids, vectors and thresholds of a block of queries; the last shard is held."""
+    held: tuple[bytes, bytes, Shard] | None = None
     for batch in batches:
-        for dims, ids, vectors, query_ids, queries in zip(*(batch.column(c) for c in range(5)), strict=True):
-            d, raw = dims.as_py(), ids.as_py()
-            if held is None or held[0] != raw:
-                held = raw, Shard(np.frombuffer(raw, np.int64), np.frombuffer(vectors.as_py(), np.int64).reshape(-1, d).astype(np.float64))
-            owners = np.frombuffer(query_ids.as_py(), np.int64)
-            found = [held[1].search(q, o, k) for o, q in zip(owners, np.frombuffer(queries.as_py(), np.int64).reshape(-1, d).astype(np.float64), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(owners, [len(f[0]) for f in found])),
-                    pa.array(np.concatenate([f[0] for f in found])),
-                    pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)),
-                ],
-                ["query_id", "vec_id", "score"],
-            )
+        for row in batch.to_pylist():
+            d = row["dims"]
+            if held is None or held[:2] != (row["ids"], row["vectors"]):
+                held = row["ids"], row["vectors"], Shard(np.frombuffer(row["ids"], np.int64), _wide(row["vectors"], row["width"], d))
+            owners = np.frombuffer(row["query_ids"], np.int64)
+            floors = np.full(len(owners), -np.inf) if row["floors"] is None else np.frombuffer(row["floors"])
+            yield held[2], owners, _wide(row["queries"], row["query_width"], d), floors
+
+
+def _floored(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Each query's k-th best score in a shard, or minus infinity where that has fewer ids."""
+    for shard, owners, queries, _ in _meetings(batches):
+        scores = [shard.search(q, o, k)[1] for o, q in zip(owners, queries, strict=True)]
+        floors = np.array([s[k - 1] if len(s) >= k else -np.inf for s in scores])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([queries.shape[1]], pa.int32()), pa.array([owners.tobytes()], pa.binary()), pa.array([floors.tobytes()], pa.binary())], ["dims", "query_ids", "floors"]
+        )
+
+
+def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for shard, owners, queries, floors in _meetings(batches):
+        found = [shard.search(q, o, k, f)[:2] for o, q, f in zip(owners, queries, floors, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(owners, [len(f[0]) for f in found])),
+                pa.array(np.concatenate([f[0] for f in found])),
+                pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)),
+            ],
+            ["query_id", "vec_id", "score"],
+        )
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -131,8 +177,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     long as it stays below 2**53. A query meets every row but those with its own id.
     Vectors that are null, empty or hold null, NaN or infinite components, and rows
     without an id, take no part; vectors of different lengths don't meet; rows that
-    repeat an id and vector count once, and of the scores that one id gives a query
-    the best counts. Ties go to the smaller id. Other columns are ignored.
+    repeat an id and vector count once, and of the scores that the vectors of one id
+    give a query the best counts. Ties go to the smaller id. Other columns are ignored;
+    an empty table gives no rows.
     """
     rows = (
         narrow_input(vectors, vec_id=id_col, embedding=vector_col)
@@ -143,12 +190,20 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     asked = rows.where(F.col("vec_id") % every == 0)
     n, m = rows.count(), asked.count()
     shards = max(1, -(-n // SHARD))
-    candidates = _packages(rows, shards)
-    blocks = _packages(asked, max(1, -(-m // BLOCK))).select(
-        "dims", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("package")
+    candidates = spool(_packages(rows, shards), "shards")
+    blocks = spool(
+        _packages(asked, max(1, -(-m // BLOCK))).select("dims", F.col("ids").alias("query_ids"), F.col("width").alias("query_width"), F.col("vectors").alias("queries")), "blocks"
     )
+    columns = ["dims", "ids", "width", "vectors", "query_ids", "query_width", "queries", "floors"]
+    if shards > 1:
+        first = candidates.where("package = 0").join(blocks.withColumn("floors", F.lit(None).cast("binary")), "dims").select(columns)
+        floors = first.mapInArrow(lambda it: _floored(it, k), "dims int, query_ids binary, floors binary")
+        blocks = blocks.join(floors, ["dims", "query_ids"], "left")
+    else:
+        blocks = blocks.withColumn("floors", F.lit(None).cast("binary"))
+    everywhere = blocks.withColumn("package", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     found = (
-        candidates.join(blocks, ["package", "dims"]).select("dims", "ids", "vectors", "query_ids", "queries")
+        candidates.join(everywhere, ["package", "dims"]).select(columns)
         .mapInArrow(lambda it: _searched(it, k), "query_id long, vec_id long, score long")
         .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     )

@@ -75,6 +75,68 @@ def test_components_equal_brute_force(spark, seed, size, monkeypatch):
         assert (got[i]["component_id"], got[i]["n_shingles"], got[i]["kept"]) == (c, n, c == i)
 
 
+def test_frequent_keys_and_large_tables_give_the_same(spark, monkeypatch):
+    from loam.llm import components, shared
+
+    rows = variants(3, groups=9, most=40)
+    want, _ = plain_components(rows, 2)
+    for module in (neardup, components, shared):
+        for name, value in (("BROADCAST_ROWS", 0), ("FREQUENT", 0), ("HOT", 3), ("SHORT_LIST", 4), ("LARGE", 8), ("BLOCK", 16)):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, value)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame([(0, i, t, "") for i, t in rows], DOCS), shingle=2).collect()}
+    assert [got[i] for i, _ in rows] == want
+
+
+def test_sketches_keep_all_pairs_at_the_threshold():
+    """Of a million pairs of Jaccard 0.8 or just above, all share what the filters ask for."""
+    rng = np.random.default_rng(0)
+    for n, m in ((64, 80), (80, 100), (88, 110), (96, 120), (102, 127), (103, 128)):
+        for _ in range(17):
+            hashes = rng.integers(0, 1 << 64, (10_000, m), np.uint64)
+            inner = np.sort(neardup.signed(hashes[:, :n]), axis=1)[:, :64]
+            outer = np.sort(neardup.signed(hashes), axis=1)[:, :64]
+            # A inside B: the union is B, so common values of the union's sketch are those of B's sketch in A.
+            member = np.zeros(outer.shape, bool)
+            for j in range(64):
+                member |= outer == inner[:, j : j + 1]
+            assert (member.sum(axis=1) >= neardup.NARROW.shared).all()
+
+
+def test_signed_order_is_unsigned_order():
+    hashes = np.array([0, 1, (1 << 63) - 1, 1 << 63, (1 << 64) - 1], np.uint64)
+    assert (np.diff(neardup.signed(hashes).astype(object)) > 0).all()
+
+
+def test_pairs_of_sets_just_longer_than_a_sketch_link(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(150):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(121)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:97]))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame([(0, i, t, "") for i, t in rows], DOCS), shingle=2).collect()}
+    assert all(got[i] == i // 2 * 2 for i, _ in rows)
+
+
+def test_a_repeated_id_is_one_set_for_each_text(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHORT_LIST", 4)
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join(words[:-1] + ["other"])
+    rows = [(5, " ".join(words))] * 1000 + [(6, near)] * 1000 + [(9, "q r s t")] * 3 + [(5, "q r s t")] + [(7, "alone in the world")] + [(5, "a b c d")]
+    df = spark.createDataFrame([(0, i, t, "") for i, t in rows], DOCS)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, shingle=2).collect()}
+    assert got == {(5, 99, 5, True), (6, 99, 5, False), (9, 3, 5, False), (5, 3, 5, True), (7, 3, 7, True)}
+    kept = sorted((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(df, shingle=2).collect())
+    assert kept == [(5, "a b c d"), (5, "q r s t"), (5, " ".join(words)), (7, "alone in the world")]
+
+
+def test_a_repeated_id_keeps_the_group_of_its_other_text(spark):
+    rows = [(1, "a b c d e f"), (5, "A b c d e f"), (5, "u v w x y z"), (8, "u v w  x y Z"), (None, "u v w x y z"), (4, ""), (4, None), (4, " ")]
+    df = spark.createDataFrame([(0, i, t, "") for i, t in rows], DOCS).withColumnRenamed("kept", "root")
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in neardup.drop_near_duplicates(df, shingle=2).collect())
+    assert [(i, t.strip()) for i, t in kept] == [(0, "u v w x y z"), (1, "a b c d e f"), (4, ""), (5, "u v w x y z")]
+
+
 def test_near_duplicate_edge_cases(spark):
     rows = [(5, None), (6, ""), (7, " \t"), (8, "One"), (9, "one"), (9, "one"), (None, "one"), (10, "ÉA b"), (11, "éa b"), (12, "a b " * 20_000), (13, "A  B " * 20_000)]
     got = neardup.near_duplicates(spark.createDataFrame([(0, i, t, "") for i, t in rows], DOCS), shingle=2).collect()
@@ -193,15 +255,41 @@ def test_top_k_equals_brute_force(spark, n, monkeypatch):
     assert {tuple(r) for r in topk.top_k(df).collect()} == plain_top(rows)
 
 
-def test_max_score_prunes():
+def test_ids_with_many_vectors_count_once(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 16)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in (50, 100, *range(1, 9)) for _ in range(1 if i == 50 else 12)]
+    rows += [(7, [3.0 + j / 100] * 8) for j in range(10)] + [(200 + i, [float(x) for x in rng.normal(size=8)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.top_k(df).collect()}
+    assert got == plain_top(rows) and sum(q == 50 for q, *_ in got) == 5
+
+
+@pytest.mark.parametrize("repeats", [1, 3])
+def test_max_score_prunes(repeats):
     rng = np.random.default_rng(1)
-    shard = topk.Shard(np.arange(2000), rng.integers(-50, 50, (2000, 32)).astype(float))
-    q = rng.integers(-50, 50, 32).astype(float)
-    ids, scores = shard.search(q, 7, 5)
-    full = q @ shard.columns
-    full[7] = -np.inf
-    order = np.lexsort((np.arange(2000), -full))[:5]
-    assert (ids == order).all() and (scores == full[order]).all()
+    n, scale = 2000, 50 / (1 + np.arange(32))
+    vectors = np.floor(rng.normal(size=(n, 32)) * scale * 8)
+    ids = np.arange(n) // repeats
+    shard = topk.Shard(ids, vectors)
+    q = np.floor(rng.normal(size=32) * scale * 8)
+    full = {}
+    for i, s in zip(ids.tolist(), vectors @ q, strict=True):
+        full[i] = max(s, full.get(i, s))
+    full.pop(7)
+    want = sorted(full.items(), key=lambda x: (-x[1], x[0]))[:5]
+    got, scores, visited = shard.search(q, 7, 5)
+    assert list(zip(got.tolist(), scores.tolist(), strict=True)) == want
+    assert visited < 0.5 * n * 32, "most postings of non-essential terms are skipped"
+    got, scores, fewer = shard.search(q, 7, 5, floor=want[-1][1])
+    assert list(zip(got.tolist(), scores.tolist(), strict=True)) == want and fewer <= visited
+    assert len(shard.search(q, 7, 5, floor=want[0][1] + 1)[0]) == 0
+
+
+def test_components_of_vectors_are_packed_by_their_range():
+    for values, width in (([-32768, 32767], 2), ([40_000, 0], 4), ([1 << 40, 0], 8)):
+        w, raw = topk._narrow(np.array([values]))
+        assert w == width and topk._wide(raw, w, 2).tolist() == [values]
 
 
 PAGES = "page_id long, url string, html string, digest string"
