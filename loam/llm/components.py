@@ -1,16 +1,46 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Every round is a few shuffled aggregations and joins over the edges; nothing is
-gathered on the driver but a count and a checksum. (Kiveris et al. 2014.)
+gathered on the driver but a count and a checksum. (Kiveris et al. 2014.) A count that
+shows ``ONE_TASK`` edges at most makes one task of it, with the same results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_ROWS, drop_spooled, even_join, spool
 
+#: Edges (16 bytes each) that one task may unite.
+ONE_TASK = 1_000_000
+
+
+def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges in order, and the least node that each is linked to."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    one, two = ends[: len(u)], ends[len(u) :]
+    parent = np.arange(len(nodes))
+    while len(one):
+        a, b = parent[one], parent[two]
+        apart = a != b
+        one, two, a, b = one[apart], two[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return nodes, nodes[parent]
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [[c.to_numpy() for c in batch.columns[:2]] for batch in batches]
+    none = np.zeros(0, np.int64)
+    nodes, components = united(*(np.concatenate([none, *(e[k] for e in ends)]) for k in (0, 1)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(components)], ["node", "component"])
+
 
 def _star(directed: DataFrame, edges: int) -> DataFrame:
     """Link the ``v`` of every ``u`` to the least node near ``u``; ``edges`` bounds the rows."""
@@ -42,9 +72,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Edges with a null end and self-loops are ignored. No edges give no rows.
     """
     now = spool(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges"
+        edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct(), "edges"
     )
     n, state = now.count(), None
+    if n <= ONE_TASK:
+        return now.coalesce(1).mapInArrow(_united, "node long, component long")
     while True:
         large = _large_star(now, n)
         if n > BROADCAST_ROWS:

@@ -28,12 +28,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField
 
 from .components import connected_components
-from .shared import drop_spooled, even_join, narrow_input, small, spool
+from .shared import drop_spooled, even_join, map_rows, narrow_input, small, spool
 from .textscan import PowerTable, shingle_sets
 
 
@@ -47,6 +47,8 @@ class Level(NamedTuple):
 NARROW, WIDE = Level(64, 30), Level(512, 352)
 #: Listed values in common that a candidate from short lists needs.
 OVERLAP = 6
+#: Counts of frequent values that may go to the workers.
+FREQUENT = 1 << 18
 #: Longer lists don't emit pairs.
 SHORT_LIST = 32
 #: Members of a block in the block-wise comparison, on average.
@@ -102,10 +104,39 @@ def _shared(held: Column, level: Level) -> Column:
     return F.least(F.lit(level.shared), F.ceil(held * 4 / 5))
 
 
+def _ranked(batches: Iterator[pa.RecordBatch], level: Level, values: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(2)
+        sketch = lists.flatten().to_numpy(zero_copy_only=False)
+        lengths = np.diff(lists.offsets.to_numpy())
+        rows = np.repeat(np.arange(len(lists)), lengths)
+        at = np.minimum(np.searchsorted(values, sketch), max(len(values) - 1, 0))
+        often = np.where(values[at] == sketch, counts[at], 0) if len(values) else np.zeros(len(sketch), np.int64)
+        order = np.lexsort((sketch, often, rows))
+        place = np.arange(len(sketch)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        shared = np.minimum(-(-4 * lengths // 5), level.shared)
+        take = place < (lengths - shared + np.minimum(OVERLAP, shared))[rows]
+        near = place < (lengths - shared + 1)[rows]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sketch[order][take]), batch.column(0).take(pa.array(rows[take])), batch.column(1).take(pa.array(rows[take])), pa.array(near[take])],
+            ["value", "node", "n", "near"],
+        )
+
+
 def _listed(classes: DataFrame, level: Level) -> DataFrame:
-    """``(value, node, n, near)``: the rarest sketch values of each class; ``near`` marks those that one common value would do for."""
+    """``(value, node, n, near)``: the rarest sketch values of each class; ``near`` marks those that one common value would do for.
+
+    Counts of values on more than ``SHORT_LIST`` sketches give the order. They go to the
+    workers if there are ``FREQUENT`` at most, and through joins beyond.
+    """
     values = classes.select("node", "n", F.explode("sketch").alias("value"))
     often = spool(values.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > SHORT_LIST), "often")
+    if often.limit(FREQUENT + 1).count() <= FREQUENT:
+        found = often.toPandas().sort_values("value")
+        held, counts = found["value"].to_numpy(np.int64), found["m"].to_numpy(np.int64)
+        return classes.select("node", "n", "sketch").mapInArrow(
+            lambda it: _ranked(it, level, held, counts), "value long, node long, n long, near boolean"
+        )
     ranked = (
         even_join(values, often, "value", by="node", how="left").groupBy("node", "n")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "value"))).alias("ranked"))
@@ -121,26 +152,27 @@ def _listed(classes: DataFrame, level: Level) -> DataFrame:
 def _candidates(classes: DataFrame, level: Level, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Pairs ``(a, b)`` from short lists and with the first members of long ones; long lists ``(value, node, n)``."""
     listed = spool(_listed(classes, level), "listed")
-    long = spool(listed.groupBy("value").agg(F.count("*").alias("m"), F.min(F.when(F.col("near"), F.struct("node", "n"))).alias("pivot")).where(F.col("m") > SHORT_LIST), "long")
-    marked = even_join(listed, long.withColumnRenamed("pivot", "first"), "value", by="node", how="left")
-    long_lists = spool(marked.where("m is not null"), "long-lists")
+    long = spool(listed.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > SHORT_LIST).select("value"), "long")
+    long_lists = spool(even_join(listed, long, "value", by="node"), "long-lists")
+    members = F.count("*").over(Window.partitionBy("value"))
+    short = spool(listed.join(small(long), "value", "left_anti").withColumn("m", members).where("m > 1").select("value", "node", "n"), "short")
+    drop_spooled(listed)
 
     # Values in common that long lists may hold count towards the overlap.
     elsewhere = spool(long_lists.groupBy("node").agg(F.count("*").alias("long")), "elsewhere")
     need = F.greatest(F.lit(1), F.least(F.lit(OVERLAP), _shared(F.least("n", F.lit(level.size)), level)) - F.coalesce("long", F.lit(0)))
-    short = marked.where("m is null").join(small(elsewhere), "node", "left").select("value", F.struct("node", "n", need.alias("need")).alias("x"))
-    together = short.groupBy("value").agg(F.sort_array(F.collect_list("x")).alias("xs")).where("size(xs) > 1")
+    short = short.join(small(elsewhere), "node", "left").withColumn("need", need)
+    one = short.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("need").alias("need_a"))
+    two = short.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("need").alias("need_b"))
     pairs = (
-        together.select("xs", F.posexplode("xs").alias("place", "x"))
-        .select("x", F.explode(F.slice("xs", F.col("place") + 2, F.size("xs"))).alias("y"))
-        .where(_sizes_allow(F.col("x.n"), F.col("y.n"), threshold))
-        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .agg(F.count("*").alias("overlap"), F.min(F.least("x.need", "y.need")).alias("need"))
+        one.join(two, "value").where((F.col("a") < F.col("b")) & _sizes_allow(F.col("na"), F.col("nb"), threshold))
+        .groupBy("a", "b").agg(F.count("*").alias("overlap"), F.min(F.least("need_a", "need_b")).alias("need"))
         .where("overlap >= need")
     )
-    near = long_lists.where("near")
-    stars = near.where((F.col("first.node") < F.col("node")) & _sizes_allow(F.col("first.n"), F.col("n"), threshold)).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-    return pairs.select("a", "b").unionByName(stars.distinct()).distinct(), near.select("value", "node", "n")
+    near = long_lists.where("near").select("value", "node", "n")
+    pivots = near.groupBy("value").agg(F.min("node").alias("a"))
+    stars = even_join(near, spool(pivots, "pivots"), "value", by="node").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    return pairs.select("a", "b").unionByName(stars).distinct(), near
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, level: Level, threshold: tuple[int, int]) -> DataFrame:
@@ -148,13 +180,13 @@ def _estimated(pairs: DataFrame, classes: DataFrame, level: Level, threshold: tu
 
     The margin is that of ``Level.shared``: under 30 of 64, or 352 of 512, common values of the union's sketch rule a pair out.
     """
-    left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
-    right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+    left = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    right = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, level.size)
     common = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
     margin = 0.8 - (level.shared - 0.5) / level.size
     return (
-        even_join(pairs, left, "a", by="b", wide=True).join(right, "b")
+        even_join(pairs, left, "a", by="b", wide=True).join(right, "b").where(_sizes_allow(F.col("na"), F.col("nb"), threshold))
         .where(common >= (threshold[0] / threshold[1] - margin) * F.size(union)).select("a", "b")
     )
 
@@ -184,11 +216,9 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
 
 def _mixed(long_lists: DataFrame, components: DataFrame) -> DataFrame:
     """``(value, node, n, component)`` of the long lists whose members are in several components."""
-    members = spool(_placed(long_lists, components, "node", "component", "value"), "members")
+    members = _placed(long_lists, components, "node", "component", "value")
     mixed = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    found = spool(even_join(members, spool(mixed, "mixed"), "value", by="node"), "active")
-    drop_spooled(members)
-    return found
+    return spool(even_join(members, spool(mixed, "mixed"), "value", by="node"), "active")
 
 
 def _dealt(active: DataFrame) -> DataFrame:
@@ -311,6 +341,12 @@ def _nodes(marks: DataFrame) -> DataFrame:
     return spool(told.withColumn("node", F.coalesce("node", F.lit(above + 1) + F.monotonically_increasing_id())).drop("first"), "classes")
 
 
+def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components once further links are there."""
+    stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return spool(connected_components(stars.unionByName(links)), "components")
+
+
 def _linked(source: DataFrame, marks: DataFrame, shingle: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """The classes, and ``(node, component)`` of those with links; components are named by their least node."""
     classes = _nodes(marks)
@@ -328,19 +364,16 @@ def _linked(source: DataFrame, marks: DataFrame, shingle: int, threshold: tuple[
         # An id that stands on several rows with one text gives one set.
         sets = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
     sets = spool(sets, "sets")
-    links = spool(_verified(pairs, sets, threshold), "links")
-    components = spool(connected_components(links), "components")
+    components = spool(connected_components(_verified(pairs, sets, threshold)), "components")
     active = _mixed(long_lists, components)
     if not active.isEmpty():
         wide = spool(sets.join(small(active.select("node").distinct()), "node", "left_semi").select("node", "n", F.slice("elements", 1, WIDE.size).alias("sketch")), "wide")
         again, rest = _candidates(wide, WIDE, threshold)
         again = spool(_estimated(_apart(again, components), wide, WIDE, threshold), "pairs")
-        links = links.unionByName(spool(_verified(again, sets, threshold), "links"))
-        components = spool(connected_components(links), "components")
+        components = _joined(components, _verified(again, sets, threshold))
         active = _mixed(rest, components)
         if not active.isEmpty():
-            links = links.unionByName(spool(_across_components(active, wide, sets, threshold), "links"))
-            components = spool(connected_components(links), "components")
+            components = _joined(components, _across_components(active, wide, sets, threshold))
     drop_spooled(sets)
     return classes, components
 
@@ -363,7 +396,7 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, shingle: int, thresho
     homes = spool(homes.select("digest", "root", "component"), "homes")
     told = marks.where("n > 0 and doc_id is not null").select("doc_id", "n", "digest")
     rest = marks.where("n = 0 or doc_id is null").select("doc_id", "n", "digest", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component"))
-    return even_join(told, homes, "digest", by="doc_id").select(rest.columns).unionByName(rest)
+    return even_join(told, homes, "digest", by="doc_id", limit=100_000).select(rest.columns).unionByName(rest)
 
 
 _KEPT = "coalesce(doc_id = component, true)"
@@ -410,26 +443,21 @@ def drop_near_duplicates(
     """
     found = spool(_resolved(docs, id_col, text_col, shingle, threshold).withColumn("kept", F.expr(_KEPT)), "near")
     by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("some"))
-    gone = by_id.where("not some").select(F.col("doc_id").alias("_id"))
-    same_id = docs[f"`{id_col}`"].cast("long") == F.col("_id")
-    rest = docs.join(small(spool(gone, "gone")), same_id, "left_anti")
-    repeated = spool(by_id.where("some and rows > 1").select(F.col("doc_id").alias("_id")), "repeated")
+    without = lambda df, ids, how="left_anti": df.join(ids, df[f"`{id_col}`"].cast("long") == ids["doc_id"], how)
+    rest = without(docs, small(spool(by_id.where("not some").select("doc_id"), "gone")))
+    repeated = spool(by_id.where("some and rows > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return rest.select([F.col(f"`{c}`") for c in docs.columns])
-    stay = spool(
-        found.where("kept and doc_id is not null").join(small(repeated), F.col("doc_id") == F.col("_id"), "left_semi")
-        .groupBy(F.col("doc_id").alias("_id"), "root").agg(F.min("digest").alias("_own")).select("_id", "_own"),
+        return rest
+    again = small(repeated)
+    stay = small(spool(
+        found.where("kept and doc_id is not null").join(again, "doc_id", "left_semi").groupBy("doc_id", "root").agg(F.min("digest").alias("digest")).select("doc_id", "digest"),
         "stay",
-    )
+    ))
     at = docs.columns.index(text_col)
-    several = docs.join(small(repeated), same_id, "left_semi").mapInArrow(
-        lambda it: _with_digest(it, at, shingle), StructType([*docs.schema.fields, StructField(DIGEST, BinaryType())])
-    )
-    one = several.dropDuplicates([id_col, DIGEST]).join(
-        small(stay), (F.col(f"`{DIGEST}`") == F.col("_own")) & (F.col(f"`{id_col}`").cast("long") == F.col("_id")), "left_semi"
-    )
-    whole = rest.join(small(repeated), same_id, "left_anti")
-    return whole.select([F.col(f"`{c}`") for c in docs.columns]).unionByName(one.select([F.col(f"`{c}`") for c in docs.columns]))
+    several = map_rows(without(docs, again, "left_semi"), lambda it: _with_digest(it, at, shingle), StructField(DIGEST, BinaryType()))
+    one = several.dropDuplicates([id_col, DIGEST])
+    one = one.join(stay, (one[f"`{DIGEST}`"] == stay["digest"]) & (one[f"`{id_col}`"].cast("long") == stay["doc_id"]), "left_semi")
+    return without(rest, again).unionByName(one.drop(F.col(f"`{DIGEST}`")))
 
 
 #: For shingles of two words and a Jaccard of 0.8, as the registered query has them.
