@@ -7,24 +7,28 @@ Around each hit, Myers' bit-parallel algorithm verifies that the whole item occu
 within its error budget.
 
 Texts and items are compared lower-cased, with every run of white space as one blank.
+Items too short for an edit are found as whole words only.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import narrow_input, small, spool
+from .shared import map_rows, narrow_input, spool
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 16
 #: Characters of items in one automaton; more items take further passes over the texts.
-CHARS_PER_PASS = 8_000_000
+CHARS_PER_PASS = 2_000_000
+#: Items of fewer characters say too little to drop a document for.
+LEAST_LEAK = 32
 
 
 def normal(text: str) -> str:
@@ -87,8 +91,8 @@ class Matcher:
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
 
-    def find(self, text: str | None) -> list[tuple[int, int]]:
-        """``(item_id, distance)`` of every item that occurs, with its least distance, by item."""
+    def find(self, text: str | None, first: bool = False) -> list[tuple[int, int]]:
+        """``(item_id, distance)`` of every item that occurs, with its least distance, by item; of one item that occurs if only the ``first`` is asked for."""
         text = normal(text or "")
         if not text or not self.items:
             return []
@@ -100,6 +104,10 @@ class Matcher:
         for k, starts in places.items():
             item_id, item = self.items[k]
             errors, size = self.errors[k], len(item)
+            if not errors:
+                if any(_whole(text, at, at + size) for at in starts):
+                    found[item_id] = 0
+                continue
             pattern = self.masks.get(k) or self.masks.setdefault(k, masks(item))
             starts.sort()
             best, covered = errors + 1, -1
@@ -116,9 +124,18 @@ class Matcher:
                 i += 1
             if best <= errors:
                 found[item_id] = min(best, found.get(item_id, best))
+                if first:
+                    break
         return sorted(found.items())
 
 
+def _whole(text: str, start: int, end: int) -> bool:
+    """Whether no word runs on over either end."""
+    before = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    after = end < len(text) and text[end - 1].isalnum() and text[end].isalnum()
+    return not before and not after
+
+
 def _hits(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], chars_per_edit: int) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(items, chars_per_edit)
     for batch in batches:
@@ -133,6 +150,12 @@ def _hits(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], chars
         )
 
 
+def _clean(batches: Iterator[pa.RecordBatch], text_at: int, items: list[tuple[int, str]], chars_per_edit: int) -> Iterator[pa.RecordBatch]:
+    matcher = Matcher(items, chars_per_edit)
+    for batch in batches:
+        yield batch.filter(pa.array([not matcher.find(t.as_py(), first=True) for t in batch.column(text_at)], pa.bool_()))
+
+
 def _passes(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
     """Items in lists of at most ``limit`` characters (or of one longer item), streamed through the driver."""
     part, chars = [], 0
@@ -146,30 +169,54 @@ def _passes(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
         yield part
 
 
+def _tests(items: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return (
+        narrow_input(items, item_id=item_col, text=item_text_col)
+        .where("item_id is not null and text is not null").withColumn("item_id", F.col("item_id").cast("long")).distinct()
+    )
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT,
 ) -> DataFrame:
     """``(doc_id, item_id, distance)`` of every item that occurs in a document within its budget.
 
-    The budget is one edit per ``chars_per_edit`` characters of the normalised item.
-    Null or empty texts and items match nothing; repeated rows of a document or of an
-    item count once; documents or items without an id take no part; other columns are
-    ignored; if either table is empty, there are no rows.
+    The budget is one edit per ``chars_per_edit`` characters of the normalised item; an
+    item too short for an edit occurs where it stands as whole words. Very long texts
+    are searched whole. Null or empty texts and items match nothing; repeated rows of a
+    document or of an item count once, and of several texts of an item the least distance;
+    documents or items without an id take no part; other columns are ignored; if either
+    table is empty, there are no rows. Items are held by the pass: ``CHARS_PER_PASS``
+    characters at a time are on the driver and in the workers.
     """
     source = narrow_input(docs, doc_id=id_col, text=text_col).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    tests = (
-        narrow_input(items, item_id=item_col, text=item_text_col)
-        .where("item_id is not null and text is not null").withColumn("item_id", F.col("item_id").cast("long")).distinct()
-    )
     schema = "doc_id long, item_id long, distance int"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for part in _passes(tests, CHARS_PER_PASS):
-        out = out.unionByName(source.mapInArrow(lambda it, part=part: _hits(it, part, chars_per_edit), schema))
-    return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
-
+    found: list[DataFrame] = []
+    held: list[tuple[int, str]] | None = None
+    for part in _passes(_tests(items, item_col, item_text_col), CHARS_PER_PASS):
+        if held is not None:
+            found.append(spool(source.mapInArrow(lambda it, part=held: _hits(it, part, chars_per_edit), schema), "hits"))
+        held = part
+    if held is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    last = source.mapInArrow(lambda it: _hits(it, held, chars_per_edit), schema)
+    return reduce(DataFrame.unionByName, [*found, last]).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    chars_per_edit: int = CHARS_PER_EDIT, least: int = LEAST_LEAK,
+) -> DataFrame:
+    """``docs`` without the rows in whose text an item of ``least`` characters or more occurs within its budget.
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without documents in which an item occurs; rows without an id stay."""
-    hits = spool(contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct(), "hits")
-    return docs.join(small(hits), id_col, "left_anti").select(docs.columns)
+    Each row follows its own text, with or without an id, repeated or not; null and empty
+    texts stay; columns stay, whatever their names.
+    """
+    tests = _tests(items, item_col, item_text_col).where(F.length(F.trim("text")) >= least)
+    at, held = docs.columns.index(text_col), None
+    for part in _passes(tests, CHARS_PER_PASS):
+        if held is not None:
+            docs = spool(map_rows(docs, lambda it, part=held: _clean(it, at, part, chars_per_edit)), "clean")
+        held = [(i, t) for i, t in part if len(normal(t)) >= least]
+    return docs if held is None else map_rows(docs, lambda it: _clean(it, at, held, chars_per_edit))

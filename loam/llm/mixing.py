@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small, word_count
+from .shared import small, spool, word_count
 
 #: Weights of the sources in order, repeated.
 WEIGHTS = (3, 1, 2)
@@ -74,24 +74,37 @@ def schedule_inverse(share: Column, drift: Column) -> Column:
     return F.when(share <= 0, 0.0).when(drift == 0, share).otherwise(2 * share / (b + root))
 
 
-def _demands(docs: DataFrame, id_col: str, text_col: str, source_col: str, *carry: Column) -> DataFrame:
-    """Rows with their size, their source's figures and the words demanded before them, in passes of their source."""
-    sized = docs.select(
-        docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"), *carry
+def _order_key(id_col: Column, text: Column) -> Column:
+    """The place of a document in its source's order: a digest of its id, or of its text where it has none."""
+    return F.md5(F.coalesce(id_col.cast("long").cast("string"), text, F.lit("")).cast("binary"))
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``(doc_id, source, size, key)``, written once, so that the texts are read once for all that follows from sizes."""
+    text, name = docs[f"`{text_col}`"], docs[f"`{id_col}`"]
+    return spool(
+        docs.select(name.cast("long").alias("doc_id"), docs[f"`{source_col}`"].cast("string").alias("source"), word_count(text).alias("size"), _order_key(name, text).alias("key")),
+        "sizes",
     )
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    keyed = sized.withColumn("key", order).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+
+
+def _demands(sized: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with their source's figures and the words demanded before them, in passes of their source.
+
+    ``sized`` and ``rows`` have ``(doc_id, source, size, key)`` of the same documents.
+    """
+    in_bucket = F.substring("key", 1, BUCKET_DIGITS)
     # Prefix sums in two levels, so that no source has to pass through one task.
-    totals = sized.select("source", "size")
-    buckets = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    buckets = spool(sized.groupBy("source", in_bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size")), "buckets")
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(up_to), F.lit(0)).alias("offset"))
-    figures = offsets.join(source_targets(totals).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    figures = figures.withColumnsRenamed({"source": "s", "bucket": "b"})
+    targets = source_targets(buckets.select("source", F.col("bucket_size").alias("size")))
+    figures = offsets.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    figures = spool(figures.withColumnsRenamed({"source": "s", "bucket": "b"}), "figures")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        keyed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(figures, (F.col("bucket") == F.col("b")) & F.col("source").eqNullSafe(F.col("s")))
+        rows.withColumn("bucket", in_bucket).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        .join(small(figures), (F.col("bucket") == F.col("b")) & F.col("source").eqNullSafe(F.col("s")))
         .withColumn("before", F.col("offset") + F.col("within")).drop("s", "b", "key", "bucket", "within", "offset")
         .withColumn("words", F.round("target").cast("long"))
     )
@@ -110,11 +123,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``(doc_id, size, source_size, target, taken, position)``, a row per row, sorted by position.
 
     The size is the number of words, 0 for a null text; a null source is a source and
-    comes last; null ids order as the empty string; rows that agree in id and size are
-    taken in any order; documents that the mix doesn't take have a null position and
-    come last. Other columns are ignored; an empty table gives no rows.
+    comes last; rows without an id order by their text; rows that agree in id (or text
+    without one) and size are taken in any order; very long texts count whole; documents
+    that the mix doesn't take have a null position and come last. Other columns are
+    ignored; an empty table gives no rows.
     """
-    rows = _demands(docs, id_col, text_col, source_col)
+    sized = _sizes(docs, id_col, text_col, source_col)
+    rows = _demands(sized, sized)
     passes = [_taken(F.col("before") + i * F.col("source_size")) for i in range(PASSES)]
     taken = sum(passes[1:], passes[0])
     return rows.select(
@@ -130,8 +145,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by position.
     """
     own = ("mix_pass", "mix_taken", "mix_position")
+    name, text = docs[f"`{id_col}`"], docs[f"`{text_col}`"]
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c.lower() not in own)).alias("row")
-    rows = _demands(docs, id_col, text_col, source_col, whole)
+    held = docs.select(
+        name.cast("long").alias("doc_id"), docs[f"`{source_col}`"].cast("string").alias("source"), word_count(text).alias("size"), _order_key(name, text).alias("key"), whole
+    )
+    rows = _demands(_sizes(docs, id_col, text_col, source_col), held)
     passes = rows.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
     before = F.col("before") + F.col("mix_pass") * F.col("source_size")
     return (
@@ -142,7 +161,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 ORACLE_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, text, '')) AS key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), sums AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
@@ -170,7 +189,7 @@ WITH sized AS (
   FROM free
 ), ordered AS (
   SELECT doc_id, size, source, coalesce(sum(size) OVER (
-    PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM sized
 ), taken AS (
   SELECT doc_id, size, source_size::BIGINT AS source_size, target, drift, before,

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import narrow_input, small_batches
+from .shared import map_rows, narrow_input
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
@@ -34,7 +34,17 @@ _EMAIL_HERE = re.compile(rf"[{_LOCAL}]++{_DOMAIN}")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# Lengths of IBANs by country, from the public registry.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15,
+    "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_REST = {n: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in sorted(set(IBAN_LENGTHS.values()))}
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 
 _ANY_DIGIT = re.compile(r"[0-9]")
@@ -109,9 +119,11 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
             if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 yield "phone", *m.span()
     for m in _IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            yield "iban", *m.span()
+        # A country's IBANs have one length, so a word behind it is no part of it.
+        n = IBAN_LENGTHS.get(m[0][:2])
+        rest = n and _IBAN_REST[n].match(text, m.end())
+        if rest and mod97((m[0] + rest[0]).replace(" ", "")):
+            yield "iban", m.start(), rest.end()
     for m in _SSN.finditer(text):
         if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             yield "ssn", *m.span()
@@ -157,15 +169,17 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts, a digest of the base spans and a list of all spans, per row of ``detect``."""
+    """Counts, a digest of the base spans, a list of all spans and one of their scores, per row of ``detect``."""
     as_text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     of_kind = lambda *kinds: lambda s: s["kind"].isin(*kinds)
     base = F.filter("spans", of_kind(*BASE_KINDS))
+    scores = F.transform("spans", lambda s: F.format_number(s["score"], 2))
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS),
+        *(F.size(F.filter("spans", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(F.array_join(F.transform(base, as_text), ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", as_text), ",").alias("spans"),
+        F.array_join(scores, ",").alias("scores"),
     )
 
 
@@ -178,7 +192,10 @@ def _masked(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.Reco
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with all spans masked in the text; rows, columns and null texts stay."""
-    small_batches(docs.sparkSession)
+    """``docs`` with all spans masked in the text.
+
+    Rows (repeated ones and those without an id too), columns and null texts stay; an
+    empty table stays empty.
+    """
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: _masked(it, at), docs.schema)
+    return map_rows(docs, lambda it: _masked(it, at))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, narrow_input, spool
+from .shared import BROADCAST_ROWS, narrow_input, small, spool
 from .textscan import PowerTable, buffers, steps, word_hashes
 
 #: Labelled rows that the classifier is fitted on, at most (the least by a hash of doc_id).
@@ -110,8 +110,8 @@ def log_ratio(model: dict, x: np.ndarray) -> np.ndarray:
 def _with_evidence(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
     powers = PowerTable()
     for batch in batches:
-        evidence = log_ratio(model, text_statistics(batch.column(3), powers))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(evidence)], ["doc_id", "host", "path", "evidence"])
+        evidence = log_ratio(model, text_statistics(batch.column(4), powers))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(evidence)], ["doc_id", "mark", "host", "path", "evidence"])
 
 
 def _strength(shares: DataFrame, share: str, weight: str) -> Column:
@@ -147,6 +147,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return fit(x, rows["label"].to_numpy(float))
 
 
+def _mark(text: Column, host: Column, path: Column) -> Column:
+    """What a row's decision rests on beside its id, as a number."""
+    return F.xxhash64(text, host.cast("string"), path.cast("string"))
+
+
 def score_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     host_col: str = "source", path_col: str = "lang", label_col: str = "quality",
@@ -154,18 +159,36 @@ def score_quality(
     """``(doc_id, evidence, host_share, site_share, score, kept)``, one row per row of ``docs``.
 
     ``kept`` is whether the score, the posterior probability of good, is at least 0.5.
-    A null, empty or blank text has all statistics 0; a null host or path is a site of
-    its own; of several labels of an id the largest counts, labels other than 0 and 1
-    are ignored. Without labels of both kinds there is no evidence and every document
-    gets the smoothed global share. Repeated rows each get their row; other columns are
-    ignored; an empty table gives no rows.
+    A null, empty or blank text has all statistics 0; very long texts are read whole; a
+    null host or path is a site of its own; of several labels of an id the largest
+    counts, labels other than 0 and 1 are ignored. Without labels of both kinds there is
+    no evidence and every document gets the smoothed global share. Repeated rows each get
+    their row; other columns are ignored; an empty table gives no rows.
     """
+    return _scored(docs, labels, id_col, text_col, host_col, path_col, label_col).drop("mark")
+
+
+def drop_low_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    host_col: str = "source", path_col: str = "lang", label_col: str = "quality",
+) -> DataFrame:
+    """``docs`` without the rows that ``score_quality`` rejects, each by its own text and site, with or without an id.
+
+    Rows that repeat and columns stay.
+    """
+    columns = (id_col, text_col, host_col, path_col, label_col)
+    rejected = small(spool(_scored(docs, labels, *columns).where("not kept").select("doc_id", "mark").distinct(), "rejected"))
+    same = _mark(docs[f"`{text_col}`"], docs[f"`{host_col}`"], docs[f"`{path_col}`"]) == rejected["mark"]
+    return docs.join(rejected, same & docs[f"`{id_col}`"].cast("long").eqNullSafe(rejected["doc_id"]), "left_anti")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, label_col: str) -> DataFrame:
     model = train(docs, labels, id_col, text_col, label_col)
     share = model["share"]
     rows = spool(
         narrow_input(docs, doc_id=id_col, host=host_col, path=path_col, text=text_col)
-        .withColumns({"doc_id": F.col("doc_id").cast("long"), "host": F.col("host").cast("string"), "path": F.col("path").cast("string")})
-        .mapInArrow(lambda it: _with_evidence(it, model), "doc_id long, host string, path string, evidence double"),
+        .select(F.col("doc_id").cast("long"), _mark(F.col("text"), F.col("host"), F.col("path")).alias("mark"), F.col("host").cast("string"), F.col("path").cast("string"), "text")
+        .mapInArrow(lambda it: _with_evidence(it, model), "doc_id long, mark long, host string, path string, evidence double"),
         "evidence",
     )
     prior = float(np.log(share / (1 - share)))
@@ -184,4 +207,4 @@ def score_quality(
     scored = _joined(rows, sites.select("host", "path", "host_share", "site_share"), ["host", "path"])
     inside = F.least(F.greatest("site_share", F.lit(1e-6)), F.lit(1 - 1e-6))
     score = 1 / (1 + F.exp(-(F.col("evidence") + F.log(inside / (1 - inside)))))
-    return scored.select("doc_id", "evidence", "host_share", "site_share", score.alias("score"), (score >= 0.5).alias("kept"))
+    return scored.select("doc_id", "mark", "evidence", "host_share", "site_share", score.alias("score"), (score >= 0.5).alias("kept"))

@@ -113,10 +113,10 @@ def _word_slots(word: str) -> tuple[int, int, int, str]:
     return _slot(f"left0:{word}"), _slot(f"left1:{word}"), _slot(f"word:{lower}"), lower if word[0].isalpha() else ""
 
 
-def _slots(token: str, before: list[str], after: list[str], document: list[int], place: int) -> tuple[frozenset[int], set[int]]:
-    """Slots of the features of the token's shape, and of its start and surroundings."""
+def _slots(token: str, before: list[str], after: list[str], document: list[int], place: int, gap: str) -> tuple[frozenset[int], set[int]]:
+    """Slots of the features of the token's shape, and of its start and surroundings; ``gap`` is what parts it from the token before in its chain."""
     own, joint = _own_slots(token)
-    slots = {*document, _slot(f"start{token[:4]}"), _slot(f"place{min(place, 3)}"), _slot(f"right:{after[0]}" if after else "right:")}
+    slots = {*document, _slot(f"start{token[:4]}"), _slot(f"place{min(place, 3)}"), _slot(f"right:{after[0]}" if after else "right:"), _slot(f"gap{gap}")}
     words = 0
     for i, w in enumerate(map(_word_slots, reversed(before))):
         if i < 2:
@@ -137,7 +137,7 @@ def _features(*seen) -> np.ndarray:
 
 
 def _chains(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str], list[str]]]:
-    """Runs of admissible tokens with nothing but white space between them, and the tokens around."""
+    """Runs of admissible tokens with nothing but white space (and marks that end a token) between them, and the tokens around."""
     spans: list[tuple[int, int]] = []
     for m in _LONG.finditer(text):
         a, b = m.span()
@@ -148,21 +148,28 @@ def _chains(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str], list[
     i = 0
     while i < len(spans):
         j = i + 1
-        while j < len(spans) and not text[spans[j - 1][1] : spans[j][0]].strip():
+        while j < len(spans) and not text[spans[j - 1][1] : spans[j][0]].lstrip(".-/").strip():
             j += 1
         a, b = spans[i][0], spans[j - 1][1]
         yield spans[i:j], _TOKEN.findall(text, max(0, a - CONTEXT), a), [m[0]] if (m := _TOKEN.search(text, b, b + CONTEXT)) else []
         i = j
 
 
+def _gap(text: str, one: tuple[int, int], two: tuple[int, int]) -> str:
+    """Blanks or a new line between tokens, and whether the one before fills a line as long as this one's or longer."""
+    kind = "line" if "\n" in text[one[1] : two[0]] else "blank"
+    return f"{kind}|{one[1] - one[0] >= 40 and two[1] - two[0] <= one[1] - one[0] + 1}"
+
+
 def _seen(text: str) -> Iterator[tuple[list[tuple[int, int]], list[tuple]]]:
     """Chains, and what the features of each token are made from."""
     document = None
     for spans, before, after in _chains(text):
         document = document or [*map(_slot, _file_features(text))]
         around = before + [text[a:b] for a, b in spans] + after
+        gaps = ["", *(_gap(text, *x) for x in zip(spans, spans[1:], strict=False))]
         yield spans, [
-            (around[i], around[max(0, i - _BEHIND) : i], around[i + 1 : i + 2], document, i - len(before))
+            (around[i], around[max(0, i - _BEHIND) : i], around[i + 1 : i + 2], document, i - len(before), gaps[i - len(before)])
             for i in range(len(before), len(before) + len(spans))
         ]
 
@@ -252,18 +259,21 @@ class Field:
         self.step[0, 2] = -1e4
 
 
-def _training_lines(seed: int = 7, lines: int = 1200) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+def _training_lines(seed: int = 7, lines: int = 1600) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """Lines with the spans of their secrets, from templates."""
     rng = random.Random(seed)
     letters, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     word = lambda: pick(letters, rng.randint(2, 9))
     digits = lambda n: pick("0123456789", n)
+    mixed = letters + upper + "0123456789"
     secrets = [
         lambda: pick("0123456789abcdef", rng.choice((24, 32, 40, 64))), lambda: "AKIA" + pick(upper + "234567", 16),
-        lambda: "ghp_" + pick(letters + upper + "0123456789", 36), lambda: "sk-" + pick(letters + upper + "0123456789", 40),
-        lambda: pick(letters + upper + "0123456789+/", rng.randint(20, 48)), lambda: pick(letters + upper + "0123456789", rng.randint(16, 40)),
-        lambda: pick(letters + upper, rng.randint(16, 40)),
+        lambda: "ghp_" + pick(mixed, 36), lambda: "sk-" + pick(mixed, 40), lambda: f"xoxb-{digits(12)}-{pick(mixed, 24)}",
+        lambda: pick(mixed + "+/", rng.randint(20, 48)), lambda: pick(mixed, rng.randint(16, 40)), lambda: pick(letters + upper, rng.randint(16, 40)),
+        lambda: pick(letters, 2) + "_" + rng.choice(("live", "test", "prod")) + "_" + pick(mixed, rng.randint(20, 32)),
+        lambda: ".".join(pick(mixed + "_-", n) for n in (rng.randint(18, 36), rng.randint(30, 60), rng.randint(30, 43))),
+        lambda: pick(upper + "0123456789", rng.randint(18, 40)), lambda: pick(mixed + "_-", rng.randint(24, 64)),
     ]
     cap = lambda w: w[0].upper() + w[1:]
     plain_words = [
@@ -277,32 +287,54 @@ def _training_lines(seed: int = 7, lines: int = 1200) -> Iterator[tuple[str, lis
         lambda: f"v{digits(1)}.{digits(2)}.{digits(2)}-beta", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"{word()}/{word()}/{digits(3)}.html",
         lambda: f"{word()}.{digits(2)}", lambda: f"mail{digits(1)}.{word()}.com", lambda: f"{word()}_{word()}_{digits(2)}", lambda: digits(9),
         lambda: f"{word()}{digits(2)}{word()}", lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"ISBN-{digits(13)}", lambda: f"{pick(upper, 2)}{digits(20)}",
+        lambda: "-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), lambda: f"{pick(upper, 3)}-{digits(5)}-{pick(upper, 2)}",
+        lambda: f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}", lambda: f"{word()}-{digits(1)}.{digits(2)}.{digits(1)}.tar.gz", lambda: f"/usr/{word()}/{word()}{digits(1)}/{word()}",
     ]
     leads = ["password", "token", "secret", "api_key", "bearer", "authorization", "key", "credential", "pwd", "access"]
+    joints = [":", "=", "", " is", " =", " :", " was", " for the"]
+
+    def lead() -> str:
+        """A leading word, what joins it to what follows, and at times words between."""
+        between = " " + " ".join(word() for _ in range(rng.randint(1, 2))) if rng.random() < 0.2 else ""
+        name = rng.choice(leads)
+        return (name.upper() if rng.random() < 0.15 else cap(name) if rng.random() < 0.2 else name) + between + rng.choice(joints)
+
     for _ in range(lines):
-        before, after = [word() for _ in range(rng.randint(0, 6))], [word() for _ in range(rng.randint(0, 6))]
-        parts, marked = list(before), []
-        if rng.random() < 0.5:
+        parts: list[tuple[str, bool, str]] = [(word(), False, " ") for _ in range(rng.randint(0, 6))]
+        quote = rng.choice(("", "", "", '"', "'"))
+        tight = rng.choice(("", " "))
+        kind = rng.random()
+        if kind < 0.04:
+            # A block of lines is one secret.
+            parts.append((f"-----BEGIN {rng.choice(('', 'RSA ', 'EC '))}PRIVATE KEY-----", False, "\n"))
+            body = "\n".join([*(pick(mixed + "+/", 64) for _ in range(rng.randint(2, 5))), pick(mixed + "+/", rng.randint(12, 63))])
+            parts += [(body, True, "\n"), ("-----END PRIVATE KEY-----", False, " ")]
+        elif kind < 0.5:
             if rng.random() < 0.6:
-                parts += [rng.choice(leads), *rng.choice(([":"], ["="], [], ["is"], ["=", '"']))]
-            for _ in range(1 + (rng.random() < 0.1)):
-                marked.append(len(parts))
-                parts.append(rng.choice(secrets)())
-        elif rng.random() < 0.5:
+                parts.append((lead(), False, tight if quote else " "))
+            for _ in range(1 + (rng.random() < 0.2)):
+                if quote:
+                    parts.append((quote, False, tight))
+                parts.append((rng.choice(secrets)(), True, tight if quote else rng.choice((" ", " ", "\n"))))
+                if quote:
+                    parts.append((quote, False, " "))
+        elif kind < 0.75:
+            if rng.random() < 0.2:
+                parts.append((lead(), False, " "))
             for _ in range(rng.randint(1, 2)):
-                parts.append(rng.choice(plain)())
+                parts.append((rng.choice(plain)(), False, rng.choice((" ", "\n"))))
         else:
             if rng.random() < 0.3:
-                parts += [rng.choice(leads), *rng.choice(([], [], ["is"], [":"]))]
+                parts.append((lead(), False, " "))
             for _ in range(rng.randint(1, 3)):
-                parts.append(rng.choice(plain_words)())
-        parts += after
+                parts.append((rng.choice(plain_words)(), False, rng.choice((" ", "\n"))))
+        parts += [(word(), False, " ") for _ in range(rng.randint(0, 6))]
         text, spans = "", []
-        for k, p in enumerate(parts):
-            text += " " * bool(text) + p
-            if k in marked:
-                spans.append((len(text) - len(p), len(text)))
-        yield text, spans
+        for part, marked, gap in parts:
+            if marked:
+                spans.append((len(text), len(text) + len(part)))
+            text += part + gap
+        yield text.rstrip(" "), spans
 
 
 @lru_cache(maxsize=1)
@@ -311,8 +343,9 @@ def trained_field() -> Field:
     examples = []
     for text, secrets in _training_lines():
         for spans, features in _encode(text):
-            inside = [any(a < d and c < b for c, d in secrets) for a, b in spans]
-            labels = [0 if not x else 2 if k and inside[k - 1] else 1 for k, x in enumerate(inside)]
+            of = [next((k for k, (c, d) in enumerate(secrets) if a < d and c < b), None) for a, b in spans]
+            # A token of the same secret as the one before is inside; a further secret begins anew.
+            labels = [0 if x is None else 2 if k and of[k - 1] == x else 1 for k, x in enumerate(of)]
             examples.append((features, labels))
     order = random.Random(1)
     for t in range(_ROUNDS):

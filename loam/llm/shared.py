@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from loam.storage import fresh_path, shared_dir, spool
 
-__all__ = ["BROADCAST_ROWS", "WORD", "drop_spooled", "even_join", "fresh_path", "narrow_input", "shared_dir", "small", "small_batches", "spool", "table", "word_count"]
+__all__ = ["BROADCAST_ROWS", "WORD", "drop_spooled", "even_join", "fresh_path", "map_rows", "narrow_input", "shared_dir", "small", "small_batches", "spool", "table", "word_count"]
 
 #: A side of at most this many (id) rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -40,22 +44,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def even_join(rows: DataFrame, figures: DataFrame, key: str, by: str, how: str = "inner", wide: bool = False) -> DataFrame:
+def even_join(rows: DataFrame, figures: DataFrame, key: str, by: str, how: str = "inner", wide: bool = False, limit: int | None = None) -> DataFrame:
     """``rows`` with the figures of their ``key``, without a task that gets all rows of a frequent key.
 
     ``figures`` has a row or a few for each key. It is broadcast if a count shows that it is
-    small, unless its rows are ``wide``. Otherwise the join shuffles, and a key of more than
+    small (``limit`` rows, ``BROADCAST_ROWS`` by default), unless its rows are ``wide``. Otherwise the join shuffles, and a key of more than
     ``HOT`` rows is dealt over pieces by a hash of the column ``by``; its figures go to each.
     """
-    if not wide and figures.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    limit = BROADCAST_ROWS if limit is None else limit
+    if not wide and figures.limit(limit + 1).count() <= limit:
         return rows.join(F.broadcast(figures), key, how)
-    hot = spool(
-        rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).where(F.col(key).isNotNull())
-        .select(key, F.ceil(F.col("_n") / HOT).alias("_pieces")),
-        "hot",
-    )
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count("*") / HOT).alias("_pieces")).where("_pieces > 1")
     if hot.isEmpty():
         return rows.join(figures, key, how)
+    hot = spool(hot, "hot")
     hot = small(hot)
     dealt = rows.join(hot, key, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(by), "_pieces"), F.lit(0))).drop("_pieces")
     copied = figures.join(hot, key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
@@ -69,6 +71,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def map_rows(docs: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *extra: StructField) -> DataFrame:
+    """``docs`` through ``f``, which keeps all columns and may add some; ``mapInArrow`` by itself fails on names with dots."""
+    small_batches(docs.sparkSession)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(f, StructType([*plain.schema.fields, *extra])).toDF(*docs.columns, *(x.name for x in extra))
+
+
 def narrow_input(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under fixed names, so that other columns can't clash."""
     small_batches(docs.sparkSession)

@@ -24,8 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, narrow_input, spool
+from .shared import even_join, fresh_path, narrow_input, spool
 
+#: Shared digests that are broadcast at most (some 20 MB).
+SHARED_DIGESTS = 200_000
 #: Payloads of fewer bytes are never revisited.
 LEAST_PAYLOAD = 100
 CHUNK = 1 << 16
@@ -139,18 +141,18 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     all others, and payloads that only null ids have are responses. Null html is empty.
     """
     hashed = narrow_input(pages, page_id="page_id", url="url", html="html").withColumns(
-        {"page_id": F.col("page_id").cast("long"), "digest": F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)}
+        {"page_id": F.col("page_id").cast("long"), "digest": F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))}
     )
     # Only digests that several pages share, without their payloads, go through the aggregation.
     first = (
         hashed.where(F.octet_length("html") >= LEAST_PAYLOAD).groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     )
-    rows = hashed.join(first, "digest", "left").withColumn(
+    rows = even_join(hashed, spool(first, "digests"), "digest", by="page_id", how="left", limit=SHARED_DIGESTS).withColumn(
         "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     )
     return spool(
-        rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(
+        rows.select("page_id", "url", "html", F.lower(F.hex("digest")).alias("digest"), "refers_to").mapInArrow(
             lambda it: _write(it, folder), "archive string, records long, bytes long"
         ),
         "archives",
@@ -199,7 +201,11 @@ def read_archives(spark: SparkSession, folder: str, archives: DataFrame) -> Data
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to the shared folder and read the archives back."""
+    """Write ``pages`` to the shared folder and read the archives back: one row per row of ``pages``.
+
+    As in ``write_archives``; rows that repeat an id give records of equal ids, extra
+    columns are ignored and an empty table gives no rows.
+    """
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     archives = write_archives(pages, folder)

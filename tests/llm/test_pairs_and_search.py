@@ -81,7 +81,7 @@ def test_frequent_keys_and_large_tables_give_the_same(spark, monkeypatch):
     rows = variants(3, groups=9, most=40)
     want, _ = plain_components(rows, 2)
     for module in (neardup, components, shared):
-        for name, value in (("BROADCAST_ROWS", 0), ("FREQUENT", 0), ("HOT", 3), ("SHORT_LIST", 4), ("LARGE", 8), ("BLOCK", 16)):
+        for name, value in (("BROADCAST_ROWS", 0), ("FREQUENT", 0), ("ONE_TASK", 0), ("HOT", 3), ("SHORT_LIST", 4), ("LARGE", 8), ("BLOCK", 16)):
             if hasattr(module, name):
                 monkeypatch.setattr(module, name, value)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame([(0, i, t, "") for i, t in rows], DOCS), shingle=2).collect()}
@@ -148,7 +148,11 @@ def test_near_duplicate_edge_cases(spark):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1]
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_connected_components(spark, monkeypatch, one_task):
+    from loam.llm import components
+
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
     parent = {x: x for e in edges for x in e}
@@ -221,6 +225,27 @@ def test_items_in_several_passes(spark, monkeypatch):
     assert got == {(i, i) for i in range(4)}
 
 
+def test_short_items_are_whole_words(spark):
+    items = spark.createDataFrame([(1, "yes"), (2, "A"), (3, "to be, or not"), (4, "?!")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, 1, "Bayeses and yesterdays", ""), (0, 2, "say Yes!", ""), (0, 3, "to  be, or not.", ""), (0, 4, "ato be, or nots", ""), (0, 5, "a?!b", ""), (0, 6, "x" * 500_000 + " yes", "")], DOCS)
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(2, 1, 0), (3, 3, 0), (5, 2, 0), (5, 4, 0), (6, 1, 0)}
+    assert decontam.drop_contaminated(docs, items).count() == 6
+    assert {r["doc_id"] for r in decontam.drop_contaminated(docs, items, least=3).collect()} == {1, 4, 5}
+
+
+def test_decontamination_in_passes(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(8))) for i in range(9)]
+    docs = spark.createDataFrame([(0, None if i == 4 else i, f"before {t} after", "") for i, t in items] + [(0, 50, None, ""), (0, 51, "clean", ""), (0, 51, "clean", "")], DOCS)
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    whole = {tuple(r) for r in decontam.contaminated(docs, tests).collect()}
+    monkeypatch.setattr(decontam, "CHARS_PER_PASS", 120)
+    assert {tuple(r) for r in decontam.contaminated(docs, tests).collect()} == whole == {(i, i, 0) for i in range(9) if i != 4}
+    clean = decontam.drop_contaminated(docs.withColumnRenamed("kept", "_id"), tests)
+    assert sorted(r["doc_id"] for r in clean.collect()) == [50, 51, 51] and clean.columns[-1] == "_id"
+
+
 def plain_top(rows, k=5, every=50):
     usable = {}
     for i, v in rows:

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loam.llm import decontam, mixing, pii, quality
 from loam.llm.textscan import PowerTable
@@ -39,7 +40,7 @@ def plain_mix(rows):
     sizes, held = defaultdict(int), defaultdict(list)
     for i, t, s in rows:
         sizes[s] += words(t)
-        held[s].append((hashlib.md5(str(i).encode()).hexdigest() if i is not None else hashlib.md5(b"").hexdigest(), i, words(t)))
+        held[s].append((hashlib.md5((t or "" if i is None else str(i)).encode()).hexdigest(), i, words(t)))
     targets = plain_targets(sizes)
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     out = []
@@ -95,6 +96,21 @@ def test_repeated_rows_are_taken_by_row(spark):
     assert len(got) == 4 and all(r["taken"] <= 2 * r["size"] for r in got)
 
 
+def test_rows_without_id_spread_over_buckets(spark):
+    rows = [(None, f"w{i} x", "s") for i in range(300)]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOCS)
+    got = mixing.mix(df)
+    assert got.count() == 300 and got.selectExpr("sum(taken)").first()[0] == 900
+    keys = df.select(mixing._order_key(df["doc_id"], df["text"]).substr(1, mixing.BUCKET_DIGITS).alias("b")).distinct().count()
+    assert keys > 200
+
+
+def test_very_long_text(spark):
+    long = "word " * 400_000
+    df = spark.createDataFrame([(1, long, "en", "a", 0), (2, "x y", "en", "a", 0), (3, "z", "en", "b", 0)], DOCS)
+    assert {(r["doc_id"], r["size"]) for r in mixing.mix(df).collect()} == {(1, 400_000), (2, 2), (3, 1)}
+
+
 def make_corpus():
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 8)))
@@ -152,6 +168,37 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert pii.find_spans("<email> <ip>") == []
 
 
+def test_quality_goes_by_row(spark, tmp_path):
+    """A rejected row takes no other row of its id along; rows without an id are judged too."""
+    docs, labels, _ = make_corpus()
+    bad = next(d for d in docs if d[1] and d[1].isupper())
+    good = next(d for d in docs if d[1] and not d[1].isupper())
+    docs += [(good[0], bad[1], "en", "s1", 0), (None, bad[1], "en", None, 0), (None, good[1], "en", None, 0)]
+    frame = spark.createDataFrame(docs, DOCS).withColumn("mark", F.lit(1)).withColumn("evidence", F.lit(2))
+    kept = quality.drop_low_quality(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert kept.columns == frame.columns
+    rows = {(r["doc_id"], r["text"]) for r in kept.collect()}
+    assert (good[0], good[1]) in rows and (None, good[1]) in rows
+    assert not any(t == bad[1] for _, t in rows)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels, items = make_corpus()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ("component", "kept", "_id", "mark", "_mark", "root", "n", "digest", "size", "bucket", "key", "position", "evidence", "host", "node", "value", "a.b")
+    frame = spark.createDataFrame(docs[:60], DOCS)
+    for k, name in enumerate(names):
+        frame = frame.withColumn(name, F.lit(k))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, frame, f"file://{tmp_path}")
+        assert out.count() > 0 and out.columns[: len(frame.columns)] == frame.columns
+        assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == frame.columns
+        assert out.select(*[f"`{c}`" for c in names]).distinct().count() == 1
+
+
 def test_stages_return_the_columns_of_documents(spark, tmp_path):
     import corpus_pipeline
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -68,6 +69,10 @@ def test_pii_checks_and_context():
     assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE88370400440532013000")
     kinds = lambda t: [s.kind for s in pii.find_spans(t)]
     assert kinds("IBAN DE89 3704 0044 0532 0130 00.") == ["iban"] and kinds("IBAN DE88 3704 0044 0532 0130 00.") == []
+    for after in (" BIC COBADEFFXXX", " NOW", " 12345", " AND MORE WORDS IN CAPITALS 1", ".", ""):
+        text = "to DE89 3704 0044 0532 0130 00" + after
+        assert [(s.kind, text[s.start : s.end]) for s in pii.find_spans(text) if s.kind == "iban"] == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert kinds("GB82WEST12345698765432") == ["iban"] and kinds("XDE89370400440532013000") == [] and kinds("DE893704004405320130001") == []
     assert kinds("social security 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == [] and kinds("ssn 000-45-6789") == []
     assert pii.mask("to a@b.co, 1.2.3.4", pii.find_spans("to a@b.co, 1.2.3.4")) == "to <email>, <ip>"
 
@@ -122,6 +127,66 @@ def test_viterbi_is_the_best_path():
             assert score(field.viterbi(features)) == pytest.approx(best)
 
 
+def test_adjacent_secrets_are_told_apart_and_blocks_are_one():
+    field = secrets.trained_field()
+    two = "keys QwErTyUiOpAsDfGhJkLz1 ZxCvBnMaSdFgHjKlQwEr2"
+    assert secrets.find_spans(two, field) == [("crf", 5, 26), ("crf", 27, 48)]
+    rng = random.Random(4)
+    body = "\n".join("".join(rng.choices("ABCDEFabcdef0123456789+/XYZxyz", k=64)) for _ in range(4))
+    text = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY----- done"
+    assert [text[a:b] for _, a, b in secrets.find_spans(text, field)] == [body]
+
+
+SF = "/root/testdata/sf0.01"
+# Formats that no training template has.
+UNSEEN = {
+    "AIza": 35, "npm_": 36, "glpat-": 20, "rk_live_": 24, "": 44, "xoxp-": 30,
+}
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
+def test_recall_and_precision_on_secrets_planted_in_documents(spark):
+    import string
+
+    field, rng = secrets.trained_field(), random.Random(5)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    assert sum(kind == "crf" for t in texts for kind, _, _ in secrets.find_spans(t, field)) == 0
+    found = false = 0
+    for k in range(600):
+        prefix = rng.choice(list(UNSEEN))
+        planted = prefix + "".join(rng.choices(string.ascii_letters + string.digits, k=UNSEEN[prefix]))
+        words = rng.choice(texts).split(" ")
+        at = rng.randrange(len(words) + 1)
+        before = " ".join(words[:at]) + rng.choice((" ", " bearer ", ' the key is "', " deploy with "))
+        text = f"{before}{planted} {' '.join(words[at:])}"
+        a, b = len(before), len(before) + len(planted)
+        spans = [s for s in secrets.find_spans(text, field) if s[0] == "crf"]
+        found += any(x < b and a < y for _, x, y in spans)
+        false += sum(not (x < b and a < y) for _, x, y in spans)
+    assert found >= 0.95 * 600 and false <= 0.01 * 600
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
+@pytest.mark.parametrize(("scan", "plain", "kinds"), [(pii, plain_pii, pii.BASE_KINDS), (secrets, plain_secrets, secrets.BASE_KINDS)])
+def test_whole_queries_equal_plain_versions(spark, scan, plain, kinds):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    planted = [(-1, "IBAN DE89 3704 0044 0532 0130 00 or card 4111 1111 1111 1111, ssn 123-45-6789"), (-2, None), (-3, "pwd QwErTyUiOpAsDfGhJkLz12 password=hunter22")]
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    got = {r["doc_id"]: r for r in scan.digest(scan.detect(docs)).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for i, text in rows:
+        spans, r = plain(text or ""), got[i]
+        assert [r[f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in spans) for k in kinds]
+        as_text = [f"{k}:{a}:{b}" for k, a, b in spans]
+        assert r["base_sha256"] == hashlib.sha256(",".join(as_text).encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s.split(":")[0] in kinds] == as_text
+    if scan is pii:
+        assert (got[-1]["n_iban"], got[-1]["n_ssn"], got[-1]["n_card"]) == (1, 1, 1) and got[-1]["scores"].split(",") == ["1.00", "1.00", "0.70"]
+    else:
+        assert got[-3]["spans"] == "crf:4:26,assign:27:44"
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "n_email string, doc_id long, text string, spans string, source string")
 
