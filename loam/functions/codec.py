@@ -5,14 +5,17 @@ from __future__ import annotations
 import base64
 import binascii
 import gzip
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 
-#: Bytes that one stage may unpack to.
-MOST_UNPACKED = 64 << 20
+#: Bytes that one stage may unpack to: what a cell of a table can hold, with room to spare.
+MOST_UNPACKED = 1 << 30
+# Fixed value: the share of zero bytes at odd offsets beyond which content is UTF-16.
 UTF16_SHARE = 0.98
 
 
@@ -27,6 +30,9 @@ def text_of(content: bytes | None) -> str | None:
     return content.decode("utf-8", "replace")
 
 
+_PAREN_OR_FOREIGN = re.compile(r"[()]|[^\x00-\x7f]")
+
+
 def _single(x: float) -> float:
     import struct
 
@@ -45,6 +51,7 @@ def _closing(text: str, start: int, opening: str, closing: str) -> int | None:
     return i
 
 
+# Fixed value: what a command block follows.
 COMMAND_MARK = 'powershell -WindowStyle Hidden -Command "& {'
 
 
@@ -59,16 +66,25 @@ def braced_command(text: str | None) -> str | None:
 
 
 def array_literals(text: str | None) -> list[str] | None:
-    """The contents of all ``@( )``, inner ones too, trimmed; empty ones and those with non-ASCII characters are left out."""
+    """The contents of all ``@( )``, inner ones too, trimmed; empty ones and those with non-ASCII characters are left out.
+
+    An unclosed one runs to the text's end less one character. One pass, with a stack of open parentheses.
+    """
     if text is None:
         return None
-    found, at = [], text.find("@(")
-    while at >= 0:
-        end = _closing(text, at + 2, "(", ")")
-        if end is not None and end > at + 2 and (inner := text[at + 2 : end - 1].strip()):
-            found.append(inner)
-        at = text.find("@(", at + 1)
-    return found
+    pending: list[tuple[int, int] | None] = []
+    closed: list[tuple[int, int]] = []
+    foreign = 0
+    for m in _PAREN_OR_FOREIGN.finditer(text):
+        c, at = m[0], m.start()
+        if c == "(":
+            pending.append((at + 1, foreign) if at and text[at - 1] == "@" else None)
+        elif c != ")":
+            foreign += 1
+        elif pending and (opened := pending.pop()) is not None and opened[1] == foreign:
+            closed.append((opened[0], at))
+    closed += [(start, max(start, len(text) - 1)) for start, before in filter(None, pending) if before == foreign]
+    return [inner for a, b in sorted(closed) if (inner := text[a:b].strip())]
 
 
 _RANK = {"+": 1, "-": 1, "*": 2, "/": 2, "%": 2, "~": 3, "^": 4}
@@ -170,12 +186,15 @@ def strict_base64(text: str) -> bytes | None:
     return out if base64.b64encode(out).decode() == text else None
 
 
+def _xored(data: bytes, pad: bytes) -> bytes:
+    return (np.frombuffer(data, np.uint8) ^ np.resize(np.frombuffer(pad, np.uint8), len(data))).tobytes()
+
+
 def unxor_gunzip(key: str | None, blob: str | None) -> str | None:
     """base64, XOR with the repeated key, gunzip, strict UTF-8; None if a step fails or the result is too large."""
     if not key or blob is None or (data := strict_base64(blob)) is None:
         return None
-    pad = key.encode()
-    mixed = bytes(a ^ b for a, b in zip(data, pad * (len(data) // len(pad) + 1), strict=False))
+    mixed = _xored(data, key.encode())
     try:
         unpack = zlib.decompressobj(31)
         out = unpack.decompress(mixed, MOST_UNPACKED)
@@ -186,8 +205,7 @@ def unxor_gunzip(key: str | None, blob: str | None) -> str | None:
 
 def xor_gzip(key: str, text: str) -> str:
     """The inverse of ``unxor_gunzip``, for fixtures."""
-    data, pad = gzip.compress(text.encode(), mtime=0), key.encode()
-    return base64.b64encode(bytes(a ^ pad[i % len(pad)] for i, a in enumerate(data))).decode()
+    return base64.b64encode(_xored(gzip.compress(text.encode(), mtime=0), key.encode())).decode()
 
 
 def _mapped(f: Callable, kind: str):

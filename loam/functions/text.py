@@ -42,6 +42,11 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
 
 
+def begins(text: Column, mark: str) -> Column:
+    """Whether the text begins with ``mark`` after any white space, by Unicode's notion of it."""
+    return text.rlike(rf"\A[{_SPACE}]*\Q{mark}\E")
+
+
 def line_count(text: Column) -> Column:
     """Number of lines; a last line end begins no further line."""
     ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
@@ -74,11 +79,11 @@ def xor_blob(text: Column) -> Column:
 def classify_script_family(text: Column) -> Column:
     """XorBase64, DgaIex, StartProcess, CS, X509, TwoLiner or null; the first that fits."""
     return (
-        F.when(xor_key(text).isNotNull() & xor_blob(text).isNotNull(), "XorBase64")
+        F.when(F.when(xor_key(text).isNotNull(), xor_blob(text)).isNotNull(), "XorBase64")
         .when(_has(text, DGA_MARK) & _has(text, *DGA_FETCH), "DgaIex")
         .when(_has(text, START_PROCESS), "StartProcess")
-        .when(F.startswith(trim(text), F.lit(CS_START)), "CS")
-        .when(F.startswith(trim(text), F.lit(X509_START)), "X509")
+        .when(begins(text, CS_START), "CS")
+        .when(begins(text, X509_START), "X509")
         .when(line_count(text) < 5, "TwoLiner")
     )
 
@@ -188,6 +193,7 @@ def concat_payload(text: Column) -> Column:
     return repeated_base64(numbered_parts(text), decode_calls(text))
 
 
+# Fixed value: the base of the distance that a similarity maps to.
 SIMILARITY_BASE = 1.0472
 
 

@@ -8,6 +8,7 @@ given order wins.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,15 +104,16 @@ def edge_definitions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(schema.EDGE_DEFINITIONS), "collection string, `from` string, `to` string")
 
 
-def closure(links: DataFrame, depth: int = 8) -> DataFrame:
-    """``(ancestor, descendant, depth)`` of all paths up to ``depth``, the shortest path's length each.
+def closure(links: DataFrame, depth: int | None = None) -> DataFrame:
+    """``(ancestor, descendant, depth)`` of all paths, or of those up to ``depth``, the shortest path's length each.
 
-    Every round joins only the pairs that the round before found.
+    Every round joins only the pairs that the round before found; cycles end it.
     """
     step = spool(links.select("parent", "child").distinct(), "links")
     frontier = step.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth"))
-    levels = [frontier]
-    for d in range(2, depth + 1):
+    levels, d = [frontier], 1
+    while depth is None or d < depth:
+        d += 1
         known = reduce(DataFrame.unionByName, levels).select("ancestor", "descendant")
         frontier = spool(
             frontier.join(step, frontier["descendant"] == step["parent"]).select("ancestor", F.col("child").alias("descendant")).distinct()
@@ -124,26 +126,74 @@ def closure(links: DataFrame, depth: int = 8) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
+class ConstraintError(ValueError):
+    pass
+
+
 class GraphStore:
-    """A corpus in a warehouse folder: ``vertices`` and ``edges`` tables that upserts replace atomically."""
+    """A corpus in a warehouse folder: ``vertices`` and ``edges``, to which upserts add a version of what they create.
+
+    A version is complete with its success mark and never changes; its rows lie in a
+    folder for each collection. Readers see the complete versions. One writer at a time
+    is expected; ``compact`` makes one version of all.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    @classmethod
+    def open(cls, spark: SparkSession, warehouse: str, name: str) -> GraphStore:
+        """The store of the ``focused`` or ``general`` graph below a warehouse folder, created with its collections if it isn't there."""
+        database, graph_name = schema.DATABASES[name]
+        store = cls(spark, f"{warehouse.rstrip('/')}/{database}/{graph_name}")
+        for collection in dict.fromkeys((*schema.ROOT_COLLECTIONS, *schema.SAMPLE_COLLECTIONS)):
+            store.ensure_collection(collection, fields=(schema.unique_key(collection),))
+        for collection in dict.fromkeys(d[0] for d in schema.EDGE_DEFINITIONS):
+            store.ensure_collection(collection, edge=True)
+        return store
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *parts)))
+
+    def _files(self, path):
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def ensure_collection(self, collection: str, edge: bool = False, fields: tuple[str, ...] = ()) -> str | None:
+        """Make a collection known if it isn't yet, and the unique index over ``fields``; the index's name."""
+        index = schema.index_name(collection, list(fields)) if fields else None
+        for mark in filter(None, (f"{'edge' if edge else 'document'}={collection}", index and f"index={index}")):
+            path = self._path("collections", mark)
+            if not self._files(path).exists(path):
+                self._files(path).create(path, True).close()
+        return index
+
+    def collections(self) -> dict[str, str]:
+        """Kinds (``document``, ``edge`` or ``index``) of the names that are known."""
+        path = self._path("collections")
+        if not self._files(path).exists(path):
+            return {}
+        marks = [s.getPath().getName() for s in self._files(path).listStatus(path)]
+        return {name: kind for kind, _, name in (m.partition("=") for m in marks if not m.startswith("."))}
+
     def _versions(self, name: str) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not store.exists(path):
+        path = self._path(name)
+        if not self._files(path).exists(path):
             return []
-        complete = [s.getPath() for s in store.listStatus(path) if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        complete = [s.getPath() for s in self._files(path).listStatus(path) if self._files(path).exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
         return sorted(str(p) for p in complete)
 
     def _read(self, name: str, shape) -> DataFrame:
         versions = self._versions(name)
-        return self.spark.read.schema(shape).parquet(versions[-1]) if versions else self.spark.createDataFrame([], shape)
+        if not versions:
+            return self.spark.createDataFrame([], shape)
+        rows = self.spark.read.schema(shape).option("basePath", f"{self.folder}/{name}").parquet(*versions)
+        return rows.select(shape.fieldNames())
 
-    def _write(self, name: str, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.folder}/{name}/v{len(self._versions(name)):08d}")
+    def _write(self, name: str, rows: DataFrame) -> str:
+        number = max((int(v.rsplit("version=", 1)[1].split("-")[0]) for v in self._versions(name)), default=-1) + 1
+        path = f"{self.folder}/{name}/version={number:08d}-{uuid.uuid4().hex[:8]}"
+        rows.write.partitionBy("collection").parquet(path)
+        return path
 
     @property
     def vertices(self) -> DataFrame:
@@ -153,11 +203,48 @@ class GraphStore:
     def edges(self) -> DataFrame:
         return self._read("edges", schema.EDGES)
 
+    def violations(self, vertices: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+        """``(collection, _key, reason)`` of rows that the store doesn't take.
+
+        Reasons: ``collection`` (not known, or of the other kind), ``key`` (null or empty) and
+        ``definition`` (an edge between collections that its definition doesn't allow).
+        Before any collection is made known, every collection is.
+        """
+        known = self.collections()
+        found = [self.spark.createDataFrame([], "collection string, _key string, reason string")]
+        for rows, kind in ((vertices, "document"), (edges, "edge")):
+            if rows is None:
+                continue
+            names = [n for n, k in known.items() if k == kind]
+            reason = F.when(F.coalesce(F.col("_key"), F.lit("")) == "", "key")
+            if known:
+                reason = reason.when(~F.col("collection").isin(names), "collection")
+            if kind == "edge":
+                ends = [F.split_part(end, F.lit("/"), F.lit(1)) for end in ("_from", "_to")]
+                allowed = [f"{c}/{a}/{b}" for c, a, b in schema.EDGE_DEFINITIONS]
+                reason = reason.when(~F.concat_ws("/", "collection", *ends).isin(allowed), "definition")
+            found.append(rows.select("collection", "_key", reason.alias("reason")).where("reason is not null"))
+        return reduce(DataFrame.unionByName, found)
+
     def upsert(self, vertices: DataFrame | None = None, edges: DataFrame | None = None) -> None:
-        if vertices is not None:
-            self._write("vertices", upsert_vertices(self.vertices, vertices).drop("created"))
-        if edges is not None:
-            self._write("edges", upsert_edges(self.edges, edges).drop("created"))
+        """Add what isn't stored yet; raises ``ConstraintError`` and stores nothing if a row breaks a constraint."""
+        broken = self.violations(vertices, edges).limit(3).collect()
+        if broken:
+            raise ConstraintError("; ".join(f"{r['collection']}/{r['_key']}: {r['reason']}" for r in broken))
+        for name, rows, stored, shape in (("vertices", vertices, self.vertices, schema.VERTICES), ("edges", edges, self.edges, schema.EDGES)):
+            if rows is not None:
+                created = first_by_key(rows.select(shape.fieldNames()), ["collection", "_key"], []).join(stored.select("collection", "_key"), ["collection", "_key"], "left_anti")
+                self._write(name, created.select(shape.fieldNames()))
+
+    def compact(self) -> None:
+        """One version of all; older ones are removed once it is complete."""
+        for name, rows in (("vertices", self.vertices), ("edges", self.edges)):
+            old = self._versions(name)
+            if len(old) > 1:
+                self._write(name, first_by_key(rows, ["collection", "_key"], []))
+                for path in old:
+                    gone = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                    self._files(gone).delete(gone, True)
 
     def init(self, corpus: str, families: tuple[str, ...] = ()) -> None:
         """The corpus node, the family roots and their edges; repeating it changes nothing."""

@@ -20,10 +20,6 @@ from loam.operators import graph
 from loam.sources.archives import members
 from loam.storage import spool
 
-#: Levels of archives in archives.
-MOST_DEPTH = 8
-
-
 class Lineage(NamedTuple):
     vertices: DataFrame
     edges: DataFrame
@@ -187,7 +183,7 @@ def dark_watchmen(files: DataFrame, artifacts: DataFrame) -> Lineage:
 
 
 def coper(files: DataFrame, mode: str = "std") -> Lineage:
-    """Archives with native libraries, bytecode and further archives, level by level.
+    """Archives with native libraries, bytecode and further archives, level by level, however deep.
 
     An archive seen at one level isn't opened again at another. ``mode='ref'`` also
     takes bytecode members that lack the magic but have a non-zero eighth byte.
@@ -201,9 +197,7 @@ def coper(files: DataFrame, mode: str = "std") -> Lineage:
     spark = files.sparkSession
     frontier = first.where("kind = 'APK'").select(F.col("sha").alias("id"), "content").dropDuplicates(["id"])
     opened, parts = None, []
-    for depth in range(MOST_DEPTH + 1):
-        if frontier.isEmpty():
-            break
+    while not frontier.isEmpty():
         found = members(frontier).withColumn("kind", text.member_kind(F.col("member")))
         dex = text.is_dex(F.col("content"))
         if mode == "ref":
@@ -214,7 +208,7 @@ def coper(files: DataFrame, mode: str = "std") -> Lineage:
             .when(F.col("kind") == "DEX", F.coalesce(dex, F.lit(False)))
         )
         level = spool(
-            found.withColumns({"sha": _sha("content"), "fits": F.coalesce(fits, F.lit(False)), "architecture": text.architecture_from_path(F.col("member")), "depth": F.lit(depth)}),
+            found.withColumns({"sha": _sha("content"), "fits": F.coalesce(fits, F.lit(False)), "architecture": text.architecture_from_path(F.col("member")), "depth": F.lit(len(parts))}),
             "members",
         )
         parts.append(level)
@@ -226,7 +220,7 @@ def coper(files: DataFrame, mode: str = "std") -> Lineage:
     rows = _all(parts) if parts else empty
     archives, inside = rows.where("member is null"), rows.where("fits").select("id", "kind", "sha", "architecture")
     inner = inside.where("kind = 'APK'").select(F.col("id").alias("parent"), F.col("sha").alias("child"))
-    closed = graph.closure(inner, MOST_DEPTH).select(F.col("ancestor").alias("id"), F.col("descendant").alias("sha"))
+    closed = graph.closure(inner).select(F.col("ancestor").alias("id"), F.col("descendant").alias("sha"))
     given = first.where("kind in ('ELF', 'DEX')").withColumn("architecture", text.elf_architecture(F.col("content")))
     elfs = _vertices(inside.where("kind = 'ELF'"), "CoperELF", architecture=F.col("architecture")).unionByName(
         _vertices(given.where("kind = 'ELF'"), "CoperELF", architecture=F.col("architecture"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,8 +11,8 @@ from pyspark.sql import functions as F
 from loam import schema
 from loam.functions import codec, fuzzy, text
 from loam.operators import cluster, distance, evaluation, graph
-from loam.plans import families
 from loam.sources import archives, files
+from loam.storage import fresh_path, spool
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +20,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql is not None:
@@ -32,14 +31,17 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from loam import registry_chains  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,8 +51,8 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 # --- cluster evaluation -------------------------------------------------------
 
-_COUNTS = """
-WITH c AS (SELECT vec_id % 8 AS cluster, label, count(*) AS cnt FROM embeddings GROUP BY ALL),
+_COUNTED = """
+WITH c AS (SELECT cluster, label, count(*) AS cnt FROM {rows} GROUP BY ALL),
 k AS (SELECT cluster, sum(cnt) AS size, max(cnt) AS top FROM c GROUP BY 1),
 l AS (SELECT label, sum(cnt) AS held FROM c GROUP BY 1),
 s AS (SELECT (SELECT sum(size) FROM k) AS n, (SELECT sum(top) FROM k) AS top,
@@ -61,6 +63,7 @@ s AS (SELECT (SELECT sum(size) FROM k) AS n, (SELECT sum(top) FROM k) AS top,
   (SELECT -sum(size / t.n * log2(size / t.n)) FROM k, (SELECT sum(size)::DOUBLE AS n FROM k) t) AS h_cluster,
   (SELECT -sum(cnt / t.n * log2(cnt / k.size)) FROM c JOIN k USING (cluster), (SELECT sum(size)::DOUBLE AS n FROM k) t) AS h_cond)
 """
+_COUNTS = _COUNTED.format(rows="(SELECT vec_id % 8 AS cluster, label FROM embeddings)")
 _MEASURES = {
     "purity": "top / n", "nmi": "2 * (h_label - h_cond) / (h_label + h_cluster)", "ri_ref": "(tp + split) / (tp_fp + tn_fn)",
     "ri_std": "(tp + tn_fn - split) / (tp_fp + tn_fn)",
@@ -70,14 +73,14 @@ _MEASURES = {
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 8).alias("cluster"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 8).alias("cluster"))
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.evaluate(_assigned(spark, sf_dir)), *_MEASURES)
 
 
-@_query(_COUNTS + "SELECT n::BIGINT AS n, " + ", ".join(f"round(({e})::DOUBLE, 6) AS {m}" for m, e in _MEASURES.items()) + " FROM s")
+@query(_COUNTS + "SELECT n::BIGINT AS n, " + ", ".join(f"round(({e})::DOUBLE, 6) AS {m}" for m, e in _MEASURES.items()) + " FROM s")
 def eval_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evaluated(spark, sf_dir)
 
@@ -87,44 +90,44 @@ for _measure, _expression in _MEASURES.items():
     _SQL[f"eval_{_measure}"] = _COUNTS + f"SELECT round(({_expression})::DOUBLE, 6) AS {_measure} FROM s"
 
 
-@_query("SELECT vec_id % 8 AS cluster, label, count(*) AS cnt FROM embeddings GROUP BY ALL")
+@query("SELECT vec_id % 8 AS cluster, label, count(*) AS cnt FROM embeddings GROUP BY ALL")
 def cluster_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.cluster_distribution(_assigned(spark, sf_dir))
 
 
-@_query("SELECT label, count(*) AS cnt FROM embeddings GROUP BY ALL")
+@query("SELECT label, count(*) AS cnt FROM embeddings GROUP BY ALL")
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.label_distribution(_assigned(spark, sf_dir))
 
 
-@_query(_COUNTS + "SELECT round(h_label, 6) AS h_label, round(h_cluster, 6) AS h_cluster, round(h_cond, 6) AS h_label_in_cluster FROM s")
+@query(_COUNTS + "SELECT round(h_label, 6) AS h_label, round(h_cluster, 6) AS h_cluster, round(h_cond, 6) AS h_label_in_cluster FROM s")
 def cluster_entropy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = evaluation.parts(evaluation.contingency(_assigned(spark, sf_dir)))
     return _rounded(sums.select("h_label", "h_cluster", "h_label_in_cluster"), "h_label", "h_cluster", "h_label_in_cluster")
 
 
-@_query(_COUNTS + "SELECT n::BIGINT AS n, tp::BIGINT AS tp, tp_fp::BIGINT AS tp_fp, tn_fn::BIGINT AS tn_fn, split::BIGINT AS split FROM s")
+@query(_COUNTS + "SELECT n::BIGINT AS n, tp::BIGINT AS tp, tp_fp::BIGINT AS tp_fp, tn_fn::BIGINT AS tn_fn, split::BIGINT AS split FROM s")
 def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.parts(evaluation.contingency(_assigned(spark, sf_dir))).select("n", *(F.col(c).cast("long") for c in ("tp", "tp_fp", "tn_fn", "split")))
 
 
-@_query(
+@query(
     "WITH a AS (SELECT (vec_id % 5) * 2 AS b FROM embeddings) SELECT r.range AS bucket, count(a.b) AS size "
     "FROM range(0, (SELECT coalesce(max(b), 0) + 1 FROM a)) r LEFT JOIN a ON a.b = r.range GROUP BY 1"
 )
 def cluster_partition_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second bucket is empty."""
-    return evaluation.partition_buckets(_table(spark, sf_dir, "embeddings").select(((F.col("vec_id") % 5) * 2).alias("cluster")))
+    return evaluation.partition_buckets(table(spark, sf_dir, "embeddings").select(((F.col("vec_id") % 5) * 2).alias("cluster")))
 
 
 # --- graph store --------------------------------------------------------------
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("sha256sum"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("sha256sum"))
 
 
-@_query("SELECT sha256(text) AS sha256sum, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT sha256(text) AS sha256sum, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
 def dedup_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir).groupBy("sha256sum").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
@@ -146,18 +149,18 @@ def _upserted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return graph.upsert(stored, rows, ["collection", "_key"], ["doc_id"]), rows
 
 
-@_query(_STORED + "SELECT 'MalwareSample' AS collection, k AS _key, doc_id, created FROM up")
+@query(_STORED + "SELECT 'MalwareSample' AS collection, k AS _key, doc_id, created FROM up")
 def upsert_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _upserted(spark, sf_dir)[0]
 
 
-@_query(_STORED + "SELECT 'MalwareSample' AS collection, k AS _key, doc_id, false AS created FROM up")
+@query(_STORED + "SELECT 'MalwareSample' AS collection, k AS _key, doc_id, false AS created FROM up")
 def upsert_vertices_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     once, rows = _upserted(spark, sf_dir)
     return graph.upsert(once.drop("created"), rows, ["collection", "_key"], ["doc_id"])
 
 
-@_query(
+@query(
     """SELECT 'CarnavalheistHasBatch' AS collection, replace('Corpus/' || source, '/', '-') || '--' || replace('MalwareSample/' || sha256(text), '/', '-') AS _key,
     'Corpus/' || source AS _from, 'MalwareSample/' || sha256(text) AS _to FROM documents GROUP BY ALL
     UNION ALL SELECT DISTINCT 'Turns', 'conv-' || conv_id || '--turn-' || turn, 'conv/' || conv_id, 'turn/' || turn FROM conversations"""
@@ -166,119 +169,119 @@ def upsert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _samples(spark, sf_dir)
     first = graph.edges(rows, "CarnavalheistHasBatch", graph.vertex_id(F.lit("Corpus"), F.col("source")), graph.vertex_id(F.lit("MalwareSample"), F.col("sha256sum")))
     turns = graph.edges(
-        _table(spark, sf_dir, "conversations"), "Turns", graph.vertex_id(F.lit("conv"), F.col("conv_id").cast("string")), graph.vertex_id(F.lit("turn"), F.col("turn").cast("string"))
+        table(spark, sf_dir, "conversations"), "Turns", graph.vertex_id(F.lit("conv"), F.col("conv_id").cast("string")), graph.vertex_id(F.lit("turn"), F.col("turn").cast("string"))
     )
     stored = spark.createDataFrame([], schema.EDGES)
     return graph.upsert_edges(stored, first.unionByName(turns)).drop("created", "ssdeep_distance")
 
 
-@_query(
+@query(
     "SELECT 'OrderHasPart' AS collection, 'order-' || l_orderkey || '--part-' || l_partkey AS _key, min(l_linenumber) AS first_line, count(*) AS n FROM lineitem GROUP BY ALL"
 )
 def edge_keys_at_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = graph.edge_key(F.concat(F.lit("order/"), F.col("l_orderkey")), F.concat(F.lit("part/"), F.col("l_partkey")))
     return (
-        _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("first_line"), F.count("*").alias("n"))
+        table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("first_line"), F.count("*").alias("n"))
         .select(F.lit("OrderHasPart").alias("collection"), key.alias("_key"), "first_line", "n")
     )
 
 
-@_query("SELECT o_orderkey AS _key, o_custkey, o_orderdate < TIMESTAMP '1996-01-01' AS known FROM orders")
+@query("SELECT o_orderkey AS _key, o_custkey, o_orderdate < TIMESTAMP '1996-01-01' AS known FROM orders")
 def upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_key"), "o_custkey", "o_orderdate")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_key"), "o_custkey", "o_orderdate")
     old = orders.where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")).select("_key", "o_custkey")
     return graph.upsert(old, orders.select("_key", "o_custkey"), ["_key"]).select("_key", "o_custkey", (~F.col("created")).alias("known"))
 
 
-@_query("SELECT doc_id, lang, source FROM documents WHERE source = 'src3' ORDER BY doc_id LIMIT 1")
+@query("SELECT doc_id, lang, source FROM documents WHERE source = 'src3' ORDER BY doc_id LIMIT 1")
 def get_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.get_document(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "source", "src3", order="doc_id")
+    return graph.get_document(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "source", "src3", order="doc_id")
 
 
-@_query("SELECT sha256(text) AS sha256sum, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(text) AS sha256sum, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.unique_violations(_samples(spark, sf_dir), ["sha256sum"])
 
 
-@_query("SELECT 'CoperHasDEX' AS collection, 'CoperDEX/' || doc_id AS _to, '_to' AS reason FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT 'CoperHasDEX' AS collection, 'CoperDEX/' || doc_id AS _to, '_to' AS reason FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def edge_domain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that no label vertex exists for."""
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     links = graph.edges(docs, "CoperHasDEX", graph.vertex_id(F.lit("CoperAPK"), F.lit("root")), graph.vertex_id(F.lit("CoperDEX"), F.col("doc_id").cast("string")))
     vertices = labels.select(F.lit("CoperDEX").alias("collection"), F.col("doc_id").cast("string").alias("_key"))
     vertices = vertices.unionByName(spark.createDataFrame([("CoperAPK", "root")], "collection string, _key string"))
     return graph.domain_violations(links, vertices, graph.edge_definitions(spark)).select("collection", "_to", "reason")
 
 
-@_query(
+@query(
     """SELECT 'FocusedCorpus' AS collection, 'FocusedCorpus' AS _key UNION ALL SELECT DISTINCT source, source FROM documents"""
 )
 def corpus_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = _table(spark, sf_dir, "documents").select(F.col("source").alias("collection"), F.col("source").alias("_key"))
+    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("collection"), F.col("source").alias("_key"))
     roots, _ = graph.bootstrap(spark, "FocusedCorpus", ())
     return graph.upsert(roots.select("collection", "_key"), sources, ["collection", "_key"]).drop("created")
 
 
-@_query(
+@query(
     """SELECT a.conv_id, a.turn AS parent_turn, b.turn AS child_turn, sha256(a.text) AS parent, sha256(b.text) AS child
     FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
 )
 def lineage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     child = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("child_turn"), F.col("sha").alias("child"))
     return turns.join(child, ["conv_id", "turn"]).select("conv_id", F.col("turn").alias("parent_turn"), "child_turn", F.col("sha").alias("parent"), "child")
 
 
-@_query(
+@query(
     """WITH RECURSIVE e AS (SELECT DISTINCT a.conv_id * 1000 + a.turn AS parent, b.conv_id * 1000 + b.turn AS child
       FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
     w AS (SELECT parent AS ancestor, child AS descendant, 1 AS depth FROM e
-      UNION SELECT w.ancestor, e.child, w.depth + 1 FROM w JOIN e ON w.descendant = e.parent WHERE w.depth < 8)
+      UNION SELECT w.ancestor, e.child, w.depth + 1 FROM w JOIN e ON w.descendant = e.parent )
     SELECT ancestor, descendant, min(depth) AS depth FROM w GROUP BY ALL"""
 )
 def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
     child = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("next"))
     links = turns.join(child, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("parent"), (F.col("conv_id") * 1000 + F.col("next")).alias("child"))
-    return graph.closure(links, 8)
+    return graph.closure(links)
 
 
-@_query("SELECT doc_id, sha256(text) AS sha256sum FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id, sha256(text) AS sha256sum FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def standalone_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples(spark, sf_dir).join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "sha256sum")
+    return _samples(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "sha256sum")
 
 
-@_query(
+@query(
     """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'no artifact was collected' ELSE sha256(l.quality || ':' || l.toxic) END AS outcome
     FROM documents d LEFT JOIN labels l USING (doc_id)"""
 )
 def artifact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _table(spark, sf_dir, "labels").select("doc_id", F.sha2(F.concat_ws(":", "quality", "toxic").cast("binary"), 256).alias("artifact"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.sha2(F.concat_ws(":", "quality", "toxic").cast("binary"), 256).alias("artifact"))
+    docs = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
     return docs.select("doc_id", F.coalesce("artifact", F.lit("no artifact was collected")).alias("outcome"))
 
 
-@_query("SELECT doc_id AS node_id, source AS family FROM documents UNION ALL SELECT page_id, split_part(url, '/', 3) FROM pages")
+@query("SELECT doc_id AS node_id, source AS family FROM documents UNION ALL SELECT page_id, split_part(url, '/', 3) FROM pages")
 def union_family_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("source").alias("family"))
-    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("node_id"), F.split_part("url", F.lit("/"), F.lit(3)).alias("family"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("source").alias("family"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("node_id"), F.split_part("url", F.lit("/"), F.lit(3)).alias("family"))
     return docs.unionByName(pages)
 
 
 # --- sources, labels, classification, decoding ---------------------------------
 
 
-@_query("SELECT page_id, nullif(list_extract(string_split(url, '/'), -2), '') AS label FROM pages")
+@query("SELECT page_id, nullif(list_extract(string_split(url, '/'), -2), '') AS label FROM pages")
 def label_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", text.parent_label(F.col("url")).alias("label"))
+    return table(spark, sf_dir, "pages").select("page_id", text.parent_label(F.col("url")).alias("label"))
 
 
-@_query(
+@query(
     """SELECT label, list_aggregate(list_sort(list(url)), 'string_agg', ' ') AS files, count(*) AS n
     FROM (SELECT nullif(list_extract(string_split(url, '/'), -2), '') AS label, url FROM pages) WHERE label IS NOT NULL GROUP BY label"""
 )
 def files_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = files.files_by_label(_table(spark, sf_dir, "pages"), "url")
+    grouped = files.files_by_label(table(spark, sf_dir, "pages"), "url")
     return grouped.select("label", F.array_join("files", " ").alias("files"), F.size("files").cast("long").alias("n"))
 
 
@@ -289,13 +292,13 @@ _SCRIPT_SQL = """CASE doc_id % 9 WHEN 0 THEN 'powershell -WindowStyle Hidden -en
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.expr(_SCRIPT_SQL).alias("script"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_SCRIPT_SQL).alias("script"))
 
 
 _LINES = "length(script) - length(replace(script, chr(10), '')) + CASE WHEN script = '' OR right(script, 1) = chr(10) THEN 0 ELSE 1 END"
 
 
-@_query(
+@query(
     f"""WITH s AS (SELECT doc_id, {_SCRIPT_SQL} AS script FROM documents)
     SELECT doc_id, CASE WHEN contains(script, 'powershell -WindowStyle Hidden -e') THEN 'BatchBase64'
       WHEN contains(script, 'powershell -WindowStyle Hidden -Command') THEN CASE WHEN contains(script, 'set "base64=') THEN 'BatchCommandConcat' ELSE 'BatchCommandNormal' END
@@ -314,13 +317,12 @@ def classify_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MAGIC_ROWS = (
     (1, "504B030414"), (2, "6465780A30333500"), (3, "6465780A30333501"), (4, "7F454C460101010000000000000000000200280001"),
-    (5, "7F454C460102010000000000000000000002003E01"), (6, "7F454C4601010100000000000000000002000300"), (7, "7F454C46010101000000000000000000020"
-     "0B700"), (8, "4D5A9000"), (9, "50450000"), (10, "000000"), (11, "68656C6C6F"), (12, ""), (13, "7F454C46"),
+    (5, "7F454C460102010000000000000000000002003E01"), (6, "7F454C4601010100000000000000000002000300"), (7, "7F454C460101010000000000000000000200B700"), (8, "4D5A9000"), (9, "50450000"), (10, "000000"), (11, "68656C6C6F"), (12, ""), (13, "7F454C46"),
 )
 _MAGIC_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{h}')" for i, h in _MAGIC_ROWS) + ") t(id, h)"
 
 
-@_query(
+@query(
     f"""WITH m AS ({_MAGIC_SQL}), b AS (SELECT id, h, substr(h, 11, 2) AS b5, substr(h, 15, 2) AS b7, substr(h, 37, 2) AS b18, substr(h, 39, 2) AS b19 FROM m),
     e AS (SELECT *, CASE WHEN b5 = '01' THEN b18 WHEN b5 = '02' THEN b19 END AS machine FROM b)
     SELECT id, CASE WHEN h LIKE '504B%' THEN 'APK' WHEN h LIKE '6465780A%' AND b7 = '00' THEN 'DEX' WHEN h LIKE '7F454C46%' THEN 'ELF' END AS archive_kind,
@@ -346,10 +348,10 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("lib/"), folder, F.lit("/"), number, F.lit(".so")))
         .when(F.col("page_id") % 4 == 1, F.concat(number, F.lit(".apk"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("classes"), number, F.lit(".dex"))).otherwise(F.col("url"))
     )
-    return _table(spark, sf_dir, "pages").select("page_id", path.alias("member"))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("member"))
 
 
-@_query(
+@query(
     f"""WITH m AS (SELECT page_id, {_MEMBER_SQL} AS member FROM pages)
     SELECT page_id, member, CASE WHEN suffix(member, '.apk') THEN 'APK' WHEN starts_with(member, 'lib/') THEN 'ELF' WHEN suffix(member, '.dex') THEN 'DEX' END AS kind,
     CASE WHEN starts_with(member, 'lib/armeabi-v7a/') THEN 'armeabi-v7a' WHEN starts_with(member, 'lib/arm64-v8a/') THEN 'arm64-v8a'
@@ -360,34 +362,34 @@ def member_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _members(spark, sf_dir).select("page_id", "member", text.member_kind(member).alias("kind"), text.architecture_from_path(member).alias("architecture"))
 
 
-@_query("SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages")
+@query("SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages")
 def between_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"))
 
 
-@_query("SELECT doc_id, text AS decoded, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE sha256(text) END AS after_command FROM documents")
+@query("SELECT doc_id, text AS decoded, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE sha256(text) END AS after_command FROM documents")
 def base64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded text decodes strictly, alone and as a command's argument; an argument that nothing follows gives null."""
     encoded = F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", "")
     command = F.concat(F.lit("echo powershell -WindowStyle Hidden -e "), encoded, F.when(F.col("doc_id") % 3 == 0, "").otherwise("\nexit"))
-    return _table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", text.strict_base64(encoded).cast("string").alias("decoded"), F.sha2(text.after_encoded_command(command), 256).alias("after_command")
     )
 
 
-@_query("SELECT doc_id, doc_id % 3 + 1 AS times, sha256(text) AS payload FROM documents")
+@query("SELECT doc_id, doc_id % 3 + 1 AS times, sha256(text) AS payload FROM documents")
 def base64_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many decodings as calls occur in the script."""
     plain = lambda c: F.regexp_replace(F.base64(c), "[\r\n]", "")
     once = plain(F.col("text").cast("binary"))
     twice = plain(once.cast("binary"))
-    docs = _table(spark, sf_dir, "documents").withColumn("times", F.col("doc_id") % 3 + 1)
+    docs = table(spark, sf_dir, "documents").withColumn("times", F.col("doc_id") % 3 + 1)
     blob = F.when(F.col("times") == 1, once).when(F.col("times") == 2, twice).otherwise(plain(twice.cast("binary")))
     script = F.concat(F.lit("x = base64.b64decode('''"), blob, F.lit("''')"), F.repeat(F.lit(" base64.b64decode(x)"), (F.col("times") - 1).cast("int")))
     return docs.select("doc_id", "times", script.alias("script")).select("doc_id", "times", F.sha2(text.quoted_payload(F.col("script")), 256).alias("payload"))
 
 
-@_query(
+@query(
     """WITH t AS (SELECT conv_id, turn + CASE WHEN conv_id % 5 = 0 AND turn >= 1 THEN 1 ELSE 0 END AS number, replace(text, '"', '') AS part FROM conversations),
     r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY number) - 1 AS i FROM t)
     SELECT conv_id, coalesce(string_agg(part, '' ORDER BY number) FILTER (number = i), '') AS joined FROM r GROUP BY 1"""
@@ -396,11 +398,11 @@ def numbered_parts_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as numbered parts; every fifth conversation leaves out a number."""
     number = F.col("turn") + F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") >= 1), 1).otherwise(0)
     part = F.concat(F.lit('set "base64_part'), number.cast("string"), F.lit("="), F.replace("text", F.lit('"'), F.lit("")), F.lit('"\n'))
-    scripts = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(part)), "").alias("script"))
+    scripts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(part)), "").alias("script"))
     return scripts.select("conv_id", text.numbered_parts(F.col("script")).alias("joined"))
 
 
-@_query(
+@query(
     """WITH p AS (SELECT page_id, 'f' || page_id AS name, 'Zm9v' || page_id AS blob FROM pages)
     SELECT page_id, 'abcdefghij' || lpad((page_id % 100)::VARCHAR, 2, '0') AS key, blob FROM p"""
 )
@@ -411,24 +413,24 @@ def dynamic_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("function f"), number, F.lit(' {param($a) } $k = ("abcdefghij'), F.lpad((F.col("page_id") % 100).cast("string"), 2, "0"),
         F.lit('"); other "bm8="; f'), number, F.lit(' "Zm9v'), number, F.lit('"'),
     )
-    return _table(spark, sf_dir, "pages").select("page_id", script.alias("s")).select("page_id", text.xor_key(F.col("s")).alias("key"), text.xor_blob(F.col("s")).alias("blob"))
+    return table(spark, sf_dir, "pages").select("page_id", script.alias("s")).select("page_id", text.xor_key(F.col("s")).alias("key"), text.xor_blob(F.col("s")).alias("blob"))
 
 
-@_query(f"SELECT doc_id, lines FROM (SELECT doc_id, {_LINES.replace('script', 'text')} AS lines FROM documents) WHERE lines < 5")
+@query(f"SELECT doc_id, lines FROM (SELECT doc_id, {_LINES.replace('script', 'text')} AS lines FROM documents) WHERE lines < 5")
 def line_count_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", text.line_count(F.col("text")).cast("long").alias("lines")).where("lines < 5")
+    return table(spark, sf_dir, "documents").select("doc_id", text.line_count(F.col("text")).cast("long").alias("lines")).where("lines < 5")
 
 
-@_query(
+@query(
     """SELECT conv_id, turn, bytes, rn FROM (SELECT conv_id, turn, strlen(text) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY strlen(text) DESC, turn) AS rn FROM conversations) WHERE rn <= 2"""
 )
 def top2_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     longest = Window.partitionBy("conv_id").orderBy(F.desc("bytes"), "turn")
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("bytes"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("bytes"))
     return turns.withColumn("rn", F.row_number().over(longest).cast("long")).where("rn <= 2")
 
 
-@_query("SELECT range AS similarity, round(pow(1.0472, 100 - range) - 1, 6) AS distance FROM range(0, 101)")
+@query("SELECT range AS similarity, round(pow(1.0472, 100 - range) - 1, 6) AS distance FROM range(0, 101)")
 def similarity_to_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(101).select(F.col("id").alias("similarity"), F.round(text.similarity_to_distance(F.col("id")), 6).alias("distance"))
 
@@ -437,7 +439,7 @@ def similarity_to_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("value"), "label")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("value"), "label")
 
 
 _EUCLID = "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -446,19 +448,19 @@ p AS (SELECT a.vec_id AS i, b.vec_id AS j, {_EUCLID} AS d FROM e a JOIN e b ON a
 """
 
 
-@_query(_PAIRS + "SELECT i, j, round(d, 6) AS d FROM p")
+@query(_PAIRS + "SELECT i, j, round(d, 6) AS d FROM p")
 def pairwise_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of samples."""
     return _rounded(distance.pairs(_points(spark, sf_dir), {"d": distance.euclidean}), "d")
 
 
-@_query(_PAIRS + "SELECT i, j, round(d, 6) AS d FROM p UNION ALL SELECT j, i, round(d, 6) FROM p UNION ALL SELECT vec_id, vec_id, 0.0 FROM e")
+@query(_PAIRS + "SELECT i, j, round(d, 6) AS d FROM p UNION ALL SELECT j, i, round(d, 6) FROM p UNION ALL SELECT vec_id, vec_id, 0.0 FROM e")
 def distance_matrix_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
     return _rounded(distance.mirrored(distance.pairs(points, {"d": distance.euclidean}), points), "d")
 
 
-@_query(
+@query(
     f"""WITH e AS (SELECT * FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, {_EUCLID} AS d,
       list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) AS m,
       1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS c
@@ -473,7 +475,7 @@ _EPS, _MIN_PTS = 1.16, 5
 
 
 def _all_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    points = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("value"))
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("value"))
     return points.select("node_id"), distance.pairs(points, {"d": distance.euclidean})
 
 
@@ -490,13 +492,13 @@ def _dbscan_sql(pairs: str, eps: float, min_pts: int) -> str:
     FROM e v LEFT JOIN num ON num.node = v.vec_id LEFT JOIN border ON border.i = v.vec_id"""
 
 
-@_query(_dbscan_sql(f"WITH RECURSIVE e AS (SELECT * FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, {_EUCLID} AS d FROM e a JOIN e b ON a.vec_id < b.vec_id)", _EPS, _MIN_PTS))
+@query(_dbscan_sql(f"WITH RECURSIVE e AS (SELECT * FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, {_EUCLID} AS d FROM e a JOIN e b ON a.vec_id < b.vec_id)", _EPS, _MIN_PTS))
 def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, pairs = _all_pairs(spark, sf_dir)
     return cluster.dbscan(nodes, pairs, _EPS, _MIN_PTS)
 
 
-@_query(
+@query(
     _dbscan_sql(
         f"""WITH RECURSIVE e AS (SELECT * FROM embeddings), f AS (SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN a.vec_id = b.vec_id THEN 0.0 ELSE {_EUCLID} END AS d FROM e a, e b),
         m AS (SELECT i, list(d ORDER BY j) AS row FROM f GROUP BY 1), p AS (SELECT a.i, b.i AS j, list_distance(a.row, b.row) AS d FROM m a JOIN m b ON a.i < b.i)""", 1.9, 4
@@ -509,7 +511,7 @@ def dbscan_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.dbscan(points.select("node_id"), cluster.matrix_rows(full), 1.9, 4)
 
 
-@_query()
+@query()
 def dbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full grid over one distance, rescaled to the grid's range."""
     points = _points(spark, sf_dir)
@@ -518,68 +520,112 @@ def dbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.dbscan_grid(spark, pairs, labels, ["d"], list(range(1, 100)), list(range(2, 100)))
 
 
-@_query()
+# Cells of the grid: those in SQL are a few, as each is a clustering of its own there.
+_CELLS = tuple((eps, min_pts) for eps in (50, 64) for min_pts in (2, 5))
+_SCALED = f"WITH RECURSIVE e AS (SELECT * FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, greatest(0, 400 * ({_EUCLID} - 1)) AS d FROM e a JOIN e b ON a.vec_id < b.vec_id)"
+
+
+def _cell_sql(eps: int, min_pts: int, columns: str) -> str:
+    labelled = f"(SELECT cluster, (node_id % 4)::VARCHAR AS label FROM ({_dbscan_sql(_SCALED, eps, min_pts)}))"
+    whole = "CASE WHEN (SELECT max(cluster) + 1 > count(DISTINCT cluster) FROM c) THEN 'nan'::DOUBLE ELSE {} END"
+    measured = {m: whole.format(e) if m == "nmi" else e for m, e in _MEASURES.items()}
+    values = ", ".join(f"round(({measured[m]})::DOUBLE, 6) AS {name}" for m, name in (x.split(":") for x in columns.split()))
+    return f"SELECT * FROM ({_COUNTED.format(rows=labelled)} SELECT {eps}::DOUBLE AS eps, {min_pts}::INT AS min_pts, {values} FROM s)"
+
+
+def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir)
+    pairs = distance.pairs(points, {"d": distance.euclidean}).withColumn("d", F.greatest(F.lit(0.0), 400 * (F.col("d") - 1)))
+    labels = points.select("node_id", (F.col("node_id") % 4).cast("string").alias("family"))
+    return cluster.dbscan_grid(spark, pairs, labels, ["d"], sorted({e for e, _ in _CELLS}), sorted({m for _, m in _CELLS}))
+
+
+@query(" UNION ALL ".join(_cell_sql(*cell, "purity:purity nmi:nmi ri_ref:ri_ref ri_std:ri_std f5_ref:f5_ref f5_std:f5_std") for cell in _CELLS))
+def dbscan_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few cells of the grid."""
+    return _rounded(_swept(spark, sf_dir).drop("distance", "n"), *_MEASURES)
+
+
+@query(" UNION ALL ".join(_cell_sql(*cell, "purity:prurity nmi:nmi ri_ref:ri f5_ref:f5") for cell in _CELLS))
+def sweep_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV sink, read back."""
+    folder = fresh_path(spark, "sweep")
+    files.write_sweep_csv(_swept(spark, sf_dir), folder)
+    shape = "eps double, min_pts int, prurity double, nmi double, ri double, f5 double"
+    return _rounded(spark.read.option("header", True).schema(shape).csv(f"{folder}/dbscan_d.csv"), "prurity", "nmi", "ri", "f5")
+
+
+_NEAR = f"WITH RECURSIVE e AS (SELECT * FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, {_EUCLID} AS d FROM e a JOIN e b ON a.vec_id < b.vec_id)"
+
+
+@query(
+    f"""WITH lab AS (SELECT * FROM ({_dbscan_sql(_NEAR, _EPS, _MIN_PTS)})), near AS (SELECT * FROM ({_NEAR} SELECT i, j FROM p WHERE d <= {_EPS})),
+    nb AS (SELECT i, j FROM near UNION ALL SELECT j, i FROM near UNION ALL SELECT vec_id, vec_id FROM embeddings),
+    votes AS (SELECT nb.i, lab.cluster, count(*) AS n FROM nb JOIN lab ON lab.node_id = nb.j GROUP BY ALL)
+    SELECT i AS node_id, cluster FROM votes QUALIFY row_number() OVER (PARTITION BY i ORDER BY n DESC, cluster) = 1"""
+)
 def dbscan_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, pairs = _all_pairs(spark, sf_dir)
+    pairs = spool(pairs.where(F.col("d") <= _EPS), "pairs")
     return cluster.revoted(cluster.dbscan(nodes, pairs, _EPS, _MIN_PTS), pairs, _EPS)
 
 
-@_query()
+@query()
 def kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("value"))
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("value"))
     return cluster.kmeans_labels(points, 10)
 
 
-@_query()
+@query()
 def ctph_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), fuzzy.hash_udf(fuzzy.ctph)(F.col("text").cast("binary")).alias("ssdeep"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), fuzzy.hash_udf(fuzzy.ctph)(F.col("text").cast("binary")).alias("ssdeep"))
     return distance.ssdeep_candidates(docs)
 
 
-@_query()
+@query()
 def tlsh_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("node_id"), F.col("text").alias("content"), F.lit("item").alias("family"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("node_id"), F.col("text").alias("content"), F.lit("item").alias("family"))
     return distance.fuzzy_pairs(distance.features(items)).select("i", "j", "tlsh")
 
 
 # --- codecs, archives, families --------------------------------------------------
 
 
-@_query(
+@query(
     """SELECT conv_id, turn, CASE WHEN regexp_full_match(text, '[\\x00-\\x7f]*') THEN regexp_replace(text, '[{}()]', '', 'g') END AS inner_text FROM conversations"""
 )
 def balanced_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A braced block inside another; text that is not ASCII gives none."""
     clean = F.regexp_replace("text", r"[{}()]", "")
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", clean.alias("clean"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", clean.alias("clean"))
     script = F.concat(F.lit('x powershell -WindowStyle Hidden -Command "& { '), F.lit("{"), "clean", F.lit("}"), F.lit("} tail }"))
     braced = codec.braced_command_udf()(script)
     return turns.select("conv_id", "turn", F.substr(braced, F.lit(2), F.length(braced) - 2).alias("inner_text"))
 
 
-@_query(
+@query(
     """SELECT conv_id, turn, list_aggregate(list_transform(string_split(text, ''), lambda c: chr(least(unicode(c), 255))), 'string_agg', '') AS decoded
     FROM conversations"""
 )
 def charcode_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters as arithmetic, evaluated back; codes saturate at 255."""
     codes = F.transform(F.split("text", ""), lambda c: F.concat(F.lit("("), F.ascii(c).cast("string"), F.lit("*2-4)/2 + 2")))
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", codec.characters_udf()(F.array_join(codes, ",")).alias("decoded"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", codec.characters_udf()(F.array_join(codes, ",")).alias("decoded"))
 
 
-@_query("SELECT doc_id, sha256(text) AS unpacked FROM documents")
+@query("SELECT doc_id, sha256(text) AS unpacked FROM documents")
 def xor_gunzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("string")
     def pack(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: codec.xor_gzip("k3yk3yk3yk3y", t))
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", pack("text").alias("blob"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", pack("text").alias("blob"))
     return docs.select("doc_id", F.sha2(codec.unxor_gunzip_udf()(F.lit("k3yk3yk3yk3y"), F.col("blob")).cast("binary"), 256).alias("unpacked"))
 
 
-@_query("SELECT doc_id, sha256(text) AS from_utf8, CASE WHEN regexp_full_match(text, '(?s)[\\x01-\\x7f]+') THEN sha256(text) END AS from_utf16 FROM documents")
+@query("SELECT doc_id, sha256(text) AS from_utf8, CASE WHEN regexp_full_match(text, '(?s)[\\x01-\\x7f]+') THEN sha256(text) END AS from_utf16 FROM documents")
 def utf16_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     decoded = codec.text_of_udf()(F.encode("text", "UTF-16LE"))
     ascii_only = F.col("text").rlike(r"\A[\x01-\x7f]+\z")
     return docs.select(
@@ -593,32 +639,11 @@ def _zipped(spark: SparkSession, sf_dir: str, name: Column, flagged: bool) -> Da
     def pack(names: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series([archives.build_zip({n: t.encode()}, flagged) for n, t in zip(names, texts, strict=True)])
 
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), pack(name, F.col("text")).alias("content"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), pack(name, F.col("text")).alias("content"))
 
 
-@_query("SELECT doc_id::VARCHAR AS id, 'a.dex' AS member, sha256(text) AS sha256sum FROM documents")
+@query("SELECT doc_id::VARCHAR AS id, 'a.dex' AS member, sha256(text) AS sha256sum FROM documents")
 def zip_clear_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of archives whose encryption flag is a lie."""
     found = archives.members(_zipped(spark, sf_dir, F.lit("a.dex"), True))
     return found.where("member is not null").select("id", "member", F.sha2("content", 256).alias("sha256sum"))
-
-
-@_query()
-def archive_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vertices of archives that hold native libraries."""
-    @F.pandas_udf("binary")
-    def pack(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        elf = b"\x7fELF\x01\x01" + bytes(12) + b"\x28\x00"
-        return pd.Series([archives.build_zip({"inner.apk": archives.build_zip({"lib/x86/a.so": elf + t.encode()}), "lib/x86/b.so": elf}) for t in texts])
-
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), pack("doc_id", "text").alias("content"))
-    return families.coper(docs).vertices.select("collection", "_key")
-
-
-@_query()
-def sweep_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The CSV sink, read back."""
-    folder = tempfile.mkdtemp() if spark.conf.get("spark.checkpoint.dir", None) is None else spark.conf.get("spark.checkpoint.dir") + "/sweep"
-    sweep = dbscan_grid(spark, sf_dir)
-    files.write_sweep_csv(sweep, folder)
-    return spark.read.option("header", True).schema("eps double, min_pts int, prurity double, nmi double, ri double, f5 double").csv(f"{folder}/dbscan_d.csv")

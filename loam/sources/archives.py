@@ -6,14 +6,15 @@ import io
 import struct
 import zipfile
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import pandas_udf
 
-_END, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x01\x02", b"PK\x03\x04"
-#: Bytes of a member that are read at most; larger ones are an error.
-MOST_MEMBER = 64 << 20
+_END, _CENTRAL, _LOCAL, _DESCRIPTOR = b"PK\x05\x06", b"PK\x01\x02", b"PK\x03\x04", b"PK\x07\x08"
+#: Bytes of a member that are read at most (what a cell of a table can hold, with room to spare); larger ones are an error.
+MOST_MEMBER = 1 << 30
 
 MEMBERS = "id string, member string, content binary, is_cut boolean, error string"
 
@@ -35,6 +36,63 @@ def _end_record(data: bytes) -> tuple[int, int]:
     raise ZipError("no end record")
 
 
+class Entry(NamedTuple):
+    name: str
+    flags: int
+    method: int
+    crc: int
+    packed: int
+    size: int
+    offset: int
+    #: ``(crc, packed, size)`` behind the data, where bit 3 of the local flags says that they are there.
+    descriptor: tuple[int, int, int] | None
+
+
+def entries(data: bytes) -> list[Entry]:
+    """The central directory, each entry with the descriptor behind its data, if there is one.
+
+    A local header whose sizes are left to a descriptor has zeros, so the data's end
+    follows from the directory's sizes.
+    """
+    count, at = _end_record(data)
+    found = []
+    for _ in range(count):
+        if data[at : at + 4] != _CENTRAL or at + 46 > len(data):
+            raise ZipError("bad central header")
+        flags, method = struct.unpack_from("<HH", data, at + 8)
+        crc, packed, size, name, extra, comment = struct.unpack_from("<IIIHHH", data, at + 16)
+        local = struct.unpack_from("<I", data, at + 42)[0]
+        if data[local : local + 4] != _LOCAL or local + 30 > len(data):
+            raise ZipError("bad local header")
+        local_flags = struct.unpack_from("<H", data, local + 6)[0]
+        local_name, local_extra = struct.unpack_from("<HH", data, local + 26)
+        end, descriptor = local + 30 + local_name + local_extra + packed, None
+        if local_flags & 8:
+            # The descriptor's signature may be left out.
+            end += 4 * (data[end : end + 4] == _DESCRIPTOR)
+            if end + 12 > len(data):
+                raise ZipError("bad descriptor")
+            descriptor = struct.unpack_from("<III", data, end)
+        encoding = "utf-8" if flags & 0x800 else "cp437"
+        found.append(Entry(data[at + 46 : at + 46 + name].decode(encoding), flags, method, crc, packed, size, local, descriptor))
+        at += 46 + name + extra + comment
+    return found
+
+
+def entries_udf():
+    @pandas_udf("array<struct<name:string,packed:long,size:long,descriptor_size:long>>")
+    def listed(contents: pd.Series) -> pd.Series:
+        def one(data):
+            try:
+                return None if data is None else [{"name": e.name, "packed": e.packed, "size": e.size, "descriptor_size": e.descriptor and e.descriptor[2]} for e in entries(bytes(data))]
+            except (ZipError, struct.error, UnicodeDecodeError):
+                return None
+
+        return contents.map(one)
+
+    return listed
+
+
 def clear_encryption_flags(data: bytes) -> bytes:
     """The archive with flag bit 0 off in all local and central headers; nothing else changes."""
     entries, at = _end_record(data)
@@ -118,9 +176,22 @@ def clear_flags_udf():
     return clear
 
 
-def build_zip(files: dict[str, bytes], encrypted_flag: bool = False, compress: bool = True) -> bytes:
+class _Stream(io.BytesIO):
+    """A sink that can't go back, as a socket can't: sizes then go behind the data."""
+
+    def seekable(self) -> bool:
+        return False
+
+    def seek(self, *_):
+        raise io.UnsupportedOperation
+
+    def tell(self):
+        raise io.UnsupportedOperation
+
+
+def build_zip(files: dict[str, bytes], encrypted_flag: bool = False, compress: bool = True, streamed: bool = False) -> bytes:
     """A small archive for fixtures."""
-    out = io.BytesIO()
+    out = _Stream() if streamed else io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if compress else zipfile.ZIP_STORED) as archive:
         for name, data in files.items():
             archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED if compress else zipfile.ZIP_STORED)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,32 @@ def read_files(spark: SparkSession, paths: str | list[str], on_error: str = "ski
     return reader.load(paths).select("path", "content", parent_label(F.col("path")).alias("label"))
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        # One file at a time: a batch of paths may stand for a lot of data.
+        for path in batch.column(0).to_pylist():
+            content, error = None, None
+            try:
+                store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+                if store.get_file_info(name).type != fs.FileType.File:
+                    raise FileNotFoundError("not a regular file")
+                with store.open_input_stream(name, compression=None) as source:
+                    content = source.read()
+            except (OSError, ValueError, pa.ArrowInvalid) as e:
+                error = f"{type(e).__name__}: {e}"
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["path", "content", "error"])
+
+
+def read_listed(paths: DataFrame, path: str = "path") -> DataFrame:
+    """``(path, content, label, error)`` for every path listed: files that can't be read keep their row, with the error.
+
+    Null paths are left out. Paths are local ones or URIs that ``pyarrow.fs`` reaches.
+    """
+    listed = paths.select(F.col(path).cast("string").alias("path")).where("path is not null")
+    read = listed.mapInArrow(_read, "path string, content binary, error string")
+    return read.select("path", "content", parent_label(F.col("path")).alias("label"), "error")
+
+
 def files_by_label(rows: DataFrame, path: str = "path") -> DataFrame:
     """``(label, files)``: sorted paths per label; paths without a folder are left out."""
     labelled = rows.select(parent_label(F.col(path)).alias("label"), F.col(path).alias("path")).where("label is not null")
