@@ -1,11 +1,13 @@
 """License scans: fingerprints propose templates, banded alignment reports coverage.
 
-Texts and templates become words of ASCII letters and digits, lower-cased. Short templates
-are found by winnowed hashes of ``GRAM`` successive words: of every ``WINDOW`` successive
-ones the least is kept, so any shared run of ``GRAM + WINDOW - 1`` words shares a
-fingerprint. (Schleimer, Wilkerson, Aiken 2003.) A long template must share so many grams
-within the band of a place that places with fewer can't reach ``COVERAGE``; only those are
-left out. A banded alignment of the whole template around each place, by words, counts the
+Texts and templates become words of ASCII letters and digits, lower-cased. Of the hashes
+of every ``size`` successive words the least of every ``window`` successive ones is kept,
+so any shared run of ``size + window - 1`` words shares a fingerprint (Schleimer,
+Wilkerson, Aiken 2003). An inverted index of the templates' fingerprints picks candidates:
+long templates by ``LONG`` fingerprints, notices of a few words by ``SHORT`` ones, of which
+they keep all, as there is little to choose from. A long candidate must share so many
+grams within the band of a place that places with fewer can't reach ``COVERAGE``; only
+those are left out. A banded alignment of the whole template around each place, by words, counts the
 template words that the text has in order, and where the matched words begin and end.
 """
 
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from math import ceil
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,16 @@ from pyspark.sql import functions as F
 from .shared import narrow_input
 from .textscan import PowerTable, buffers, chained, lower_table, steps, tokens
 
-#: Together they find any shared run of three words, the length of the shortest notice.
-GRAM, WINDOW = 2, 2
+
+
+class Winnow(NamedTuple):
+    #: Words of a gram, and grams of a window.
+    size: int
+    window: int
+
+
+#: Finds any shared run of three words, the length of the shortest notice, and any of seven in a long template.
+SHORT, LONG = Winnow(2, 2), Winnow(4, 4)
 #: Words by which the text may run ahead of or behind the template.
 BAND = 8
 #: Share of a template's words that a report needs.
@@ -79,14 +90,14 @@ def _gap() -> np.ndarray:
     return gap
 
 
-def winnow(grams: np.ndarray) -> np.ndarray:
-    """Places of the least of every ``WINDOW`` successive hashes (all equals of it; all places if there are fewer)."""
-    if len(grams) <= WINDOW:
-        return np.arange(len(grams))
-    windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
+def winnow(grams: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least of every ``window`` successive hashes (all equals of it; of all if there are fewer)."""
+    if not len(grams):
+        return np.arange(0)
+    windows = np.lib.stride_tricks.sliding_window_view(grams, min(window, len(grams)))
     least = windows.min(axis=1)
     kept = np.zeros(len(grams), dtype=bool)
-    for k in range(WINDOW):
+    for k in range(windows.shape[1]):
         kept[k : k + len(least)] |= windows[:, k] == least
     return np.flatnonzero(kept)
 
@@ -151,15 +162,19 @@ class Index:
         self.ids = {name: np.array([self.number[w] for w in words], np.int64) for name, words in self.words.items()}
         self.need = {name: ceil(COVERAGE * len(words)) for name, words in self.words.items()}
         postings: dict[int, list[tuple[str, int]]] = defaultdict(list)
+        prints: dict[int, set[int]] = defaultdict(set)
         long, self.least = {}, []
         for name, words in self.words.items():
-            # Templates keep all their fingerprints: then any hash that a text keeps can hit.
             raw, offsets = buffers(pa.array([" ".join(words)]))
-            grams = chained(tokens(raw, offsets, self.powers, _fold(), _gap()).hashes, GRAM)
+            hashes = tokens(raw, offsets, self.powers, _fold(), _gap()).hashes
+            grams = chained(hashes, SHORT.size)
             # Of the matched words' neighbours at most one is parted by each missing word, and at most one more
             # by each step of the text ahead, of which there are as many as missing words and the band's width.
             least = self.need[name] - 1 - 2 * (len(words) - self.need[name]) - 2 * BAND
             if least > 1:
+                marks = chained(hashes, LONG.size)
+                for h in marks[winnow(marks, LONG.window)]:
+                    prints[int(h)].add(len(long))
                 long[name] = grams
                 self.least.append(least)
                 continue
@@ -167,6 +182,8 @@ class Index:
                 postings[int(h)].append((name, place))
         self.postings = dict(postings)
         self.keys = np.array(sorted(self.postings), dtype=np.uint64)
+        self.prints = dict(prints)
+        self.print_keys = np.array(sorted(self.prints), dtype=np.uint64)
         self.long = list(long)
         self.long_keys = np.unique(np.concatenate([*long.values(), np.zeros(0, np.uint64)]))
         self.counts = np.zeros((len(self.long_keys), len(long)), np.int32)
@@ -177,13 +194,14 @@ class Index:
             order = np.argsort(key, kind="stable")
             self.offsets.append((order, np.concatenate([[0], np.cumsum(self.counts[:, t])])))
 
-    def _long_places(self, at: np.ndarray, keys: np.ndarray) -> Iterator[tuple[str, set[int]]]:
-        """Places of long templates, from the text's places ``at`` of the long grams ``keys``."""
-        if len(at) < min(self.least, default=0):
+    def _long_places(self, at: np.ndarray, keys: np.ndarray, candidates: list[int]) -> Iterator[tuple[str, set[int]]]:
+        """Places of the long templates ``candidates``, from the text's places ``at`` of the long grams ``keys``."""
+        candidates = [t for t in candidates if self.least[t] <= len(at)]
+        if not candidates:
             return
         present, n = np.unique(keys, return_counts=True)
-        shared = np.minimum(self.counts[present], n[:, None]).sum(axis=0)
-        for t in np.flatnonzero(shared >= self.least):
+        shared = np.minimum(self.counts[np.ix_(present, candidates)], n[:, None]).sum(axis=0)
+        for t in (t for t, held in zip(candidates, shared.tolist(), strict=True) if held >= self.least[t]):
             order, bounds = self.offsets[t]
             many = self.counts[keys, t]
             rank = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -198,19 +216,23 @@ class Index:
         raw, offsets = buffers(texts)
         for a, b in steps(offsets):
             found = tokens(raw, offsets[a : b + 1], self.powers, _fold(), _gap())
-            grams = chained(found.hashes, GRAM)
+            grams, marks = chained(found.hashes, SHORT.size), chained(found.hashes, LONG.size)
             hit, _ = self._find(self.keys, grams)
             far, key = self._find(self.long_keys, grams)
+            marked, _ = self._find(self.print_keys, marks)
             for lo, hi in zip(found.bounds[:-1], found.bounds[1:], strict=True):
                 places: dict[str, set[int]] = defaultdict(set)
-                end = max(hi - GRAM + 1, lo)
+                end, last = max(hi - SHORT.size + 1, lo), max(hi - LONG.size + 1, lo)
                 if hit[lo:end].any():
-                    kept = winnow(grams[lo:end])
+                    kept = winnow(grams[lo:end], SHORT.window)
                     for place in kept[hit[lo:end][kept]]:
                         for name, offset in self.postings[int(grams[lo + place])]:
                             places[name].add(int(place) - offset)
-                at = np.flatnonzero(far[lo:end])
-                places.update(self._long_places(at, key[lo:end][at]))
+                if marked[lo:last].any():
+                    kept = winnow(marks[lo:last], LONG.window)
+                    candidates = sorted({t for place in kept[marked[lo:last][kept]] for t in self.prints[int(marks[lo + place])]})
+                    at = np.flatnonzero(far[lo:end])
+                    places.update(self._long_places(at, key[lo:end][at], candidates))
                 yield places
 
     @staticmethod
@@ -294,11 +316,14 @@ def _scanned(batches: Iterator[pa.RecordBatch], templates: dict[str, str]) -> It
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_matches, matches)``, one row per row of ``docs``.
 
-    Null and empty texts have no matches; templates of fewer than ``GRAM`` words never match; repeated
+    Null and empty texts have no matches; very long texts are scanned whole; of places of
+    one template that overlap the one with most matched words is reported, then the tighter,
+    then the earlier; of overlapping reports of templates of ``RIVALS`` words or more the one
+    with most matched words and no less coverage stays, and equals all stay; templates of fewer than ``SHORT.size`` words never match; repeated
     rows each get their row; other columns are ignored; an empty table gives no rows.
     """
     templates = TEMPLATES if templates is None else templates
-    templates = {k: v for k, v in templates.items() if len(_WORD.findall(v.lower())) >= GRAM}
+    templates = {k: v for k, v in templates.items() if len(_WORD.findall(v.lower())) >= SHORT.size}
     return (
         narrow_input(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
         .mapInArrow(lambda it: _scanned(it, templates), f"doc_id long, matches {MATCHES}")

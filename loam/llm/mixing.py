@@ -23,6 +23,8 @@ DRIFTS = (0.5, -0.5, 0.0)
 SHARE = (3, 2)
 #: A document is taken at most so many times.
 PASSES = 2
+#: Buckets whose figures are broadcast at most (some 40 MB).
+FIGURES = 200_000
 #: Hexadecimal digits of a document's order key that name its bucket: 4096 buckets a source.
 BUCKET_DIGITS = 3
 
@@ -104,7 +106,7 @@ def _demands(sized: DataFrame, rows: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("bucket", in_bucket).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(small(figures), (F.col("bucket") == F.col("b")) & F.col("source").eqNullSafe(F.col("s")))
+        .join(small(figures, FIGURES), (F.col("bucket") == F.col("b")) & F.col("source").eqNullSafe(F.col("s")))
         .withColumn("before", F.col("offset") + F.col("within")).drop("s", "b", "key", "bucket", "within", "offset")
         .withColumn("words", F.round("target").cast("long"))
     )

@@ -228,11 +228,48 @@ def test_winnowing_keeps_a_fingerprint_of_every_window():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    for n in (0, 1, 2, 3, 50):
-        grams = rng.integers(0, 5, n).astype(np.uint64)
-        kept = set(licenses.winnow(grams).tolist())
-        for i in range(max(0, n - licenses.WINDOW + 1)):
-            assert kept & set(range(i, i + licenses.WINDOW))
+    for size, window in (licenses.SHORT, licenses.LONG):
+        for n in (0, 1, 2, 3, 50):
+            grams = rng.integers(0, 5, n).astype(np.uint64)
+            kept = set(licenses.winnow(grams, window).tolist())
+            for i in range(max(0, n - window + 1)):
+                assert kept & set(range(i, i + window))
+            assert not n or kept
+        assert size and len(licenses.winnow(rng.integers(0, 1 << 60, 1000).astype(np.uint64), window)) < 1000
+
+
+def test_scan_equals_a_plain_scan(spark):
+    """Every start of every template aligned, against what the index lets through."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(60)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    templates = {"short": words(5), "middle": words(14), "long": words(80), "longer": words(150)}
+    texts = []
+    for i in range(60):
+        name = rng.choice(list(templates))
+        copy = list(templates[name])
+        for _ in range(len(copy) // 12 if i % 2 else len(copy) // 6):
+            k = rng.randrange(len(copy))
+            copy[k : k + 1] = rng.choice(([], ["new"], [copy[k], "more"]))
+        texts.append(words(rng.randint(0, 40)) + (copy if i % 5 else []) + words(rng.randint(0, 40)))
+    texts[7] = texts[7] * 40 + templates["long"]
+    df = spark.createDataFrame([("x", i, " ".join(t).upper(), "", "s") for i, t in enumerate(texts)], "n_email string, doc_id long, text string, spans string, source string")
+    rows = {r["doc_id"]: r["matches"] for r in licenses.scan_licenses(df, {k: " ".join(t) for k, t in templates.items()}).collect()}
+    told = 0
+    for i, text in enumerate(texts):
+        if i == 7:
+            assert any(m["license"] == "long" and m["coverage"] == 1.0 for m in rows[i])
+            continue
+        for name, template in templates.items():
+            best = max((licenses.align(template, text, start)[0] for start in range(-licenses.BAND, len(text))), default=0)
+            got = max((m["matched"] for m in rows[i] if m["license"] == name), default=0)
+            runs = any(text[j : j + n] == template[o : o + n] for n in [3 if len(template) < 40 else 7] for o in range(len(template) - n + 1) for j in range(len(text) - n + 1))
+            if best >= licenses.COVERAGE * len(template) and runs:
+                assert best - 2 <= got <= best, (i, name)
+                told += 1
+            else:
+                assert got == 0 or best - 2 <= got <= best
+    assert told > 25
 
 
 def test_alignment_equals_the_longest_common_subsequence():
