@@ -89,6 +89,48 @@ def test_program_chain_and_store(spark, tmp_path):
         families.focused("unknown", samples)
 
 
+def test_archives_nest_without_limit(spark):
+    content, shas = archives.build_zip({"classes.dex": DEX}), []
+    for _ in range(14):
+        shas.append(sha(content))
+        content = archives.build_zip({"next.apk": content})
+    got = families.coper(files(spark, {"deep": content}))
+    assert {k for c, k in keys(got.vertices) if c == "CoperAPK"} == {*shas, sha(content)}
+    have = links(got.edges)
+    assert ("CoperHasInnerAPK", f"CoperAPK/{sha(content)}", f"CoperAPK/{shas[0]}") in have
+    assert sum(c == "CoperHasInnerAPK" for c, _, _ in have) == 15 * 14 // 2
+
+
+def test_members_too_large_are_errors(spark, monkeypatch):
+    monkeypatch.setattr(archives, "MOST_MEMBER", 100)
+    with pytest.raises(archives.ZipError):
+        archives.read_member(archives.build_zip({"a.dex": b"x" * 101}), "a.dex")
+
+
+def test_directory_entries():
+    plain, streamed = (archives.build_zip({"a": b"one" * 9, "ü": b""}, streamed=s) for s in (False, True))
+    assert [(e.name, e.size, e.descriptor) for e in archives.entries(plain)] == [("a", 27, None), ("ü", 0, None)]
+    found = archives.entries(streamed)
+    assert [(e.name, e.size) for e in found] == [("a", 27), ("ü", 0)] and all(e.descriptor == (e.crc, e.packed, e.size) for e in found)
+    unsigned = streamed.replace(b"PK\x07\x08", b"", 1)
+    assert archives.read_member(streamed, "a") == b"one" * 9
+    with pytest.raises(archives.ZipError):
+        archives.entries(unsigned)
+    with pytest.raises(archives.ZipError):
+        archives.entries(b"none")
+
+
+def test_listed_files_keep_a_row_each(spark, tmp_path):
+    from loam.sources.files import read_listed
+
+    (tmp_path / "fam").mkdir()
+    (tmp_path / "fam" / "a").write_bytes(b"one")
+    rows = [(str(tmp_path / "fam" / "a"),), (f"file://{tmp_path}/fam/a",), (str(tmp_path / "fam"),), (str(tmp_path / "gone"),), (None,), ("no scheme://x",)]
+    got = [(r["path"], r["content"], r["label"], r["error"] is not None) for r in read_listed(spark.createDataFrame(rows, "path string")).collect()]
+    assert len(got) == 5 and sum(e for *_, e in got) == 3
+    assert all(bytes(c) == b"one" and label == "fam" for _, c, label, e in got if not e)
+
+
 def test_flags_and_members():
     data = archives.build_zip({"a": b"one", "b": b"two"}, encrypted_flag=True, compress=False)
     clear = archives.clear_encryption_flags(data)

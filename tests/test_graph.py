@@ -47,6 +47,9 @@ def test_closure_ends_on_cycles(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "parent int, child int")
     got = {tuple(r) for r in graph.closure(links, 8).collect()}
     assert (1, 4, 3) in got and (1, 1, 3) in got and len(got) == 12
+    assert {tuple(r) for r in graph.closure(links).collect()} == got
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "parent int, child int")
+    assert graph.closure(chain).where("ancestor = 0").count() == 12 and graph.closure(chain, 3).agg(F.max("depth")).first()[0] == 3
 
 
 def test_store_init_is_idempotent(spark, tmp_path):
@@ -57,3 +60,44 @@ def test_store_init_is_idempotent(spark, tmp_path):
     assert store.edges.first()["_key"] == "FocusedCorpus-FocusedCorpus--Coper-Coper"
     assert set(store.vertices.columns) == set(schema.VERTICES.fieldNames())
     assert store.vertices.where(F.col("attrs")["name"] == "Coper").count() == 1
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(c, k, {}) for c, k in rows], schema.VERTICES if all(k for _, k in rows) else "collection string, _key string, attrs map<string,string>")
+
+
+def test_store_appends_what_is_new_and_compacts(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/g")
+    store.upsert(rows_of(spark, [("A", "1"), ("B", "1")]))
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    store.upsert(rows_of(spark, [("A", "1"), ("A", "2"), ("A", "2")]))
+    assert {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet") if p in before} == before
+    assert {(r["collection"], r["_key"]) for r in store.vertices.collect()} == {("A", "1"), ("B", "1"), ("A", "2")} and store.vertices.count() == 3
+    assert len(store._versions("vertices")) == 2
+    (tmp_path / "g" / "vertices" / "version=00000009-half").mkdir()
+    assert len(store._versions("vertices")) == 2, "a version without its mark doesn't count"
+    store.compact()
+    assert len(store._versions("vertices")) == 1 and store.vertices.count() == 3
+    store.upsert(rows_of(spark, [("A", "3")]))
+    assert store.vertices.count() == 4
+    assert store.vertices.where("collection = 'A'").count() == 3
+
+
+def test_store_constraints(spark, tmp_path):
+    store = GraphStore.open(spark, f"file://{tmp_path}/w", "focused")
+    assert store.folder.endswith("/focused_corpus/focused_corpus_graph")
+    kinds = store.collections()
+    assert kinds["CoperDEX"] == "document" and kinds["CoperHasDEX"] == "edge" and kinds["CoperDEX--sha256sum"] == "index" and kinds["Coper--name"] == "index"
+    assert store.ensure_collection("Own", fields=("a", "b")) == "Own--a-b" == store.ensure_collection("Own", fields=("a", "b"))
+    with pytest.raises(graph.ConstraintError, match="Other/1: collection"):
+        store.upsert(rows_of(spark, [("Other", "1")]))
+    with pytest.raises(graph.ConstraintError, match="key"):
+        store.upsert(rows_of(spark, [("Own", None)]))
+    link = graph.edges(spark.range(1), "CoperHasDEX", F.lit("CoperDEX/1"), F.lit("CoperAPK/2"))
+    with pytest.raises(graph.ConstraintError, match="definition"):
+        store.upsert(rows_of(spark, [("Own", "1")]), link)
+    assert store.vertices.count() == store.edges.count() == 0
+    store.upsert(rows_of(spark, [("Own", "1")]), graph.edges(spark.range(2), "CoperHasDEX", F.lit("CoperAPK/1"), F.concat(F.lit("CoperDEX/"), F.col("id").cast("string"))))
+    assert store.vertices.count() == 1 and store.edges.count() == 2
+    again = GraphStore.open(spark, f"file://{tmp_path}/w", "focused")
+    assert again.collections() == store.collections() and again.edges.count() == 2

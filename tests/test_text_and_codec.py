@@ -144,3 +144,32 @@ def test_similarity(spark):
     assert one(spark, 0.0, text.similarity_to_distance, "double") == pytest.approx(99.68467076309885)
     assert one(spark, 100.0, text.similarity_to_distance, "double") == 0
     assert one(spark, "a/b/c.bin", text.parent_label) == "b" and one(spark, "c.bin", text.parent_label) is None
+
+
+def test_literals_equal_a_scan_from_each_start():
+    import random
+
+    from loam.functions import codec
+
+    def plain(text):
+        found, at = [], text.find("@(")
+        while at >= 0:
+            end = codec._closing(text, at + 2, "(", ")")
+            if end is not None and end > at + 2 and (inner := text[at + 2 : end - 1].strip()):
+                found.append(inner)
+            at = text.find("@(", at + 1)
+        return found
+
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice("@((()) a1é") for _ in range(rng.randint(0, 14)))
+        assert codec.array_literals(text) == plain(text)
+    assert len(codec.array_literals("@(" * 20_000 + "é")) == 0
+
+
+def test_xor_with_keys_of_any_length():
+    from loam.functions import codec
+
+    for key in ("k", "key", "a much longer key than the text itself, é"):
+        assert codec.unxor_gunzip(key, codec.xor_gzip(key, "téxt")) == "téxt"
+    assert codec.unxor_gunzip("", "QUJD") is None and codec.unxor_gunzip("k", None) is None
