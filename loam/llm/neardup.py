@@ -51,6 +51,8 @@ OVERLAP = 6
 FREQUENT = 1 << 18
 #: Longer lists don't emit pairs.
 SHORT_LIST = 32
+#: Long lists of a document, from the rarest on, whose first members it is compared with; the rest is left to step 4.
+STARS = 4
 #: Members of a block in the block-wise comparison, on average.
 BLOCK = 256
 #: A component of so many members is compared as a whole, not list by list.
@@ -118,13 +120,13 @@ def _ranked(batches: Iterator[pa.RecordBatch], level: Level, values: np.ndarray,
         take = place < (lengths - shared + np.minimum(OVERLAP, shared))[rows]
         near = place < (lengths - shared + 1)[rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sketch[order][take]), batch.column(0).take(pa.array(rows[take])), batch.column(1).take(pa.array(rows[take])), pa.array(near[take])],
-            ["value", "node", "n", "near"],
+            [pa.array(sketch[order][take]), batch.column(0).take(pa.array(rows[take])), batch.column(1).take(pa.array(rows[take])), pa.array(near[take]), pa.array(place[take], pa.int32())],
+            ["value", "node", "n", "near", "place"],
         )
 
 
 def _listed(classes: DataFrame, level: Level) -> DataFrame:
-    """``(value, node, n, near)``: the rarest sketch values of each class; ``near`` marks those that one common value would do for.
+    """``(value, node, n, near, place)``: the rarest sketch values of each class in order; ``near`` marks those that one common value would do for.
 
     Counts of values on more than ``SHORT_LIST`` sketches give the order. They go to the
     workers if there are ``FREQUENT`` at most, and through joins beyond.
@@ -135,7 +137,7 @@ def _listed(classes: DataFrame, level: Level) -> DataFrame:
         found = often.toPandas().sort_values("value")
         held, counts = found["value"].to_numpy(np.int64), found["m"].to_numpy(np.int64)
         return classes.select("node", "n", "sketch").mapInArrow(
-            lambda it: _ranked(it, level, held, counts), "value long, node long, n long, near boolean"
+            lambda it: _ranked(it, level, held, counts), "value long, node long, n long, near boolean, place int"
         )
     ranked = (
         even_join(values, often, "value", by="node", how="left").groupBy("node", "n")
@@ -145,7 +147,7 @@ def _listed(classes: DataFrame, level: Level) -> DataFrame:
     shared = _shared(held, level)
     several = (held - shared + F.least(F.lit(OVERLAP), shared)).cast("int")
     return ranked.select("node", "n", (held - shared + 1).alias("single"), F.posexplode(F.slice("ranked", F.lit(1), several)).alias("place", "r")).select(
-        F.col("r.value").alias("value"), "node", "n", (F.col("place") < F.col("single")).alias("near")
+        F.col("r.value").alias("value"), "node", "n", (F.col("place") < F.col("single")).alias("near"), "place"
     )
 
 
@@ -159,7 +161,7 @@ def _candidates(classes: DataFrame, level: Level, threshold: tuple[int, int]) ->
     drop_spooled(listed)
 
     # Values in common that long lists may hold count towards the overlap.
-    elsewhere = spool(long_lists.groupBy("node").agg(F.count("*").alias("long")), "elsewhere")
+    elsewhere = spool(long_lists.groupBy("node").agg(F.count("*").alias("long"), F.min("place").alias("least")), "elsewhere")
     need = F.greatest(F.lit(1), F.least(F.lit(OVERLAP), _shared(F.least("n", F.lit(level.size)), level)) - F.coalesce("long", F.lit(0)))
     short = short.join(small(elsewhere), "node", "left").withColumn("need", need)
     one = short.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("need").alias("need_a"))
@@ -170,8 +172,10 @@ def _candidates(classes: DataFrame, level: Level, threshold: tuple[int, int]) ->
         .where("overlap >= need")
     )
     near = long_lists.where("near").select("value", "node", "n")
+    # Members of a group share many lists, mostly with one first member: a few of them will do.
+    few = even_join(long_lists.where("near"), elsewhere, "node", by="value").where(F.col("place") < F.col("least") + STARS).select("value", "node")
     pivots = near.groupBy("value").agg(F.min("node").alias("a"))
-    stars = even_join(near, spool(pivots, "pivots"), "value", by="node").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    stars = even_join(few, spool(pivots, "pivots"), "value", by="node").where("a < node").select("a", F.col("node").alias("b")).distinct()
     return pairs.select("a", "b").unionByName(stars).distinct(), near
 
 
