@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import fuzzy
 from loam.functions.text import similarity_to_distance
+from loam.storage import spool
 
 
 def features(samples: DataFrame, id_col: str = "node_id", content_col: str = "content", label_col: str = "family") -> DataFrame:
@@ -54,6 +57,63 @@ def pairs(nodes: DataFrame, distances: dict[str, Callable[[Column, Column], Colu
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", *(f(F.col("x"), F.col("y")).alias(n) for n, f in sorted(distances.items())))
 
 
+#: Points of a block in ``within``, on average.
+BLOCK = 512
+
+
+def _points(table: pa.Table) -> pa.Table:
+    """The points of a block as one row of bytes, with the range of their distances from the pivot."""
+    lists = table.column("value").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    ids, away = table.column("node_id").to_numpy(), table.column("away").to_numpy()
+    return pa.table({
+        "block": pa.array([table.column("block")[0].as_py()], pa.int32()), "lo": [away.min()], "hi": [away.max()],
+        "ids": pa.array([ids.tobytes()], pa.binary()), "points": pa.array([lists.flatten().to_numpy().tobytes()], pa.binary()),
+    })
+
+
+def _near(batches: Iterator[pa.RecordBatch], eps: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            i, j = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["other_ids"], np.int64)
+            x, y = np.frombuffer(row["points"]).reshape(len(i), -1), np.frombuffer(row["other_points"]).reshape(len(j), -1)
+            squares = np.zeros((len(i), len(j)))
+            for a, b in zip(x.T, y.T, strict=True):
+                squares += (a[:, None] - b[None, :]) ** 2
+            d = np.sqrt(squares)
+            close = d <= eps
+            if row["block"] == row["other"]:
+                close &= i[:, None] < j[None, :]
+            a, b = np.nonzero(close)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[a], j[b])), pa.array(np.maximum(i[a], j[b])), pa.array(d[a, b])], ["i", "j", "d"])
+
+
+def within(nodes: DataFrame, eps: float, id_col: str = "node_id", value_col: str = "value") -> DataFrame:
+    """Pairs ``(i, j, d)`` with i < j of points at most ``eps`` apart (Euclidean), without making the others.
+
+    Points are dealt into blocks by their distance from one of them. By the triangle
+    inequality only blocks whose ranges are at most ``eps`` apart can hold a pair. Points
+    are arrays of one length without nulls.
+    """
+    points = nodes.select(F.col(id_col).cast("long").alias("node_id"), F.col(value_col).cast("array<double>").alias("value"))
+    pivot = points.orderBy("node_id").first()
+    if pivot is None:
+        return nodes.sparkSession.createDataFrame([], "i long, j long, d double")
+    away = points.withColumn("away", euclidean(F.col("value"), F.lit(pivot["value"])))
+    blocks = max(1, -(-points.count() // BLOCK))
+    bounds = away.agg(F.percentile_approx("away", [k / blocks for k in range(1, blocks)], F.lit(10_000))).first()[0] if blocks > 1 else []
+    block = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b < F.col("away")))
+    packed = spool(
+        away.withColumn("block", block).groupBy("block").applyInArrow(_points, "block int, lo double, hi double, ids binary, points binary"), "blocks"
+    )
+    one, two = packed.select("block", "hi"), packed.select(F.col("block").alias("other"), "lo")
+    # Rounding may part points that are just eps apart in the last digits only.
+    meet = one.join(two, (F.col("block") <= F.col("other")) & (F.col("lo") - F.col("hi") <= eps * (1 + 1e-9) + 1e-12)).select("block", "other")
+    sides = packed.select("block", "ids", "points"), packed.select(F.col("block").alias("other"), F.col("ids").alias("other_ids"), F.col("points").alias("other_points"))
+    dealt = spool(meet, "meet").repartition(nodes.sparkSession.sparkContext.defaultParallelism, "block", "other")
+    return dealt.join(sides[0], "block").join(sides[1], "other").mapInArrow(lambda it: _near(it, eps), "i long, j long, d double")
+
+
 def mirrored(upper: DataFrame, nodes: DataFrame, distance: str = "d", id_col: str = "node_id") -> DataFrame:
     """The whole matrix in long form: both directions and a zero diagonal."""
     swapped = upper.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col(distance))

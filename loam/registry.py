@@ -451,13 +451,13 @@ p AS (SELECT a.vec_id AS i, b.vec_id AS j, {_EUCLID} AS d FROM e a JOIN e b ON a
 @query(_PAIRS + "SELECT i, j, round(d, 6) AS d FROM p")
 def pairwise_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of samples."""
-    return _rounded(distance.pairs(_points(spark, sf_dir), {"d": distance.euclidean}), "d")
+    return _rounded(distance.within(_points(spark, sf_dir), float("inf")), "d")
 
 
 @query(_PAIRS + "SELECT i, j, round(d, 6) AS d FROM p UNION ALL SELECT j, i, round(d, 6) FROM p UNION ALL SELECT vec_id, vec_id, 0.0 FROM e")
 def distance_matrix_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    return _rounded(distance.mirrored(distance.pairs(points, {"d": distance.euclidean}), points), "d")
+    return _rounded(distance.mirrored(spool(distance.within(points, float("inf")), "pairs"), points), "d")
 
 
 @query(
@@ -474,11 +474,6 @@ def combined_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EPS, _MIN_PTS = 1.16, 5
 
 
-def _all_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("value"))
-    return points.select("node_id"), distance.pairs(points, {"d": distance.euclidean})
-
-
 def _dbscan_sql(pairs: str, eps: float, min_pts: int) -> str:
     return f"""{pairs},
     nb AS (SELECT i, j FROM p WHERE d <= {eps} UNION ALL SELECT j, i FROM p WHERE d <= {eps}),
@@ -494,8 +489,8 @@ def _dbscan_sql(pairs: str, eps: float, min_pts: int) -> str:
 
 @query(_dbscan_sql(f"WITH RECURSIVE e AS (SELECT * FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, {_EUCLID} AS d FROM e a JOIN e b ON a.vec_id < b.vec_id)", _EPS, _MIN_PTS))
 def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, pairs = _all_pairs(spark, sf_dir)
-    return cluster.dbscan(nodes, pairs, _EPS, _MIN_PTS)
+    points = _points(spark, sf_dir)
+    return cluster.dbscan(points.select("node_id"), distance.within(points, _EPS), _EPS, _MIN_PTS)
 
 
 @query(
@@ -515,7 +510,7 @@ def dbscan_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full grid over one distance, rescaled to the grid's range."""
     points = _points(spark, sf_dir)
-    pairs = distance.pairs(points, {"d": distance.euclidean}).withColumn("d", F.greatest(F.lit(0.0), 400 * (F.col("d") - 1)))
+    pairs = distance.within(points, float("inf")).withColumn("d", F.greatest(F.lit(0.0), 400 * (F.col("d") - 1)))
     labels = points.select("node_id", (F.col("node_id") % 4).cast("string").alias("family"))
     return cluster.dbscan_grid(spark, pairs, labels, ["d"], list(range(1, 100)), list(range(2, 100)))
 
@@ -535,7 +530,7 @@ def _cell_sql(eps: int, min_pts: int, columns: str) -> str:
 
 def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    pairs = distance.pairs(points, {"d": distance.euclidean}).withColumn("d", F.greatest(F.lit(0.0), 400 * (F.col("d") - 1)))
+    pairs = distance.within(points, float("inf")).withColumn("d", F.greatest(F.lit(0.0), 400 * (F.col("d") - 1)))
     labels = points.select("node_id", (F.col("node_id") % 4).cast("string").alias("family"))
     return cluster.dbscan_grid(spark, pairs, labels, ["d"], sorted({e for e, _ in _CELLS}), sorted({m for _, m in _CELLS}))
 
@@ -565,9 +560,9 @@ _NEAR = f"WITH RECURSIVE e AS (SELECT * FROM embeddings), p AS (SELECT a.vec_id
     SELECT i AS node_id, cluster FROM votes QUALIFY row_number() OVER (PARTITION BY i ORDER BY n DESC, cluster) = 1"""
 )
 def dbscan_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, pairs = _all_pairs(spark, sf_dir)
-    pairs = spool(pairs.where(F.col("d") <= _EPS), "pairs")
-    return cluster.revoted(cluster.dbscan(nodes, pairs, _EPS, _MIN_PTS), pairs, _EPS)
+    points = _points(spark, sf_dir)
+    pairs = spool(distance.within(points, _EPS), "pairs")
+    return cluster.revoted(cluster.dbscan(points.select("node_id"), pairs, _EPS, _MIN_PTS), pairs, _EPS)
 
 
 @query()

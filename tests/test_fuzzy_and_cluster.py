@@ -114,3 +114,31 @@ def test_distances(spark):
     assert (got["e"], got["m"], got["c"]) == (5.0, 7.0, 1.0)
     full = distance.mirrored(distance.pairs(rows, {"d": distance.euclidean}), rows)
     assert sorted(tuple(r) for r in full.collect()) == [(1, 1, 0.0), (1, 2, 5.0), (2, 1, 5.0), (2, 2, 0.0)]
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_near_pairs_equal_all_pairs(spark, monkeypatch, block):
+
+    from loam.operators import distance
+
+    monkeypatch.setattr(distance, "BLOCK", block)
+    rng = np.random.default_rng(0)
+    points = {i: [float(x) for x in rng.normal(size=3)] for i in range(60)} | {100: [50.0, 0.0, 0.0], 101: [50.0, 0.0, 0.5]}
+    df = spark.createDataFrame(list(points.items()), "node_id long, value array<double>")
+    for eps in (0.0, 0.7, float("inf")):
+        got = {(r["i"], r["j"]): r["d"] for r in distance.within(df, eps).collect()}
+        want = {(i, j): float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())) for i, a in points.items() for j, b in points.items() if i < j}
+        want = {k: d for k, d in want.items() if d <= eps}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert distance.within(df.limit(0), 1.0).count() == 0
+
+
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_components_either_way(spark, monkeypatch, one_task):
+    from loam.operators import cluster, union
+
+    monkeypatch.setattr(union, "ONE_TASK", one_task)
+    links = [(1, 2), (2, 3), (5, 9), (9, 12), (12, 5)]
+    both = spark.createDataFrame(links + [(b, a) for a, b in links], "i long, j long")
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 9, 12)], "node_id long")
+    assert {tuple(r) for r in cluster.components(nodes, both).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (9, 5), (12, 5)}
