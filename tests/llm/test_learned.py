@@ -1,7 +1,11 @@
 """Toxicity and quality: held-out accuracy and edge cases."""
 
+import math
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +56,72 @@ def test_grams():
     assert len(toxicity.grams("hello")) == sum(7 - n + 1 for n in toxicity.GRAMS)
 
 
+def plain_fit(texts, labels, rounds=60):
+    """The classifier once more, gram by gram in plain Python, with gram buckets as they are."""
+    grams = [Counter(toxicity.grams(t).tolist()) for t in texts]
+    size = [labels.count(0), labels.count(1)]
+    total, seen = [Counter(), Counter()], [Counter(), Counter()]
+    for g, y in zip(grams, labels, strict=True):
+        total[y].update(g)
+        seen[y].update(g.keys())
+    n, ratio = len(texts), {}
+    prior = [toxicity.SMOOTHING * 2 * x / n for x in size]
+    for b in {*seen[0], *seen[1]}:
+        p = (seen[0][b] + seen[1][b]) / n
+        error = math.sqrt(max(p * (1 - p), 1e-9) * (1 / size[0] + 1 / size[1]))
+        if abs(seen[1][b] / size[1] - seen[0][b] / size[0]) >= toxicity.SIGNIFICANT * error:
+            share = [math.log((total[y][b] + prior[y]) / (size[y] + prior[y])) for y in (0, 1)]
+            ratio[b] = share[1] - share[0]
+    rows = [{b: ratio[b] * c / math.sqrt(max(sum(g.values()), 1)) for b, c in g.items() if b in ratio} for g in grams]
+    w, bias = dict.fromkeys(ratio, 0.0), 0.0
+    m, v, mb, vb = dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 0.0), 0.0, 0.0
+    for t in range(1, rounds + 1):
+        miss = [(1 / (1 + math.exp(-(sum(w[b] * x for b, x in r.items()) + bias))) - y) * 0.5 / size[y] for r, y in zip(rows, labels, strict=True)]
+        rate = 0.1 * math.sqrt(1 - 0.99**t) / (1 - 0.9**t)
+        g = dict.fromkeys(ratio, 0.0)
+        for e, r in zip(miss, rows, strict=True):
+            for b, x in r.items():
+                g[b] += e * x
+        for b in w:
+            m[b], v[b] = 0.9 * m[b] + 0.1 * g[b], 0.99 * v[b] + 0.01 * g[b] ** 2
+            w[b] -= rate * m[b] / (math.sqrt(v[b]) + 1e-8)
+        mb, vb = 0.9 * mb + 0.1 * sum(miss), 0.99 * vb + 0.01 * sum(miss) ** 2
+        bias -= rate * mb / (math.sqrt(vb) + 1e-12)
+    return {b: w[b] * ratio[b] for b in w}, bias
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "su") for b in ("na", "re", "to")]
+    texts, labels = [], []
+    for i in range(120):
+        bad = i % 3 == 0
+        texts.append(" ".join([rng.choice(words) for _ in range(rng.randint(2, 9))] + ["vile"] * (bad and i % 9 > 0)))
+        labels.append(int(bad))
+    want, bias = plain_fit(texts, labels)
+    weights, got = toxicity.fit(texts, np.array(labels))
+    assert len(want) > 20 and got == pytest.approx(bias, abs=1e-6)
+    assert np.flatnonzero(weights).tolist() == sorted(b for b, x in want.items() if x)
+    assert np.allclose([weights[b] for b in sorted(want)], [want[b] for b in sorted(want)], atol=1e-5)
+    # The scores of the query follow from these weights.
+    docs = spark.createDataFrame([(5 * i + 1, t, "en", "s", "x") for i, t in enumerate(texts)], DOCS)
+    marks = spark.createDataFrame([(5 * i + 1, 0, y, "") for i, y in enumerate(labels)], LABELS)
+    learned = [i for i in range(len(texts)) if zlib.crc32(str(5 * i + 1).encode()) % 5]
+    want, bias = plain_fit([texts[i] for i in learned], [labels[i] for i in learned])
+    for r in toxicity.score_toxicity(docs, marks).collect():
+        g = toxicity.grams(texts[r["doc_id"] // 5])
+        z = bias + sum(want.get(b, 0.0) for b in g.tolist()) / math.sqrt(max(len(g), 1))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+def test_very_long_texts(spark):
+    docs, labels = corpus(spark, 120)
+    long = spark.createDataFrame([(9001, "plain words " * 60_000, "en", "s0", "x"), (9002, "x" * 500_000, "en", "s0", "x")], DOCS)
+    for f in (toxicity.score_toxicity, quality.score_quality):
+        rows = f(docs.unionByName(long), labels).where("doc_id > 9000").collect()
+        assert len(rows) == 2 and all(0 <= r["score"] <= 1 for r in rows)
+
+
 @pytest.mark.parametrize("labelled", [True, False])
 def test_edge_cases(spark, labelled):
     docs = spark.createDataFrame([(1, None, "en", None, "x"), (2, "", None, "s", "x"), (3, "a b", "en", "s", "x"), (3, "a b", "en", "s", "x"), (None, "q", "en", "s", "x")], DOCS)
@@ -75,8 +145,6 @@ def test_empirical_bayes_by_hand(spark):
     """Shares with a fixed model: the formulas once more, in plain Python."""
     docs, labels = corpus(spark, 90)
     rows = quality.score_quality(docs, labels).join(docs.select("doc_id", "source"), "doc_id").toPandas()
-    import numpy as np
-
     model = quality.train(docs, labels, "doc_id", "text", "quality")
     prior = np.log(model["share"] / (1 - model["share"]))
     p = 1 / (1 + np.exp(-(rows["evidence"] + prior)))
@@ -105,5 +173,6 @@ def test_held_out_accuracy_on_the_driver_tables(spark):
     toxic = toxicity.score_toxicity(docs, labels).where("held_out").join(labels, "doc_id")
     wrong = toxic.where("predicted <> toxic").count()
     assert wrong <= 0.02 * toxic.count()
-    kept = quality.score_quality(docs, labels).join(labels, "doc_id")
-    assert kept.where("kept <> (quality = 1)").count() <= 0.01 * kept.count()
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    kept = quality.score_quality(docs, labels.where(~held)).join(labels.where(held), "doc_id")
+    assert kept.count() > 100 and kept.where("kept <> (quality = 1)").count() <= 0.02 * kept.count()
