@@ -15,7 +15,7 @@ from loam.llm import mixing, pii
 from loam.llm.decontam import drop_contaminated
 from loam.llm.neardup import drop_near_duplicates
 from loam.llm.quality import drop_low_quality
-from loam.llm.shared import spool, table
+from loam.llm.shared import drop_spooled, scratch, spool, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = spool(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            docs = keep(spool(stage(spark, docs, sf_dir), name))
+        if before is not None:
+            drop_spooled(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,62 +2,33 @@
 
 Every round is a few shuffled aggregations and joins over the edges; nothing is
 gathered on the driver but a count and a checksum. (Kiveris et al. 2014.) A count that
-shows ``ONE_TASK`` edges at most makes one task of it, with the same results.
+shows ``union.ONE_TASK`` edges at most makes one task of it, with the same results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, drop_spooled, even_join, spool
-
-#: Edges (16 bytes each) that one task may unite.
-ONE_TASK = 1_000_000
-
-
-def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of some edges in order, and the least node that each is linked to."""
-    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-    one, two = ends[: len(u)], ends[len(u) :]
-    parent = np.arange(len(nodes))
-    while len(one):
-        a, b = parent[one], parent[two]
-        apart = a != b
-        one, two, a, b = one[apart], two[apart], a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-    return nodes, nodes[parent]
-
+from loam.operators import union
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ends = [[c.to_numpy() for c in batch.columns[:2]] for batch in batches]
-    none = np.zeros(0, np.int64)
-    nodes, components = united(*(np.concatenate([none, *(e[k] for e in ends)]) for k in (0, 1)))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(components)], ["node", "component"])
+from .shared import drop_spooled, even_join, spool
 
 
-def _star(directed: DataFrame, edges: int) -> DataFrame:
-    """Link the ``v`` of every ``u`` to the least node near ``u``; ``edges`` bounds the rows."""
+def _star(directed: DataFrame) -> DataFrame:
+    """Link the ``v`` of every ``u`` to the least node near ``u``."""
     least = directed.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    if edges <= BROADCAST_ROWS:
-        return directed.join(F.broadcast(least), "u")
     return even_join(directed, least, "u", by="v", wide=True)
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _star(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = _star(down, n)
+    near = _star(down)
     return (
         near.select(F.col("v").alias("u"), F.col("m").alias("v"))
         .unionByName(near.select("u", F.col("m").alias("v")))
@@ -74,17 +45,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = spool(
         edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct(), "edges"
     )
-    n, state = now.count(), None
-    if n <= ONE_TASK:
-        return now.coalesce(1).mapInArrow(_united, "node long, component long")
+    state = None
+    if now.count() <= union.ONE_TASK:
+        return union.united_edges(now)
     while True:
-        large = _large_star(now, n)
-        if n > BROADCAST_ROWS:
-            large = spool(large, "edges")
-        after = spool(_small_star(large, n), "edges")
+        large = spool(_large_star(now), "edges")
+        after = spool(_small_star(large), "edges")
+        drop_spooled(large)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_spooled(now)
-        now, n = after, mark[0]
+        now = after
         if mark == state:
             break
         state = mark

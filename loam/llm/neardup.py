@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField
 
 from .components import connected_components
-from .shared import drop_spooled, even_join, map_rows, narrow_input, small, spool
+from .shared import drop_spooled, even_join, map_rows, narrow_input, scratch, small, spool
 from .textscan import PowerTable, shingle_sets
 
 
@@ -378,7 +378,6 @@ def _linked(source: DataFrame, marks: DataFrame, shingle: int, threshold: tuple[
         active = _mixed(rest, components)
         if not active.isEmpty():
             components = _joined(components, _across_components(active, wide, sets, threshold))
-    drop_spooled(sets)
     return classes, components
 
 
@@ -387,17 +386,18 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, shingle: int, thresho
     if 5 * threshold[0] < 4 * threshold[1]:
         raise ValueError("the sketches are sized for a Jaccard of 0.8 or more")
     source = narrow_input(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    marks = spool(
-        source.mapInArrow(lambda it: _marks(it, shingle), "doc_id long, n long, digest binary, sketch array<long>"), "marks"
-    )
-    classes, components = _linked(source, marks, shingle, threshold)
-    homes = _placed(classes.select("node", "cid", "digest"), components, "node", "root", "cid")
-    if classes.where("node <> cid").isEmpty():
-        homes = homes.withColumn("component", F.col("root"))
-    else:
-        least = spool(homes.groupBy("root").agg(F.min("cid").alias("component")), "roots")
-        homes = even_join(homes, least, "root", by="node")
-    homes = spool(homes.select("digest", "root", "component"), "homes")
+    with scratch() as keep:
+        marks = keep(spool(
+            source.mapInArrow(lambda it: _marks(it, shingle), "doc_id long, n long, digest binary, sketch array<long>"), "marks"
+        ))
+        classes, components = _linked(source, marks, shingle, threshold)
+        homes = _placed(classes.select("node", "cid", "digest"), components, "node", "root", "cid")
+        if classes.where("node <> cid").isEmpty():
+            homes = homes.withColumn("component", F.col("root"))
+        else:
+            least = spool(homes.groupBy("root").agg(F.min("cid").alias("component")), "roots")
+            homes = even_join(homes, least, "root", by="node")
+        homes = keep(spool(homes.select("digest", "root", "component"), "homes"))
     told = marks.where("n > 0 and doc_id is not null").select("doc_id", "n", "digest")
     rest = marks.where("n = 0 or doc_id is null").select("doc_id", "n", "digest", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component"))
     return even_join(told, homes, "digest", by="doc_id", limit=100_000).select(rest.columns).unionByName(rest)
@@ -445,18 +445,19 @@ def drop_near_duplicates(
     id with several texts are told apart by text. Rows without an id, and one row of each
     id without words, stay. Columns stay, whatever their names.
     """
-    found = spool(_resolved(docs, id_col, text_col, shingle, threshold).withColumn("kept", F.expr(_KEPT)), "near")
-    by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("some"))
     without = lambda df, ids, how="left_anti": df.join(ids, df[f"`{id_col}`"].cast("long") == ids["doc_id"], how)
-    rest = without(docs, small(spool(by_id.where("not some").select("doc_id"), "gone")))
-    repeated = spool(by_id.where("some and rows > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return rest
-    again = small(repeated)
-    stay = small(spool(
-        found.where("kept and doc_id is not null").join(again, "doc_id", "left_semi").groupBy("doc_id", "root").agg(F.min("digest").alias("digest")).select("doc_id", "digest"),
-        "stay",
-    ))
+    with scratch() as keep:
+        found = spool(_resolved(docs, id_col, text_col, shingle, threshold).withColumn("kept", F.expr(_KEPT)), "near")
+        by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("some"))
+        rest = without(docs, small(keep(spool(by_id.where("not some").select("doc_id"), "gone"))))
+        repeated = keep(spool(by_id.where("some and rows > 1").select("doc_id"), "repeated"))
+        if repeated.isEmpty():
+            return rest
+        again = small(repeated)
+        stay = small(keep(spool(
+            found.where("kept and doc_id is not null").join(again, "doc_id", "left_semi").groupBy("doc_id", "root").agg(F.min("digest").alias("digest")).select("doc_id", "digest"),
+            "stay",
+        )))
     at = docs.columns.index(text_col)
     several = map_rows(without(docs, again, "left_semi"), lambda it: _with_digest(it, at, shingle), StructField(DIGEST, BinaryType()))
     one = several.dropDuplicates([id_col, DIGEST])

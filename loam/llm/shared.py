@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from loam.storage import fresh_path, shared_dir, spool
+from loam.storage import fresh_path, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "WORD", "drop_spooled", "even_join", "fresh_path", "map_rows", "narrow_input", "shared_dir", "small", "small_batches", "spool", "table", "word_count"]
+__all__ = ["BROADCAST_ROWS", "WORD", "drop_spooled", "even_join", "fresh_path", "map_rows", "narrow_input", "scratch", "shared_dir", "small", "small_batches", "spool", "table", "word_count"]
 
 #: A side of at most this many (id) rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -30,13 +32,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables written since the innermost ``scratch`` began.
+_written: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
+
+
+def spool(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: computed once, and safe when executors are lost."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._spooled = path
+    if (written := _written.get()) is not None:
+        written.append(out)
+    return out
+
+
 def drop_spooled(*frames: DataFrame) -> None:
     """Delete spooled tables that nothing reads any more."""
     for df in frames:
         spark = df.sparkSession
-        for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._spooled)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables spooled inside are deleted at the end, but for those given to the function that this yields.
+
+    Kept ones pass to the scratch around, if there is one.
+    """
+    written, kept = [], []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    outer = _written.get()
+    token = _written.set(written)
+    try:
+        yield keep
+    finally:
+        _written.reset(token)
+        drop_spooled(*(df for df in written if not any(df is k for k in kept)))
+        if outer is not None:
+            outer.extend(kept)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -65,7 +104,10 @@ def even_join(rows: DataFrame, figures: DataFrame, key: str, by: str, how: str =
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch: with whole texts, the default fills a worker's memory."""
+    """Bound the rows of an Arrow batch in this session; Spark's own ``maxBytesPerBatch`` bounds its bytes.
+
+    With whole texts, the default of 10,000 rows fills a worker's memory.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -77,10 +77,11 @@ def test_components_equal_brute_force(spark, seed, size, monkeypatch):
 
 def test_frequent_keys_and_large_tables_give_the_same(spark, monkeypatch):
     from loam.llm import components, shared
+    from loam.operators import union
 
     rows = variants(3, groups=9, most=40)
     want, _ = plain_components(rows, 2)
-    for module in (neardup, components, shared):
+    for module in (neardup, components, shared, union):
         for name, value in (("BROADCAST_ROWS", 0), ("FREQUENT", 0), ("ONE_TASK", 0), ("HOT", 3), ("SHORT_LIST", 4), ("LARGE", 8), ("BLOCK", 16)):
             if hasattr(module, name):
                 monkeypatch.setattr(module, name, value)
@@ -150,9 +151,9 @@ def test_near_duplicate_edge_cases(spark):
 
 @pytest.mark.parametrize("one_task", [0, 1000])
 def test_connected_components(spark, monkeypatch, one_task):
-    from loam.llm import components
+    from loam.operators import union
 
-    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    monkeypatch.setattr(union, "ONE_TASK", one_task)
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
     parent = {x: x for e in edges for x in e}
