@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import random
 import re
-import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -38,14 +38,13 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 LEAST = 8
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+|[^\sA-Za-z0-9+/_.-]")
 _HEX_CHARS = frozenset("0123456789abcdef")
-_LONG = re.compile(rf"[A-Za-z0-9+/_.-]{{{LEAST},}}")
-#: Characters on each side of a chain that its features see.
-CONTEXT = 48
+_SECRET_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
 #: Tokens before a token that its features see.
-_BEHIND = 6
+BEHIND = 6
 
 LABELS = "OBI"
-_BUCKETS = 1 << 14
+#: Tokens of the training lines that a feature must occur on.
+FREQUENT = 4
 _ROUNDS, _RATE, _DECAY = 12, 0.5, 1e-4
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -68,153 +67,128 @@ def _bucket(n: float, steps: tuple[float, ...]) -> int:
 @lru_cache(maxsize=1 << 15)
 def _shape(
     n: int, digits: int, upper: int, lower: int, turns: int, distinct: int, hexes: bool, rises: int, dots: bool, slash: bool, minus: bool
-) -> tuple[frozenset[int], str]:
-    """Slots of the features that follow from counts of a token's characters, and the part of joint features."""
+) -> tuple[tuple[str, ...], str]:
+    """Features that follow from counts of a token's characters, and the part of joint features."""
     marks = n - digits - upper - lower
     kinds = f"{'d' * (digits > 0)}{'U' * (upper > 0)}{'l' * (lower > 0)}{'m' * (marks > 0)}"
     case = -1 if digits else 1 + _bucket(rises / n, (0.1, 0.15, 0.2, 0.25)) if rises else 0
     share = f"dig{_bucket(digits / n, (0.1, 0.3, 0.5, 0.7, 0.99))}"
-    names = [
+    return (
         "bias", f"len{_bucket(n, (12, 16, 20, 24, 32, 40, 64))}", f"kinds{kinds}", share,
         f"turn{_bucket(turns, (2, 4, 6, 9))}", f"div{_bucket(distinct / n, (0.2, 0.4, 0.6, 0.8))}", f"marks{_bucket(marks, (1, 2, 3, 5))}",
         f"hex{hexes}", f"{kinds}|len{_bucket(n, (12, 16, 24, 32))}|turn{_bucket(turns, (2, 4, 6))}",
         f"dots{dots}|slash{slash}|minus{minus}", f"{kinds}|case{case}",
-    ]
-    return frozenset(map(_slot, names)), share
+    ), share
 
 
-def _own_slots(token: str) -> tuple[frozenset[int], str]:
+def _own(token: str) -> tuple[tuple[str, ...], str]:
+    """Features of a token by itself, and the part of joint features."""
     n, kinds = len(token), set(token)
     if token.isalpha() and (token.islower() or token[1:].islower()):
         upper = int(not token.islower())
-        return _shape(n, 0, upper, n - upper, 0, len(kinds), kinds <= _HEX_CHARS, 0, False, False, False)
-    digits = sum(c.isdigit() for c in token)
-    upper = sum("A" <= c <= "Z" for c in token)
-    lower = sum("a" <= c <= "z" for c in token)
-    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
-    rises = sum(a.islower() and b.isupper() for a, b in zip(token, token[1:], strict=False))
-    return _shape(n, digits, upper, lower, turns, len(kinds), kinds <= _HEX_CHARS, rises, "." in kinds, "/" in kinds, "-" in kinds)
-
-
-def _file_features(text: str) -> list[str]:
+        names, joint = _shape(n, 0, upper, n - upper, 0, len(kinds), kinds <= _HEX_CHARS, 0, False, False, False)
+    else:
+        digits = sum(c.isdigit() for c in token)
+        upper = sum("A" <= c <= "Z" for c in token)
+        lower = sum("a" <= c <= "z" for c in token)
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
+        rises = sum(a.islower() and b.isupper() for a, b in zip(token, token[1:], strict=False))
+        names, joint = _shape(n, digits, upper, lower, turns, len(kinds), kinds <= _HEX_CHARS, rises, "." in kinds, "/" in kinds, "-" in kinds)
+    return (*names, f"start:{token[:4]}"), joint
+
+
+def _file_features(text: str) -> tuple[str, ...]:
     code = sum(c in text for c in "{};=<>")
-    return [f"code{_bucket(code, (1, 3, 5))}", f"lines{_bucket(text.count(chr(10)), (1, 10, 100))}"]
-
-
-@lru_cache(maxsize=1 << 16)
-def _slot(name: str) -> int:
-    return zlib.crc32(name.encode()) % _BUCKETS
-
+    return f"code:{_bucket(code, (1, 3, 5))}", f"lines:{_bucket(text.count(chr(10)), (1, 10, 100))}"
 
-@lru_cache(maxsize=1 << 16)
-def _word_slots(word: str) -> tuple[int, int, int, str]:
-    """Slots of a word as the last, the one before, and any of the last before a token; the word in lower case, or nothing."""
-    lower = word.lower()
-    return _slot(f"left0:{word}"), _slot(f"left1:{word}"), _slot(f"word:{lower}"), lower if word[0].isalpha() else ""
 
-
-def _slots(token: str, before: list[str], after: list[str], document: list[int], place: int, gap: str) -> tuple[frozenset[int], set[int]]:
-    """Slots of the features of the token's shape, and of its start and surroundings; ``gap`` is what parts it from the token before in its chain."""
-    own, joint = _own_slots(token)
-    slots = {*document, _slot(f"start{token[:4]}"), _slot(f"place{min(place, 3)}"), _slot(f"right:{after[0]}" if after else "right:"), _slot(f"gap{gap}")}
+def _around(joint: str, before: list[str], after: list[str], place: int, gap: str) -> set[str]:
+    """Features of a token's surroundings; ``gap`` is what parts it from the token before in its chain."""
+    names = {f"place:{min(place, 3)}", f"right:{after[0] if after else ''}", f"gap:{gap}"}
     words = 0
-    for i, w in enumerate(map(_word_slots, reversed(before))):
+    for i, w in enumerate(reversed(before)):
         if i < 2:
-            slots.add(w[i])
-        if w[3]:
-            slots.add(w[2])
+            names.add(f"left{i}:{w}")
+        if w[0].isalpha():
+            lower = w.lower()
+            names.add(f"word:{lower}")
             if not words:
-                slots.add(_slot(f"word:{w[3]}|{joint}"))
+                names.add(f"joint:{lower}|{joint}")
             words += 1
             if words == 3 and i:
                 break
-    return own, slots
-
-
-def _features(*seen) -> np.ndarray:
-    own, slots = _slots(*seen)
-    return np.array(sorted(own | slots))
+    return names
 
 
-def _chains(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str], list[str]]]:
-    """Runs of admissible tokens with nothing but white space (and marks that end a token) between them, and the tokens around."""
-    spans: list[tuple[int, int]] = []
-    for m in _LONG.finditer(text):
-        a, b = m.span()
-        while b > a and text[b - 1] in ".-/":
-            b -= 1
-        if b - a >= LEAST:
-            spans.append((a, b))
-    i = 0
-    while i < len(spans):
-        j = i + 1
-        while j < len(spans) and not text[spans[j - 1][1] : spans[j][0]].lstrip(".-/").strip():
-            j += 1
-        a, b = spans[i][0], spans[j - 1][1]
-        yield spans[i:j], _TOKEN.findall(text, max(0, a - CONTEXT), a), [m[0]] if (m := _TOKEN.search(text, b, b + CONTEXT)) else []
-        i = j
+def _admissible(token: str) -> bool:
+    return len(token) >= LEAST and (token[-1] not in ".-/" or len(token.rstrip(".-/")) >= LEAST) and token[0] in _SECRET_CHARS
 
 
-def _gap(text: str, one: tuple[int, int], two: tuple[int, int]) -> str:
-    """Blanks or a new line between tokens, and whether the one before fills a line as long as this one's or longer."""
-    kind = "line" if "\n" in text[one[1] : two[0]] else "blank"
-    return f"{kind}|{one[1] - one[0] >= 40 and two[1] - two[0] <= one[1] - one[0] + 1}"
+def _runs(tokens: list[str]) -> Iterator[tuple[int, int]]:
+    """Maximal runs of admissible tokens."""
+    first = -1
+    for i, token in enumerate(tokens):
+        if len(token) >= LEAST and _admissible(token):
+            if first < 0:
+                first = i
+        elif first >= 0:
+            yield first, i
+            first = -1
+    if first >= 0:
+        yield first, len(tokens)
 
 
-def _seen(text: str) -> Iterator[tuple[list[tuple[int, int]], list[tuple]]]:
-    """Chains, and what the features of each token are made from."""
-    document = None
-    for spans, before, after in _chains(text):
-        document = document or [*map(_slot, _file_features(text))]
-        around = before + [text[a:b] for a, b in spans] + after
-        gaps = ["", *(_gap(text, *x) for x in zip(spans, spans[1:], strict=False))]
-        yield spans, [
-            (around[i], around[max(0, i - _BEHIND) : i], around[i + 1 : i + 2], document, i - len(before), gaps[i - len(before)])
-            for i in range(len(before), len(before) + len(spans))
-        ]
+def _gap(between: str, one: int, two: int) -> str:
+    """Blanks or a new line between tokens of these lengths, and whether the first fills a line as long as the second's or longer."""
+    return f"{'line' if chr(10) in between else 'blank'}|{one >= 40 and two <= one + 1}"
 
 
-def _encode(text: str) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray]]]:
-    for spans, seen in _seen(text):
-        yield spans, [_features(*s) for s in seen]
+def _chains(text: str, wanted: list[tuple[int, int]] | None = None) -> Iterator[tuple[list[tuple[int, int]], list[set[str]]]]:
+    """Runs of admissible tokens, or the ``wanted`` ones: their places in the text, without marks that end them, and their features."""
+    found = list(_TOKEN.finditer(text))
+    tokens = [m[0] for m in found]
+    document = _file_features(text)
+    for first, last in _runs(tokens) if wanted is None else wanted:
+        spans = [(m.start(), m.start() + len(m[0].rstrip(".-/"))) for m in found[first:last]]
+        names = []
+        for i in range(first, last):
+            gap = _gap(text[found[i - 1].end() : found[i].start()], len(tokens[i - 1]), len(tokens[i])) if i > first else ""
+            own, joint = _own(text[slice(*spans[i - first])])
+            names.append({*own, *document, *_around(joint, tokens[max(0, i - BEHIND) : i], tokens[i + 1 : i + 2], i - first, gap)})
+        yield spans, names
 
 
 class Field:
-    """A linear chain over O, B, I with O outside the chain; I never follows O."""
+    """A linear chain over O, B, I with O outside the chain; I never follows O.
 
-    def __init__(self) -> None:
-        self.emit = np.zeros((_BUCKETS, 3))
+    Features are those that training has seen ``FREQUENT`` times or more; others weigh nothing.
+    """
+
+    def __init__(self, seen: Iterable[set[str]]) -> None:
+        counts = Counter(name for names in seen for name in names)
+        self.index = {name: k for k, name in enumerate(sorted(n for n, c in counts.items() if c >= FREQUENT))}
+        self.emit = np.zeros((len(self.index), 3))
         self.step = np.zeros((3, 3))
         self.step[0, 2] = -1e4
-        self.rows: list[list[float]] | None = None
+        self.bounds: _Bounds | None = None
+
+    def features(self, names: Iterable[str]) -> np.ndarray:
+        return np.array(sorted(self.index[n] for n in names if n in self.index), np.int64)
+
+    def encode(self, text: str) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray]]]:
+        for spans, names in _chains(text):
+            yield spans, [self.features(n) for n in names]
 
     def scores(self, features: list[np.ndarray]) -> np.ndarray:
         return np.array([self.emit[f].sum(axis=0) for f in features])
 
     def label(self, text: str) -> Iterator[tuple[list[tuple[int, int]], list[int]]]:
-        """Chains and their best labels."""
-        if self.rows is None:
-            self.rows, self.owned = self.emit.tolist(), {}
-        rows, (into, out) = self.rows, (self.step[0].tolist(), self.step[:, 0].tolist())
-        for spans, seen in _seen(text):
-            emit = []
-            for s in seen:
-                own, slots = _slots(*s)
-                base = self.owned.get(own)
-                if base is None:
-                    base = tuple(map(sum, zip(*(rows[k] for k in own), strict=True)))
-                    if len(self.owned) < 1 << 16:
-                        self.owned[own] = base
-                o, b, i = base
-                for k in slots:
-                    if k not in own:
-                        x, y, z = rows[k]
-                        o, b, i = o + x, b + y, i + z
-                emit.append((o, b, i))
-            if len(emit) == 1:
-                yield spans, [int(emit[0][1] + into[1] + out[1] > emit[0][0] + into[0] + out[0])]
-            else:
-                yield spans, self.decode(np.array(emit))
+        """Chains and their best labels, but for chains that a bound shows to be all O."""
+        self.bounds = self.bounds or _Bounds(self)
+        wanted = list(self.bounds.open_runs(_TOKEN.findall(text)))
+        if wanted:
+            for spans, names in _chains(text, wanted):
+                yield spans, self.viterbi([self.features(n) for n in names])
 
     def viterbi(self, features: list[np.ndarray]) -> list[int]:
         return self.decode(self.scores(features))
@@ -232,7 +206,7 @@ class Field:
 
     def learn(self, features: list[np.ndarray], labels: list[int], rate: float) -> None:
         """One gradient step on the log-likelihood, by forward-backward."""
-        self.rows = None
+        self.bounds = None
         emit = self.scores(features)
         n = len(emit)
         forward, backward = np.zeros((n, 3)), np.zeros((n, 3))
@@ -259,6 +233,78 @@ class Field:
         self.step[0, 2] = -1e4
 
 
+class _Gains(dict):
+    """Gains by word, as it is written; those of further spellings are looked up once, as long as they are few."""
+
+    def __init__(self, words: dict[str, float]) -> None:
+        super().__init__()
+        self.lower = words
+
+    def __missing__(self, token: str) -> float:
+        gain = self.lower.get(token.lower(), 0.0)
+        if len(self) < 1 << 18:
+            self[token] = gain
+        return gain
+
+
+class _Bounds:
+    """How much can at most speak for a token: what it is, the words around it, and the transitions.
+
+    If no run of labels B and I gains on O by that, O is the best path, and the features needn't be looked up.
+    """
+
+    def __init__(self, field: Field) -> None:
+        self.field = field
+        gains = np.maximum(field.emit[:, 1], field.emit[:, 2]) - field.emit[:, 0]
+        most: dict[str, float] = defaultdict(float)
+        self.right: dict[str, float] = {}
+        by_word: dict[tuple[str, str], float] = defaultdict(float)
+        for name, k in field.index.items():
+            kind, _, value = name.partition(":")
+            gain = max(float(gains[k]), 0.0)
+            most[kind] = max(most[kind], gain)
+            if kind == "right":
+                self.right[value] = gain
+            elif kind in ("left0", "left1", "word", "joint"):
+                word = (value.rpartition("|")[0] if kind == "joint" else value).lower()
+                by_word[kind, word] = max(by_word[kind, word], gain)
+        words: dict[str, float] = defaultdict(float)
+        for (_, word), gain in by_word.items():
+            words[word] += gain
+        self.words = _Gains(words)
+        # The first token of a chain has gap "", and others what training saw.
+        self.rest = most["place"] + most["gap"] + most["code"] + most["lines"]
+        stay = field.step[0, 0]
+        self.inner = float(field.step[1:, 1:].max() - stay)
+        self.ends = float(field.step[0, 1] - stay + field.step[1:, 0].max() - stay)
+        self.own: dict[str, float] = {}
+
+    def _own_gain(self, token: str) -> float:
+        found = self.own.get(token)
+        if found is None:
+            o, b, i = self.field.emit[self.field.features(_own(token.rstrip(".-/"))[0])].sum(axis=0)
+            found = float(max(b, i) - o) + self.rest
+            if len(self.own) < 1 << 18:
+                self.own[token] = found
+        return found
+
+    def open_runs(self, tokens: list[str]) -> Iterator[tuple[int, int]]:
+        """Runs of admissible tokens that may hold a secret."""
+        known = None
+        for first, last in _runs(tokens):
+            if known is None:
+                known = [0.0, *accumulate(map(self.words.__getitem__, tokens))]
+            # The best run of labels other than O so far that ends here, and of all.
+            run = best = -1e9
+            for i in range(first, last):
+                gain = self._own_gain(tokens[i]) + known[i] - known[max(0, i - BEHIND)]
+                gain += self.right.get(tokens[i + 1] if i + 1 < len(tokens) else "", 0.0)
+                run = gain + max(0.0, run + self.inner)
+                best = max(best, run)
+            if best + self.ends >= -1e-9:
+                yield first, last
+
+
 def _training_lines(seed: int = 7, lines: int = 1600) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """Lines with the spans of their secrets, from templates."""
     rng = random.Random(seed)
@@ -299,6 +345,12 @@ def _training_lines(seed: int = 7, lines: int = 1600) -> Iterator[tuple[str, lis
         name = rng.choice(leads)
         return (name.upper() if rng.random() < 0.15 else cap(name) if rng.random() < 0.2 else name) + between + rng.choice(joints)
 
+    def closed(part: str, marked: bool) -> list[tuple[str, bool, str]]:
+        """A part with what follows it: a blank, a new line or a mark right behind it."""
+        mark = rng.choice((",", ".", ";", ")")) if rng.random() < 0.25 else ""
+        gap = rng.choice((" ", " ", "\n"))
+        return [(part, marked, ""), (mark, False, gap)] if mark else [(part, marked, gap)]
+
     for _ in range(lines):
         parts: list[tuple[str, bool, str]] = [(word(), False, " ") for _ in range(rng.randint(0, 6))]
         quote = rng.choice(("", "", "", '"', "'"))
@@ -314,20 +366,19 @@ def _training_lines(seed: int = 7, lines: int = 1600) -> Iterator[tuple[str, lis
                 parts.append((lead(), False, tight if quote else " "))
             for _ in range(1 + (rng.random() < 0.2)):
                 if quote:
-                    parts.append((quote, False, tight))
-                parts.append((rng.choice(secrets)(), True, tight if quote else rng.choice((" ", " ", "\n"))))
-                if quote:
-                    parts.append((quote, False, " "))
+                    parts += [(quote, False, tight), (rng.choice(secrets)(), True, tight), *closed(quote, False)]
+                else:
+                    parts += closed(rng.choice(secrets)(), True)
         elif kind < 0.75:
             if rng.random() < 0.2:
                 parts.append((lead(), False, " "))
             for _ in range(rng.randint(1, 2)):
-                parts.append((rng.choice(plain)(), False, rng.choice((" ", "\n"))))
+                parts += closed(rng.choice(plain)(), False)
         else:
             if rng.random() < 0.3:
                 parts.append((lead(), False, " "))
             for _ in range(rng.randint(1, 3)):
-                parts.append((rng.choice(plain_words)(), False, rng.choice((" ", "\n"))))
+                parts += closed(rng.choice(plain_words)(), False)
         parts += [(word(), False, " ") for _ in range(rng.randint(0, 6))]
         text, spans = "", []
         for part, marked, gap in parts:
@@ -339,14 +390,14 @@ def _training_lines(seed: int = 7, lines: int = 1600) -> Iterator[tuple[str, lis
 
 @lru_cache(maxsize=1)
 def trained_field() -> Field:
-    field = Field()
-    examples = []
+    seen = []
     for text, secrets in _training_lines():
-        for spans, features in _encode(text):
+        for spans, names in _chains(text):
             of = [next((k for k, (c, d) in enumerate(secrets) if a < d and c < b), None) for a, b in spans]
             # A token of the same secret as the one before is inside; a further secret begins anew.
-            labels = [0 if x is None else 2 if k and of[k - 1] == x else 1 for k, x in enumerate(of)]
-            examples.append((features, labels))
+            seen.append((names, [0 if x is None else 2 if k and of[k - 1] == x else 1 for k, x in enumerate(of)]))
+    field = Field(names for chain, _ in seen for names in chain)
+    examples = [([field.features(names) for names in chain], labels) for chain, labels in seen]
     order = random.Random(1)
     for t in range(_ROUNDS):
         order.shuffle(examples)
