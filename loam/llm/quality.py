@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, narrow_input, small, spool
+from .shared import narrow_input, small, spool
 from .textscan import PowerTable, buffers, steps, word_hashes
 
 #: Labelled rows that the classifier is fitted on, at most (the least by a hash of doc_id).
 SAMPLE = 20_000
+#: Sites, with names of some 100 bytes, that are broadcast at most.
+SITES = 100_000
 #: Bounds of the strength of a prior, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 20.0, 100_000.0
 
@@ -127,7 +129,7 @@ def _strength(shares: DataFrame, share: str, weight: str) -> Column:
 def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Join on keys that may be null, broadcasting ``right`` if it is small by count."""
     other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if right.limit(SITES + 1).count() <= SITES:
         other = F.broadcast(other)
     condition = [left[k].eqNullSafe(other[f"_{k}"]) for k in keys]
     return left.join(other, condition).drop(*(f"_{k}" for k in keys))

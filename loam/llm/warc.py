@@ -6,7 +6,8 @@ task that runs again replaces the same file. The reader is sequential: it inflat
 member incrementally, takes the record's block by its content length and verifies the
 block's digest; memory is bounded by a chunk and one record.
 
-The folder can be any that ``pyarrow.fs`` and Spark both reach.
+The folder can be any that ``pyarrow.fs`` and Spark both reach by the same address (local
+and HDFS ones are; schemes that only Spark knows, such as ``s3a``, aren't).
 """
 
 from __future__ import annotations
@@ -126,6 +127,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
                 records += 1
                 size += packed.tell()
     if records:
+        # Not every file system replaces on a move; a task that ran before left the same records.
+        if store.get_file_info(name).type != fs.FileType.NotFound:
+            store.delete_file(name)
         store.move(draft, name)
         yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[1]]), pa.array([records]), pa.array([size])], ["archive", "records", "bytes"])
     else:
@@ -200,6 +204,12 @@ def read_archives(spark: SparkSession, folder: str, archives: DataFrame) -> Data
     )
 
 
+def unfit_revisits(records: DataFrame) -> DataFrame:
+    """Revisits among ``read_archives`` rows that refer to no response of the same payload digest and length."""
+    responses = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    return records.where("record_type = 'revisit'").join(responses, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to the shared folder and read the archives back: one row per row of ``pages``.
 

@@ -336,9 +336,25 @@ def test_warc_round_trip(spark):
         revisit = f is not None and i != f
         want.append((i, len((t or "").encode()), "revisit" if revisit else "response", f if revisit else None))
     assert got == sorted(want, key=str)
+    read = warc.round_trip(spark.createDataFrame([(*r, "") for r in rows], PAGES))
+    assert read.where("record_type = 'revisit'").count() > 0 and warc.unfit_revisits(read).count() == 0
+    assert warc.unfit_revisits(read.where("record_type = 'revisit' or page_id <> 30")).count() == 1
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_warc_with_many_shared_payloads(spark, monkeypatch):
+    from loam.llm import shared
+
+    monkeypatch.setattr(warc, "SHARED_DIGESTS", 0)
+    monkeypatch.setattr(shared, "HOT", 3)
+    rows = [(i, "u", ("same" if i % 3 else f"other {i // 6}") * 40, "") for i in range(60)] + [(100, None, "long " * 400_000, "")]
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(spark.createDataFrame(rows, PAGES)).collect()}
+    first = {}
+    for i, _, html, _ in rows:
+        first.setdefault(html, i)
+    assert got == {i: ("response", None) if first[h] == i else ("revisit", first[h]) for i, _, h, _ in rows}
+
+
 @given(st.lists(st.binary(max_size=300_000), max_size=4))
 @settings(max_examples=25, deadline=None)
 def test_records_round_trip(blocks):
