@@ -5,11 +5,14 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import functions as F
+
 from loam.operators.graph import GraphStore
 from loam.plans.families import FAMILIES, focused
 from loam.plans.general import general
 from loam.session import local_session
-from loam.sources.files import read_files, validate_dir, validate_file
+from loam.sources.files import read_files, read_listed, validate_dir, validate_file
+from loam.storage import spool
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,24 +25,26 @@ def parser() -> argparse.ArgumentParser:
     unknown.add_argument("--csv", default=".", type=validate_dir, help="folder for the CSV output")
     for mode in (known, unknown):
         mode.add_argument("files", nargs="+", type=validate_file)
-        mode.add_argument("--store", help="folder of the graph store")
+        mode.add_argument("--store", help="warehouse folder of the graph store")
     return top
 
 
 def main(arguments: list[str] | None = None) -> int:
     args = parser().parse_args(arguments)
     spark = local_session("*")
-    store = GraphStore(spark, args.store) if args.store else None
-    files = read_files(spark, args.files)
+    store = GraphStore.open(spark, args.store, args.mode) if args.store else None
     if args.mode == "general":
-        general(files, args.csv, store)
+        general(read_files(spark, args.files, on_error="fail"), args.csv, store)
         return 0
+    listed = spool(read_listed(spark.createDataFrame([(f,) for f in args.files], "path string")), "files")
+    files, unread = listed.where("error is null"), listed.where("error is not null")
     options = {}
     if args.family == "dark-watchmen":
         if not args.artifacts:
             raise SystemExit("dark-watchmen needs --artifacts: samples are never executed")
         options["artifacts"] = spark.read.parquet(args.artifacts)
     errors = focused(args.family, files.select("path", "content"), store, **options).errors
+    errors = errors.unionByName(unread.select("path", F.lit("read").alias("stage"), F.col("error").alias("message")))
     for row in errors.orderBy("path").toLocalIterator():
         print(f"{row['path']}: {row['stage']}: {row['message']}", file=sys.stderr)
     return 0

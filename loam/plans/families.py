@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam import schema
 from loam.functions import codec, text
 from loam.operators import graph
 from loam.sources.archives import members
@@ -247,12 +248,23 @@ FAMILIES: dict[str, Callable[..., Lineage]] = {
 }
 
 
+def register(name: str, plan: Callable[..., Lineage], definitions: tuple[tuple[str, str, str], ...]) -> None:
+    """Make a further family known: its plan, and the edges ``(collection, from, to)`` that it may give, its root's among them."""
+    FAMILIES[name] = plan
+    schema.EDGE_DEFINITIONS = tuple(dict.fromkeys((*schema.EDGE_DEFINITIONS, *definitions)))
+
+
+def roots() -> tuple[str, ...]:
+    """The collections of the families' roots, as the edge definitions have them."""
+    return tuple(sorted({to for collection, _, to in schema.EDGE_DEFINITIONS if collection == "HasMalwareFamily"}))
+
+
 def focused(family: str, files: DataFrame, store: graph.GraphStore | None = None, **options) -> Lineage:
     """The lineage of ``files``; with a store, also upserted there."""
     if family not in FAMILIES:
         raise ValueError(f"unknown family {family!r}; known: {', '.join(FAMILIES)}")
     found = FAMILIES[family](files, **options)
     if store is not None:
-        store.init("FocusedCorpus", ("Carnavalheist", "Coper", "DarkWatchmen", "Mintsloader"))
+        store.init("FocusedCorpus", roots())
         store.upsert(found.vertices, found.edges)
     return found

@@ -21,9 +21,12 @@ def sample_features(files: DataFrame, on_error: str = "skip") -> DataFrame:
 
     A sample that one of the hashes can't take is left out, or stops the run with ``on_error='fail'``.
     """
-    ranks = files.where("label is not null").select("label", "path").withColumn(
-        "node_id", F.row_number().over(Window.orderBy("label", "path")).cast("long") - 1
-    )
+    labelled = files.where("label is not null").select("label", "path")
+    # Numbers within a label on top of the labels before it, so that only the labels pass through one task.
+    before = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    starts = labelled.groupBy("label").agg(F.count("*").alias("n")).select("label", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("label").orderBy("path"))
+    ranks = labelled.withColumn("place", within).join(starts, "label").select("label", "path", (F.col("start") + F.col("place") - 1).cast("long").alias("node_id"))
     numbered = files.join(ranks, ["label", "path"]).withColumnRenamed("label", "family")
     hashed = spool(features(numbered).join(numbered.select("node_id", "path", F.sha2("content", 256).alias("sha256sum")), "node_id"), "features")
     short = hashed.where("ssdeep is null or tlsh is null or third is null")

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import codec, fuzzy
-from loam.operators import graph
-from loam.plans import families
+from loam.operators import distance, graph
+from loam.plans import families, general
 from loam.registry import query, table
 from loam.sources import archives, files
 from loam.storage import fresh_path, spool
@@ -390,3 +390,34 @@ def ctph_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = hashed.where("id = 0").select(F.col("ssdeep").alias("x")).join(hashed.where("id = 1").select(F.col("ssdeep").alias("y")))
     similarity = pair.select(fuzzy.pair_udf(fuzzy.ctph_similarity, "int")("x", "y").alias("s"))
     return hashed.unionByName(similarity.select((F.col("s") + 100).alias("id"), F.col("s").cast("string").alias("ssdeep")))
+
+
+@query("SELECT a.doc_id AS i, b.doc_id AS j, 100 AS similarity FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id")
+def ctph_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies among the candidates of the piecewise hash, which give all pairs of positive similarity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hashed = docs.select(F.col("doc_id").alias("node_id"), fuzzy.hash_udf(fuzzy.ctph)(F.col("text").cast("binary")).alias("ssdeep"))
+    found = distance.ssdeep_candidates(hashed)
+    texts = [docs.select(F.col("doc_id").alias(end), F.sha2(F.col("text").cast("binary"), 256).alias(f"sha_{end}")) for end in ("i", "j")]
+    return found.join(texts[0], "i").join(texts[1], "j").where("sha_i = sha_j").select("i", "j", "similarity")
+
+
+@query("SELECT item_id AS i, item_id + 100000 AS j, 0.0::DOUBLE AS ssdeep, 0.0::DOUBLE AS tlsh, 0.0::DOUBLE AS third, 0.0::DOUBLE AS combined FROM benchmark")
+def distances_of_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four distances over a table and its copy: none is zero but between copies."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("node_id"), F.col("text").alias("content"), F.lit("item").alias("family"))
+    copies = items.withColumn("node_id", F.col("node_id") + 100_000)
+    return distance.fuzzy_pairs(spool(distance.features(items.unionByName(copies)), "features")).where("ssdeep = 0 or tlsh = 0 or third = 0 or combined = 0")
+
+
+@query(
+    """WITH f AS (SELECT source AS family, '/x/' || source || '/' || doc_id AS path, text FROM documents)
+    SELECT node_id, family, sha256sum FROM (SELECT row_number() OVER (ORDER BY family, path) - 1 AS node_id, family, sha256(text) AS sha256sum, strlen(text) AS n FROM f) WHERE n >= 200"""
+)
+def sample_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples numbered by label and path, with their digests; those long enough for every hash."""
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select(F.concat(F.lit("/x/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"), F.col("source").alias("label"))
+    hashed = general.sample_features(found)
+    long = found.where(F.octet_length("content") >= 200).select(F.sha2("content", 256).alias("sha256sum")).distinct()
+    return hashed.join(long, "sha256sum", "left_semi").select("node_id", "family", "sha256sum")

@@ -19,5 +19,6 @@ def test_focused_reports_errors(spark, tmp_path, capsys):
     bad.write_text("nothing known")
     assert main(["focused", "carnavalheist", str(good), str(bad), "--store", f"file://{tmp_path}/g"]) == 0
     assert "bad: classify" in capsys.readouterr().err
+    assert (tmp_path / "g" / "focused_corpus" / "focused_corpus_graph" / "vertices").is_dir()
     with pytest.raises(SystemExit):
         main(["focused", "dark-watchmen", str(good)])

@@ -131,6 +131,24 @@ def test_listed_files_keep_a_row_each(spark, tmp_path):
     assert all(bytes(c) == b"one" and label == "fam" for _, c, label, e in got if not e)
 
 
+def test_a_further_family_plugs_in(spark, tmp_path, monkeypatch):
+    from loam import schema
+
+    monkeypatch.setattr(schema, "EDGE_DEFINITIONS", schema.EDGE_DEFINITIONS)
+    monkeypatch.setattr(families, "FAMILIES", dict(families.FAMILIES))
+
+    def plan(found):
+        rows = found.selectExpr("'OwnFile' collection", "sha2(content, 256) _key", "cast(map() as map<string,string>) attrs")
+        linked = families._edges(found.selectExpr("sha2(content, 256) sha"), "OwnHasFile", "Own", "Own", "OwnFile", "sha")
+        return families._lineage([rows], [linked], [spark.createDataFrame([], "path string, stage string, message string")], "Own")
+
+    families.register("own", plan, (("HasMalwareFamily", "FocusedCorpus", "Own"), ("OwnHasFile", "Own", "OwnFile")))
+    store = GraphStore(spark, f"file://{tmp_path}/own")
+    families.focused("own", files(spark, {"a": b"one"}), store)
+    assert ("OwnFile", sha(b"one")) in keys(store.vertices) and ("OwnHasFile", "Own/Own", f"OwnFile/{sha(b'one')}") in links(store.edges)
+    assert ("Own", "Own") in keys(store.vertices)
+
+
 def test_flags_and_members():
     data = archives.build_zip({"a": b"one", "b": b"two"}, encrypted_flag=True, compress=False)
     clear = archives.clear_encryption_flags(data)
