@@ -72,20 +72,39 @@ def _points(table: pa.Table) -> pa.Table:
     })
 
 
-def _near(batches: Iterator[pa.RecordBatch], eps: float) -> Iterator[pa.RecordBatch]:
+def _measured(x: np.ndarray, y: np.ndarray, metrics: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Distances of all rows of ``x`` from all of ``y``, summed dimension by dimension."""
+    sums = {m: np.zeros((len(x), len(y))) for m in metrics}
+    for a, b in zip(x.T, y.T, strict=True):
+        apart = a[:, None] - b[None, :]
+        if "euclidean" in sums:
+            sums["euclidean"] += apart * apart
+        if "manhattan" in sums:
+            sums["manhattan"] += np.abs(apart)
+        if "cosine" in sums:
+            sums["cosine"] += a[:, None] * b[None, :]
+    if "euclidean" in sums:
+        sums["euclidean"] = np.sqrt(sums["euclidean"])
+    if "cosine" in sums:
+        norms = [np.sqrt((z * z).sum(axis=1)) for z in (x, y)]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sums["cosine"] = 1 - sums["cosine"] / (norms[0][:, None] * norms[1][None, :])
+    return sums
+
+
+def _near(batches: Iterator[pa.RecordBatch], eps: float, metrics: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             i, j = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["other_ids"], np.int64)
             x, y = np.frombuffer(row["points"]).reshape(len(i), -1), np.frombuffer(row["other_points"]).reshape(len(j), -1)
-            squares = np.zeros((len(i), len(j)))
-            for a, b in zip(x.T, y.T, strict=True):
-                squares += (a[:, None] - b[None, :]) ** 2
-            d = np.sqrt(squares)
-            close = d <= eps
+            found = _measured(x, y, metrics)
+            close = found["euclidean"] <= eps if eps < np.inf else np.ones((len(i), len(j)), bool)
             if row["block"] == row["other"]:
                 close &= i[:, None] < j[None, :]
             a, b = np.nonzero(close)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[a], j[b])), pa.array(np.maximum(i[a], j[b])), pa.array(d[a, b])], ["i", "j", "d"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(i[a], j[b])), pa.array(np.maximum(i[a], j[b])), *(pa.array(found[m][a, b]) for m in metrics)], ["i", "j", *metrics]
+            )
 
 
 def within(nodes: DataFrame, eps: float, id_col: str = "node_id", value_col: str = "value") -> DataFrame:
@@ -95,10 +114,20 @@ def within(nodes: DataFrame, eps: float, id_col: str = "node_id", value_col: str
     inequality only blocks whose ranges are at most ``eps`` apart can hold a pair. Points
     are arrays of one length without nulls.
     """
+    return _block_pairs(nodes, eps, ("euclidean",), id_col, value_col).withColumnRenamed("euclidean", "d")
+
+
+def measured_pairs(nodes: DataFrame, metrics: tuple[str, ...], id_col: str = "node_id", value_col: str = "value") -> DataFrame:
+    """``(i, j, <metric>...)`` for all i < j, for ``euclidean``, ``manhattan`` and ``cosine``, block by block."""
+    return _block_pairs(nodes, float("inf"), metrics, id_col, value_col)
+
+
+def _block_pairs(nodes: DataFrame, eps: float, metrics: tuple[str, ...], id_col: str, value_col: str) -> DataFrame:
+    shape = ", ".join(["i long", "j long", *(f"{m} double" for m in metrics)])
     points = nodes.select(F.col(id_col).cast("long").alias("node_id"), F.col(value_col).cast("array<double>").alias("value"))
     pivot = points.orderBy("node_id").first()
     if pivot is None:
-        return nodes.sparkSession.createDataFrame([], "i long, j long, d double")
+        return nodes.sparkSession.createDataFrame([], shape)
     away = points.withColumn("away", euclidean(F.col("value"), F.lit(pivot["value"])))
     blocks = max(1, -(-points.count() // BLOCK))
     bounds = away.agg(F.percentile_approx("away", [k / blocks for k in range(1, blocks)], F.lit(10_000))).first()[0] if blocks > 1 else []
@@ -111,7 +140,7 @@ def within(nodes: DataFrame, eps: float, id_col: str = "node_id", value_col: str
     meet = one.join(two, (F.col("block") <= F.col("other")) & (F.col("lo") - F.col("hi") <= eps * (1 + 1e-9) + 1e-12)).select("block", "other")
     sides = packed.select("block", "ids", "points"), packed.select(F.col("block").alias("other"), F.col("ids").alias("other_ids"), F.col("points").alias("other_points"))
     dealt = spool(meet, "meet").repartition(nodes.sparkSession.sparkContext.defaultParallelism, "block", "other")
-    return dealt.join(sides[0], "block").join(sides[1], "other").mapInArrow(lambda it: _near(it, eps), "i long, j long, d double")
+    return dealt.join(sides[0], "block").join(sides[1], "other").mapInArrow(lambda it: _near(it, eps, metrics), shape)
 
 
 def mirrored(upper: DataFrame, nodes: DataFrame, distance: str = "d", id_col: str = "node_id") -> DataFrame:

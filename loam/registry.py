@@ -467,8 +467,8 @@ def distance_matrix_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM e a JOIN e b ON a.vec_id < b.vec_id) SELECT i, j, round(sqrt(d * d + m * m + c * c), 4) AS combined FROM p"""
 )
 def combined_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    three = distance.pairs(_points(spark, sf_dir), {"d": distance.euclidean, "m": distance.manhattan, "c": distance.cosine_distance})
-    return three.select("i", "j", F.round(distance.combined(F.col("d"), F.col("m"), F.col("c")), 4).alias("combined"))
+    three = distance.measured_pairs(_points(spark, sf_dir), ("euclidean", "manhattan", "cosine"))
+    return three.select("i", "j", F.round(distance.combined(F.col("euclidean"), F.col("manhattan"), F.col("cosine")), 4).alias("combined"))
 
 
 _EPS, _MIN_PTS = 1.16, 5
@@ -502,8 +502,8 @@ def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dbscan_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the distance matrix as points."""
     points = _points(spark, sf_dir)
-    full = distance.mirrored(distance.pairs(points, {"d": distance.euclidean}), points)
-    return cluster.dbscan(points.select("node_id"), cluster.matrix_rows(full), 1.9, 4)
+    full = distance.mirrored(spool(distance.within(points, float("inf")), "pairs"), points)
+    return cluster.dbscan(points.select("node_id"), cluster.matrix_rows(full, 1.9), 1.9, 4)
 
 
 @query()
