@@ -31,7 +31,6 @@ from .shared import narrow_input
 from .textscan import PowerTable, buffers, chained, lower_table, steps, tokens
 
 
-
 class Winnow(NamedTuple):
     #: Words of a gram, and grams of a window.
     size: int
