@@ -81,8 +81,8 @@ def _shape(
     ), share
 
 
-def _own(token: str) -> tuple[tuple[str, ...], str]:
-    """Features of a token by itself, and the part of joint features."""
+def _own(token: str) -> tuple[tuple[str, ...], str, str]:
+    """Features of a token's shape and of its start, and the part of joint features."""
     n, kinds = len(token), set(token)
     if token.isalpha() and (token.islower() or token[1:].islower()):
         upper = int(not token.islower())
@@ -94,7 +94,7 @@ def _own(token: str) -> tuple[tuple[str, ...], str]:
         turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
         rises = sum(a.islower() and b.isupper() for a, b in zip(token, token[1:], strict=False))
         names, joint = _shape(n, digits, upper, lower, turns, len(kinds), kinds <= _HEX_CHARS, rises, "." in kinds, "/" in kinds, "-" in kinds)
-    return (*names, f"start:{token[:4]}"), joint
+    return names, f"start:{token[:4]}", joint
 
 
 def _file_features(text: str) -> tuple[str, ...]:
@@ -153,8 +153,8 @@ def _chains(text: str, wanted: list[tuple[int, int]] | None = None) -> Iterator[
         names = []
         for i in range(first, last):
             gap = _gap(text[found[i - 1].end() : found[i].start()], len(tokens[i - 1]), len(tokens[i])) if i > first else ""
-            own, joint = _own(text[slice(*spans[i - first])])
-            names.append({*own, *document, *_around(joint, tokens[max(0, i - BEHIND) : i], tokens[i + 1 : i + 2], i - first, gap)})
+            shape, start, joint = _own(text[slice(*spans[i - first])])
+            names.append({*shape, start, *document, *_around(joint, tokens[max(0, i - BEHIND) : i], tokens[i + 1 : i + 2], i - first, gap)})
         yield spans, names
 
 
@@ -278,12 +278,22 @@ class _Bounds:
         self.inner = float(field.step[1:, 1:].max() - stay)
         self.ends = float(field.step[0, 1] - stay + field.step[1:, 0].max() - stay)
         self.own: dict[str, float] = {}
+        # There are as many shapes as combinations of a few buckets.
+        self.shapes: dict[tuple[str, ...], list[float]] = {}
 
     def _own_gain(self, token: str) -> float:
         found = self.own.get(token)
         if found is None:
-            o, b, i = self.field.emit[self.field.features(_own(token.rstrip(".-/"))[0])].sum(axis=0)
-            found = float(max(b, i) - o) + self.rest
+            shape, start, _ = _own(token.rstrip(".-/"))
+            weights = self.shapes.get(shape)
+            if weights is None:
+                weights = self.shapes[shape] = self.field.emit[self.field.features(shape)].sum(axis=0).tolist()
+            o, b, i = weights
+            k = self.field.index.get(start)
+            if k is not None:
+                x, y, z = self.field.emit[k].tolist()
+                o, b, i = o + x, b + y, i + z
+            found = max(b, i) - o + self.rest
             if len(self.own) < 1 << 18:
                 self.own[token] = found
         return found
