@@ -190,7 +190,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, level: Level, threshold: tu
     common = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
     margin = 0.8 - (level.shared - 0.5) / level.size
     return (
-        even_join(pairs, left, "a", by="b", wide=True).join(right, "b").where(_sizes_allow(F.col("na"), F.col("nb"), threshold))
+        # A union of what is dealt alike keeps all its partitions, however few rows they hold.
+        even_join(spool(pairs.hint("rebalance"), "candidates"), left, "a", by="b", wide=True).join(right, "b").where(_sizes_allow(F.col("na"), F.col("nb"), threshold))
         .where(common >= (threshold[0] / threshold[1] - margin) * F.size(union)).select("a", "b")
     )
 
