@@ -142,19 +142,35 @@ def _wanted(name: str) -> bool:
     return name.endswith(".apk") or name.startswith("lib/") or name.endswith(".dex")
 
 
-def _expanded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["id", "member", "content", "is_cut", "error"]
+#: Rows and bytes of members that a worker gathers before it passes them on.
+_GATHERED = 256, 8 << 20
+
+
+def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """One row for each archive itself, then one for each wanted member."""
     for batch in batches:
         for i, data in zip(batch["id"], batch["content"], strict=True):
             data = b"" if data is None else bytes(data)
             names = member_names(data)
-            # One row for the archive itself, then one for each member; one archive's members at a time.
-            yield pd.DataFrame([[i, None, None, names is None, None]], columns=columns)
+            yield i, None, None, names is None, None
             for name in filter(_wanted, names or []):
                 try:
-                    yield pd.DataFrame([[i, name, read_member(data, name), False, None]], columns=columns)
+                    yield i, name, read_member(data, name), False, None
                 except Exception as e:  # noqa: BLE001  a member may fail in any way; the others go on
-                    yield pd.DataFrame([[i, name, None, False, f"{type(e).__name__}: {e}"]], columns=columns)
+                    yield i, name, None, False, f"{type(e).__name__}: {e}"
+
+
+def _expanded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["id", "member", "content", "is_cut", "error"]
+    held, size = [], 0
+    for row in _rows(batches):
+        held.append(row)
+        size += len(row[2] or b"")
+        if len(held) >= _GATHERED[0] or size >= _GATHERED[1]:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
 
 
 def members(archives: DataFrame) -> DataFrame:
