@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, mixing, neardup, pii, secrets, topk, warc
+from . import audit, decontam, layout, licenses, mixing, neardup, pii, secrets, topk, warc
 from .quality import score_quality
 from .shared import table
 from .toxicity import score_toxicity
@@ -52,9 +52,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of every order of five filters, by source."""
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_clustered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place in the layout and what a query around it has to read."""
+    return layout.clustered_layout(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": topk.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op7_minhash_near_dedup": neardup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {
+        "op3_top_k": topk.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op7_minhash_near_dedup": neardup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL,
+        "op12_filter_audit": audit.ORACLE_SQL, "op13_clustered_layout": layout.ORACLE_SQL,
+    }
