@@ -16,10 +16,10 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import spool, word_count
+from .shared import spool
 
-#: The words of a text are parted by these characters.
-_GAPS = "\t\n\x0b\x0c\r"
+#: What parts the words of a text.
+_GAPS = r"[\x20\x09-\x0D]+"
 
 LEAST_WORDS = 200
 #: In per cent: distinct words of all words at least, capitals of all characters at most.
@@ -30,16 +30,12 @@ SYMBOLS = r"[#$%&*|]"
 COPY = "E"
 
 
-def _distinct_words(text: Column) -> Column:
-    return F.size(F.array_remove(F.array_distinct(F.split(F.translate(text, _GAPS, " " * len(_GAPS)), " ")), ""))
-
-
-def text_filters(text: Column) -> dict[str, Column]:
-    """Failure conditions by letter that need nothing but the text, which isn't null."""
-    words = word_count(text)
+def text_filters(text: Column, words: Column) -> dict[str, Column]:
+    """Failure conditions by letter that need nothing but the text, which isn't null, and its words."""
+    n = F.size(words)
     return {
-        "A": words < LEAST_WORDS,
-        "B": 100 * _distinct_words(text) < LEAST_DISTINCT * words,
+        "A": n < LEAST_WORDS,
+        "B": 100 * F.size(F.array_distinct(words)) < LEAST_DISTINCT * n,
         "C": 100 * F.length(F.regexp_replace(text, "[^A-Z]+", "")) > MOST_CAPITALS * F.length(text),
         "D": text.rlike(SYMBOLS),
     }
@@ -56,18 +52,15 @@ def failures(
     one's original; rows that repeat an id and text are each counted, and none is the
     other's copy. An id counts as labelled 1 if any of its label rows says so.
     """
-    text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
-    found = text_filters(text)
+    texts = docs.select(
+        docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.coalesce(docs[f"`{part_col}`"].cast("string"), F.lit("")).alias("part"),
+        F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"),
+    ).withColumn("words", F.array_remove(F.split("text", _GAPS), ""))
+    found = text_filters(F.col("text"), F.col("words"))
     letters = "".join([*found, COPY])
     bits = sum((F.when(failed, 1 << i).otherwise(0) for i, failed in enumerate(found.values())), F.lit(0))
     # Texts are read once; all that follows works on these few bytes a document.
-    marks = spool(
-        docs.select(
-            docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.coalesce(docs[f"`{part_col}`"].cast("string"), F.lit("")).alias("part"),
-            bits.cast("int").alias("bits"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
-        ),
-        "marks",
-    )
+    marks = spool(texts.select("doc_id", "part", bits.cast("int").alias("bits"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")), "marks")
     first = marks.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     marked = labels.select(*(labels[f"`{c}`"].alias(n) for c, n in ((id_col, "doc_id"), (good_col, "good"), (toxic_col, "toxic"))))
     marked = marked.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
