@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontam, layout, licenses, mixing, neardup, pii, secrets, topk, warc
+from . import audit, decontam, layout, licenses, lm, mixing, neardup, pii, secrets, topk, warc
 from .quality import score_quality
 from .shared import table
 from .toxicity import score_toxicity
@@ -52,6 +52,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability under a model of those that aren't held out."""
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step of every order of five filters, by source."""
     return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
