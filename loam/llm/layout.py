@@ -9,7 +9,7 @@ others are opened, down to single files, whose list of cells tells whether a row
 Nothing that grows with the rows passes through one task, the driver or a broadcast:
 ranks are prefix sums over sorted partitions, the boundaries of the coordinates and the
 queries are as few as there are cells, and the tree is a table that is joined level by
-level.
+level, by sorting.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ def descend(queries: DataFrame, levels: list[DataFrame]) -> DataFrame:
     open_nodes = queries.withColumn("node", F.lit(0).cast("long"))
     found = []
     for depth in range(len(levels) - 1, -1, -1):
-        met = spool(open_nodes.join(levels[depth], "node").where(meets).withColumn("whole", within).select("cell", *sides, "node", "files", "whole", *(["cells"] if not depth else [])), "met")
+        met = spool(open_nodes.join(levels[depth].hint("merge"), "node").where(meets).withColumn("whole", within).select("cell", *sides, "node", "files", "whole", *(["cells"] if not depth else [])), "met")
         whole = met.where("whole").select("cell", F.col("files").alias("touched"), F.col("files").alias("matching"))
         found.append(whole)
         rest = met.where("not whole")
@@ -193,7 +193,7 @@ def clustered_layout(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cells = placed.select(F.col("z").alias("cell")).distinct()  # CELLS ** 4 at most, however many rows there are
     counts = descend(cells.select("cell", *box(F.col("cell"))), levels).withColumnRenamed("cell", "z")
     bounds = levels[0].select(F.col("node").alias("file"), F.concat_ws(",", *(f"{d}_{end}" for d in DIMENSIONS for end in ("low", "high"))).alias("file_bounds"))
-    return placed.join(bounds, "file").join(F.broadcast(counts), "z").select("doc_id", "z", "position", "file", "files_touched", "files_matching", "file_bounds")
+    return placed.join(bounds.hint("merge"), "file").join(F.broadcast(counts), "z").select("doc_id", "z", "position", "file", "files_touched", "files_matching", "file_bounds")
 
 
 ORACLE_SQL = r"""
