@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import fuzzy
 from loam.functions.text import similarity_to_distance
+from loam.operators import similar
 from loam.storage import spool
 
 
@@ -161,14 +162,14 @@ def combined(*distances: Column) -> Column:
 def ssdeep_candidates(hashed: DataFrame) -> DataFrame:
     """Pairs ``(i, j, similarity)`` of positive CTPH similarity, found by shared 7-grams instead of all pairs.
 
-    Every other pair has similarity 0.
+    Every other pair has similarity 0. Nodes of equal hashes are compared once; the pairs
+    of all of them come out only here. ``similar.ctph_near`` and ``membership`` say the same in fewer rows.
     """
-    keyed = hashed.where("ssdeep is not null").select("node_id", "ssdeep", F.explode(F.array_append(fuzzy.grams_udf()("ssdeep"), F.col("ssdeep"))).alias("gram"))
-    a = keyed.select(F.col("node_id").alias("i"), F.col("ssdeep").alias("x"), "gram")
-    b = keyed.select(F.col("node_id").alias("j"), F.col("ssdeep").alias("y"), "gram")
-    found = a.join(b, "gram").where("i < j").groupBy("i", "j").agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    scored = found.select("i", "j", fuzzy.pair_udf(fuzzy.ctph_similarity, "int")("x", "y").alias("similarity"))
-    return scored.where("similarity > 0")
+    members = spool(similar.membership(hashed, "ssdeep"), "members")
+    copies = similar.key_pairs(members.select("node_id", F.col("rep").alias("key"))).withColumn("similarity", F.lit(100))
+    sides = [members.select(F.col("rep").alias(end), F.col("node_id").alias(f"node_{end}")) for end in ("i", "j")]
+    near = similar.ctph_near(hashed).join(sides[0], "i").join(sides[1], "j")
+    return near.select(F.least("node_i", "node_j").alias("i"), F.greatest("node_i", "node_j").alias("j"), "similarity").unionByName(copies.select("i", "j", "similarity"))
 
 
 def fuzzy_pairs(hashed: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def fuzzy_pairs(hashed: DataFrame) -> DataFrame:
     three = a.join(b, F.col("i") < F.col("j")).select(
         "i", "j",
         similarity_to_distance(fuzzy.pair_udf(fuzzy.ctph_similarity, "int")("sx", "sy").cast("double")).alias("ssdeep"),
-        fuzzy.pair_udf(fuzzy.tlsh_distance, "int")("tx", "ty").cast("double").alias("tlsh"),
+        fuzzy.tlsh_distance_udf()("tx", "ty").alias("tlsh"),
         similarity_to_distance(fuzzy.pair_udf(fuzzy.profile_similarity, "double")("px", "py")).alias("third"),
     )
     return three.withColumn("combined", combined(F.col("ssdeep"), F.col("tlsh"), F.col("third")))

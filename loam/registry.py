@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loam import schema
 from loam.functions import codec, fuzzy, text
-from loam.operators import cluster, distance, evaluation, graph
+from loam.operators import cluster, distance, evaluation, graph, similar
 from loam.sources import archives, files
 from loam.storage import fresh_path, spool
 
@@ -583,6 +583,33 @@ def tlsh_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.fuzzy_pairs(distance.features(items)).select("i", "j", "tlsh")
 
 
+def _tlsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.col("text").cast("binary")
+    hashed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), fuzzy.hash_udf(fuzzy.tlsh)(content).alias("tlsh"), F.sha2(content, 256).alias("sha"), F.octet_length("text").alias("size"))
+    return spool(hashed, "tlsh")
+
+
+#: What two digests may be apart in ``tlsh_near``: edits of a few words.
+_TLSH_BOUND = 20
+
+
+@query()
+def tlsh_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose digests are at most 20 apart: pairs of representatives, and each copy with its own."""
+    hashed = _tlsh(spark, sf_dir)
+    copies = similar.membership(hashed, "tlsh").where("node_id <> rep").select(F.col("rep").alias("i"), F.col("node_id").alias("j"), F.lit(0).cast("long").alias("distance"))
+    return similar.tlsh_near(hashed, _TLSH_BOUND).unionByName(copies)
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_copy FROM documents WHERE strlen(text) >= 200")
+def tlsh_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance 0: of the documents with equal digests those with equal texts."""
+    hashed = _tlsh(spark, sf_dir)
+    known = similar.membership(hashed, "tlsh").join(hashed.select("node_id", "sha", "size"), "node_id").where("size >= 200")
+    first = known.groupBy("rep", "sha").agg(F.min("node_id").alias("first_copy"))
+    return known.join(first, ["rep", "sha"]).select(F.col("node_id").alias("doc_id"), "first_copy")
+
+
 # --- codecs, archives, families --------------------------------------------------
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import fuzzy
-from loam.operators import cluster, distance
+from loam.operators import cluster, distance, similar
 
 
 def prose(seed, n=4000):
@@ -40,6 +40,66 @@ def test_candidates_equal_all_pairs(spark):
     assert got == want
 
 
+def plain_tlsh_distance(x, y):
+    """Byte by byte and code by code."""
+    a, b = bytes.fromhex(x), bytes.fromhex(y)
+    around = lambda p, q, n: min((p - q) % n, (q - p) % n)
+    length = around(a[1], b[1], 256)
+    total = int(a[0] != b[0]) + (length if length <= 1 else 12 * length)
+    for p, q in ((a[2] >> 4, b[2] >> 4), (a[2] & 15, b[2] & 15)):
+        d = around(p, q, 16)
+        total += d if d <= 1 else 12 * (d - 1)
+    for p, q in zip(a[3:], b[3:], strict=True):
+        for k in (0, 2, 4, 6):
+            d = abs((p >> k & 3) - (q >> k & 3))
+            total += 6 if d == 3 else d
+    return total
+
+
+def digests_around(seed=0, centres=6, each=25):
+    """Random digests with others a few steps away, so that distances spread around small bounds."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(centres):
+        centre = [rng.randrange(256) for _ in range(35)]
+        for _ in range(each):
+            d = list(centre)
+            for _ in range(rng.randint(0, 30)):
+                at, k = rng.randrange(3, 35), rng.choice((0, 2, 4, 6))
+                code = min(3, max(0, (d[at] >> k & 3) + rng.choice((-1, 1))))
+                d[at] = d[at] & ~(3 << k) | code << k
+            d[1] = (d[1] + rng.choice((0, 0, 0, 1, 255, 2))) % 256
+            d[0] = rng.choice((d[0], d[0], 7))
+            out.append(bytes(d).hex())
+    return out
+
+
+@pytest.mark.parametrize("bound", [0, 5, 20, 33])
+@pytest.mark.parametrize("hot", [1_024, 4])
+def test_tlsh_pairs_within_a_bound_equal_all_pairs(spark, monkeypatch, bound, hot):
+    monkeypatch.setattr(similar, "HOT", hot)
+    digests = digests_around()
+    rows = [(i, d) for i, d in enumerate(digests)] + [(1000 + i, digests[0]) for i in range(40)] + [(-5, digests[7]), (2000, None)]
+    df = spark.createDataFrame(rows, "node_id long, tlsh string").repartition(3)
+    first = {}
+    for i, d in rows:
+        first[d] = min(i, first.get(d, i))
+    reps = sorted((i, d) for d, i in first.items() if d)
+    want = {(i, j, n) for k, (i, x) in enumerate(reps) for j, y in reps[k + 1 :] if (n := plain_tlsh_distance(x, y)) <= bound}
+    assert bound == 0 or len(want) > 10
+    got = [tuple(r) for r in similar.tlsh_near(df, bound).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {tuple(r) for r in similar.membership(df, "tlsh").collect()} == {(i, first[d]) for i, d in rows if d}
+
+
+def test_no_task_gets_all_copies(spark, monkeypatch):
+    """Of 20,000 nodes of one hash, no piece of the join has more than a few thousand."""
+    df = spark.range(20_000).select(F.col("id").alias("node_id"), F.lit("3:abcdefghij:klmnop").alias("ssdeep"))
+    members = similar.membership(df, "ssdeep")
+    assert members.where("rep = 0").count() == 20_000
+    assert similar.ctph_near(df).count() == 0
+
+
 def direct(matrix, eps, k):
     n = len(matrix)
     near = matrix <= eps
