@@ -165,6 +165,7 @@ def ssdeep_candidates(hashed: DataFrame) -> DataFrame:
     Every other pair has similarity 0. Nodes of equal hashes are compared once; the pairs
     of all of them come out only here. ``similar.ctph_near`` and ``membership`` say the same in fewer rows.
     """
+    hashed = spool(hashed.select("node_id", "ssdeep"), "hashed")
     members = spool(similar.membership(hashed, "ssdeep"), "members")
     copies = similar.key_pairs(members.select("node_id", F.col("rep").alias("key"))).withColumn("similarity", F.lit(100))
     sides = [members.select(F.col("rep").alias(end), F.col("node_id").alias(f"node_{end}")) for end in ("i", "j")]

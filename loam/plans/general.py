@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.operators.cluster import dbscan_grid
 from loam.operators.distance import features, fuzzy_pairs
 from loam.operators.graph import GraphStore, edge_key, vertex_id
+from loam.operators.sweep import dbscan_grid
 from loam.sources.files import write_sweep_csv
 from loam.storage import spool
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loam import schema
 from loam.functions import codec, fuzzy, text
-from loam.operators import cluster, distance, evaluation, graph, similar
+from loam.operators import cluster, distance, evaluation, graph, similar, sweep
 from loam.sources import archives, files
 from loam.storage import fresh_path, spool
 
@@ -503,16 +503,13 @@ def dbscan_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the distance matrix as points."""
     points = _points(spark, sf_dir)
     full = distance.mirrored(spool(distance.within(points, float("inf")), "pairs"), points)
-    return cluster.dbscan(points.select("node_id"), cluster.matrix_rows(full, 1.9), 1.9, 4)
+    return cluster.dbscan(points.select("node_id"), sweep.matrix_rows(full, 1.9), 1.9, 4)
 
 
 @query()
 def dbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full grid over one distance, rescaled to the grid's range."""
-    points = _points(spark, sf_dir)
-    pairs = distance.within(points, float("inf")).withColumn("d", F.greatest(F.lit(0.0), 400 * (F.col("d") - 1)))
-    labels = points.select("node_id", (F.col("node_id") % 4).cast("string").alias("family"))
-    return cluster.dbscan_grid(spark, pairs, labels, ["d"], list(range(1, 100)), list(range(2, 100)))
+    return _swept(spark, sf_dir, list(range(1, 100)), list(range(2, 100)))
 
 
 # Cells of the grid: those in SQL are a few, as each is a clustering of its own there.
@@ -528,11 +525,13 @@ def _cell_sql(eps: int, min_pts: int, columns: str) -> str:
     return f"SELECT * FROM ({_COUNTED.format(rows=labelled)} SELECT {eps}::DOUBLE AS eps, {min_pts}::INT AS min_pts, {values} FROM s)"
 
 
-def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _swept(spark: SparkSession, sf_dir: str, eps: list[int] | None = None, min_pts: list[int] | None = None) -> DataFrame:
     points = _points(spark, sf_dir)
-    pairs = distance.within(points, float("inf")).withColumn("d", F.greatest(F.lit(0.0), 400 * (F.col("d") - 1)))
+    eps, min_pts = eps or sorted({e for e, _ in _CELLS}), min_pts or sorted({m for _, m in _CELLS})
+    # What no eps reaches isn't made.
+    pairs = distance.within(points, 1 + max(eps) / 400 + 1e-9).withColumn("d", F.greatest(F.lit(0.0), 400 * (F.col("d") - 1)))
     labels = points.select("node_id", (F.col("node_id") % 4).cast("string").alias("family"))
-    return cluster.dbscan_grid(spark, pairs, labels, ["d"], sorted({e for e, _ in _CELLS}), sorted({m for _, m in _CELLS}))
+    return sweep.dbscan_grid(spark, pairs, labels, ["d"], eps, min_pts)
 
 
 @query(" UNION ALL ".join(_cell_sql(*cell, "purity:purity nmi:nmi ri_ref:ri_ref ri_std:ri_std f5_ref:f5_ref f5_std:f5_std") for cell in _CELLS))
@@ -541,6 +540,42 @@ def dbscan_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_swept(spark, sf_dir).drop("distance", "n"), *_MEASURES)
 
 
+_HUNDRED = list(range(40, 80, 4)), list(range(2, 22, 2))
+#: Clusters of each cell by the least label that spreads over its core links.
+_HUNDRED_SQL = f"""
+WITH RECURSIVE e AS (SELECT * FROM embeddings),
+near AS (SELECT i, j, d FROM (SELECT a.vec_id AS i, b.vec_id AS j, greatest(0, 400 * ({_EUCLID} - 1)) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id) WHERE d <= {max(_HUNDRED[0])}),
+cells AS (SELECT eps, k FROM (SELECT unnest({_HUNDRED[0]}) AS eps) CROSS JOIN (SELECT unnest({_HUNDRED[1]}) AS k)),
+degree AS (SELECT eps, i, count(*) AS n FROM near JOIN (SELECT DISTINCT eps FROM cells) ON d <= eps GROUP BY ALL),
+core AS (SELECT c.eps, c.k, v.vec_id AS i FROM cells c CROSS JOIN e v LEFT JOIN degree g ON g.eps = c.eps AND g.i = v.vec_id WHERE coalesce(n, 0) + 1 >= k),
+links AS (SELECT a.eps, a.k, a.i, n.j FROM core a JOIN near n ON n.i = a.i AND n.d <= a.eps JOIN core b ON b.eps = a.eps AND b.k = a.k AND b.i = n.j),
+spread(eps, k, node, root) USING KEY (eps, k, node) AS (
+  SELECT eps, k, i, i FROM core
+  UNION
+  SELECT l.eps, l.k, l.j, min(s.root) FROM spread s JOIN links l ON l.eps = s.eps AND l.k = s.k AND l.i = s.node
+    JOIN recurring.spread o ON o.eps = l.eps AND o.k = l.k AND o.node = l.j WHERE s.root < o.root GROUP BY ALL
+),
+beside AS (SELECT s.eps, s.k, n.i, min(s.root) AS root FROM spread s JOIN near n ON n.j = s.node AND n.d <= s.eps GROUP BY ALL),
+found AS (SELECT c.eps, c.k, coalesce(s.root, b.root, -1) AS cluster, v.vec_id % 4 AS label FROM cells c CROSS JOIN e v
+  LEFT JOIN spread s ON s.eps = c.eps AND s.k = c.k AND s.node = v.vec_id LEFT JOIN beside b ON b.eps = c.eps AND b.k = c.k AND b.i = v.vec_id),
+counts AS (SELECT eps, k, cluster, label, count(*)::DOUBLE AS cnt FROM found GROUP BY ALL),
+clusters AS (SELECT eps, k, cluster, sum(cnt) AS size, max(cnt) AS top, sum(cnt * (cnt - 1) / 2) AS tp, sum(cnt * log2(cnt)) AS logs, sum(cnt * cnt) AS squares FROM counts GROUP BY ALL),
+labels AS (SELECT sum(held * held) AS squares, sum(held * log2(held)) AS logs FROM (SELECT vec_id % 4 AS label, count(*)::DOUBLE AS held FROM e GROUP BY 1)),
+s AS (SELECT eps, k, sum(size) AS n, sum(top) AS top, sum(tp) AS tp, sum(size * (size - 1) / 2) AS tp_fp, (sum(size) * sum(size) - sum(size * size)) / 2 AS tn_fn,
+    ((SELECT squares FROM labels) - sum(squares)) / 2 AS split, log2(sum(size)) - (SELECT logs FROM labels) / sum(size) AS h_label,
+    log2(sum(size)) - sum(size * log2(size)) / sum(size) AS h_cluster, (sum(size * log2(size)) - sum(logs)) / sum(size) AS h_cond, min(cluster) >= 0 AS no_noise
+  FROM clusters GROUP BY ALL)
+SELECT eps::DOUBLE AS eps, k::INT AS min_pts, {", ".join(f"round({'CASE WHEN no_noise THEN ' + chr(39) + 'nan' + chr(39) + '::DOUBLE ELSE ' + e + ' END' if m == 'nmi' else e}, 6) + 0.0 AS {m}" for m, e in _MEASURES.items())} FROM s
+"""
+
+
+@query(_HUNDRED_SQL)
+def dbscan_hundred_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten eps by ten min_pts of the grid."""
+    cells = _rounded(_swept(spark, sf_dir, *_HUNDRED).drop("distance", "n"), *_MEASURES)
+    return cells.withColumns({m: F.col(m) + 0.0 for m in _MEASURES})  # no minus zero
+
+
 @query(" UNION ALL ".join(_cell_sql(*cell, "purity:prurity nmi:nmi ri_ref:ri f5_ref:f5") for cell in _CELLS))
 def sweep_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CSV sink, read back."""

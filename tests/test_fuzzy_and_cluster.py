@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import fuzzy
-from loam.operators import cluster, distance, similar
+from loam.operators import cluster, distance, evaluation, similar, sweep
 
 
 def prose(seed, n=4000):
@@ -126,12 +126,74 @@ def matrix_of(seed, n=40):
     return np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_grid_equals_direct_search(seed):
-    m = matrix_of(seed)
-    for k in (2, 4, 7, 50):
-        for eps, labels in cluster.grid_labels(m, k, [0.1, 0.3, 0.5, 1.0, 5.0]):
-            assert (labels == direct(m, eps, k)).all()
+def direct_sweep(spark, matrix, families, eps_values, min_pts_values):
+    """The measures of every cell from labels found anew."""
+    counts = []
+    for k in min_pts_values:
+        for eps in eps_values:
+            labels = direct(matrix, eps, k)
+            pairs, n = np.unique(np.column_stack([labels, families]), axis=0, return_counts=True)
+            counts += [(float(eps), k, int(c), str(f), int(m), int(labels.max()) + 1) for (c, f), m in zip(pairs, n, strict=True)]
+    rows = spark.createDataFrame(counts, "eps double, min_pts int, cluster long, label string, cnt long, buckets long")
+    by = ("eps", "min_pts")
+    return evaluation.measures(evaluation.parts(rows, by, buckets="buckets"), by)
+
+
+def swept(spark, matrix, families, eps_values, min_pts_values, **options):
+    n = len(matrix)
+    # Ids with gaps and below zero.
+    ids = [7 * i - 50 for i in range(n)]
+    pairs = [(ids[i], ids[j], float(matrix[i, j])) for i in range(n) for j in range(i + 1, n)]
+    nodes = spark.createDataFrame([(i, str(f)) for i, f in zip(ids, families, strict=True)], "node_id long, family string")
+    return sweep.dbscan_grid(spark, spark.createDataFrame(pairs, "i long, j long, d double").repartition(3), nodes, ["d"], eps_values, min_pts_values, **options)
+
+
+def same_cells(got, want):
+    by, numbers = ["min_pts", "eps"], ["n", "purity", "nmi", "ri_ref", "ri_std", "f5_ref", "f5_std"]
+    a, b = (x.toPandas().sort_values(by).reset_index(drop=True) for x in (got, want))
+    assert (a[by].astype(float) == b[by].astype(float)).all(axis=None)
+    np.testing.assert_allclose(a[numbers].astype(float), b[numbers].astype(float), atol=1e-9, equal_nan=True)
+
+
+def test_all_cells_of_the_grid_equal_direct_search(spark):
+    m = (40 * matrix_of(1, 26)).round()
+    m[:, 5], m[5, :] = m[:, 4], m[4, :]  # a copy
+    m[5, 5] = m[4, 5] = m[5, 4] = 0
+    families = np.random.default_rng(1).integers(0, 4, 26)
+    eps, pts = list(range(1, 100)), list(range(2, 100))
+    got = swept(spark, m, families, eps, pts)
+    assert got.count() == 9_702
+    same_cells(got, direct_sweep(spark, m, families, eps, pts))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sweep_in_many_blocks_equals_direct_search(spark, monkeypatch, seed):
+    monkeypatch.setattr(sweep, "BLOCK", 5)
+    monkeypatch.setattr(sweep, "FAN", 3)
+    m = matrix_of(seed, 45).round(1)
+    families = np.arange(45) % (1 + seed * 20)
+    eps, pts = [0.0, 0.1, 0.25, 0.3, 0.5, 1, 2, 9], [1, 2, 3, 5, 9, 60]
+    same_cells(swept(spark, m, families, eps, pts), direct_sweep(spark, m, families, eps, pts))
+
+
+def test_sweep_of_matrix_rows(spark, monkeypatch):
+    monkeypatch.setattr(sweep, "BLOCK", 7)
+    m = matrix_of(5, 30).round(1)
+    rows = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1))
+    families = np.arange(30) % 3
+    eps, pts = [0.3, 0.9, 1.5, 2.5, 4], [2, 4, 31]
+    same_cells(swept(spark, m, families, eps, pts, rows_as_points=True), direct_sweep(spark, rows, families, eps, pts))
+
+
+def test_sweep_of_little(spark):
+    nodes = spark.createDataFrame([(1, "a")], "node_id long, family string")
+    none = spark.createDataFrame([], "i long, j long, d double")
+    assert sweep.dbscan_grid(spark, none, nodes, ["d"], [1, 2], [2]).select("n", "purity").collect() == [(1, 1.0)] * 2
+    assert sweep.dbscan_grid(spark, none, nodes.limit(0), ["d"], [1, 2], [2]).count() == 0
+    apart = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "node_id long, family string")
+    null = spark.createDataFrame([(1, 2, None), (1, 3, 1.0)], "i long, j long, d double")
+    got = sweep.dbscan_grid(spark, null, apart, ["d"], [1], [2]).first()
+    assert got["n"] == 3 and got["purity"] == 1.0
 
 
 def test_relational_dbscan_equals_direct_search(spark):
@@ -147,27 +209,13 @@ def test_sweep_and_csv(spark, tmp_path):
     m = matrix_of(3, 20)
     pairs = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(20) for j in range(i + 1, 20)], "i long, j long, d double")
     families = spark.range(20).select(F.col("id").alias("node_id"), (F.col("id") % 3).cast("string").alias("family"))
-    got = cluster.dbscan_grid(spark, pairs, families, ["d"], [1, 2], [2, 3, 4])
+    got = sweep.dbscan_grid(spark, pairs, families, ["d"], [1, 2], [2, 3, 4])
     assert got.count() == 6
     write_sweep_csv(got, str(tmp_path))
     back = spark.read.option("header", True).csv(f"{tmp_path}/dbscan_d.csv")
     assert back.columns == ["eps", "min_pts", "prurity", "nmi", "ri", "f5"] and back.count() == 6
 
 
-@pytest.mark.parametrize("rows_as_points", (False, True))
-def test_sweep_by_blocks_equals_one_matrix(spark, monkeypatch, rows_as_points):
-    m = matrix_of(5, 30).round(1)
-    pairs = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(30) for j in range(i + 1, 30)], "i long, j long, d double")
-    families = spark.range(30).select(F.col("id").alias("node_id"), (F.col("id") % 3).cast("string").alias("family"))
-    sweep = lambda: cluster.dbscan_grid(spark, pairs, families, ["d"], [0.3, 0.5, 1, 2], [2, 4, 50], rows_as_points).orderBy("min_pts", "eps").toPandas()
-    whole = sweep()
-    monkeypatch.setattr(cluster, "MOST_POINTS", 29)
-    monkeypatch.setattr(cluster, "BLOCK", 7 * 30)
-    blocks = sweep()
-    numbers = [c for c in whole.columns if c != "distance"]
-    assert len(whole) == 12 and np.allclose(whole[numbers].astype(float), blocks[numbers].astype(float), equal_nan=True)
-
-
 def test_distances(spark):
     rows = spark.createDataFrame([(1, [0.0, 3.0]), (2, [4.0, 0.0])], "node_id int, value array<double>")
     got = distance.pairs(rows, {"e": distance.euclidean, "m": distance.manhattan, "c": distance.cosine_distance}).first()
