@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loam import schema
 from loam.functions import codec, fuzzy, text
-from loam.operators import cluster, distance, evaluation, graph, similar, sweep
+from loam.operators import cluster, distance, evaluation, graph, similar, spatial, sweep
 from loam.sources import archives, files
 from loam.storage import fresh_path, spool
 
@@ -493,6 +493,34 @@ def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.dbscan(points.select("node_id"), distance.within(points, _EPS), _EPS, _MIN_PTS)
 
 
+@query(_SQL["dbscan_labels"])
+def dbscan_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clusters from cells of space with halos, without a table of neighbours."""
+    return spatial.dbscan_points(_points(spark, sf_dir), _EPS, _MIN_PTS)
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT order_id AS vec_id, x, y FROM (SELECT o_orderkey AS order_id, round(o_totalprice / 100)::DOUBLE AS x, (o_custkey % 1000)::DOUBLE AS y FROM orders)),
+    near AS (SELECT a.vec_id AS i, b.vec_id AS j FROM e a JOIN e b ON b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4
+      AND a.vec_id <> b.vec_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 4),
+    core AS (SELECT v.vec_id AS i FROM e v LEFT JOIN near ON near.i = v.vec_id GROUP BY 1 HAVING count(near.j) + 1 >= 4),
+    links AS (SELECT i, j FROM near WHERE i IN (SELECT i FROM core) AND j IN (SELECT i FROM core)),
+    spread(node, root) USING KEY (node) AS (
+      SELECT i, i FROM core UNION
+      SELECT l.j, min(s.root) FROM spread s JOIN links l ON l.i = s.node JOIN recurring.spread o ON o.node = l.j WHERE s.root < o.root GROUP BY ALL),
+    num AS (SELECT node, dense_rank() OVER (ORDER BY root) AS cluster FROM spread),
+    border AS (SELECT near.i, min(num.cluster) AS beside FROM near JOIN num ON num.node = near.j GROUP BY 1)
+    SELECT v.vec_id AS node_id, coalesce(num.cluster, border.beside, 0)::BIGINT AS cluster, num.cluster IS NOT NULL AS core
+    FROM e v LEFT JOIN num ON num.node = v.vec_id LEFT JOIN border ON border.i = v.vec_id"""
+)
+def dbscan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by price and customer, with equal points: many cells."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("node_id"), F.array(F.expr("round(o_totalprice / 100)").cast("double"), (F.col("o_custkey") % 1000).cast("double")).alias("value")
+    )
+    return spatial.dbscan_points(orders, 4.0, 4)
+
+
 @query(
     _dbscan_sql(
         f"""WITH RECURSIVE e AS (SELECT * FROM embeddings), f AS (SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN a.vec_id = b.vec_id THEN 0.0 ELSE {_EUCLID} END AS d FROM e a, e b),

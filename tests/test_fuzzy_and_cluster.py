@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import fuzzy
-from loam.operators import cluster, distance, evaluation, similar, sweep
+from loam.operators import cluster, distance, evaluation, similar, spatial, sweep
 
 
 def prose(seed, n=4000):
@@ -203,6 +203,36 @@ def test_relational_dbscan_equals_direct_search(spark):
     assert [r["cluster"] for r in got] == direct(m, 0.4, 4).tolist()
 
 
+@pytest.mark.parametrize("cell", [6, 4_096])
+@pytest.mark.parametrize("eps, min_pts", [(0.35, 4), (0.1, 2), (1.5, 30)])
+def test_dbscan_by_cells_equals_direct_search(spark, monkeypatch, cell, eps, min_pts):
+    """Skewed and repeated points, cells cut several times, cells that can't be cut."""
+    monkeypatch.setattr(spatial, "CELL", cell)
+    monkeypatch.setattr(spatial, "FAN", 4)
+    monkeypatch.setattr(similar, "HOT", 16)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(60, 2)), rng.normal(scale=0.05, size=(40, 2)) + 3, np.repeat([[0.5, 0.5]], 50, axis=0), [[9.0, 9.0], [-0.0, 0.0], [0.0, 0.0]]]).round(2)
+    m = np.sqrt((x[:, 0, None] - x[None, :, 0]) ** 2 + (x[:, 1, None] - x[None, :, 1]) ** 2)
+    rows = [(3 * i - 70, [float(a) for a in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (10_000, None), (10_001, [1.0, None]), (10_002, [float("nan"), 0.0])], "node_id long, value array<double>").repartition(3)
+    got = spatial.dbscan_points(df, eps, min_pts).orderBy("node_id").collect()
+    assert [r["cluster"] for r in got] == [*direct(m, eps, min_pts).tolist(), 0, 0, 0]
+    assert [r["core"] for r in got] == [*((m <= eps).sum(axis=1) >= min_pts).tolist(), False, False, False]
+    if cell == 6 and eps == 0.1:
+        dealt = spatial.cells(df.where("node_id < 10000").groupBy("value").agg(F.min("node_id").alias("point"), F.count("*").alias("weight")), eps)
+        if dealt is not None:
+            assert dealt.groupBy("cell").count().agg(F.max("count")).first()[0] <= 6 and dealt.where("own").count() == len({tuple(v) for v in x + 0.0})
+
+
+def test_dbscan_of_no_points(spark):
+    assert spatial.dbscan_points(spark.createDataFrame([], "node_id long, value array<double>"), 1.0, 2).count() == 0
+
+
+def test_numbers(spark):
+    values = spark.createDataFrame([(i * 3,) for i in range(50)], "root long").repartition(4)
+    assert {tuple(r) for r in cluster.numbered(values, "root").collect()} == {(i * 3, i + 1) for i in range(50)}
+
+
 def test_sweep_and_csv(spark, tmp_path):
     from loam.sources.files import write_sweep_csv
 
