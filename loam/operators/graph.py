@@ -107,23 +107,24 @@ def edge_definitions(spark: SparkSession) -> DataFrame:
 def closure(links: DataFrame, depth: int | None = None) -> DataFrame:
     """``(ancestor, descendant, depth)`` of all paths, or of those up to ``depth``, the shortest path's length each.
 
-    Every round joins only the pairs that the round before found; cycles end it.
+    Paths double: one of length in (r, 2r] is a shortest path of length r and one of at
+    most r from there on, so the rounds grow with the logarithm of the depth; cycles end
+    them, as no shortest path is longer than the nodes are many.
     """
-    step = spool(links.select("parent", "child").distinct(), "links")
-    frontier = step.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth"))
-    levels, d = [frontier], 1
-    while depth is None or d < depth:
-        d += 1
-        known = reduce(DataFrame.unionByName, levels).select("ancestor", "descendant")
-        frontier = spool(
-            frontier.join(step, frontier["descendant"] == step["parent"]).select("ancestor", F.col("child").alias("descendant")).distinct()
-            .join(known, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(d)),
-            "closure",
-        )
-        if frontier.isEmpty():
+    step = links.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct()
+    known, reach = spool(step.withColumn("depth", F.lit(1)), "closure"), 1
+    while depth is None or reach < depth:
+        ends = known.where(F.col("depth") == reach).select("ancestor", F.col("descendant").alias("middle"))
+        if ends.isEmpty():
             break
-        levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels)
+        rest = known.select(F.col("ancestor").alias("middle"), "descendant", (F.col("depth") + reach).alias("depth"))
+        longer = ends.join(rest, "middle").groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth"))
+        if depth is not None:
+            longer = longer.where(F.col("depth") <= depth)
+        # Pairs that are known have a shorter path.
+        known = spool(known.unionByName(longer.join(known, ["ancestor", "descendant"], "left_anti")), "closure")
+        reach *= 2
+    return known
 
 
 class ConstraintError(ValueError):
@@ -134,8 +135,8 @@ class GraphStore:
     """A corpus in a warehouse folder: ``vertices`` and ``edges``, to which upserts add a version of what they create.
 
     A version is complete with its success mark and never changes; its rows lie in a
-    folder for each collection. Readers see the complete versions. One writer at a time
-    is expected; ``compact`` makes one version of all.
+    folder for each collection. Readers see the complete versions that no complete one
+    replaces. One writer at a time is expected; ``compact`` makes one version of all.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -175,12 +176,19 @@ class GraphStore:
         marks = [s.getPath().getName() for s in self._files(path).listStatus(path)]
         return {name: kind for kind, _, name in (m.partition("=") for m in marks if not m.startswith("."))}
 
-    def _versions(self, name: str) -> list[str]:
+    def _complete(self, name: str) -> dict[str, int]:
+        """Paths and numbers of all complete versions."""
         path = self._path(name)
         if not self._files(path).exists(path):
-            return []
+            return {}
         complete = [s.getPath() for s in self._files(path).listStatus(path) if self._files(path).exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(str(p) for p in complete)
+        return {str(p): int(p.getName().split("=")[1].split("-")[0]) for p in complete}
+
+    def _versions(self, name: str) -> list[str]:
+        numbers = self._complete(name)
+        # A compacted version holds all that came before it, whether that is deleted yet or not.
+        whole = max((n for p, n in numbers.items() if p.endswith("-whole")), default=-1)
+        return sorted(p for p, n in numbers.items() if n > whole or (n == whole and p.endswith("-whole")))
 
     def _read(self, name: str, shape) -> DataFrame:
         versions = self._versions(name)
@@ -189,9 +197,9 @@ class GraphStore:
         rows = self.spark.read.schema(shape).option("basePath", f"{self.folder}/{name}").parquet(*versions)
         return rows.select(shape.fieldNames())
 
-    def _write(self, name: str, rows: DataFrame) -> str:
+    def _write(self, name: str, rows: DataFrame, whole: bool = False) -> str:
         number = max((int(v.rsplit("version=", 1)[1].split("-")[0]) for v in self._versions(name)), default=-1) + 1
-        path = f"{self.folder}/{name}/version={number:08d}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.folder}/{name}/version={number:08d}-{uuid.uuid4().hex[:8]}{'-whole' if whole else ''}"
         rows.write.partitionBy("collection").parquet(path)
         return path
 
@@ -237,14 +245,17 @@ class GraphStore:
                 self._write(name, created.select(shape.fieldNames()))
 
     def compact(self) -> None:
-        """One version of all; older ones are removed once it is complete."""
+        """One version of all; from its completion on the older ones aren't read, and then they are deleted."""
         for name, rows in (("vertices", self.vertices), ("edges", self.edges)):
-            old = self._versions(name)
+            old = list(self._complete(name))
             if len(old) > 1:
-                self._write(name, first_by_key(rows, ["collection", "_key"], []))
+                self._write(name, first_by_key(rows, ["collection", "_key"], []), whole=True)
                 for path in old:
-                    gone = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                    self._files(gone).delete(gone, True)
+                    self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        gone = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._files(gone).delete(gone, True)
 
     def init(self, corpus: str, families: tuple[str, ...] = ()) -> None:
         """The corpus node, the family roots and their edges; repeating it changes nothing."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loam import schema
 from loam.functions import codec, fuzzy, text
-from loam.operators import cluster, distance, evaluation, graph, similar, spatial, sweep
+from loam.operators import ancestry, cluster, distance, evaluation, graph, similar, spatial, sweep
 from loam.sources import archives, files
 from loam.storage import fresh_path, spool
 
@@ -246,6 +246,20 @@ def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(links)
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT (2 * l_partkey) // (1 + l_linenumber) AS parent, 2 * l_partkey AS child FROM lineitem WHERE (2 * l_partkey) // (1 + l_linenumber) < 2 * l_partkey),
+    n AS (SELECT parent AS x FROM e UNION SELECT child FROM e),
+    asked AS (SELECT DISTINCT l_suppkey AS ancestor, 2 * l_partkey AS descendant FROM lineitem),
+    w AS (SELECT descendant, descendant AS at FROM (SELECT DISTINCT descendant FROM asked) UNION SELECT w.descendant, e.parent FROM w JOIN e ON w.at = e.child)
+    SELECT a.ancestor, a.descendant FROM asked a JOIN w ON w.descendant = a.descendant AND w.at = a.ancestor WHERE a.ancestor <> a.descendant"""
+)
+def ancestors_by_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the asked pairs are related in a graph of several parents, from interval labels alone."""
+    rows = table(spark, sf_dir, "lineitem").select((2 * F.col("l_partkey")).alias("child"), F.expr("2 * l_partkey div (1 + l_linenumber)").alias("parent"), F.col("l_suppkey").alias("ancestor"))
+    found = ancestry.label(rows.where("parent < child").select("parent", "child"))
+    return found.related(rows.select("ancestor", F.col("child").alias("descendant")))
+
+
 @query("SELECT doc_id, sha256(text) AS sha256sum FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def standalone_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "sha256sum")

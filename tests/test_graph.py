@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from loam import schema
-from loam.operators import graph
+from loam.operators import ancestry, graph
 from loam.operators.graph import GraphStore
 
 
@@ -101,3 +103,71 @@ def test_store_constraints(spark, tmp_path):
     assert store.vertices.count() == 1 and store.edges.count() == 2
     again = GraphStore.open(spark, f"file://{tmp_path}/w", "focused")
     assert again.collections() == store.collections() and again.edges.count() == 2
+
+
+def plain_closure(links):
+    below, out = {}, {}
+    for p, c in links:
+        below.setdefault(p, set()).add(c)
+    for a in below:
+        seen, level, d = {}, set(below[a]), 1
+        while level:
+            seen |= {x: d for x in level if x not in seen}
+            level, d = {y for x in level for y in below.get(x, ()) if y not in seen}, d + 1
+        out |= {(a, x): n for x, n in seen.items()}
+    return out
+
+
+def test_closure_doubles(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(700)]
+    rounds = []
+    monkeypatch.setattr(graph, "spool", lambda df, name, spool=graph.spool: rounds.append(name) or spool(df, name))
+    got = graph.closure(spark.createDataFrame(chain, "parent long, child long"))
+    assert len(rounds) <= 11 and got.count() == 701 * 700 // 2 and got.where("depth <> descendant - ancestor").count() == 0
+    rng = random.Random(0)
+    links = [(rng.randrange(40), rng.randrange(40)) for _ in range(60)]
+    for depth in (None, 1, 3, 4):
+        want = {(a, d, n) for (a, d), n in plain_closure(links).items() if depth is None or n <= depth}
+        assert {tuple(r) for r in graph.closure(spark.createDataFrame(links, "parent long, child long"), depth).collect()} == want
+
+
+@pytest.mark.parametrize("extra", [0, 25])
+def test_labels_tell_ancestors(spark, extra):
+    """A forest with two roots, alone and with links to second parents."""
+    rng = random.Random(extra)
+    links = {(rng.randrange(max(0, i - 9), i), i) for i in range(1, 90) if i != 50}
+    links |= {tuple(sorted(rng.sample(range(90), 2))) for _ in range(extra)}
+    found = ancestry.label(spark.createDataFrame(sorted(links), "parent long, child long"))
+    asked = spark.range(90).select(F.col("id").alias("ancestor")).crossJoin(spark.range(91).select(F.col("id").alias("descendant")))
+    got = [tuple(r) for r in found.related(asked).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(plain_closure(links))
+
+
+def test_labels_of_a_long_chain(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(ancestry, "spool", lambda df, name, spool=ancestry.spool: rounds.append(name) or spool(df, name))
+    found = ancestry.label(spark.range(10_000).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child")))
+    assert max(map(rounds.count, ("tour", "gates"))) <= 20
+    asked = spark.createDataFrame([(0, 10_000), (10_000, 0), (17, 9_000), (5, 5)], "ancestor long, descendant long")
+    assert {tuple(r) for r in found.related(asked).collect()} == {(0, 10_000), (17, 9_000)}
+
+
+def test_labels_refuse_a_cycle(spark):
+    with pytest.raises(ValueError, match="cycle"):
+        ancestry.label(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "parent long, child long"))
+
+
+def test_no_row_counts_twice_between_the_steps_of_compact(spark, tmp_path, monkeypatch):
+    store = graph.GraphStore(spark, f"file://{tmp_path}/store")
+    row = lambda k: spark.createDataFrame([("A", k, {"x": "y"})], "collection string, _key string, attrs map<string,string>")
+    for k in ("1", "2", "3"):
+        store.upsert(vertices=row(k))
+    with monkeypatch.context() as m:
+        m.setattr(store, "_delete", lambda path: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            store.compact()
+    assert store.vertices.count() == 3
+    store.upsert(vertices=row("3").unionByName(row("4")))
+    assert sorted(r["_key"] for r in store.vertices.collect()) == ["1", "2", "3", "4"]
+    store.compact()
+    assert store.vertices.count() == 4 and len(store._versions("vertices")) == 1
