@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import narrow_input, small, spool
+from .shared import even_join, narrow_input, small, spool
 from .textscan import PowerTable, buffers, steps, word_hashes
 
 #: Labelled rows that the classifier is fitted on, at most (the least by a hash of doc_id).
@@ -126,13 +126,11 @@ def _strength(shares: DataFrame, share: str, weight: str) -> Column:
     return F.least(F.greatest(strength, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH))
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Join on keys that may be null, broadcasting ``right`` if it is small by count."""
-    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    if right.limit(SITES + 1).count() <= SITES:
-        other = F.broadcast(other)
-    condition = [left[k].eqNullSafe(other[f"_{k}"]) for k in keys]
-    return left.join(other, condition).drop(*(f"_{k}" for k in keys))
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Join on keys that may be null: ``right`` is broadcast if a count shows that it is small, else frequent keys of ``left`` are dealt by a hash of ``by``."""
+    key = F.to_json(F.array(*keys)).alias("_key")  # nulls and texts stay apart
+    figures = right.select(key, *(c for c in right.columns if c not in keys))
+    return even_join(left.select("*", key), figures, "_key", by=by, limit=SITES).drop("_key")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> dict:
@@ -205,8 +203,8 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host
         levels = {"global_share": share, "host_strength": LEAST_STRENGTH, "path_strength": LEAST_STRENGTH}
     a, b, g = levels["host_strength"], levels["path_strength"], levels["global_share"]
     hosts = hosts.withColumn("host_share", (F.col("host_good") + a * g) / (F.col("host_n") + a)).select("host", "host_share")
-    sites = _joined(paths, hosts, ["host"]).withColumn("site_share", (F.col("good") + b * F.col("host_share")) / (F.col("n") + b))
-    scored = _joined(rows, sites.select("host", "path", "host_share", "site_share"), ["host", "path"])
+    sites = _joined(paths, hosts, ["host"], by="path").withColumn("site_share", (F.col("good") + b * F.col("host_share")) / (F.col("n") + b))
+    scored = _joined(rows, sites.select("host", "path", "host_share", "site_share"), ["host", "path"], by="doc_id")
     inside = F.least(F.greatest("site_share", F.lit(1e-6)), F.lit(1 - 1e-6))
     score = 1 / (1 + F.exp(-(F.col("evidence") + F.log(inside / (1 - inside)))))
     return scored.select("doc_id", "mark", "evidence", "host_share", "site_share", score.alias("score"), (score >= 0.5).alias("kept"))

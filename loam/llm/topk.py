@@ -90,8 +90,15 @@ class Shard:
         return ids[best], scores[best]
 
 
+#: Sums below are exact in doubles; sums below the second bound are, and have to be, in 64-bit integers.
+EXACT, MOST = 1 << 53, 1 << 63
+
+
 def _scaled(vectors: np.ndarray) -> np.ndarray:
-    return np.floor(SCALE * np.asarray(vectors, dtype=np.float64)).astype(np.int64)
+    scaled = np.floor(SCALE * np.asarray(vectors, dtype=np.float64))
+    if scaled.size and np.abs(scaled).max() >= MOST:
+        raise OverflowError("a scaled component doesn't fit 64 bits")
+    return scaled.astype(np.int64)
 
 
 def _narrow(vectors: np.ndarray) -> tuple[int, bytes]:
@@ -102,7 +109,19 @@ def _narrow(vectors: np.ndarray) -> tuple[int, bytes]:
 
 
 def _wide(raw: bytes, width: int, dims: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<i{width}").reshape(-1, dims).astype(np.float64)
+    return np.frombuffer(raw, f"<i{width}").reshape(-1, dims)
+
+
+def _largest(vectors: np.ndarray) -> int:
+    return max(abs(int(vectors.min())), abs(int(vectors.max())))
+
+
+def _fit(most: int, queries: np.ndarray) -> type:
+    """In what products of these queries with candidates up to ``most`` are exact."""
+    reach = most * _largest(queries) * queries.shape[1]
+    if reach >= MOST:
+        raise OverflowError("an inner product may not fit 64 bits")
+    return np.float64 if reach < EXACT else np.int64
 
 
 def _packed(table: pa.Table) -> pa.Table:
@@ -129,36 +148,38 @@ def _packed(table: pa.Table) -> pa.Table:
 
 
 def _packages(rows: DataFrame, n: int) -> DataFrame:
-    return rows.withColumn("package", F.expr(f"pmod(xxhash64(vec_id), {n})")).groupBy("package").applyInArrow(
+    return rows.withColumn("package", F.expr(f"pmod(xxhash64(vec_id, embedding), {n})")).groupBy("package").applyInArrow(
         _packed, "package long, dims int, ids binary, width int, vectors binary"
     )
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Shard, np.ndarray, np.ndarray, np.ndarray]]:
-    """Shards with the ids, vectors and thresholds of a block of queries; the last shard is held."""
-    held: tuple[bytes, bytes, Shard] | None = None
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Shard, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of queries with the shard that they meet, and their ids, vectors and thresholds; the last shard is held."""
+    held: tuple[bytes, bytes, np.ndarray, dict[type, Shard]] | None = None
     for batch in batches:
         for row in batch.to_pylist():
             d = row["dims"]
             if held is None or held[:2] != (row["ids"], row["vectors"]):
-                held = row["ids"], row["vectors"], Shard(np.frombuffer(row["ids"], np.int64), _wide(row["vectors"], row["width"], d))
-            owners = np.frombuffer(row["query_ids"], np.int64)
+                held = row["ids"], row["vectors"], _wide(row["vectors"], row["width"], d), {}
+            owners, queries = np.frombuffer(row["query_ids"], np.int64), _wide(row["queries"], row["query_width"], d)
+            kind = _fit(_largest(held[2]), queries)
+            if kind not in held[3]:
+                held[3][kind] = Shard(np.frombuffer(row["ids"], np.int64), held[2].astype(kind))
             floors = np.full(len(owners), -np.inf) if row["floors"] is None else np.frombuffer(row["floors"])
-            yield held[2], owners, _wide(row["queries"], row["query_width"], d), floors
+            yield row["block"], held[3][kind], owners, queries.astype(kind), floors
 
 
 def _floored(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Each query's k-th best score in a shard, or minus infinity where that has fewer ids."""
-    for shard, owners, queries, _ in _meetings(batches):
+    for block, shard, owners, queries, _ in _meetings(batches):
         scores = [shard.search(q, o, k)[1] for o, q in zip(owners, queries, strict=True)]
-        floors = np.array([s[k - 1] if len(s) >= k else -np.inf for s in scores])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([queries.shape[1]], pa.int32()), pa.array([owners.tobytes()], pa.binary()), pa.array([floors.tobytes()], pa.binary())], ["dims", "query_ids", "floors"]
-        )
+        # Not above the score, where a double can't hold it.
+        floors = np.array([np.nextafter(float(s[k - 1]), -np.inf) if len(s) >= k else -np.inf for s in scores])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([queries.shape[1]], pa.int32()), pa.array([floors.tobytes()], pa.binary())], ["block", "dims", "floors"])
 
 
 def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for shard, owners, queries, floors in _meetings(batches):
+    for _, shard, owners, queries, floors in _meetings(batches):
         found = [shard.search(q, o, k, f)[:2] for o, q, f in zip(owners, queries, floors, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
@@ -173,8 +194,9 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best candidates of every vector whose id is divisible by ``every``.
 
-    Components become ``floor(256 * x)``; the score is their inner product, exact as
-    long as it stays below 2**53. A query meets every row but those with its own id.
+    Components become ``floor(256 * x)``; the score is their inner product, exact: in
+    doubles where these hold all sums, in 64-bit integers beyond; where these may not hold
+    one either, an ``OverflowError`` ends the job. A query meets every row but those with its own id.
     Vectors that are null, empty or hold null, NaN or infinite components, and rows
     without an id, take no part; vectors of different lengths don't meet; rows that
     repeat an id and vector count once, and of the scores that the vectors of one id
@@ -187,18 +209,22 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         .where("vec_id is not null and size(embedding) > 0")
         .where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     )
+    # Vectors of one id are dealt by their components; only equal rows can fill a package.
+    if not rows.groupBy("vec_id").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).isEmpty():
+        rows = rows.dropDuplicates(["vec_id", "embedding"])
     asked = rows.where(F.col("vec_id") % every == 0)
     n, m = rows.count(), asked.count()
-    shards = max(1, -(-n // SHARD))
+    shards, parts = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
     candidates = spool(_packages(rows, shards), "shards")
-    blocks = spool(
-        _packages(asked, max(1, -(-m // BLOCK))).select("dims", F.col("ids").alias("query_ids"), F.col("width").alias("query_width"), F.col("vectors").alias("queries")), "blocks"
-    )
-    columns = ["dims", "ids", "width", "vectors", "query_ids", "query_width", "queries", "floors"]
+    blocks = _packages(asked, parts).select(F.col("package").alias("block"), "dims", F.col("ids").alias("query_ids"), F.col("width").alias("query_width"), F.col("vectors").alias("queries"))
+    blocks = spool(blocks, "blocks")
+    columns = ["block", "dims", "ids", "width", "vectors", "query_ids", "query_width", "queries", "floors"]
     if shards > 1:
-        first = candidates.where("package = 0").join(blocks.withColumn("floors", F.lit(None).cast("binary")), "dims").select(columns)
-        floors = first.mapInArrow(lambda it: _floored(it, k), "dims int, query_ids binary, floors binary")
-        blocks = blocks.join(floors, ["dims", "query_ids"], "left")
+        every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block")
+        shard = candidates.where("package = 0").select(every_block, "dims", "ids", "width", "vectors")
+        first = shard.join(blocks.withColumn("floors", F.lit(None).cast("binary")), ["block", "dims"]).select(columns)
+        floors = first.mapInArrow(lambda it: _floored(it, k), "block long, dims int, floors binary")
+        blocks = blocks.join(floors, ["block", "dims"], "left")
     else:
         blocks = blocks.withColumn("floors", F.lit(None).cast("binary"))
     everywhere = blocks.withColumn("package", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))

@@ -176,3 +176,50 @@ def test_held_out_accuracy_on_the_driver_tables(spark):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     kept = quality.score_quality(docs, labels.where(~held)).join(labels.where(held), "doc_id")
     assert kept.count() > 100 and kept.where("kept <> (quality = 1)").count() <= 0.02 * kept.count()
+
+
+@pytest.mark.parametrize("hot", [4, 1_024])
+def test_sites_beyond_the_limit_are_joined_alike(spark, monkeypatch, hot):
+    """With no broadcast and a hot site whose rows are dealt, every row has the figures of its own site."""
+    from loam.llm import shared
+
+    docs, labels = corpus(spark, 200)
+    # Sites with nulls and with the text of a null; one has most rows.
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 > 0, "hot").when(F.col("doc_id") % 2 == 0, F.lit(None)).otherwise("null"))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise("en"))
+    docs = docs.unionByName(docs.where("doc_id < 3"))
+    want = sorted(map(tuple, quality.score_quality(docs, labels).collect()))
+    monkeypatch.setattr(quality, "SITES", 0)
+    monkeypatch.setattr(shared, "HOT", hot)
+    got = sorted(map(tuple, quality.score_quality(docs, labels).collect()))
+    assert [r[0] for r in got] == [r[0] for r in want] and [r[-1] for r in got] == [r[-1] for r in want]
+    np.testing.assert_allclose([r[1:5] for r in got], [r[1:5] for r in want])
+    # Posteriors once more, from the evidence alone.
+    rows = {r[0]: r for r in got}
+    site = {r["doc_id"]: (r["source"], r["lang"]) for r in docs.select("doc_id", "source", "lang").collect()}
+    good = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    share = sum(good[r[0]] for r in got) / len(got)
+    prior = math.log(share / (1 - share))
+    listed = [(site[r[0]], 1 / (1 + math.exp(-(r[1] + prior)))) for r in got]
+    whole = sum(c for _, c in listed) / len(listed)
+
+    def strength(groups):
+        n = sum(len(g) for g in groups)
+        p = [(sum(g) / len(g), len(g)) for g in groups]
+        mean = sum(a * k for a, k in p) / n
+        spread = sum(a * a * k for a, k in p) / n - mean * mean
+        noise = mean * (1 - mean) * len(groups) / n
+        return min(max(mean * (1 - mean) / max(spread - noise, 1e-9), quality.LEAST_STRENGTH), quality.MOST_STRENGTH)
+
+    by_host, by_path = {}, {}
+    for (host, path), c in listed:
+        by_host.setdefault(host, []).append(c)
+        by_path.setdefault((host, path), []).append(c)
+    a, b = strength(list(by_host.values())), strength(list(by_path.values()))
+    for i, r in rows.items():
+        host, path = site[i]
+        host_share = (sum(by_host[host]) + a * whole) / (len(by_host[host]) + a)
+        site_share = (sum(by_path[host, path]) + b * host_share) / (len(by_path[host, path]) + b)
+        score = 1 / (1 + math.exp(-(r[1] + math.log(site_share / (1 - site_share)))))
+        np.testing.assert_allclose(r[2:5], (host_share, site_share, score), rtol=1e-9)
+        assert r[5] == (score >= 0.5)

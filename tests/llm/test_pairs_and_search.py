@@ -291,6 +291,29 @@ def test_ids_with_many_vectors_count_once(spark, monkeypatch):
     assert got == plain_top(rows) and sum(q == 50 for q, *_ in got) == 5
 
 
+def test_large_components_are_exact_or_refused(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 8)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-(1 << 20), 1 << 20, 3)]) for i in range(60)]
+    rows += [(60, [float(1 << 20), 1.0, 0.0]), (61, [float(1 << 20), 1.0 + 1 / 256, 0.0]), (100, [float(1 << 20), 1.0, 0.0])]
+    schema = "vec_id long, embedding array<double>"
+    want = plain_top(rows)
+    assert max(s for *_, s in want) > 1 << 53
+    assert {tuple(r) for r in topk.top_k(spark.createDataFrame(rows, schema)).collect()} == want
+    for large in (4e16, 1e300):
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(spark.createDataFrame([(3, [large, 0.0]), (50, [large, 2.0])], schema)).collect()
+
+
+def test_an_id_on_very_many_rows(spark, monkeypatch):
+    """Equal rows are one before they are dealt; other vectors of the id are dealt over the shards."""
+    monkeypatch.setattr(topk, "SHARD", 512)
+    many = spark.range(100_000).selectExpr("50 as vec_id", "array(1D, cast(id % 3 as double)) as embedding")
+    few = [(i, [float(i % 7), float(i % 5)]) for i in range(1, 40)]
+    df = many.unionByName(spark.createDataFrame(few, "vec_id long, embedding array<double>"))
+    assert {tuple(r) for r in topk.top_k(df).collect()} == plain_top(few + [(50, [1.0, float(j)]) for j in range(3)])
+
+
 @pytest.mark.parametrize("repeats", [1, 3])
 def test_max_score_prunes(repeats):
     rng = np.random.default_rng(1)
