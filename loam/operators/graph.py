@@ -197,9 +197,17 @@ class GraphStore:
         rows = self.spark.read.schema(shape).option("basePath", f"{self.folder}/{name}").parquet(*versions)
         return rows.select(shape.fieldNames())
 
-    def _write(self, name: str, rows: DataFrame, whole: bool = False) -> str:
-        number = max((int(v.rsplit("version=", 1)[1].split("-")[0]) for v in self._versions(name)), default=-1) + 1
-        path = f"{self.folder}/{name}/version={number:08d}-{uuid.uuid4().hex[:8]}{'-whole' if whole else ''}"
+    def append(self, name: str, rows: DataFrame, token: str) -> None:
+        """Add a version of rows that aren't stored yet; of a token that was appended before, the version is written again."""
+        if broken := self.violations(**{name: rows}).limit(3).collect():
+            raise ConstraintError("; ".join(f"{r['collection']}/{r['_key']}: {r['reason']}" for r in broken))
+        for path in (p for p in self._complete(name) if p.endswith(f"-of-{token}")):
+            self._delete(path)
+        self._write(name, rows, end=f"-of-{token}")
+
+    def _write(self, name: str, rows: DataFrame, end: str = "") -> str:
+        number = max(self._complete(name).values(), default=-1) + 1
+        path = f"{self.folder}/{name}/version={number:08d}-{uuid.uuid4().hex[:8]}{end}"
         rows.write.partitionBy("collection").parquet(path)
         return path
 
@@ -249,7 +257,7 @@ class GraphStore:
         for name, rows in (("vertices", self.vertices), ("edges", self.edges)):
             old = list(self._complete(name))
             if len(old) > 1:
-                self._write(name, first_by_key(rows, ["collection", "_key"], []), whole=True)
+                self._write(name, first_by_key(rows, ["collection", "_key"], []), end="-whole")
                 for path in old:
                     self._delete(path)
 

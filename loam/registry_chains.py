@@ -340,6 +340,23 @@ def store_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families._all(parts).groupBy("part", "collection", "_key", "reason").agg(F.count("*").alias("n"))
 
 
+@query("SELECT sha256(text) AS _key, count(*) > 0 AS stored FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations) GROUP BY ALL")
+def streamed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of two tables streamed into a store in several batches and two starts, with repeats within and between: each is stored once."""
+    from loam import schema
+    from loam.streaming.upsert import upsert_stream
+
+    folder = fresh_path(spark, "stream")
+    store = graph.GraphStore.open(spark, f"{folder}/store", "focused")
+    for name, column in (("documents", "doc_id"), ("conversations", "conv_id")):
+        texts = table(spark, sf_dir, name)
+        rows = texts.select(F.lit("MalwareSample").alias("collection"), F.sha2(F.col("text").cast("binary"), 256).alias("_key"), F.create_map(F.lit("table"), F.lit(name)).alias("attrs"), F.pmod(F.col(column), F.lit(2)).alias("file"))
+        rows.repartition("file").write.partitionBy("file").mode("append").parquet(f"{folder}/in/{name}")
+        arriving = spark.readStream.schema(schema.VERTICES).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        upsert_stream(arriving, store, f"{folder}/checkpoint").awaitTermination()
+    return store.vertices.groupBy("_key").agg((F.count("*") == 1).alias("stored"))
+
+
 @query(
     """WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[{}()@]', '', 'g') AS a, regexp_full_match(text, '[\\x00-\\x7f]*') AS plain FROM conversations),
     l AS (SELECT conv_id, turn, CASE WHEN plain THEN list_filter([trim('q ' || a || ' @(' || a || 'z) y'), trim(a || 'z'), 'tai'], lambda x: x <> '') ELSE ['tai'] END AS found FROM t)
