@@ -1,4 +1,7 @@
-"""Command line: ``python -m loam focused FAMILY FILES... --store DIR`` and ``python -m loam general FILES... --csv DIR``."""
+"""Command line: ``python -m loam focused FAMILY FILES... --store DIR`` and ``python -m loam general FILES... --csv DIR``.
+
+Under ``spark-submit`` or with ``--master`` it runs on that cluster, else locally.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from loam.operators.graph import GraphStore
 from loam.plans.families import FAMILIES, focused
 from loam.plans.general import general
-from loam.session import local_session
+from loam.session import outer_session
 from loam.sources.files import read_files, read_listed, validate_dir, validate_file
 from loam.storage import spool
 
@@ -25,13 +28,14 @@ def parser() -> argparse.ArgumentParser:
     unknown.add_argument("--csv", default=".", type=validate_dir, help="folder for the CSV output")
     for mode in (known, unknown):
         mode.add_argument("files", nargs="+", type=validate_file)
+        mode.add_argument("--master", help="cluster to run on, where the environment names none")
         mode.add_argument("--store", help="warehouse folder of the graph store")
     return top
 
 
 def main(arguments: list[str] | None = None) -> int:
     args = parser().parse_args(arguments)
-    spark = local_session("*")
+    spark = outer_session(args.master)
     store = GraphStore.open(spark, args.store, args.mode) if args.store else None
     if args.mode == "general":
         general(read_files(spark, args.files, on_error="fail"), args.csv, store)

@@ -131,11 +131,20 @@ class ConstraintError(ValueError):
     pass
 
 
+#: Buckets of keys in a collection, and keys that are looked for by name.
+BUCKETS, FEW_KEYS = 16, 10
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)).cast("int")
+
+
 class GraphStore:
     """A corpus in a warehouse folder: ``vertices`` and ``edges``, to which upserts add a version of what they create.
 
     A version is complete with its success mark and never changes; its rows lie in a
-    folder for each collection. Readers see the complete versions that no complete one
+    folder for each collection and bucket of keys, and its files have Bloom filters of the
+    keys. An upsert reads the buckets of its own keys only. Readers see the complete versions that no complete one
     replaces. One writer at a time is expected; ``compact`` makes one version of all.
     """
 
@@ -190,12 +199,25 @@ class GraphStore:
         whole = max((n for p, n in numbers.items() if p.endswith("-whole")), default=-1)
         return sorted(p for p, n in numbers.items() if n > whole or (n == whole and p.endswith("-whole")))
 
-    def _read(self, name: str, shape) -> DataFrame:
+    def _read(self, name: str, shape, where: Column | None = None) -> DataFrame:
         versions = self._versions(name)
         if not versions:
             return self.spark.createDataFrame([], shape)
         rows = self.spark.read.schema(shape).option("basePath", f"{self.folder}/{name}").parquet(*versions)
-        return rows.select(shape.fieldNames())
+        return (rows if where is None else rows.where(where)).select(shape.fieldNames())
+
+    def touched(self, name: str, keys: DataFrame) -> DataFrame:
+        """The stored rows in the buckets of ``keys(collection, _key)``; of a few keys those that the files' filters let through."""
+        shape = {"vertices": schema.VERTICES, "edges": schema.EDGES}[name]
+        # A row a collection and bucket, however many keys there are.
+        places: dict[str, list[int]] = {}
+        for r in keys.select("collection", _bucket().alias("bucket")).distinct().collect():
+            places.setdefault(r["collection"], []).append(r["bucket"])
+        where = F.lit(False)
+        for collection, buckets in places.items():
+            where = where | ((F.col("collection") == collection) & F.col("bucket").isin(buckets))
+        few = [r["_key"] for r in keys.select("_key").distinct().limit(FEW_KEYS + 1).collect()]
+        return self._read(name, shape, where & F.col("_key").isin(few) if 0 < len(few) <= FEW_KEYS else where)
 
     def append(self, name: str, rows: DataFrame, token: str) -> None:
         """Add a version of rows that aren't stored yet; of a token that was appended before, the version is written again."""
@@ -208,7 +230,9 @@ class GraphStore:
     def _write(self, name: str, rows: DataFrame, end: str = "") -> str:
         number = max(self._complete(name).values(), default=-1) + 1
         path = f"{self.folder}/{name}/version={number:08d}-{uuid.uuid4().hex[:8]}{end}"
-        rows.write.partitionBy("collection").parquet(path)
+        # One file for each collection and bucket, several where that is large.
+        dealt = rows.withColumn("bucket", _bucket()).hint("rebalance", "collection", "bucket")
+        dealt.write.option("parquet.bloom.filter.enabled#_key", "true").partitionBy("collection", "bucket").parquet(path)
         return path
 
     @property
@@ -244,13 +268,17 @@ class GraphStore:
 
     def upsert(self, vertices: DataFrame | None = None, edges: DataFrame | None = None) -> None:
         """Add what isn't stored yet; raises ``ConstraintError`` and stores nothing if a row breaks a constraint."""
+        # What comes may be expensive, and is read several times.
+        vertices, edges = (
+            None if rows is None else spool(rows.select(shape.fieldNames()), "incoming") for rows, shape in ((vertices, schema.VERTICES), (edges, schema.EDGES))
+        )
         broken = self.violations(vertices, edges).limit(3).collect()
         if broken:
             raise ConstraintError("; ".join(f"{r['collection']}/{r['_key']}: {r['reason']}" for r in broken))
-        for name, rows, stored, shape in (("vertices", vertices, self.vertices, schema.VERTICES), ("edges", edges, self.edges, schema.EDGES)):
+        for name, rows in (("vertices", vertices), ("edges", edges)):
             if rows is not None:
-                created = first_by_key(rows.select(shape.fieldNames()), ["collection", "_key"], []).join(stored.select("collection", "_key"), ["collection", "_key"], "left_anti")
-                self._write(name, created.select(shape.fieldNames()))
+                stored = self.touched(name, rows).select("collection", "_key")
+                self._write(name, first_by_key(rows, ["collection", "_key"], []).join(stored, ["collection", "_key"], "left_anti").select(rows.columns))
 
     def compact(self) -> None:
         """One version of all; from its completion on the older ones aren't read, and then they are deleted."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loam import schema
 from loam.functions import codec, fuzzy, text
-from loam.operators import ancestry, cluster, distance, evaluation, graph, similar, spatial, sweep
+from loam.operators import ancestry, chunks, cluster, distance, evaluation, graph, similar, spatial, sweep
 from loam.sources import archives, files
 from loam.storage import fresh_path, spool
 
@@ -329,11 +329,12 @@ def classify_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MAGIC_ROWS = (
-    (1, "504B030414"), (2, "6465780A30333500"), (3, "6465780A30333501"), (4, "7F454C460101010000000000000000000200280001"),
-    (5, "7F454C460102010000000000000000000002003E01"), (6, "7F454C4601010100000000000000000002000300"), (7, "7F454C460101010000000000000000000200B700"), (8, "4D5A9000"), (9, "50450000"), (10, "000000"), (11, "68656C6C6F"), (12, ""), (13, "7F454C46"),
+_MAGIC_HEADS = (
+    "504B030414", "6465780A30333500", "6465780A30333501", "7F454C460101010000000000000000000200280001",
+    "7F454C460102010000000000000000000002003E01", "7F454C4601010100000000000000000002000300", "7F454C460101010000000000000000000200B700",
+    "4D5A9000", "50450000", "000000", "68656C6C6F", "", "7F454C46",
 )
-_MAGIC_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{h}')" for i, h in _MAGIC_ROWS) + ") t(id, h)"
+_MAGIC_SQL = f"SELECT doc_id AS id, list_extract({list(_MAGIC_HEADS)}, doc_id % {len(_MAGIC_HEADS)} + 1) || hex(encode(substr(text, 1, 40))) AS h FROM documents"
 
 
 @query(
@@ -344,7 +345,9 @@ _MAGIC_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{h}')" for i, h in _M
     CASE machine WHEN '03' THEN 'x86' WHEN '28' THEN 'armeabi-v7a' WHEN '3E' THEN 'x86_64' WHEN 'B7' THEN 'arm64-v8a' END AS architecture FROM e"""
 )
 def classify_magic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, bytes.fromhex(h)) for i, h in _MAGIC_ROWS], "id int, content binary")
+    """Magic bytes of every kind before the texts of documents."""
+    head = F.element_at(F.array(*map(F.lit, _MAGIC_HEADS)), (F.col("doc_id") % len(_MAGIC_HEADS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.unhex(head), F.encode("text", "UTF-8")).alias("content"))
     content = F.col("content")
     return rows.select(
         "id", text.classify_archive_family(content).alias("archive_kind"), text.classify_program_family(content).alias("program_kind"),
@@ -444,9 +447,11 @@ def top2_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.withColumn("rn", F.row_number().over(longest).cast("long")).where("rn <= 2")
 
 
-@query("SELECT range AS similarity, round(pow(1.0472, 100 - range) - 1, 6) AS distance FROM range(0, 101)")
+@query("SELECT doc_id, doc_id % 101 AS similarity, round(pow(1.0472, 100 - doc_id % 101) - 1, 6) AS distance FROM documents")
 def similarity_to_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(101).select(F.col("id").alias("similarity"), F.round(text.similarity_to_distance(F.col("id")), 6).alias("distance"))
+    """Every similarity there is, by document."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 101).alias("similarity"))
+    return rows.select("*", F.round(text.similarity_to_distance(F.col("similarity")), 6).alias("distance"))
 
 
 # --- distances and clustering ---------------------------------------------------
@@ -687,6 +692,15 @@ def tlsh_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.join(first, ["rep", "sha"]).select(F.col("node_id").alias("doc_id"), "first_copy")
 
 
+@query("SELECT doc_id AS id, sha256(text) AS sha256sum FROM documents")
+def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as chunks in two overlapping calls, rebuilt and hashed."""
+    folder, docs = fresh_path(spark, "chunks"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("content"))
+    chunks.add(docs.where("id % 3 > 0"), folder)
+    chunks.add(docs, folder)
+    return chunks.rebuilt(spark, folder).select("id", F.sha2("content", 256).alias("sha256sum"))
+
+
 # --- codecs, archives, families --------------------------------------------------
 
 

@@ -399,14 +399,14 @@ _CTPH_KNOWN = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{h}')" for i, (_, h) in enumerate(_CTPH_KNOWN)) + ") t(id, ssdeep) UNION ALL SELECT 100 + s, s::VARCHAR FROM (SELECT 22 AS s)")
+@query(
+    f"""SELECT conv_id, turn, list_extract({[h for _, h in _CTPH_KNOWN]}, (conv_id + turn) % 3 + 1) AS ssdeep, list_extract([100, 22, 0], (conv_id + turn) % 3 + 1) AS similarity FROM conversations"""
+)
 def ctph_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published hashes, and the published similarity of two of them."""
-    rows = spark.createDataFrame([(i, bytearray(t.encode())) for i, (t, _) in enumerate(_CTPH_KNOWN)], "id int, content binary")
-    hashed = rows.select("id", fuzzy.hash_udf(fuzzy.ctph)("content").alias("ssdeep"))
-    pair = hashed.where("id = 0").select(F.col("ssdeep").alias("x")).join(hashed.where("id = 1").select(F.col("ssdeep").alias("y")))
-    similarity = pair.select(fuzzy.pair_udf(fuzzy.ctph_similarity, "int")("x", "y").alias("s"))
-    return hashed.unionByName(similarity.select((F.col("s") + 100).alias("id"), F.col("s").cast("string").alias("ssdeep")))
+    """Published hashes in place of every turn's text, and the published similarity of two of them."""
+    content = F.element_at(F.array(*(F.lit(t) for t, _ in _CTPH_KNOWN)), ((F.col("conv_id") + F.col("turn")) % 3 + 1).cast("int"))
+    hashed = table(spark, sf_dir, "conversations").select("conv_id", "turn", fuzzy.hash_udf(fuzzy.ctph)(content.cast("binary")).alias("ssdeep"))
+    return hashed.withColumn("similarity", fuzzy.pair_udf(fuzzy.ctph_similarity, "int")("ssdeep", F.lit(_CTPH_KNOWN[0][1])))
 
 
 @query("SELECT a.doc_id AS i, b.doc_id AS j, 100 AS similarity FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id")

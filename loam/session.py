@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +21,13 @@ def local_session(cores: int | str = 8, name: str = "loam", memory: str = "16g",
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def outer_session(master: str | None = None) -> SparkSession:
+    """The session that is there, or one as ``spark-submit`` or ``master`` say; a local one only where nothing names a cluster."""
+    if (active := SparkSession.getActiveSession()) is not None:
+        return active
+    if master or SparkConf().contains("spark.master"):
+        builder = SparkSession.builder.appName("loam")
+        return (builder.master(master) if master else builder).getOrCreate()
+    return local_session("*")

@@ -22,3 +22,10 @@ def test_focused_reports_errors(spark, tmp_path, capsys):
     assert (tmp_path / "g" / "focused_corpus" / "focused_corpus_graph" / "vertices").is_dir()
     with pytest.raises(SystemExit):
         main(["focused", "dark-watchmen", str(good)])
+
+
+def test_session_comes_from_outside(spark):
+    from loam.session import outer_session
+
+    assert outer_session() is spark or outer_session().sparkContext is spark.sparkContext
+    assert parser().parse_args(["general", __file__, "--master", "spark://host:7077"]).master == "spark://host:7077"

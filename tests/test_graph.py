@@ -171,3 +171,22 @@ def test_no_row_counts_twice_between_the_steps_of_compact(spark, tmp_path, monke
     assert sorted(r["_key"] for r in store.vertices.collect()) == ["1", "2", "3", "4"]
     store.compact()
     assert store.vertices.count() == 4 and len(store._versions("vertices")) == 1
+
+
+def test_an_upsert_reads_the_buckets_of_its_keys_only(spark, tmp_path):
+    store = graph.GraphStore(spark, f"file://{tmp_path}/store")
+    rows = lambda keys, c="A": spark.createDataFrame([(c, str(k), {"x": "y"}) for k in keys], schema.VERTICES)
+    for k in range(3):
+        store.upsert(vertices=rows(range(100 * k, 100 * k + 120)))
+    store.upsert(vertices=rows(range(50), "B"))
+    assert store.vertices.count() == 370
+    for keys in ([5], [7, 311, 9_999], list(range(12))):
+        wanted = rows(keys)
+        buckets = {r[0] for r in wanted.select(graph._bucket()).distinct().collect()}
+        found = store.touched("vertices", wanted)
+        files = {r[0] for r in found.select(F.input_file_name()).distinct().collect()}
+        assert files and all("/collection=A/" in f and int(f.split("/bucket=")[1].split("/")[0]) in buckets for f in files)
+        assert "bucket" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
+        assert {r["_key"] for r in found.collect()} >= {str(k) for k in keys if k < 9_999}
+    store.upsert(vertices=rows([5, 311, 9_999]))
+    assert store.vertices.count() == 371 and store.vertices.groupBy("collection", "_key").count().where("count > 1").count() == 0
