@@ -1,8 +1,9 @@
 """WARC archives: writing pages as records, and reading archives back record by record.
 
 An archive is a file of gzip members, one per record. The writer names an archive by
-its partition, writes it under another name and renames it when it is complete, so a
-task that runs again replaces the same file. The reader is sequential: it inflates a
+its partition and attempt, writes it under another name and renames it when it is
+complete. Only archives of attempts that succeeded are listed and read, so a task that
+runs again, or late, never touches a file that is read. The reader is sequential: it inflates a
 member incrementally, takes the record's block by its content length and verifies the
 block's digest; memory is bounded by a chunk and one record.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO, NamedTuple
@@ -114,8 +116,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     context = TaskContext.get()
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    name = f"{root}/part-{context.partitionId():06d}.warc.gz"
-    draft = f"{name}.{context.taskAttemptId()}"
+    name = f"{root}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
+    draft = f"{name}.draft"
     records, size = 0, 0
     with store.open_output_stream(draft, compression=None) as out:
         for batch in batches:
@@ -127,9 +129,6 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
                 records += 1
                 size += packed.tell()
     if records:
-        # Not every file system replaces on a move; a task that ran before left the same records.
-        if store.get_file_info(name).type != fs.FileType.NotFound:
-            store.delete_file(name)
         store.move(draft, name)
         yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[1]]), pa.array([records]), pa.array([size])], ["archive", "records", "bytes"])
     else:
