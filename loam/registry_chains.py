@@ -268,6 +268,38 @@ def zip_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("id", F.col("e.name").alias("member"), F.col("e.size").alias("size"), F.col("e.descriptor_size").alias("descriptor_size"))
 
 
+def _archived(rows: DataFrame, folder: str) -> DataFrame:
+    """One streamed archive for each partition of ``rows(member, content)``; their paths."""
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zipfile
+
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}.zip"
+        with store.open_output_stream(f"{root}/{name}", compression=None) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for batch in batches:
+                for member, content in zip(batch["member"], batch["content"], strict=True):
+                    archive.writestr(zipfile.ZipInfo(member, (1980, 1, 1, 0, 0, 0)), bytes(content), zipfile.ZIP_DEFLATED)
+        yield pd.DataFrame({"path": [f"{folder}/{name}"]})
+
+    return spool(rows.mapInPandas(write, "path string"), "archives")
+
+
+@query("SELECT doc_id || '.dex' AS member, sha256(text) AS sha256sum FROM documents")
+def zip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of many members, each read by several tasks by ranges of its directory."""
+    from loam.sources.ranges import read_members
+
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".dex")).alias("member"), F.col("text").cast("binary").alias("content"))
+    parts = spark.sparkContext.defaultParallelism
+    paths = [r["path"] for r in _archived(docs.repartition(parts, "member"), fresh_path(spark, "archives")).collect()]
+    found = read_members(spark, paths, 256 << 10)
+    return found.where("member is not null").select("member", F.sha2("content", 256).alias("sha256sum"))
+
+
 # --- files, store, codecs -------------------------------------------------------------
 
 
