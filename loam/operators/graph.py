@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from loam import schema
 from loam.storage import spool
@@ -203,7 +204,9 @@ class GraphStore:
         versions = self._versions(name)
         if not versions:
             return self.spark.createDataFrame([], shape)
-        rows = self.spark.read.schema(shape).option("basePath", f"{self.folder}/{name}").parquet(*versions)
+        # Named, as versions without rows have no folders to find it in.
+        whole = StructType([*shape.fields, StructField("bucket", IntegerType())])
+        rows = self.spark.read.schema(whole).option("basePath", f"{self.folder}/{name}").parquet(*versions)
         return (rows if where is None else rows.where(where)).select(shape.fieldNames())
 
     def touched(self, name: str, keys: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam import schema
-from loam.functions import codec, text
+from loam.functions import codec, spans, text
 from loam.operators import graph
 from loam.sources.archives import members
 from loam.storage import spool
@@ -79,7 +79,7 @@ def carnavalheist(files: DataFrame) -> Lineage:
     batches = first.where("kind like 'Batch%'").select(
         "path", "sha", "kind",
         F.when(F.col("kind") == "BatchBase64", text.after_encoded_command(F.col("text")))
-        .otherwise(F.encode(codec.braced_command_udf()("text"), "utf-8")).alias("ps"),
+        .otherwise(F.encode(spans.braced_command(F.col("text")), "utf-8")).alias("ps"),
         F.when(F.col("kind") == "BatchCommandConcat", "Concat").otherwise("Normal").alias("ps_type"),
     )
     shells = spool(batches.withColumns({"ps_text": codec.text_of_udf()("ps"), "ps_sha": _sha("ps")}), "shells")

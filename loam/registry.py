@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam import schema
-from loam.functions import codec, fuzzy, text
+from loam.functions import codec, fuzzy, spans, text
 from loam.operators import ancestry, chunks, cluster, distance, evaluation, graph, similar, spatial, sweep
 from loam.sources import archives, files
 from loam.storage import fresh_path, spool
@@ -712,7 +712,7 @@ def balanced_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = F.regexp_replace("text", r"[{}()]", "")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", clean.alias("clean"))
     script = F.concat(F.lit('x powershell -WindowStyle Hidden -Command "& { '), F.lit("{"), "clean", F.lit("}"), F.lit("} tail }"))
-    braced = codec.braced_command_udf()(script)
+    braced = spans.braced_command(script)
     return turns.select("conv_id", "turn", F.substr(braced, F.lit(2), F.length(braced) - 2).alias("inner_text"))
 
 

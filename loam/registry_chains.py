@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.functions import codec, fuzzy
+from loam.functions import codec, fuzzy, spans
 from loam.operators import distance, graph
 from loam.plans import families, general
 from loam.registry import query, table
@@ -398,7 +398,8 @@ def paren_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents of literals, inner ones too; those with other than ASCII or nothing inside are left out, an unclosed one loses a character."""
     a = F.regexp_replace("text", r"[{}()@]", "")
     script = F.concat(F.lit("x @(q "), a, F.lit(" @("), a, F.lit("z) y) @(é) @( ) )) @(tail"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(codec.array_literals_udf()(script), "|").alias("found"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", script.alias("script"))
+    return spans.array_literals(turns, ["conv_id", "turn"], "script").withColumn("found", F.array_join("found", "|"))
 
 
 @query(
