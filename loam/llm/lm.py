@@ -33,7 +33,7 @@ ORDER = 2
 #: Texts with a crc32 of the id that leaves this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
 #: Tokens that a task counts before it passes the counts on.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: Bytes of text that are scored at a time; a longer text is a step of its own.
 STEP = 4 << 20
 
@@ -133,10 +133,11 @@ def _word_runs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
             size += len(words)
             if size >= FLUSH:
                 every = np.concatenate(held)
-                yield from _runs(every, [every], [np.ones(size, np.uint64)], bits)
                 held, size = [], 0
+                yield from _runs(every, [every], [np.ones(len(every), np.uint64)], bits)
     if size:
         every = np.concatenate(held)
+        held = []
         yield from _runs(every, [every], [np.ones(size, np.uint64)], bits)
 
 
@@ -156,7 +157,8 @@ def _gram_runs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
 
     def flush() -> Iterator[pa.RecordBatch]:
         grams = [np.concatenate(w) for w in zip(*held, strict=True)]
-        yield from _runs(_key(grams), grams, [np.ones(size, np.uint64)], model.bits)
+        held.clear()
+        yield from _runs(_key(grams), grams, [np.ones(len(grams[0]), np.uint64)], model.bits)
 
     for batch in batches:
         for words, starts in _tokens(batch.column(0), powers, STEP):
@@ -164,7 +166,7 @@ def _gram_runs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
             size += len(words)
             if size >= FLUSH:
                 yield from flush()
-                held, size = [], 0
+                size = 0
     if size:
         yield from flush()
 
