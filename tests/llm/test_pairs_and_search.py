@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loam.llm import decontam, neardup, topk, warc
+from loam.llm import decontam, neardup, shared, topk, warc
 from loam.llm.components import connected_components
 
 DOCS = "n_shingles long, doc_id long, text string, kept string"
@@ -188,7 +188,9 @@ def test_myers_equals_the_table(pattern, text):
     assert (got[0] if got else len(pattern)) == best
 
 
-def test_decontamination_equals_brute_force(spark):
+@pytest.mark.parametrize("held", [decontam.CHARS_PER_PASS, 50])
+def test_decontamination_equals_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(decontam, "CHARS_PER_PASS", held)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 6)))
     items = [(i, " ".join(word() for _ in range(rng.randint(4, 20)))) for i in range(12)] + [(3, "another text of item three"), (50, None), (None, "x y"), (51, " ")]
@@ -218,6 +220,61 @@ def test_decontamination_equals_brute_force(spark):
     assert small.count() == 0 and decontam.contaminated(spark.createDataFrame([], DOCS), tests).count() == 0
 
 
+def least_distances(pattern, texts, gap=200):
+    """Of a pattern to a substring of each text, by rows of one table; no match spans the gaps between the texts."""
+    text = np.frombuffer(("\n" * gap).join(texts).encode("utf-32-le"), np.uint32)
+    row, places = np.zeros(len(text) + 1, np.int32), np.arange(len(text) + 1, dtype=np.int32)
+    for i, c in enumerate(pattern, 1):
+        new = np.full_like(row, i)
+        np.minimum(row[:-1] + (text != ord(c)), row[1:] + 1, out=new[1:])
+        row = np.minimum.accumulate(new - places) + places
+    begins = np.cumsum([0, *(len(t) + gap for t in texts[:-1])])
+    return np.minimum.reduceat(row, begins).tolist()
+
+
+def test_decontamination_of_whole_tables_equals_brute_force(spark, monkeypatch):
+    """Both ways find in ``documents`` what a table of distances of every item to every text gives."""
+    sf = "/root/testdata/sf0.001"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows = [(r["doc_id"], decontam.normal(r["text"] or "")) for r in docs.select("doc_id", "text").collect()]
+    texts = [t for _, t in rows]
+    want = {}
+    for item, pattern in items.select("item_id", "text").collect():
+        pattern = decontam.normal(pattern)
+        assert decontam.budget(len(pattern)) < 200
+        for (doc, _), d in zip(rows, least_distances(pattern, texts), strict=True):
+            if d <= decontam.budget(len(pattern)):
+                want[doc, item] = min(d, want.get((doc, item), d))
+    want = {(*k, d) for k, d in want.items()}
+    assert want and {tuple(r) for r in decontam.contaminated(docs, items).collect()} == want
+    monkeypatch.setattr(decontam, "CHARS_PER_PASS", 0)
+    assert {tuple(r) for r in decontam.contaminated(docs, items).collect()} == want
+
+
+def test_many_items_and_repeated_texts_without_broadcasts(spark, monkeypatch):
+    """A third of the rows has one text, items share a piece and a text; every join is shuffled, hot keys dealt."""
+    monkeypatch.setattr(decontam, "CHARS_PER_PASS", 0)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(shared, "HOT", 8)
+    items = [(i, f"which of the following statements about number {i % 40} is the one that holds") for i in range(60)]
+    hot = f"So {items[7][1]} and aaaa {'a' * 3000}"
+    docs = [(0, i, hot if i % 3 == 0 else f"clean text {i}" if i % 3 == 1 else items[i % 40][1].replace("holds", "folds"), "") for i in range(90)]
+    docs += [(0, 500, None, ""), (0, None, hot, ""), (0, None, "clean", "")]
+    tests = spark.createDataFrame([*items, (99, "a" * 40)], "item_id long, text string")
+    frame = spark.createDataFrame(docs, DOCS).withColumnsRenamed({"kept": "key", "n_shingles": "uid"})
+    got = {tuple(r) for r in decontam.contaminated(frame, tests).collect()}
+    want = set()
+    for _, d, t, _ in docs:
+        for i, item in [*items, (99, "a" * 40)]:
+            if d is not None and t is not None and (e := decontam.myers(decontam.masks(item), len(item), decontam.normal(t), decontam.budget(len(item)))):
+                want.add((d, i, e[0]))
+    assert got == want and len({d for d, i, _ in got if i == 99}) == 30
+    clean = decontam.drop_contaminated(frame, tests)
+    assert clean.columns == frame.columns
+    dirty = {d for d, _, _ in want}
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in clean.collect()) == sorted((d is None, d or 0) for _, d, t, _ in docs if t != hot and d not in dirty)
+
+
 def test_items_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontam, "CHARS_PER_PASS", 30)
     items = spark.createDataFrame([(i, f"benchmark question number {i} of many") for i in range(4)], "item_id long, text string")
