@@ -144,13 +144,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Columns of ``docs`` stay; ``mix_pass``, ``mix_taken`` (words, from the text's start)
     and ``mix_position`` come on top, in place of any so named, and rows are range-sorted
-    by position.
+    by position. Rows that share an id come in the order of their texts' digests, so that
+    reruns agree.
     """
     own = ("mix_pass", "mix_taken", "mix_position")
     name, text = docs[f"`{id_col}`"], docs[f"`{text_col}`"]
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c.lower() not in own)).alias("row")
     held = docs.select(
-        name.cast("long").alias("doc_id"), docs[f"`{source_col}`"].cast("string").alias("source"), word_count(text).alias("size"), _order_key(name, text).alias("key"), whole
+        name.cast("long").alias("doc_id"), docs[f"`{source_col}`"].cast("string").alias("source"), word_count(text).alias("size"),
+        F.concat(_order_key(name, text), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("key"), whole,
     )
     rows = _demands(_sizes(docs, id_col, text_col, source_col), held)
     passes = rows.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
