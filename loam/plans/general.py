@@ -19,7 +19,8 @@ MIN_PTS = range(2, 100)
 def sample_features(files: DataFrame, on_error: str = "skip") -> DataFrame:
     """Features of labelled files ``(path, content, label)``, numbered in the order of (label, path).
 
-    A sample that one of the hashes can't take is left out, or stops the run with ``on_error='fail'``.
+    A sample that one of the hashes can't take is left out, stays with that hash null with
+    ``on_error='keep'``, or stops the run with ``on_error='fail'``.
     """
     labelled = files.where("label is not null").select("label", "path")
     # Numbers within a label on top of the labels before it, so that only the labels pass through one task.
@@ -29,6 +30,8 @@ def sample_features(files: DataFrame, on_error: str = "skip") -> DataFrame:
     ranks = labelled.withColumn("place", within).join(starts, "label").select("label", "path", (F.col("start") + F.col("place") - 1).cast("long").alias("node_id"))
     numbered = files.join(ranks, ["label", "path"]).withColumnRenamed("label", "family")
     hashed = spool(features(numbered).join(numbered.select("node_id", "path", F.sha2("content", 256).alias("sha256sum")), "node_id"), "features")
+    if on_error == "keep":
+        return hashed
     short = hashed.where("ssdeep is null or tlsh is null or third is null")
     if on_error == "fail" and (bad := short.orderBy("node_id").first()) is not None:
         raise ValueError(f"can't hash {bad['path']}")
