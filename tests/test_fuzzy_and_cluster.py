@@ -92,6 +92,21 @@ def test_tlsh_pairs_within_a_bound_equal_all_pairs(spark, monkeypatch, bound, ho
     assert {tuple(r) for r in similar.membership(df, "tlsh").collect()} == {(i, first[d]) for i, d in rows if d}
 
 
+def test_far_candidates_are_dropped_where_they_meet(spark):
+    digests = fuzzy.tlsh_digests(digests_around(3))
+    planes, apart = fuzzy.tlsh_planes(digests).view(np.uint64), {}
+    for i in range(len(digests)):
+        for j in range(i + 1, len(digests)):
+            codes = sum(int(np.bitwise_count((planes[i, k] ^ planes[j, k]) | (planes[i, k + 2] ^ planes[j, k + 2]))) for k in (0, 1))
+            assert codes <= fuzzy.tlsh_distances(digests[i : i + 1], digests[j : j + 1])[0]
+            apart[i, j] = codes
+    names = ["a", "b", "c", "d"]
+    figures = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(planes.view(np.int64))], "node_id long, " + ", ".join(f"{n} long" for n in names))
+    keyed = figures.selectExpr("node_id", "0L as key")
+    found = similar.key_pairs(keyed, figures, lambda x, y: fuzzy.tlsh_codes_apart(x, y) <= 20)
+    assert {tuple(r) for r in found.collect()} == {p for p, codes in apart.items() if codes <= 20}
+
+
 def test_no_task_gets_all_copies(spark, monkeypatch):
     """Of 20,000 nodes of one hash, no piece of the join has more than a few thousand."""
     df = spark.range(20_000).select(F.col("id").alias("node_id"), F.lit("3:abcdefghij:klmnop").alias("ssdeep"))
