@@ -92,6 +92,53 @@ def test_tlsh_pairs_within_a_bound_equal_all_pairs(spark, monkeypatch, bound, ho
     assert {tuple(r) for r in similar.membership(df, "tlsh").collect()} == {(i, first[d]) for i, d in rows if d}
 
 
+def test_piecewise_hash_and_its_distance_equal_plain_ones():
+    rng = random.Random(5)
+
+    def piece(data):
+        h = 0x28021967
+        for c in data:
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+        return fuzzy._ALPHABET[h & 63]
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + 2 * (x != y))
+        return row[-1]
+
+    for n in (0, 1, 2, 7, 60, 400, 3000):
+        data = bytes(rng.randrange(256) for _ in range(n))
+        block, first, _ = fuzzy.ctph(data).split(":")
+        ends = (np.flatnonzero(fuzzy._rolling(data) % np.uint64(int(block)) == int(block) - 1)[:63] + 1).tolist()
+        starts = [0, *ends]
+        assert first == "".join(piece(data[a:b]) for a, b in zip(starts, [*ends, n], strict=True) if b > a)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcdX/") for _ in range(rng.randint(0, 64))) for _ in "ab")
+        assert fuzzy._edit_distance(a, b) == apart(a, b)
+
+
+def test_similarity_by_representatives_says_all(spark, tmp_path):
+    """One row for each further copy, however many pairs the copies of two near texts make."""
+    from loam import registry
+
+    one, words = prose(1).decode(), prose(1).decode().split()
+    two = " ".join([*words[:-3], "other", "end"])
+    texts = [one] * 6 + [two] * 5 + [prose(9).decode()]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {tuple(r) for r in registry.queries()["ctph_similarity"](spark, str(tmp_path)).select("i", "j", "similarity").collect()}
+    near = fuzzy.ctph_similarity(fuzzy.ctph(one.encode()), fuzzy.ctph(two.encode()))
+    assert near and found == {(0, 6, near), *((0, j, 100) for j in range(1, 6)), *((6, j, 100) for j in range(7, 11))}
+
+
+def test_copies_of_the_piecewise_hash(spark):
+    data = [(1, "3:abcdefgh:x"), (2, "3:abcdefgh:x"), (3, "3:abcdefgz:x"), (4, None), (5, "3:abcdefgh:x")]
+    found = distance.ssdeep_copies(spark.createDataFrame(data, "node_id long, ssdeep string"))
+    assert {tuple(r) for r in found.collect()} == {(1, 2, 100), (1, 5, 100), (2, 5, 100)}
+
+
 def test_far_candidates_are_dropped_where_they_meet(spark):
     digests = fuzzy.tlsh_digests(digests_around(3))
     planes, apart = fuzzy.tlsh_planes(digests).view(np.uint64), {}
