@@ -92,6 +92,24 @@ def test_tlsh_pairs_within_a_bound_equal_all_pairs(spark, monkeypatch, bound, ho
     assert {tuple(r) for r in similar.membership(df, "tlsh").collect()} == {(i, first[d]) for i, d in rows if d}
 
 
+def test_screened_pairs_hold_all_near_ones_and_few_others():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    x[1], x[2] = x[0], 1e6 * x[2]
+    exact = distance._measured(x[:, None], x[None], ("euclidean",))["euclidean"]
+    assert (exact[:4, :4] == exact[:4, :4].T).all() and exact[0, 1] == 0
+    # Bounds that are the very distances of pairs, where rounding decides.
+    for eps in (0.0, *exact[5, 6:30].tolist(), exact[2, 7]):
+        a, b = distance._screened(x, x, eps)
+        assert set(zip(*np.nonzero(exact <= eps), strict=True)) <= set(zip(a, b, strict=True))
+    plain = np.delete(x, 2, axis=0)
+    assert len(distance._screened(plain, plain, 1.16)[0]) < 300 * 20
+    x[3, 5] = np.nan
+    a, b = distance._screened(x, x, 1.0)
+    assert {(0, 1), (7, 7)} <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_piecewise_hash_and_its_distance_equal_plain_ones():
     rng = random.Random(5)
 
