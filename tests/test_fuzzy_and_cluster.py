@@ -92,6 +92,21 @@ def test_tlsh_pairs_within_a_bound_equal_all_pairs(spark, monkeypatch, bound, ho
     assert {tuple(r) for r in similar.membership(df, "tlsh").collect()} == {(i, first[d]) for i, d in rows if d}
 
 
+def test_a_mirrored_matrix_reads_its_pairs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def pairs(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    upper = spark.createDataFrame([(1, 2, 0.5), (1, 3, 2.0), (2, 3, 1.5)], "i long, j long, d double").mapInPandas(pairs, "i long, j long, d double")
+    found = distance.mirrored(upper, spark.createDataFrame([(1,), (2,), (3,)], "node_id long"))
+    want = {(1, 2, 0.5), (1, 3, 2.0), (2, 3, 1.5)}
+    assert sorted(map(tuple, found.collect())) == sorted([*want, *((j, i, d) for i, j, d in want), (1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0)])
+    assert made.value == 3
+
+
 def test_screened_pairs_hold_all_near_ones_and_few_others():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 64))
