@@ -271,6 +271,22 @@ def test_sweep_in_many_blocks_equals_direct_search(spark, monkeypatch, seed):
     same_cells(swept(spark, m, families, eps, pts), direct_sweep(spark, m, families, eps, pts))
 
 
+@pytest.mark.parametrize("block", [7, 512])
+def test_sweep_of_points_equals_direct_search_and_writes_no_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(distance, "BLOCK", block)
+    x = np.random.default_rng(6).normal(size=(70, 2)).round(1)
+    m = distance._measured(x[:, None], x[None], ("euclidean",))["euclidean"]
+    families = ["a", "b", "d"] * 23 + ["c"]
+    nodes = spark.createDataFrame(list(enumerate(families)), "node_id long, family string")
+    points = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "node_id long, value array<double>")
+    names = []
+    monkeypatch.setattr(sweep, "spool", lambda df, name, spool=sweep.spool: names.append(name) or spool(df, name))
+    got = sweep.dbscan_grid_of_points(points, nodes, "d", 1.2, lambda d: 2 * d, [0.2, 0.6, 1.0, 2.0], [1, 2, 4, 9])
+    want = direct_sweep(spark, 2 * m, families, [0.2, 0.6, 1.0, 2.0], [1, 2, 4, 9])
+    same_cells(got, want)
+    assert "edges" not in names
+
+
 def test_sweep_of_matrix_rows(spark, monkeypatch):
     monkeypatch.setattr(sweep, "BLOCK", 7)
     m = matrix_of(5, 30).round(1)
