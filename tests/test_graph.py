@@ -190,3 +190,15 @@ def test_an_upsert_reads_the_buckets_of_its_keys_only(spark, tmp_path):
         assert {r["_key"] for r in found.collect()} >= {str(k) for k in keys if k < 9_999}
     store.upsert(vertices=rows([5, 311, 9_999]))
     assert store.vertices.count() == 371 and store.vertices.groupBy("collection", "_key").count().where("count > 1").count() == 0
+
+
+def test_asked_pairs_are_no_rows_for_each_way_up(spark, monkeypatch):
+    """Nodes of many gates with many parents each: what doesn't lead to a node is dropped where it meets the node's gate."""
+    monkeypatch.setattr(ancestry, "HEADS", 3)
+    links = {(p, c) for c in range(2, 60) for k in (2, 3, 4, 5) if (p := c // k) < c}
+    found = ancestry.label(spark.createDataFrame(sorted(links), "parent long, child long"))
+    asked = spark.range(60).select(F.col("id").alias("ancestor")).crossJoin(spark.range(60).select(F.col("id").alias("descendant")))
+    got = found.related(asked)
+    # The filter is part of the join, no list of ways is.
+    assert "exists(heads" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(plain_closure(sorted(links)))
