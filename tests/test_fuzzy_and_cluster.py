@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import fuzzy
-from loam.operators import cluster, distance, evaluation, similar, spatial, sweep
+from loam.operators import cluster, distance, evaluation, matrix, similar, spatial, sweep
 
 
 def prose(seed, n=4000):
@@ -296,6 +296,27 @@ def test_sweep_of_matrix_rows(spark, monkeypatch):
     same_cells(swept(spark, m, families, eps, pts, rows_as_points=True), direct_sweep(spark, rows, families, eps, pts))
 
 
+@pytest.mark.parametrize("screen", [3, 1_024])
+def test_near_rows_of_the_distance_matrix(spark, monkeypatch, screen):
+    for name, size in (("SCREEN", screen), ("CHUNK", 9), ("PAIRS", 5), ("ROWS", 4)):
+        monkeypatch.setattr(matrix, name, size)
+    monkeypatch.setattr(distance, "BLOCK", 8)
+    x = np.random.default_rng(3).normal(size=(40, 3))
+    x[30:] = x[:10] + 0.01
+    x[39] = x[0]
+    m = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    rows = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1))
+    points = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "node_id long, value array<double>")
+    written = []
+    monkeypatch.setattr(matrix, "spool", lambda df, name, spool=matrix.spool: written.append(spool(df, name)) or written[-1])
+    got = {(r["i"], r["j"]): r["d"] for r in matrix.near_rows(points, 1.0).collect()}
+    assert set(got) == {(i, j) for i in range(40) for j in range(i + 1, 40) if rows[i, j] <= 1.0}
+    assert all(abs(d - rows[k]) < 1e-9 for k, d in got.items()) and got[0, 39] == 0
+    # Neither a row nor a cell for each pair of points is written.
+    assert sum(f.count() for f in written) < 40
+    assert matrix.near_rows(points.limit(0), 1.0).count() == 0 == matrix.near_rows(points.limit(1), 1.0).count()
+
+
 def test_sweep_of_little(spark):
     nodes = spark.createDataFrame([(1, "a")], "node_id long, family string")
     none = spark.createDataFrame([], "i long, j long, d double")
