@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,10 +141,20 @@ def member_kind(path: Column) -> Column:
     return F.when(F.endswith(path, F.lit(".apk")), "APK").when(F.startswith(path, F.lit("lib/")), "ELF").when(F.endswith(path, F.lit(".dex")), "DEX")
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once, however often it is named there: an expression that is named twice runs twice."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def plain_base64(content: Column) -> Column:
+    """Base64 without the line ends that Spark may put into it."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+
+
 def strict_base64(text: Column) -> Column:
     """Decoded bytes; null unless the text is canonical base64 of the standard alphabet."""
-    decoded = F.try_to_binary(text, F.lit("base64"))
-    return F.when(F.regexp_replace(F.base64(decoded), r"[\r\n]", "") == text, decoded)
+    canonical = lambda t: let(F.try_to_binary(t, F.lit("base64")), lambda d: F.when(plain_base64(d) == t, d))
+    return let(text, canonical)
 
 
 def repeated_base64(text: Column, times: Column) -> Column:
@@ -153,10 +165,13 @@ def repeated_base64(text: Column, times: Column) -> Column:
 
 def after_encoded_command(text: Column) -> Column:
     """The base64 word after the marker and one more character; decoded. Needs white space after it."""
-    at = F.instr(text, BATCH_BASE64)
-    word = F.regexp_extract(F.substr(text, at + len(BATCH_BASE64) + 1), f"^([^{_SPACE}]*)[{_SPACE}]", 1)
-    rest = F.substr(text, at + len(BATCH_BASE64) + 1)
-    return F.when((at > 0) & rest.rlike(f"[{_SPACE}]"), strict_base64(word))
+    def decoded(t: Column) -> Column:
+        at = F.instr(t, BATCH_BASE64)
+        # The word with the white space behind it, if there is one. Other characters aren't base64, and a class of few is matched much faster.
+        word = F.regexp_extract(F.substr(t, at + len(BATCH_BASE64) + 1), f"^[A-Za-z0-9+/=]*+[{_SPACE}]", 0)
+        return let(F.when(at > 0, word), lambda w: F.when(w != "", strict_base64(F.left(w, F.length(w) - 1))))
+
+    return let(text, decoded)
 
 
 DECODE_CALL = r"base64\.b64decode\("
@@ -168,10 +183,14 @@ def decode_calls(text: Column) -> Column:
 
 def quoted_payload(text: Column) -> Column:
     """The quoted literal of the first plain, else of the first raw, decode call; decoded as often as calls occur."""
-    plain = F.regexp_extract(text, r"(?s)base64\.b64decode\('('*)([^']+)'", 2)
-    raw = F.regexp_extract(text, r"(?s)base64\.b64decode\(r'('*)([^']+)'", 2)
-    word = F.when(F.contains(text, F.lit("base64.b64decode('")), plain).otherwise(raw)
-    return F.when(word != "", repeated_base64(word, decode_calls(text)))
+    def payload(t: Column) -> Column:
+        # A literal ends with a quote, so what it holds is never given back.
+        plain = F.regexp_extract(t, r"(?s)base64\.b64decode\('('*)([^']++)'", 2)
+        raw = F.regexp_extract(t, r"(?s)base64\.b64decode\(r'('*)([^']++)'", 2)
+        word = F.when(F.contains(t, F.lit("base64.b64decode('")), plain).otherwise(raw)
+        return let(word, lambda w: F.when(w != "", repeated_base64(w, decode_calls(t))))
+
+    return let(text, payload)
 
 
 def numbered_parts(text: Column) -> Column:
@@ -190,7 +209,7 @@ def numbered_parts(text: Column) -> Column:
 
 
 def concat_payload(text: Column) -> Column:
-    return repeated_base64(numbered_parts(text), decode_calls(text))
+    return let(text, lambda t: repeated_base64(numbered_parts(t), decode_calls(t)))
 
 
 # Fixed value: the base of the distance that a similarity maps to.
