@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.codec import COMMAND_MARK
+from loam.functions.text import let
 
 _FOREIGN = r"[^\x00-\x7f]"
 
@@ -20,8 +21,6 @@ def braced_command(text: Column) -> Column:
     The rest of the text is cut behind each brace, and the depth summed piece by piece
     until it is 0; an unclosed block runs to the text's end less one character.
     """
-    at = F.instr(text, COMMAND_MARK)
-    rest = F.substr(text, at + F.lit(len(COMMAND_MARK) + 1))
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("foreign"))
 
     def step(seen: Column, piece: Column) -> Column:
@@ -34,9 +33,15 @@ def braced_command(text: Column) -> Column:
             F.when(there, foreign).otherwise(seen["foreign"]).alias("foreign"),
         )
 
-    seen = F.aggregate(F.split(rest, r"(?<=[{}])"), start, step)
-    inner = F.when(~seen["foreign"] & (seen["length"] > 0), F.substr(rest, F.lit(1), seen["length"] - 1))
-    return F.when(at > 0, inner)
+    def inner(rest: Column) -> Column:
+        seen = F.aggregate(F.split(rest, r"(?<=[{}])"), start, step)
+        return let(seen, lambda s: F.when(~s["foreign"] & (s["length"] > 0), F.substr(rest, F.lit(1), s["length"] - 1)))
+
+    def held(whole: Column) -> Column:
+        at = F.instr(whole, COMMAND_MARK)
+        return let(F.when(at > 0, F.substr(whole, at + F.lit(len(COMMAND_MARK) + 1))), inner)
+
+    return let(text, held)
 
 
 def array_literals(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:

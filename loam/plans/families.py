@@ -75,17 +75,18 @@ def _with_text(files: DataFrame) -> DataFrame:
 
 def carnavalheist(files: DataFrame) -> Lineage:
     """Batch, then PowerShell, then Python; Python files that are given stand alone."""
-    first = spool(_with_text(files).withColumn("kind", text.classify_batch_family(F.col("text"))), "batch")
+    first = spool(_with_text(files).drop("content").withColumn("kind", text.classify_batch_family(F.col("text"))), "batch")
     batches = first.where("kind like 'Batch%'").select(
         "path", "sha", "kind",
         F.when(F.col("kind") == "BatchBase64", text.after_encoded_command(F.col("text")))
         .otherwise(F.encode(spans.braced_command(F.col("text")), "utf-8")).alias("ps"),
         F.when(F.col("kind") == "BatchCommandConcat", "Concat").otherwise("Normal").alias("ps_type"),
     )
-    shells = spool(batches.withColumns({"ps_text": codec.text_of_udf()("ps"), "ps_sha": _sha("ps")}), "shells")
-    shells = shells.withColumn(
+    # What is decoded is hashed where it is decoded: the branches below read digests.
+    shells = batches.withColumns({"ps_text": codec.text_of_udf()("ps"), "ps_sha": _sha("ps")}).withColumn(
         "python", F.when(F.col("ps_type") == "Concat", text.concat_payload(F.col("ps_text"))).otherwise(text.quoted_payload(F.col("ps_text")))
-    ).withColumn("python_sha", _sha("python"))
+    )
+    shells = spool(shells.select("path", "sha", "kind", "ps_type", "ps_sha", _sha("python").alias("python_sha")), "shells")
     given = first.where("kind = 'Python'")
     return _lineage(
         [
@@ -100,8 +101,8 @@ def carnavalheist(files: DataFrame) -> Lineage:
         ],
         [
             _errors(first, F.col("kind").isNull(), "classify", "the kind of the sample is unknown"),
-            _errors(shells, F.col("ps").isNull(), "batch", "no next stage in the batch stage"),
-            _errors(shells, F.col("ps").isNotNull() & F.col("python").isNull(), "ps", "no next stage in the shell stage"),
+            _errors(shells, F.col("ps_sha").isNull(), "batch", "no next stage in the batch stage"),
+            _errors(shells, F.col("ps_sha").isNotNull() & F.col("python_sha").isNull(), "ps", "no next stage in the shell stage"),
         ],
         "Carnavalheist",
     )

@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loam.functions import codec, text
+from loam.functions import codec, spans, text
 
 B64 = base64.b64encode(b"next stage").decode()
 
@@ -173,3 +173,17 @@ def test_xor_with_keys_of_any_length():
     for key in ("k", "key", "a much longer key than the text itself, é"):
         assert codec.unxor_gunzip(key, codec.xor_gzip(key, "téxt")) == "téxt"
     assert codec.unxor_gunzip("", "QUJD") is None and codec.unxor_gunzip("k", None) is None
+
+
+def test_a_payload_is_looked_for_once(spark, capsys):
+    script = spark.createDataFrame([("x",)], "s string").select(F.concat("s", F.lit("y")).alias("s"))
+    for f in (text.after_encoded_command, text.strict_base64, text.quoted_payload, spans.braced_command):
+        script.select(f(F.upper("s")).alias("x")).explain()
+        assert capsys.readouterr().out.count("upper(") == 1, f
+
+
+def test_an_expression_that_repeats_is_evaluated_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(codec, "evaluate", lambda e, evaluate=codec.evaluate: calls.append(e) or evaluate(e))
+    assert codec.characters_of("71+1,(71+1),71+1,1/0") is None and codec.characters_of("71+1,71+1,(71+1)") == "HHH"
+    assert len(calls) <= 4
