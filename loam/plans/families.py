@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loam import schema
 from loam.functions import codec, spans, text
 from loam.operators import graph
-from loam.sources.archives import members
+from loam.sources.archives import nested_members
 from loam.storage import spool
 
 class Lineage(NamedTuple):
@@ -57,11 +57,17 @@ def _lineage(vertices: list[DataFrame], edges: list[DataFrame], errors: list[Dat
     roots, links = graph.bootstrap(vertices[0].sparkSession, "FocusedCorpus", (family,))
     return Lineage(
         _distinct_vertices(_all([roots, *vertices])),
-        _all([links, *edges]).dropDuplicates(["collection", "_key"]),
+        _distinct_edges(_all([links, *edges])),
         _all(errors),
     )
 
 
+def _distinct_edges(rows: DataFrame) -> DataFrame:
+    """One row for each edge; its key, which its ends make, isn't shuffled."""
+    ends = rows.select("collection", "_from", "_to").distinct()
+    return ends.select("collection", graph.edge_key("_from", "_to").alias("_key"), "_from", "_to", F.lit(None).cast("long").alias("ssdeep_distance"))
+
+
 def _distinct_vertices(rows: DataFrame) -> DataFrame:
     """One row for each vertex; of differing attributes the least stays (maps have no order, so their text is compared)."""
     as_text = F.to_json("attrs")
@@ -185,45 +191,30 @@ def dark_watchmen(files: DataFrame, artifacts: DataFrame) -> Lineage:
 
 
 def coper(files: DataFrame, mode: str = "std") -> Lineage:
-    """Archives with native libraries, bytecode and further archives, level by level, however deep.
+    """Archives with native libraries, bytecode and further archives, however deep.
 
-    An archive seen at one level isn't opened again at another. ``mode='ref'`` also
-    takes bytecode members that lack the magic but have a non-zero eighth byte.
+    An archive is opened with all that are in it, and what these hold is hashed there.
+    ``mode='ref'`` also takes bytecode members that lack the magic but have a non-zero eighth byte.
     """
-    first = spool(
-        files.select("path", F.col("content").cast("binary").alias("content")).withColumns(
-            {"sha": _sha("content"), "kind": text.classify_archive_family(F.col("content"))}
-        ),
-        "archives",
+    given = files.select("path", F.col("content").cast("binary").alias("content")).withColumns(
+        {"sha": _sha("content"), "kind": text.classify_archive_family(F.col("content")), "architecture": text.elf_architecture(F.col("content"))}
+    )
+    first = spool(given.drop("content"), "archives")
+    found = nested_members(given.where("kind = 'APK'").select(F.col("sha").alias("id"), "content"))
+    head, kind, architecture = F.col("head"), text.member_kind(F.col("member")), text.architecture_from_path(F.col("member"))
+    dex = text.is_dex(head)
+    if mode == "ref":
+        dex = dex | (text.byte_at(head, 7) != 0)
+    fits = (
+        F.when(kind == "APK", F.startswith(head, F.unhex(F.lit("504B"))))
+        .when(kind == "ELF", text.is_elf(head) & architecture.isNotNull())
+        .when(kind == "DEX", F.coalesce(dex, F.lit(False)))
     )
-    spark = files.sparkSession
-    frontier = first.where("kind = 'APK'").select(F.col("sha").alias("id"), "content").dropDuplicates(["id"])
-    opened, parts = None, []
-    while not frontier.isEmpty():
-        found = members(frontier).withColumn("kind", text.member_kind(F.col("member")))
-        dex = text.is_dex(F.col("content"))
-        if mode == "ref":
-            dex = dex | (text.byte_at(F.col("content"), 7) != 0)
-        fits = (
-            F.when(F.col("kind") == "APK", F.startswith("content", F.unhex(F.lit("504B"))))
-            .when(F.col("kind") == "ELF", text.is_elf(F.col("content")) & text.architecture_from_path(F.col("member")).isNotNull())
-            .when(F.col("kind") == "DEX", F.coalesce(dex, F.lit(False)))
-        )
-        level = spool(
-            found.withColumns({"sha": _sha("content"), "fits": F.coalesce(fits, F.lit(False)), "architecture": text.architecture_from_path(F.col("member")), "depth": F.lit(len(parts))}),
-            "members",
-        )
-        parts.append(level)
-        opened = level.where("member is null").select("id") if opened is None else opened.unionByName(level.where("member is null").select("id"))
-        frontier = (
-            level.where("fits and kind = 'APK'").select(F.col("sha").alias("id"), "content").dropDuplicates(["id"]).join(opened, "id", "left_anti")
-        )
-    empty = spark.createDataFrame([], "id string, member string, content binary, is_cut boolean, error string, kind string, sha string, fits boolean, architecture string, depth int")
-    rows = _all(parts) if parts else empty
+    rows = spool(found.select("id", "member", "is_cut", "error", "sha", kind.alias("kind"), F.coalesce(fits, F.lit(False)).alias("fits"), architecture.alias("architecture")), "members")
     archives, inside = rows.where("member is null"), rows.where("fits").select("id", "kind", "sha", "architecture")
     inner = inside.where("kind = 'APK'").select(F.col("id").alias("parent"), F.col("sha").alias("child"))
     closed = graph.closure(inner).select(F.col("ancestor").alias("id"), F.col("descendant").alias("sha"))
-    given = first.where("kind in ('ELF', 'DEX')").withColumn("architecture", text.elf_architecture(F.col("content")))
+    given = first.where("kind in ('ELF', 'DEX')")
     elfs = _vertices(inside.where("kind = 'ELF'"), "CoperELF", architecture=F.col("architecture")).unionByName(
         _vertices(given.where("kind = 'ELF'"), "CoperELF", architecture=F.col("architecture"))
     )

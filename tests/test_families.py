@@ -101,6 +101,17 @@ def test_archives_nest_without_limit(spark):
     assert sum(c == "CoperHasInnerAPK" for c, _, _ in have) == 15 * 14 // 2
 
 
+def test_contents_of_nested_archives_stay_in_their_task(spark, monkeypatch):
+    inner = archives.build_zip({"classes.dex": DEX})
+    contents = {"a": archives.build_zip({"x.apk": inner, "y.apk": inner, "bad.apk": b"PKbroken"}), "b": inner, "c": archives.build_zip({"z.apk": inner})}
+    written = []
+    monkeypatch.setattr(families, "spool", lambda df, name, spool=families.spool: written.append(df) or spool(df, name))
+    got = families.coper(files(spark, {**contents, "again": contents["a"]}))
+    assert keys(got.vertices) >= {("CoperAPK", sha(c)) for c in [*contents.values(), b"PKbroken"]} | {("CoperDEX", sha(DEX))}
+    assert got.errors.count() == 0 and got.vertices.groupBy("collection", "_key").count().where("count > 1").count() == 0
+    assert not any(kind == "binary" for f in written for _, kind in f.dtypes)
+
+
 def test_members_too_large_are_errors(spark, monkeypatch):
     monkeypatch.setattr(archives, "MOST_MEMBER", 100)
     with pytest.raises(archives.ZipError):
