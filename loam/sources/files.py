@@ -25,14 +25,18 @@ def validate_dir(path: str) -> str:
     return path
 
 
-def read_files(spark: SparkSession, paths: str | list[str], on_error: str = "skip") -> DataFrame:
+def read_files(spark: SparkSession, paths: str | list[str], on_error: str = "skip", names: str | None = None) -> DataFrame:
     """``(path, content, label)``, whole files; the label is the folder's name.
 
+    With ``names``, a pattern, paths are folders and the files in them whose names match are
+    read: of many files the folders are listed, where a pattern of paths asks for each file on the driver.
     ``on_error='skip'`` leaves out files that can't be read, ``'fail'`` stops at the first.
     """
     reader = spark.read.format("binaryFile")
     if on_error == "skip":
         reader = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    if names is not None:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", names)
     return reader.load(paths).select("path", "content", parent_label(F.col("path")).alias("label"))
 
 

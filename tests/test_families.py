@@ -142,6 +142,16 @@ def test_listed_files_keep_a_row_each(spark, tmp_path):
     assert all(bytes(c) == b"one" and label == "fam" for _, c, label, e in got if not e)
 
 
+def test_files_below_folders(spark, tmp_path):
+    from loam.sources.files import read_files
+
+    for name in ("a/1.txt", "a/2.bin", "b/1.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    got = read_files(spark, str(tmp_path), on_error="fail", names="*.txt")
+    assert {(r["label"], bytes(r["content"])) for r in got.collect()} == {("a", b"a/1.txt"), ("b", b"b/1.txt")}
+
+
 def test_a_further_family_plugs_in(spark, tmp_path, monkeypatch):
     from loam import schema
 
