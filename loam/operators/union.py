@@ -17,14 +17,19 @@ def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
     one, two = ends[: len(u)], ends[len(u) :]
     parent = np.arange(len(nodes))
+    unite(parent, one, two)
+    return nodes, nodes[parent]
+
+
+def unite(parent: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+    """Link the places in two arrays, in ``parent``, where each place then has the least that it is linked to."""
     while len(one):
         a, b = parent[one], parent[two]
         apart = a != b
         one, two, a, b = one[apart], two[apart], a[apart], b[apart]
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-    return nodes, nodes[parent]
+        while ((above := parent[parent]) != parent).any():
+            parent[:] = above
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
