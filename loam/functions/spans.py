@@ -53,25 +53,27 @@ def array_literals(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame
     an opening's partner is the next mark of its depth.
     """
     texts = rows.select(*keys, F.col(text_col).alias("_text"))
-    cut = texts.select(*keys, "_text", F.posexplode(F.split("_text", rf"(?<=[()]|{_FOREIGN})")).alias("_place", "_piece"))
+    # Pieces go without their text: a row of each with all of it would make a text's square.
+    cut = texts.select(*keys, F.length("_text").alias("_size"), F.posexplode(F.split("_text", rf"(?<=[()]|{_FOREIGN})")).alias("_place", "_piece"))
     order = Window.partitionBy(*keys).orderBy("_place")
     until = order.rowsBetween(Window.unboundedPreceding, 0)
     piece = F.col("_piece")
     turn = F.when(_ends(piece, "("), 1).when(_ends(piece, ")"), -1).otherwise(0)
+    told = cut.select(*keys, "_size", "_place", turn.alias("_turn"), _ends(piece, "@(").alias("_opens"), piece.rlike(_FOREIGN).cast("int").alias("_odd"), F.length(piece).alias("_length"))
     marks = (
-        cut.withColumns({"_turn": turn, "_odd": piece.rlike(_FOREIGN).cast("int")})
-        .withColumns({"_sum": F.sum("_turn").over(until), "_end": F.sum(F.length(piece)).over(until), "_foreign": F.sum("_odd").over(until)})
+        told.withColumns({"_sum": F.sum("_turn").over(until), "_end": F.sum("_length").over(until), "_foreign": F.sum("_odd").over(until)})
         .withColumn("_least", F.least(F.min("_sum").over(until), F.lit(0)))
         .withColumns({"_depth": F.col("_sum") - F.col("_least"), "_was": F.coalesce(F.lag(F.col("_sum") - F.col("_least")).over(order), F.lit(0))})
         .withColumns({"_all_foreign": F.max("_foreign").over(Window.partitionBy(*keys))})
         .where("_turn = 1 or (_turn = -1 and _was > 0)").withColumn("_level", F.greatest("_depth", "_was"))
     )
     same = Window.partitionBy(*keys, "_level").orderBy("_place")
-    paired = marks.withColumns({"_close": F.lead("_end").over(same), "_close_foreign": F.lead("_foreign").over(same)}).where(_ends(piece, "@("))
-    last = F.greatest(F.col("_end"), F.length("_text") - 1)
+    paired = marks.withColumns({"_close": F.lead("_end").over(same), "_close_foreign": F.lead("_foreign").over(same)}).where("_opens")
+    last = F.greatest(F.col("_end"), F.col("_size") - 1)
     whole = F.coalesce("_close_foreign", "_all_foreign") == F.col("_foreign")
-    inner = F.substr("_text", (F.col("_end") + 1).cast("int"), (F.coalesce(F.col("_close") - 1, last) - F.col("_end")).cast("int"))
+    spans = paired.where(whole).select(*keys, (F.col("_end") + 1).cast("int").alias("_start"), (F.coalesce(F.col("_close") - 1, last) - F.col("_end")).cast("int").alias("_long"))
+    lists = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_start", "_long"))).alias("_spans"))
     blank = r"[\x09-\x0D\x1C-\x20]+"
-    found = paired.where(whole).select(*keys, "_end", F.regexp_replace(inner, rf"\A{blank}|{blank}\z", "").alias("_inner")).where("_inner <> ''")
-    lists = found.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_end", "_inner"))), lambda s: s["_inner"]).alias("found"))
-    return texts.join(lists, keys, "left").select(*keys, F.when(F.col("_text").isNotNull(), F.coalesce("found", F.array().cast("array<string>"))).alias("found"))
+    inner = F.transform("_spans", lambda s: F.regexp_replace(F.substr("_text", s["_start"], s["_long"]), rf"\A{blank}|{blank}\z", ""))
+    found = F.coalesce(F.filter(inner, lambda t: t != ""), F.array().cast("array<string>"))
+    return texts.join(lists, keys, "left").select(*keys, F.when(F.col("_text").isNotNull(), found).alias("found"))

@@ -26,3 +26,19 @@ def test_array_literals(spark):
     got = {(r[0], r[1]): r[2] for r in found.collect()}
     assert got == {(i, p): codec.array_literals(t) for i, p, t in rows}
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_go_without_their_text(spark):
+    """A text of many marks isn't copied for each of them."""
+    marks = "@(a(b)" * 3_000
+    rows = spark.createDataFrame([(1, marks), (2, "@(x)")], "id long, t string")
+    found = spans.array_literals(rows, ["id"], "t")
+    assert {r[0]: r[1] for r in found.collect()} == {1: codec.array_literals(marks), 2: ["x"]}
+
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    windows = [n.output().mkString(" ") for n in nodes(found._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
+    assert len(windows) > 2 and not any("_text" in columns for columns in windows)
