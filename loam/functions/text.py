@@ -181,14 +181,18 @@ def decode_calls(text: Column) -> Column:
     return F.regexp_count(text, F.lit(DECODE_CALL))
 
 
+def _quoted(text: Column, opening: str) -> Column:
+    """The first quoted literal after ``opening``, behind its last opening quote; an empty text without one."""
+    # A literal ends with a quote, so what it holds is never given back. One that holds nothing is all quotes, before the bracket.
+    nothing = rf"(?<=\({opening}(?:''|'{{6,7}}))(?=\))"
+    return F.regexp_extract(text, rf"base64\.b64decode\({opening}'*('(?:{nothing}|[^']++(?=')))", 1)
+
+
 def quoted_payload(text: Column) -> Column:
     """The quoted literal of the first plain, else of the first raw, decode call; decoded as often as calls occur."""
     def payload(t: Column) -> Column:
-        # A literal ends with a quote, so what it holds is never given back.
-        plain = F.regexp_extract(t, r"(?s)base64\.b64decode\('('*)([^']++)'", 2)
-        raw = F.regexp_extract(t, r"(?s)base64\.b64decode\(r'('*)([^']++)'", 2)
-        word = F.when(F.contains(t, F.lit("base64.b64decode('")), plain).otherwise(raw)
-        return let(word, lambda w: F.when(w != "", repeated_base64(w, decode_calls(t))))
+        literal = F.when(F.contains(t, F.lit("base64.b64decode('")), _quoted(t, "")).otherwise(_quoted(t, "r"))
+        return let(literal, lambda q: F.when(q != "", repeated_base64(F.substr(q, F.lit(2)), decode_calls(t))))
 
     return let(text, payload)
 

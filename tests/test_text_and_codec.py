@@ -92,6 +92,13 @@ def test_quoted_and_numbered_payloads(spark):
     assert one(spark, "none", text.numbered_parts) == ""
 
 
+def test_a_quoted_payload_may_hold_nothing(spark):
+    for script in ("b64decode('')", "b64decode('''''') base64.b64decode(x)", "b64decode(r'''''''), 'x'"):
+        assert one(spark, f"base64.{script}", text.quoted_payload) == b""
+    for script in ("b64decode('", "b64decode('''", "b64decode(''')", "b64decode('''''", "b64decode(''')'''), ''", "b64decode() '')"):
+        assert one(spark, f"base64.{script}", text.quoted_payload) is None
+
+
 def test_text_of_binary():
     assert codec.text_of(b"") == "" and codec.text_of(None) is None
     assert codec.text_of(b"a\xffb") == "a�b"
