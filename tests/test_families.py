@@ -152,6 +152,20 @@ def test_files_below_folders(spark, tmp_path):
     assert {(r["label"], bytes(r["content"])) for r in got.collect()} == {("a", b"a/1.txt"), ("b", b"b/1.txt")}
 
 
+def test_empty_files_are_read(spark, tmp_path):
+    from loam.sources.files import read_files
+
+    for name in ("a/1.txt", "a/b/2.txt", "a/_no.txt", "a/.no.txt", "_no/1.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("")
+    (tmp_path / "a" / "3.txt").write_text("x")
+    for on_error in ("skip", "fail"):
+        below = read_files(spark, str(tmp_path), on_error, "*.t[x]t")
+        assert {(r["label"], bytes(r["content"])) for r in below.collect()} == {("a", b""), ("b", b""), ("a", b"x")} and below.count() == 3
+        for paths in (str(tmp_path / "a"), [str(tmp_path / "a" / "1.txt"), f"file://{tmp_path}/a/3.t?t"]):
+            assert sorted((r["label"], bytes(r["content"])) for r in read_files(spark, paths, on_error).collect()) == [("a", b""), ("a", b"x")]
+
+
 def test_a_further_family_plugs_in(spark, tmp_path, monkeypatch):
     from loam import schema
 
