@@ -166,6 +166,17 @@ def test_empty_files_are_read(spark, tmp_path):
             assert sorted((r["label"], bytes(r["content"])) for r in read_files(spark, paths, on_error).collect()) == [("a", b""), ("a", b"x")]
 
 
+def test_files_below_folders_are_not_listed_on_the_driver(spark, tmp_path):
+    from loam.sources.files import read_files
+
+    for k in range(50):
+        (tmp_path / f"a{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"a{k % 3}" / f"{k} é%.txt").write_text(str(k))
+    got = read_files(spark, [f"file://{tmp_path}/a0", f"{tmp_path}/a1", f"{tmp_path}/a2/"], "fail", "*.txt")
+    assert not [p for p in got.inputFiles() if ".txt" in p]
+    assert {(r["label"], r["path"].split("/")[-1], bytes(r["content"])) for r in got.collect()} == {(f"a{k % 3}", f"{k} é%.txt", str(k).encode()) for k in range(50)}
+
+
 def test_a_further_family_plugs_in(spark, tmp_path, monkeypatch):
     from loam import schema
 
