@@ -455,3 +455,19 @@ def test_components_either_way(spark, monkeypatch, one_task):
     both = spark.createDataFrame(links + [(b, a) for a, b in links], "i long, j long")
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 9, 12)], "node_id long")
     assert {tuple(r) for r in cluster.components(nodes, both).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (9, 5), (12, 5)}
+
+
+def test_ctph_similarities_of_many_are_those_of_each(monkeypatch):
+    rng = random.Random(5)
+    pieces = ["".join(rng.choice("abcdef") for _ in range(12)) for _ in range(6)]
+    signature = lambda most: "".join(rng.choice((*pieces, "xyz", "q" * 5)) for _ in range(6))[: rng.randint(0, most)]
+    hashes = [f"{rng.choice((3, 6, 12, 192))}:{signature(64)}:{signature(32)}" for _ in range(70)]
+    hashes += ["6:AAAAAAA:BBB", "3:AAAB:", "3:AAAAB:", "12:" + "abcdefghijklmnop" * 4 + ":x", fuzzy.ctph(b""), None]
+    pairs = [(x, y) for x in hashes for y in hashes]
+    want = [fuzzy.ctph_similarity(x, y) for x, y in pairs]
+    assert len(set(want)) > 15
+    called = []
+    monkeypatch.setattr(fuzzy, "ctph_similarity", lambda *xy, f=fuzzy.ctph_similarity: called.append(xy) or f(*xy))
+    assert fuzzy.ctph_similarities(*map(list, zip(*pairs, strict=True))) == want and not called
+    odd = ["3:" + "é" * 9 + ":", "3:" + "abcdefghij" * 9 + ":abc"]
+    assert fuzzy.ctph_similarities(odd, odd) == [100, 100] and fuzzy.ctph_similarities([], []) == []
