@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loam import schema
 from loam.functions import codec, spans, text
-from loam.operators import graph
+from loam.operators import cluster, graph
 from loam.sources.archives import nested_members
 from loam.storage import spool
 
@@ -190,6 +190,16 @@ def dark_watchmen(files: DataFrame, artifacts: DataFrame) -> Lineage:
     )
 
 
+def _closed(links: DataFrame) -> DataFrame:
+    """``(ancestor, descendant)`` of the closure of links between digests, by numbers: a digest has the length of eight of them."""
+    digests = links.select(F.explode(F.array("parent", "child")).alias("digest")).distinct()
+    numbers = spool(cluster.numbered(digests, "digest"), "numbers")
+    named = lambda end: numbers.select(F.col("digest").alias(end), F.col("number").alias(f"{end}_number"))
+    numbered = links.join(named("parent"), "parent").join(named("child"), "child").select(F.col("parent_number").alias("parent"), F.col("child_number").alias("child"))
+    closed = graph.closure(numbered).select(F.col("ancestor").alias("ancestor_number"), F.col("descendant").alias("descendant_number"))
+    return closed.join(named("ancestor"), "ancestor_number").join(named("descendant"), "descendant_number").select("ancestor", "descendant")
+
+
 def coper(files: DataFrame, mode: str = "std") -> Lineage:
     """Archives with native libraries, bytecode and further archives, however deep.
 
@@ -213,7 +223,7 @@ def coper(files: DataFrame, mode: str = "std") -> Lineage:
     rows = spool(found.select("id", "member", "is_cut", "error", "sha", kind.alias("kind"), F.coalesce(fits, F.lit(False)).alias("fits"), architecture.alias("architecture")), "members")
     archives, inside = rows.where("member is null"), rows.where("fits").select("id", "kind", "sha", "architecture")
     inner = inside.where("kind = 'APK'").select(F.col("id").alias("parent"), F.col("sha").alias("child"))
-    closed = graph.closure(inner).select(F.col("ancestor").alias("id"), F.col("descendant").alias("sha"))
+    closed = _closed(inner).select(F.col("ancestor").alias("id"), F.col("descendant").alias("sha"))
     given = first.where("kind in ('ELF', 'DEX')")
     elfs = _vertices(inside.where("kind = 'ELF'"), "CoperELF", architecture=F.col("architecture")).unionByName(
         _vertices(given.where("kind = 'ELF'"), "CoperELF", architecture=F.col("architecture"))

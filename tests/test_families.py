@@ -4,6 +4,7 @@ import hashlib
 import pytest
 
 from loam.functions import codec
+from loam.operators import graph
 from loam.operators.graph import GraphStore
 from loam.plans import families
 from loam.sources import archives
@@ -235,3 +236,12 @@ def test_ingest_and_general(spark, tmp_path):
     assert validate_file(f"{tmp_path}/drop/a.bat") and validate_dir(str(tmp_path))
     with pytest.raises(ValueError):
         validate_file(str(tmp_path))
+
+
+def test_links_between_archives_are_closed_by_numbers(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(graph, "closure", lambda links, f=graph.closure: seen.append(dict(links.dtypes)) or f(links))
+    pairs = [(sha(a), sha(b)) for a, b in ("ab", "bc", "ad", "cd", "ef")]
+    closed = families._closed(spark.createDataFrame(pairs, "parent string, child string"))
+    assert {tuple(r) for r in closed.collect()} == {(sha(a), sha(b)) for a, b in ("ab", "ac", "ad", "bc", "bd", "cd", "ef")} and closed.count() == 7
+    assert seen == [{"parent": "bigint", "child": "bigint"}]
